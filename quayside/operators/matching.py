@@ -8,7 +8,7 @@ broadcast hint.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.catalogue import advisories as cat
@@ -16,6 +16,8 @@ from quayside.functions.versions import (
     clean_spec,
     intervals,
     is_parsed,
+    key_sql,
+    parts_sql,
     version_key,
     with_interval,
     with_version_key,
@@ -47,7 +49,7 @@ def match_versions(deps: DataFrame, ranges: DataFrame, conservative: bool = Fals
         return deps.join(ranges, "package").where(inside).drop("lo", "hi").withColumn("confidence", F.lit("exact"))
     # an unparseable version matches an advisory once: through its lowest interval only
     first = ranges.withColumn("_first", F.lit(True)) if "_first" not in ranges.columns else ranges
-    unparsed = ~is_parsed(F.col("version_key"))
+    unparsed = ~is_parsed()
     return (
         deps.join(first, "package")
         .where(inside | (unparsed & F.col("_first")))
@@ -58,8 +60,7 @@ def match_versions(deps: DataFrame, ranges: DataFrame, conservative: bool = Fals
 
 def first_interval_flag(ranges: DataFrame, keys: list[str]) -> DataFrame:
     """Mark the lowest interval of each advisory."""
-    lowest = ranges.groupBy(*keys).agg(F.min("lo").alias("_lowest"))
-    return ranges.join(lowest, keys).withColumn("_first", F.col("lo") == F.col("_lowest")).drop("_lowest")
+    return ranges.withColumn("_first", F.row_number().over(Window.partitionBy(*keys).orderBy("lo")) == 1)
 
 
 def threshold_match(deps: DataFrame) -> DataFrame:
@@ -76,7 +77,7 @@ def runtime_line_match(versions: DataFrame, platform: str = "Linux") -> DataFram
         lines = lines.where(~F.col("cve_id").isin(cat.WINDOWS_ONLY_CVES))
     if platform not in ("Linux", "Darwin"):
         lines = lines.where(~F.col("cve_id").isin(cat.UNIX_ONLY_CVES))
-    bounds = lines.select("major", "cve_id", "fixed", version_key(F.col("first")).alias("lo"), version_key(F.col("fixed")).alias("hi"))
+    bounds = lines.select("major", "cve_id", "fixed", version_key("first").alias("lo"), version_key("fixed").alias("hi"))
     keyed = versions.withColumn("major", F.col("version_key.major"))
     inside = (F.col("version_key") >= F.col("lo")) & (F.col("version_key") < F.col("hi"))
     return keyed.join(F.broadcast(bounds), "major").where(inside).drop("lo", "hi", "major")
@@ -94,7 +95,7 @@ def middleware_line_match(deps: DataFrame) -> DataFrame:
         .drop("lo", "hi", "major")
         .withColumn("confidence", F.lit("exact"))
     )
-    unknown = frameworks.where(~is_parsed(F.col("version_key"))).withColumn("patched", F.lit(None).cast("string")).withColumn("confidence", F.lit("unparsed"))
+    unknown = frameworks.where(~is_parsed()).withColumn("patched", F.lit(None).cast("string")).withColumn("confidence", F.lit("unparsed"))
     return hit.unionByName(unknown).withColumn("cve_id", F.lit("CVE-2025-29927"))
 
 
@@ -103,15 +104,15 @@ def multi_branch_fix_match(deps: DataFrame) -> DataFrame:
     table = fixed_dim(
         deps.sparkSession, cat.MULTI_BRANCH_FIXES,
         "package string, cve_id string, fixed string, alt_fixed array<string>, auth_required boolean",
-    ).select(
+    ).withColumn("alt_keys", F.expr(f"transform(alt_fixed, v -> {key_sql(parts_sql('v'))})")).select(
         "package", "cve_id", "fixed", "auth_required",
-        version_key(F.col("fixed")).alias("fixed_key"),
-        F.array_min(F.transform("alt_fixed", version_key)).alias("alt_key"),
+        version_key("fixed").alias("fixed_key"),
+        F.expr("array_min(alt_keys)").alias("alt_key"),
     )
     open_branch = F.col("alt_key").isNull() | (F.col("version_key") < F.col("alt_key"))
     return (
         deps.join(F.broadcast(table), "package")
-        .where(is_parsed(F.col("version_key")) & (F.col("version_key") < F.col("fixed_key")) & open_branch)
+        .where(is_parsed() & (F.col("version_key") < F.col("fixed_key")) & open_branch)
         .drop("fixed_key", "alt_key")
     )
 
@@ -134,7 +135,7 @@ def legacy_line_match(deps: DataFrame) -> DataFrame:
         deps.where((F.col("package") == "next") & ~F.col("version").contains("canary"))
         .withColumn("line", F.substring_index("version", ".", 2))
         .join(bounds, "line")
-        .where(~is_parsed(F.col("version_key")) | inside)
+        .where(~is_parsed() | inside)
         .select(*keep, "patched", F.lit("line").alias("rule"))
     )
     return exact.unionByName(canary).unionByName(minor)
@@ -167,7 +168,7 @@ def patch_lookup(findings: DataFrame, patches: DataFrame) -> DataFrame:
         pick(lambda p: p["patch_key"] == F.col("version")),
         pick(lambda p: p["patch_key"] == F.concat(major, F.lit("."), minor, F.lit(".x"))),
         pick(lambda p: p["patch_key"] == F.concat(major, F.lit(".x"))),
-        pick(lambda p: p["hi"].isNotNull() & is_parsed(F.col("version_key")) & (F.col("version_key") < p["hi"])),
+        pick(lambda p: p["hi"].isNotNull() & is_parsed() & (F.col("version_key") < p["hi"])),
     )
     safe = F.when(F.size(F.coalesce("_patches", F.array())) > 0, choice)
     return findings.join(folded, ["cve_id", "package"], "left").withColumn("patched_version", safe).drop("_patches")
@@ -175,10 +176,8 @@ def patch_lookup(findings: DataFrame, patches: DataFrame) -> DataFrame:
 
 def catalogue_intervals(catalogue_df: DataFrame) -> DataFrame:
     """Disjoint intervals per (advisory, package), with the advisory's attributes."""
-    flat = cat.by_package(catalogue_df)
-    ranges = intervals(flat, ["cve_id", "package"])
-    keep = ["cve_id", "package", "title", "severity", "cvss_score", "category", "platform"]
-    return ranges.join(flat.select(*keep), ["cve_id", "package"])
+    carry = ["title", "severity", "cvss_score", "category", "platform"]
+    return intervals(cat.by_package(catalogue_df), ["cve_id", "package"], carry=carry)
 
 
 def cve_hunt(deps: DataFrame, catalogue_df: DataFrame, cve_id: str) -> DataFrame:

@@ -47,8 +47,7 @@ def ctes(*names: str) -> dict[str, str]:
 def advisory_ranges(t: Tables):
     """The part-derived advisories as disjoint intervals."""
     adv = t.view("v_advisories").withColumn("affected_versions", F.array("affected"))
-    ranges = intervals(adv, ["cve_id", "package"])
-    return ranges.join(adv.select("cve_id", "package", "severity", "patched"), ["cve_id", "package"])
+    return intervals(adv, ["cve_id", "package"], carry=["severity", "patched"])
 
 
 def dep_matches(t: Tables):
@@ -116,8 +115,7 @@ FEED_CTES = {
 )
 def advisory_range_match(t: Tables):
     feed = t.view("v_feed").withColumn("affected_versions", F.array("vulnerable_range"))
-    ranges = m.first_interval_flag(intervals(feed, ["ghsa_id", "package"]), ["ghsa_id", "package"])
-    ranges = ranges.join(feed.select("ghsa_id", "package", "severity"), ["ghsa_id", "package"])
+    ranges = m.first_interval_flag(intervals(feed, ["ghsa_id", "package"], carry=["severity"]), ["ghsa_id", "package"])
     deps = t.sql(
         """SELECT l_orderkey AS project_id, l_linenumber AS line_no, concat('pkg-', CAST(l_partkey AS STRING)) AS package,
              CASE WHEN CAST(l_quantity AS INT) % 7 = 0 THEN 'git+ssh://host/x'
@@ -138,9 +136,7 @@ def advisory_range_match(t: Tables):
     },
 )
 def threshold_match(t: Tables):
-    found = m.threshold_match(
-        m.with_version(t.view("v_stack")).withColumn("_first", F.lit(True)).drop("_first")
-    )
+    found = m.threshold_match(m.with_version(t.view("v_stack")))
     return found.select("project_id", "line_no", "package", "spec", "cve_id", "confidence")
 
 
