@@ -49,9 +49,21 @@ SELECT l_orderkey AS project_id, l_linenumber AS line_no,
   concat(CASE l_returnflag WHEN 'A' THEN '^' WHEN 'R' THEN '~' ELSE '' END,
          CAST(l_linenumber % 4 AS STRING), '.', CAST(CAST(l_quantity AS INT) AS STRING), '.',
          CAST(CAST(round(l_tax * 100) AS INT) AS STRING)) AS spec,
-  CASE l_linestatus WHEN 'O' THEN 'dependencies' ELSE 'devDependencies' END AS section,
+  CASE WHEN l_suppkey % 4 = 3 THEN CASE l_linestatus WHEN 'O' THEN 'optionalDependencies' ELSE 'peerDependencies' END
+       ELSE CASE l_linestatus WHEN 'O' THEN 'dependencies' ELSE 'devDependencies' END END AS section,
   l_shipdate AS observed_at
 FROM lineitem""",
+    # declared specs of every shape: ranges, alternatives, wildcards, git
+    "v_specs": """
+SELECT project_id, line_no, package, section,
+  CASE l_kind WHEN 0 THEN '*' WHEN 1 THEN 'latest' WHEN 2 THEN '' WHEN 3 THEN 'git+https://github.com/x/y.git'
+    WHEN 4 THEN concat('>= ', spec, ' <9.0.0') WHEN 5 THEN concat(spec, '||7.0.0') ELSE spec END AS spec
+FROM (SELECT l_orderkey AS project_id, l_linenumber AS line_no, l_suppkey % 10 AS l_kind,
+    CASE l_partkey % 12 WHEN 0 THEN 'request' WHEN 1 THEN 'event-stream' WHEN 2 THEN 'mkdirp' WHEN 3 THEN 'flatmap-stream'
+      ELSE concat('pkg-', CAST(l_partkey AS STRING)) END AS package,
+    CASE l_linestatus WHEN 'O' THEN 'dependencies' ELSE 'devDependencies' END AS section,
+    concat(CASE l_returnflag WHEN 'A' THEN '^' WHEN 'R' THEN '~' ELSE '' END, CAST(l_linenumber AS STRING), '.', CAST(CAST(l_quantity AS INT) AS STRING), '.0') AS spec
+  FROM lineitem) AS d""",
     "v_advisories": """
 SELECT concat('ADV-', lpad(CAST(p_partkey AS STRING), 9, '0')) AS cve_id,
   concat('pkg-', CAST(p_partkey AS STRING)) AS package, p_type AS category,
@@ -133,10 +145,18 @@ SELECT doc_id AS file_id, concat('p', CAST(doc_id % 97 AS STRING)) AS project_id
     WHEN 9 THEN 'middleware.ts' WHEN 10 THEN 'layout.tsx' WHEN 11 THEN '.env' ELSE '.truffler-cache' END AS name,
   CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN 'src/' WHEN 2 THEN 'app/' WHEN 3 THEN 'src/app/' WHEN 4 THEN 'node_modules/'
     WHEN 5 THEN 'node_modules/dep/' ELSE '.github/workflows/' END AS folder,
-  CASE doc_id % 4 WHEN 0 THEN concat('v', CAST(18 + doc_id % 8 AS STRING), '.', CAST(doc_id % 26 AS STRING), '.0')
+  CASE doc_id % 5 WHEN 0 THEN concat('v', CAST(18 + doc_id % 8 AS STRING), '.', CAST(doc_id % 26 AS STRING), '.0')
     WHEN 1 THEN concat('nodejs ', CAST(18 + doc_id % 8 AS STRING), '.', CAST(doc_id % 23 AS STRING), '.1')
     WHEN 2 THEN CAST(18 + doc_id % 8 AS STRING) ELSE concat('resolution: lts', chr(10), '.env', chr(10), {BAIT}) END AS content
 FROM documents""",
+    # ignore patterns of each project, in file order
+    "v_ignore": """
+SELECT DISTINCT source AS project_id, 1 AS ordinal, '*.log' AS pattern FROM documents
+UNION ALL SELECT DISTINCT source AS project_id, 2 AS ordinal, 'node_modules/' AS pattern FROM documents
+UNION ALL SELECT DISTINCT source AS project_id, 3 AS ordinal, '!f1*.log' AS pattern FROM documents
+UNION ALL SELECT DISTINCT source AS project_id, 4 AS ordinal, '/app/**/f?.js' AS pattern FROM documents
+UNION ALL SELECT DISTINCT source AS project_id, 5 AS ordinal, '**/vendor/**' AS pattern FROM documents
+UNION ALL SELECT DISTINCT source AS project_id, 6 AS ordinal, '!*.ts' AS pattern FROM documents""",
     # two snapshots of every document; some files change, some move (their old path is deleted, the new one created)
     "v_snapshots": """
 SELECT 0 AS snapshot_id, concat('/p/', source, '/f', CAST(doc_id AS STRING)) AS path, md5(text) AS hash, n_chars AS size
