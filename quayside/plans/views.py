@@ -103,6 +103,21 @@ SELECT l_orderkey AS project_id, l_linenumber AS line_no,
                    CASE WHEN l_partkey % 20 IN (0, 1) AND CAST(round(l_tax * 100) AS INT) = 8 THEN concat('-canary.', CAST(l_linenumber AS STRING)) ELSE '' END)
        END AS spec,
   CASE l_linestatus WHEN 'O' THEN 'dependencies' ELSE 'devDependencies' END AS section
+FROM lineitem""",
+    # landed findings of four scanners, in the order they were seen
+    "v_findings": """
+SELECT l_orderkey AS project_id, l_linenumber AS line_no,
+  concat(lpad(CAST(l_orderkey AS STRING), 12, '0'), '-', CAST(l_linenumber AS STRING), '-', lpad(CAST(l_partkey AS STRING), 12, '0'), '-', lpad(CAST(l_suppkey AS STRING), 12, '0'), '-', lpad(CAST(CAST(l_quantity AS INT) AS STRING), 4, '0')) AS ordinal,
+  CASE l_suppkey % 4 WHEN 0 THEN 'react' WHEN 1 THEN 'npm' WHEN 2 THEN 'nodejs' ELSE 'supply-chain' END AS scanner,
+  concat(CASE l_partkey % 8 WHEN 0 THEN '/app/src/p' WHEN 1 THEN '/app/node_modules/p' WHEN 2 THEN '/srv/research/p' WHEN 3 THEN '/app/__tests__/p'
+    WHEN 4 THEN '/srv/archive/p' WHEN 5 THEN '/app/vendor/p' WHEN 6 THEN '/srv/exploits/p' ELSE '/app/lib/p' END, CAST(l_orderkey AS STRING), '/package.json') AS file_path,
+  CASE WHEN l_partkey % 20 = 15 THEN 'node' ELSE concat('pkg-', CAST(l_partkey AS STRING)) END AS package,
+  concat('ADV-', lpad(CAST(l_partkey AS STRING), 9, '0')) AS cve_id,
+  CASE l_partkey % 5 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'LOW' ELSE 'INFO' END AS severity,
+  concat(CAST(l_linenumber % 4 AS STRING), '.', CAST(CAST(l_quantity AS INT) AS STRING), '.0') AS version,
+  concat(CASE l_returnflag WHEN 'A' THEN '^' WHEN 'R' THEN '~' ELSE '>=' END, CAST(l_linenumber % 4 AS STRING), '.', CAST(CAST(l_quantity AS INT) AS STRING), '.0') AS spec,
+  CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE concat('3.', CAST(l_linenumber AS STRING), '.0') END AS patched_version,
+  CASE l_suppkey % 6 WHEN 5 THEN 'peerDependencies' WHEN 4 THEN 'devDependencies' ELSE 'dependencies' END AS section
 FROM lineitem""",
     "v_lock": """
 SELECT l_orderkey AS project_id,
