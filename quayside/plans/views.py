@@ -130,6 +130,15 @@ SELECT l_orderkey AS project_id,
   CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE concat('sha512-', md5(CAST(l_partkey AS STRING))) END AS integrity,
   l_linestatus = 'F' AS dev, l_returnflag = 'R' AS optional,
   CASE l_suppkey % 5 WHEN 0 THEN 'MIT' WHEN 1 THEN 'ISC' WHEN 2 THEN 'Apache-2.0' WHEN 3 THEN 'GPL-3.0' END AS license
+FROM lineitem""",
+    # resolved entries of the same graph: several versions of a name occur in one project
+    "v_liblock": """
+SELECT l_orderkey AS project_id, concat('lib-', CAST(l_linenumber AS STRING)) AS package,
+  concat('1.', CAST(CAST(l_quantity AS INT) % 3 AS STRING), '.0') AS version,
+  concat('lib-', CAST(CASE WHEN l_returnflag = 'R' AND l_linenumber >= 4 THEN l_linenumber - 3 ELSE l_linenumber + 1 + l_suppkey % 2 END AS STRING)) AS child,
+  CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE concat(CASE l_suppkey % 3 WHEN 0 THEN 'sha512-' WHEN 1 THEN 'sha256-' ELSE 'sha1-' END, md5(CAST(l_partkey AS STRING))) END AS integrity,
+  CASE l_suppkey % 5 WHEN 0 THEN 'MIT' WHEN 1 THEN 'ISC' WHEN 2 THEN 'Apache-2.0' WHEN 3 THEN 'GPL-3.0' END AS license,
+  l_linestatus = 'F' AS dev, l_returnflag = 'R' AS optional
 FROM lineitem""",
     # one dependency graph per order: nodes lib-1 .. lib-9, steps of one or two, a few back edges
     "v_edges": """
