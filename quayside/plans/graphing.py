@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quayside.catalogue import advisories as cat
 from quayside.functions.text import integrity_hash, purl
-from quayside.operators import graph, registry, sbom
-from quayside.plans.registry import Tables, register
+from quayside.operators import graph, hygiene, registry, sbom
+from quayside.operators.reports import union_findings
+from quayside.plans.matching import HI, LO, ctes
+from quayside.plans.registry import Tables, register, sql_key, sql_rows
 from quayside.session import scratch_path
 from quayside.sources import sinks
 
@@ -217,3 +220,38 @@ def findings_log_sink(t: Tables):
 def scanner_registry_deep(t: Tables):
     """All registered scanners over the same tables, as one findings table (U2), counted."""
     return registry.run_scanners(registry.default_tables(t)).groupBy("scanner", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+ALL_SCANNERS = f"""SELECT 'react' AS scanner, severity FROM stack_k d JOIN cat_k a ON d.package = a.package AND k >= lo AND k < hi
+    WHERE d.package IN ('react', 'react-dom', 'react-server-dom-webpack') AND (d.package = 'react-server-dom-webpack' OR project_id IN (
+      SELECT project_id FROM stack_k WHERE package = 'react-server-dom-webpack'
+      UNION SELECT project_id FROM stack_k WHERE package = 'next' AND k // 2000000000000 >= 13 AND project_id IN (SELECT file_id FROM v_project_files WHERE folder IN ('app/', 'src/app/'))
+      UNION SELECT file_id FROM v_project_files WHERE (contains(content, '"use server"') OR contains(content, '''use server''')) AND NOT contains(folder, 'node_modules')))
+  UNION ALL SELECT 'nextjs', 'CRITICAL' FROM stack_k LEFT JOIN mid ON major = k // 2000000000000 WHERE package = 'next' AND (k IS NULL OR (k >= {sql_key('first')} AND k < {sql_key('below')}))
+  UNION ALL SELECT 'npm', c.severity FROM stack_k d JOIN thr_k a ON d.package = a.package AND (k IS NULL OR (k >= lo AND k < hi)) JOIN catalogue c USING (cve_id)
+  UNION ALL SELECT 'nodejs', c.severity FROM stack_k JOIN rt ON major = k // 2000000000000 AND k >= {sql_key('first')} AND k < {sql_key('fixed')} JOIN catalogue c USING (cve_id) WHERE package = 'node'
+  UNION ALL SELECT 'n8n', c.severity FROM stack_k JOIN fixes USING (package) JOIN catalogue c USING (cve_id)
+    WHERE k < {sql_key('fixed')} AND NOT EXISTS (SELECT 1 FROM alts WHERE alts.cve_id = fixes.cve_id AND k >= {sql_key('alt')})"""
+
+
+@register("x1_scanner_registry_quick", f"SELECT scanner, severity, count(*) AS n FROM ({ALL_SCANNERS}) GROUP BY ALL", ctes("stack_k", "catalogue", "cat_raw", "cat_k") | {
+    "mid": sql_rows(["major", "first", "below"], [[11, "11.1.4", "12.0.0"], [12, "12.0.0", "12.3.5"], [13, "13.0.0", "13.5.7"], [14, "14.0.0", "14.2.25"], [15, "15.0.0", "15.2.3"]]),
+    "thr": sql_rows(["package", "affected", "cve_id"], [[r["package"], r["affected"][0], c] for r in cat.PACKAGE_THRESHOLDS for c in r["cves"]]),
+    "thr_k": f"SELECT *, {LO} AS lo, {HI} AS hi FROM thr",
+    "rt": sql_rows(["major", "cve_id", "first", "fixed"], [[r["major"], r["cve_id"], r["first"], r["fixed"]] for r in cat.RUNTIME_LINES]),
+    "fixes": sql_rows(["package", "cve_id", "fixed"], [[r["package"], r["cve_id"], r["fixed"]] for r in cat.MULTI_BRANCH_FIXES]),
+    "alts": sql_rows(["cve_id", "alt"], [[r["cve_id"], a] for r in cat.MULTI_BRANCH_FIXES for a in r["alt_fixed"]]),
+})
+def scanner_registry_quick(t: Tables):
+    """The quick subset: manifests and versions only."""
+    return registry.run_scanners(registry.default_tables(t), quick=True).groupBy("scanner", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("u2_findings_union", """SELECT scanner, severity, count(*) AS n, count(DISTINCT project_id) AS projects FROM v_findings WHERE scanner IN ('react', 'npm') GROUP BY ALL
+  UNION ALL SELECT 'lockfile', 'LOW', count(*), count(DISTINCT project_id) FROM v_lock WHERE integrity IS NULL""")
+def findings_union(t: Tables):
+    landed = t.view("v_findings")
+    parts = [landed.where(F.col("scanner") == name).select("scanner", "project_id", "severity", "package") for name in ("react", "npm")]
+    lock = hygiene.missing_integrity(t.view("v_lock")).select(F.lit("lockfile").alias("scanner"), "project_id", F.lit("LOW").alias("severity"))
+    whole = union_findings([*parts, lock])
+    return whole.groupBy("scanner", "severity").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("project_id").alias("projects"))
