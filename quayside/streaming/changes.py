@@ -1,6 +1,6 @@
 """Continuous versions (T1-T4): file changes, debounced scans, rescans, running counters.
 
-Every stream has bounded state: watermarks close windows and sessions, and the per-path state carries a time to live.
+Every stream has bounded state: watermarks close windows and sessions, and the per-path state ends with the file.
 Streams append to tables in the shared folder, keyed by micro-batch, so a replayed batch overwrites its own rows.
 """
 
@@ -35,17 +35,19 @@ def change_event(old: str | None, new: str | None) -> str | None:
 
 
 class ChangeDetector(StatefulProcessor):
-    """Per path, the hash at each poll tick against the hash before. State: the last tick and hash, with a TTL.
+    """Per path, the hash at each poll tick against the hash before. State: the last tick and hash.
 
-    Rows of one path are folded to the newest hash per tick while they stream through, so a path with very many rows
+    The state of a deleted file is cleared. A stream that runs for good may also give it a time to live; a stream that
+    ends with the landed data may not, since processing-time state asks for another batch for ever. Rows of one path are folded to the newest hash per tick while they stream through, so a path with very many rows
     needs memory for its ticks only.
     """
 
-    def __init__(self, ttl_ms: int):
+    def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "tick bigint, hash string", ttlDurationMs=self.ttl_ms)
+        ttl = {} if self.ttl_ms is None else {"ttlDurationMs": self.ttl_ms}
+        self.last = handle.getValueState("last", "tick bigint, hash string", **ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         ticks: dict[int, tuple] = {}
@@ -65,7 +67,9 @@ class ChangeDetector(StatefulProcessor):
             if event:
                 out.append((key[0], tick, event, new))
             seen, old = tick, new
-        if seen is not None:
+        if old is None:
+            self.last.clear()
+        else:
             self.last.update((int(seen), old))
         yield pd.DataFrame(out, columns=["path", "tick", "event", "hash"])
 
@@ -73,7 +77,7 @@ class ChangeDetector(StatefulProcessor):
         pass
 
 
-def change_stream(rows: DataFrame, poll_seconds: int, ttl_ms: int = 30 * 24 * 3600 * 1000) -> DataFrame:
+def change_stream(rows: DataFrame, poll_seconds: int, ttl_ms: int | None = None) -> DataFrame:
     """Created, modified and deleted files. ``rows``: path, ts, event_id, hash (null: the file is gone)."""
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     seconds = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -82,7 +86,8 @@ def change_stream(rows: DataFrame, poll_seconds: int, ttl_ms: int = 30 * 24 * 36
         F.concat(F.lpad(seconds.cast("string"), 20, "0"), F.lit("-"), F.lpad(F.col("event_id").cast("string"), 20, "0")).alias("seq"), "hash",
     )
     return keyed.groupBy("path").transformWithStateInPandas(
-        statefulProcessor=ChangeDetector(ttl_ms), outputStructType=CHANGE_DDL, outputMode="Append", timeMode="ProcessingTime"
+        statefulProcessor=ChangeDetector(ttl_ms), outputStructType=CHANGE_DDL, outputMode="Append",
+        timeMode="None" if ttl_ms is None else "ProcessingTime",
     )
 
 
