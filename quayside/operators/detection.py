@@ -187,8 +187,8 @@ def neutralise(files: DataFrame, rules: list[dict] | None = None, mark: str = "/
     """new content with every matched line commented out; other lines stay. Done on the file's own row."""
     lined = files.withColumn("_lines", F.split("content", "\n")).withColumn("_rules", rule_array(book.RULES if rules is None else rules))
     hit = (
-        "exists(_rules, r -> (size(r.needles) = 0 OR exists(r.needles, n -> contains(lower(l), n))) "
-        "AND l rlike concat('(?i)', r.pattern))"
+        "transform(array(lower(l)), low -> exists(_rules, r -> (size(r.needles) = 0 OR exists(r.needles, n -> contains(low, n))) "
+        "AND l rlike concat('(?i)', r.pattern)))[0]"
     )
     marked = lined.withColumn("_mark", F.lit(mark)).withColumn(
         "_new", F.expr(f"transform(_lines, l -> if({hit}, concat(_mark, l), l))")

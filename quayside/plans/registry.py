@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quayside.plans.views import BASE_TABLES, used_views, view_text, with_views
+from quayside.session import spread
 
 QUERIES: dict[str, Callable[["Tables"], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,7 +24,7 @@ class Tables:
         return f"{self.folder}/{name}.parquet"
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        return spread(self.spark.read.parquet(self.path(name)))
 
     def sql(self, text: str) -> DataFrame:
         """Run Spark SQL that may name base tables and domain views."""

@@ -25,9 +25,21 @@ def local_session(cores: str | int = "*", app: str = "quayside") -> SparkSession
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if str(cores).isdigit():
+        spark.conf.set("spark.quayside.spread", str(cores))
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a source with too few splits to more tasks, where ``spark.quayside.spread`` asks for it.
+
+    A file with one row group is one task, whatever the cores. Large inputs have splits enough: leave the setting
+    unset there, and no shuffle is added. Filters and column pruning still reach the scan.
+    """
+    tasks = df.sparkSession.conf.get("spark.quayside.spread", None)
+    return df.repartition(int(tasks)) if tasks else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as named by ``spark.checkpoint.dir``.
 

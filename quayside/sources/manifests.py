@@ -21,7 +21,7 @@ LOCK_COLUMNS = ["package", "version", "resolved_url", "integrity", "license", "d
 def parse_manifests(files: DataFrame, content: str = "content") -> DataFrame:
     """Manifest fields; a document that is no JSON object is dropped."""
     keep = [c for c in files.columns if c != content]
-    parsed = files.withColumn("_ok", F.try_parse_json(content)).where("_ok IS NOT NULL AND schema_of_variant(_ok) LIKE 'OBJECT%'")
+    parsed = files.where(F.json_object_keys(content).isNotNull())
     return parsed.withColumn("_m", F.from_json(content, MANIFEST_DDL)).select(*keep, "_m.*")
 
 
