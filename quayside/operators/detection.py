@@ -59,28 +59,25 @@ def candidate_lines(files: DataFrame, rules: list[dict], context: int = 0) -> Da
         "transform(array(lower(l)), low -> filter(_rules, r -> size(r.needles) = 0 OR exists(r.needles, n -> contains(low, n))))[0])), "
         "h -> size(h.rules) > 0)"
     )
-    found = lined.withColumn("_hits", F.expr(hit))
     fields = ["h.line_no AS line_no", "h.line AS line", "h.rules AS rules"]
     if context:
         before = f"slice(_lines, int(greatest(h.line_no - {context}, 1)), int(least(h.line_no - 1, {context})))"
         after = f"slice(_lines, int(h.line_no + 1), {context})"
-        found = found.withColumn(
-            "_hits",
-            F.expr(
-                f"transform(_hits, h -> named_struct('line_no', h.line_no, 'line', h.line, 'rules', h.rules, "
-                f"'context_before', {before}, 'context_after', {after}))"
-            ),
+        hit = (
+            f"transform({hit}, h -> named_struct('line_no', h.line_no, 'line', h.line, 'rules', h.rules, "
+            f"'context_before', {before}, 'context_after', {after}))"
         )
         fields += ["h.context_before AS context_before", "h.context_after AS context_after"]
-    return found.select(*keep, F.explode("_hits").alias("h")).selectExpr(*keep, *fields)
+    # the array is built inside explode: as a column of its own it would be computed again by an inferred size filter
+    return lined.select(*keep, F.explode(F.expr(hit)).alias("h")).selectExpr(*keep, *fields)
 
 
 def rule_matches(files: DataFrame, rules: list[dict] | None = None, context: int = 0) -> DataFrame:
     """One row per match of a rule on a line: all non-overlapping matches, ignoring case."""
     lines = candidate_lines(files, book.RULES if rules is None else rules, context)
     pairs = lines.withColumn("r", F.explode("rules")).drop("rules")
-    texts = pairs.withColumn("_m", F.expr("regexp_extract_all(line, concat('(?i)', r.pattern), 0)"))
-    matched = texts.select("*", F.posexplode("_m").alias("match_no", "matched_text"))
+    texts = F.expr("regexp_extract_all(line, concat('(?i)', r.pattern), 0)")
+    matched = pairs.select("*", F.posexplode(texts).alias("match_no", "matched_text"))
     return matched.select(
         *[c for c in pairs.columns if c != "r"], "match_no", "matched_text",
         "r.rule_id", "r.name", "r.threat_level", "r.malware_type", "r.cve_ids",

@@ -25,12 +25,18 @@ def roots(edges: DataFrame) -> DataFrame:
     return parents.join(edges.select("project_id", F.col("child").alias("node")), ["project_id", "node"], "left_anti")
 
 
+def _links(edges: DataFrame) -> DataFrame:
+    """Distinct edges, placed once by (project, parent) for the joins of all levels."""
+    links = edges.select("project_id", F.col("parent").alias("_from"), F.col("child").alias("_to")).distinct()
+    return cut_lineage(links.repartition("project_id", "_from").sortWithinPartitions("project_id", "_from"))
+
+
 def expand_tree(edges: DataFrame, start: DataFrame, max_depth: int = 10) -> DataFrame:
     """Every node below the roots with its depth and path; a node already on its path closes a cycle.
 
     ``start`` has (project_id, node). ``max_depth`` bounds the tree, as the feature does.
     """
-    links = edges.select("project_id", F.col("parent").alias("_from"), F.col("child").alias("_to")).distinct()
+    links = _links(edges)
     level = start.select("project_id", "node", F.lit(0).alias("depth"), F.array("node").alias("path"), F.lit(False).alias("cycle"))
     levels = [level]
     for depth in range(1, max_depth + 1):
@@ -55,7 +61,7 @@ def mark_duplicates(tree: DataFrame) -> DataFrame:
 
 def reach(edges: DataFrame, start: DataFrame, max_depth: int = 10) -> DataFrame:
     """Reachable nodes with their shortest depth. Each node is kept once, so dense graphs do not explode."""
-    links = edges.select("project_id", F.col("parent").alias("_from"), F.col("child").alias("_to")).distinct()
+    links = _links(edges)
     seen = start.select("project_id", "node", F.lit(0).alias("depth")).distinct()
     level = seen
     for depth in range(1, max_depth + 1):

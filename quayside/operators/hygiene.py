@@ -11,6 +11,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quayside.catalogue import lists as words
 from quayside.functions.text import lookup
@@ -96,7 +97,10 @@ def typosquat_similarity(names: DataFrame, low: float = 0.75) -> DataFrame:
     )
 
 
-@F.pandas_udf("array<struct<popular:string,similarity:double>>")
+NEAR = T.ArrayType(T.StructType([T.StructField("popular", T.StringType()), T.StructField("similarity", T.DoubleType())]))
+
+
+@F.pandas_udf(NEAR)
 def _matching_blocks(names: pd.Series) -> pd.Series:
     def near(name: str):
         found = []

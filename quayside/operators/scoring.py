@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.catalogue import lists as words
+from quayside.catalogue.rules import SECRETS
 from quayside.functions.text import lookup
 
 # Points per severity and category, weights, grades and advice.
@@ -38,6 +39,20 @@ def severity_impact(findings: DataFrame, category: str, severity: str = "severit
     return findings.select("project_id", F.lit(category).alias("category"), points.alias("impact"))
 
 
+def match_impact(matches: DataFrame, not_malware: list[str]) -> DataFrame:
+    """Rule matches as points of two categories in one pass: secrets count as such, and as malware unless their rule is
+    one of ``not_malware`` (credential fields of data files)."""
+
+    def points(category: str) -> Column:
+        value = lookup(F.col("threat_level"), {k: str(v) for k, v in IMPACT[category].items()}, "0").cast("bigint")
+        return F.struct(F.lit(category).alias("category"), value.alias("impact"))
+
+    both = F.array(
+        F.when(~F.col("rule_id").isin(not_malware), points("malware")), F.when(F.col("malware_type") == SECRETS, points("secrets"))
+    )
+    return matches.select("project_id", F.explode(F.array_compact(both)).alias("_i")).select("project_id", "_i.category", "_i.impact")
+
+
 def dependency_impact(deps: DataFrame) -> DataFrame:
     """Points of problematic names, wildcard and git specs, all in one pass over the dependencies."""
     named = lookup(F.col("package"), {k: str(v[1]) for k, v in words.PROBLEMATIC.items()}, "0").cast("bigint")

@@ -10,7 +10,7 @@ from quayside.operators import graph, hygiene, registry, sbom
 from quayside.operators.reports import union_findings
 from quayside.plans.matching import HI, LO, ctes
 from quayside.plans.registry import Tables, register, sql_key, sql_rows
-from quayside.session import scratch_path
+from quayside.session import cut_lineage, scratch_path
 from quayside.sources import sinks
 
 TREE = """WITH RECURSIVE r AS (SELECT DISTINCT project_id, parent AS node FROM v_edges e WHERE NOT EXISTS (SELECT 1 FROM v_edges x WHERE x.project_id = e.project_id AND x.child = e.parent)),
@@ -132,7 +132,7 @@ def license_histogram(t: Tables):
     return sbom.license_histogram(parts(t))
 
 
-CREATED = F.lit("2026-01-01T00:00:00Z")
+CREATED = "2026-01-01T00:00:00Z"
 
 
 def read_back(t: Tables, documents, label: str, ddl: str):
@@ -146,7 +146,7 @@ def read_back(t: Tables, documents, label: str, ddl: str):
   SELECT 'project-' || p.project_id AS project, p.name, p.version, purl, license, {HASHES.replace('integrity', 'p.integrity')}, CASE WHEN is_dev THEN 'optional' END AS scope, coalesce(depends, '') AS depends
   FROM parts p LEFT JOIN d ON d.project_id = p.project_id AND d.name = p.name AND d.version = p.version""", PARTS)
 def cyclonedx_sink(t: Tables):
-    ordered = sbom.component_order(parts(t))
+    ordered = cut_lineage(sbom.component_order(parts(t)))
     depends = links(t, ordered).where("child_version IS NOT NULL").groupBy("project_id", F.col("parent").alias("name"), F.col("parent_version").alias("version")).agg(
         F.sort_array(F.collect_set(F.concat("child", F.lit("@"), "child_version"))).alias("depends_on")
     )

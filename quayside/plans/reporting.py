@@ -59,15 +59,13 @@ SCORE_CTES = ctes("deps_k", "adv_k") | {
 def project_scores(t: Tables):
     projects = t.base("orders").select(F.col("o_orderkey").alias("project_id"))
     sources = t.view("v_files").select("file_id", "content")
-    by_file = lambda df: df.withColumnRenamed("file_id", "project_id")
-    malware = by_file(detection.rule_matches(sources, PLAIN_RULES))
-    secrets = by_file(detection.rule_matches(sources, detection.secret_rules()))
+    fields = [r for r in detection.secret_rules() if r["rule_id"].startswith("TOKEN-")]
+    matches = detection.rule_matches(sources, PLAIN_RULES + fields).withColumnRenamed("file_id", "project_id")
     flags = scoring.config_flags(usage_files(t), t.view("v_scripts"))
     return scoring.category_scores(
         projects,
         scoring.severity_impact(dep_matches(t), "vulnerabilities"),
-        scoring.severity_impact(malware, "malware", "threat_level"),
-        scoring.severity_impact(secrets, "secrets", "threat_level"),
+        scoring.match_impact(matches, [r["rule_id"] for r in fields]),
         scoring.dependency_impact(t.view("v_specs")),
         scoring.config_impact(projects, flags),
     )

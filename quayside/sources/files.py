@@ -1,7 +1,15 @@
-"""File trees as DataFrames (S1, S2, S10, S12). Reading, filtering and hashing are plans; nothing is listed by hand."""
+"""File trees as DataFrames (S1, S2, S10, S12). Reading, filtering and hashing are plans.
+
+Spark's file sources skip names that start with a dot. The few dotfiles that matter (token files, version files, ignore
+files) are read beside the manifests that were found, by tasks that each get some project folders.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +41,28 @@ def read_files(spark: SparkSession, root: str, glob: str = SOURCE_GLOB, max_byte
     )
 
 
+DOTFILES = [".npmrc", ".yarnrc", ".yarnrc.yml", ".env", ".env.local", ".env.production", ".gitignore", ".nvmrc", ".node-version", ".tool-versions"]
+
+
+def read_dotfiles(manifests: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Dotfiles beside manifests; ``manifests`` has ``project_dir``. A fixed set of names per folder is tried."""
+    wanted = names or DOTFILES
+
+    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for folder in batch["project_dir"]:
+                system, base = arrow_fs.FileSystem.from_uri(folder)
+                infos = system.get_file_info([f"{base}/{n}" for n in wanted])
+                for info in infos:
+                    if info.type == arrow_fs.FileType.File:
+                        with system.open_input_stream(info.path) as stream:
+                            rows.append((f"{folder}/{info.base_name}", folder, info.base_name, info.size, stream.read().decode("utf-8", "replace")))
+            yield pd.DataFrame(rows, columns=["path", "project_dir", "name", "size", "content"])
+
+    return manifests.select("project_dir").distinct().mapInPandas(load, "path string, project_dir string, name string, size bigint, content string")
+
+
 def _outside(path: Column, excluded: list[str]) -> Column:
     """No folder of the path is excluded or hidden."""
     folders = F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))

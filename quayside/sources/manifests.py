@@ -62,8 +62,8 @@ def parse_npm_lock(files: DataFrame, content: str = "content") -> DataFrame:
     keep = [c for c in files.columns if c != content]
     head = files.withColumn("_v", F.coalesce(F.get_json_object(content, "$.lockfileVersion").try_cast("int"), F.lit(1)))
 
-    listed = head.where("_v >= 2").withColumn("_p", F.from_json(content, f"packages map<string, struct<{ENTRY_DDL}, dependencies map<string,string>>>"))
-    flat = listed.select(*keep, F.explode("_p.packages").alias("_path", "e")).where("_path <> ''")
+    listed = F.from_json(content, f"packages map<string, struct<{ENTRY_DDL}, dependencies map<string,string>>>")["packages"]
+    flat = head.where("_v >= 2").select(*keep, F.explode(listed).alias("_path", "e")).where("_path <> ''")
     out = flat.select(
         *keep, F.element_at(F.split("_path", "node_modules/"), -1).alias("package"), F.coalesce("e.version", F.lit("unknown")).alias("version"),
         F.col("e.resolved").alias("resolved_url"), "e.integrity", "e.license",
@@ -71,7 +71,7 @@ def parse_npm_lock(files: DataFrame, content: str = "content") -> DataFrame:
     ).where("package <> ''")
 
     level_ddl = f"map<string, struct<{ENTRY_DDL}, dependencies string>>"
-    frontier = head.where("_v < 2").select(*keep, F.from_json(content, "dependencies string")["dependencies"].alias("_json")).where("_json IS NOT NULL")
+    frontier = head.where("_v < 2").select(*keep, F.from_json(content, "dependencies string")["dependencies"].alias("_json"))
     first = True
     while True:
         opened = frontier.select(*keep, F.explode(F.from_json("_json", level_ddl)).alias("package", "e"))

@@ -81,7 +81,7 @@ def sarif_documents(findings: DataFrame, max_items: int = MAX_ITEMS) -> DataFram
     return grouped.select("project_id", "part", driver.alias("document"))
 
 
-def cyclonedx_documents(parts: DataFrame, depends: DataFrame, created: Column, max_items: int = MAX_ITEMS) -> DataFrame:
+def cyclonedx_documents(parts: DataFrame, depends: DataFrame, created: str, max_items: int = MAX_ITEMS) -> DataFrame:
     """K3: CycloneDX 1.4 per project. ``depends``: project_id, name, version, depends_on (array of refs)."""
     joined = parts.join(depends, ["project_id", "name", "version"], "left")
     ref = F.concat("name", F.lit("@"), "version")
@@ -103,7 +103,7 @@ def cyclonedx_documents(parts: DataFrame, depends: DataFrame, created: Column, m
             F.lit("CycloneDX").alias("bomFormat"), F.lit("1.4").alias("specVersion"), F.lit(1).alias("version"),
             F.concat(F.lit("urn:uuid:"), _uuid(F.concat_ws(":", F.col("project_id").cast("string"), F.col("part").cast("string")))).alias("serialNumber"),
             F.struct(
-                created.alias("timestamp"), F.array(F.struct(F.lit(TOOL).alias("name"))).alias("tools"),
+                F.lit(created).alias("timestamp"), F.array(F.struct(F.lit(TOOL).alias("name"))).alias("tools"),
                 F.struct(F.lit("application").alias("type"), F.concat(F.lit("project-"), "project_id").alias("name")).alias("component"),
             ).alias("metadata"),
             bare_c.alias("components"), bare_d.alias("dependencies"),
@@ -119,7 +119,7 @@ def _uuid(text: Column) -> Column:
     return F.concat_ws("-", *[F.substring(h, start, size) for start, size in cuts])
 
 
-def spdx_documents(parts: DataFrame, created: Column, max_items: int = MAX_ITEMS) -> DataFrame:
+def spdx_documents(parts: DataFrame, created: str, max_items: int = MAX_ITEMS) -> DataFrame:
     """K4: SPDX 2.3 per project; package ids come from the component order."""
     spdx_id = F.concat(F.lit("SPDXRef-Package-"), F.col("ordinal").cast("string"))
     licence = F.coalesce("license", F.lit("NOASSERTION"))
@@ -149,7 +149,7 @@ def spdx_documents(parts: DataFrame, created: Column, max_items: int = MAX_ITEMS
         F.struct(
             F.lit("SPDX-2.3").alias("spdxVersion"), F.lit("CC0-1.0").alias("dataLicense"), F.lit("SPDXRef-DOCUMENT").alias("SPDXID"), name.alias("name"),
             F.concat(F.lit("https://example.org/sbom/"), name, F.lit("/"), F.col("part").cast("string")).alias("documentNamespace"),
-            F.struct(created.alias("created"), F.array(F.lit(f"Tool: {TOOL}")).alias("creators")).alias("creationInfo"),
+            F.struct(F.lit(created).alias("created"), F.array(F.lit(f"Tool: {TOOL}")).alias("creators")).alias("creationInfo"),
             F.transform("_p", lambda p: p.dropFields("ordinal")).alias("packages"),
             F.concat(root, F.transform("_r", lambda r: r.dropFields("ordinal"))).alias("relationships"),
         )

@@ -1,0 +1,106 @@
+"""Plans and skew: no cross products, hot keys give the same results, documents split, streams equal their batch twins."""
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from quayside.operators import diffs, graph, hygiene, sbom, scoring
+from quayside.sources import sinks
+from quayside.streaming import changes
+
+PLANNED = ["flagship_vulnerable_projects", "j2_advisory_range_match", "j8_patch_lookup", "j12_typosquat_similarity", "j17_manifest_lock_merge", "j22_rule_match",
+           "w4_context_lines", "w5_last_match_wins", "p7_ignore_filter", "a7_weighted_grade", "a17_lockfile_report", "w6_component_order", "x1_scanner_registry_deep"]
+
+
+@pytest.mark.parametrize("name", PLANNED)
+def test_no_cross_product(spark, tables, name):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, tables.folder)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("name", ["j22_rule_match", "w4_context_lines", "f13_neutralise_lines", "p7_ignore_filter", "w3_first_rule_per_script"])
+def test_row_wise_queries_do_not_shuffle(spark, tables, name):
+    import __spark_entry__ as entry
+
+    spread = spark.conf.get("spark.quayside.spread")
+    spark.conf.unset("spark.quayside.spread")
+    try:
+        plan = entry.queries()[name](spark, tables.folder)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.quayside.spread", spread)
+    assert "Exchange" not in plan
+
+
+def test_scan_reads_two_columns(spark, tables):
+    plan = hygiene.missing_integrity(tables.view("v_lock")).select("project_id")._jdf.queryExecution().executedPlan().toString()
+    assert "l_extendedprice" not in plan and "l_shipdate" not in plan
+
+
+def hot_components(spark):
+    # one project holds most of the rows
+    return spark.range(3000).select(
+        F.when(F.col("id") % 10 < 8, 1).otherwise(F.col("id") % 7).alias("project_id"), F.concat(F.lit("pkg-"), (F.col("id") * 7919 % 3001).cast("string")).alias("name"),
+        F.lit("1.0.0").alias("version"), (F.col("id") % 3 == 0).alias("is_direct"),
+    )
+
+
+def test_component_order_equals_plain_ranking(spark):
+    parts = hot_components(spark)
+    plain = parts.withColumn("want", F.row_number().over(Window.partitionBy("project_id").orderBy(F.col("is_direct").desc(), "name", "version")))
+    for prefix in (1, 6, 10):
+        got = sbom.component_order(parts, prefix)
+        assert got.join(plain, ["project_id", "name", "version", "is_direct"]).where("ordinal <> want").count() == 0
+        assert got.count() == 3000
+
+
+def test_documents_split_and_stay_whole(spark):
+    rows = sinks.in_parts(hot_components(spark), ["project_id"], ["name", "version"], max_items=100)
+    sizes = rows.groupBy("project_id", "part").agg(F.count(F.lit(1)).alias("n"))
+    assert rows.count() == 3000 and sizes.where("project_id = 1").count() > 10 and sizes.agg(F.max("n")).first()[0] < 300
+
+
+def test_score_bounds(spark):
+    projects = spark.range(3).select(F.col("id").alias("project_id"))
+    hits = spark.createDataFrame([(0, "CRITICAL")] * 50 + [(1, "LOW")], "project_id bigint, severity string")
+    rows = {r.project_id: r for r in scoring.weighted_grade(scoring.category_scores(projects, scoring.severity_impact(hits, "vulnerabilities"))).collect()}
+    assert rows[0].vulnerabilities == 0 and rows[0].score == 70 and rows[0].grade == "C"
+    assert rows[1].vulnerabilities == 98 and rows[2].score == 100 and rows[2].grade == "A+"
+
+
+def test_snapshot_events_partition_the_union(spark):
+    before = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "path string, hash string")
+    after = spark.createDataFrame([("b", "1"), ("c", "2"), ("d", "1")], "path string, hash string")
+    assert {r.path: r.event for r in diffs.snapshot_diff(before, after).collect()} == {"a": "deleted", "c": "modified", "d": "created"}
+
+
+def test_graph_with_cycle(spark):
+    edges = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "c", "b"), (1, "a", "c")], "project_id int, parent string, child string")
+    tree = graph.mark_duplicates(graph.expand_tree(edges, graph.roots(edges)))
+    paths = {(">".join(r.path), r.cycle) for r in tree.collect()}
+    assert paths == {("a", False), ("a>b", False), ("a>c", False), ("a>b>c", False), ("a>c>b", False), ("a>b>c>b", True), ("a>c>b>c", True)}
+    assert {(r.node, r.depth) for r in graph.reach(edges, graph.roots(edges)).collect()} == {("a", 0), ("b", 1), ("c", 1)}
+    assert {r.path for r in graph.find_paths(tree, "c").collect()} >= {"a -> c", "a -> b -> c"}
+
+
+def test_change_stream_keeps_state_between_batches(spark, tables, tmp_path):
+    rows = tables.view("v_changes").select("event_id", "ts", "path", "hash")
+    ticks = rows.withColumn("tick", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (6 * 3600 * 1_000_000)))
+    low, high = ticks.agg(F.min("tick"), F.max("tick")).first()
+    middle = (low + high) // 2
+    landed = str(tmp_path / "landed")
+    first, second = ticks.where(F.col("tick") <= middle).drop("tick"), ticks.where(F.col("tick") > middle).drop("tick")
+    first.coalesce(1).write.parquet(landed)
+    path = str(tmp_path / "out")
+    schema = rows.schema
+
+    def run():
+        stream = changes.change_stream(changes.read_stream(spark, landed, "*.parquet", schema), 6 * 3600)
+        return changes.append_table(stream, path)
+
+    run()
+    second.coalesce(1).write.mode("append").parquet(landed)
+    got = {tuple(r) for r in run().select("path", "tick", "event", "hash").collect()}
+    want = {tuple(r) for r in changes.change_batch(rows, 6 * 3600).select("path", "tick", "event", "hash").collect()}
+    assert got == want and len(got) > 100
