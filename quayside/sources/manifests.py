@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.catalogue.lists import SECTIONS
-from quayside.session import cut_lineage
 
 MANIFEST_DDL = "name string, version string, description string, license string, scripts map<string,string>, engines map<string,string>, " + ", ".join(
     f"{s} map<string,string>" for s in SECTIONS
@@ -54,39 +53,38 @@ def script_rows(manifests: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def parse_npm_lock(files: DataFrame, content: str = "content") -> DataFrame:
-    """Entries of npm lockfiles of every version.
+    """Entries of npm lockfiles of every version, each document on its own row.
 
     Versions 2 and 3 list paths: the name is the text after the last ``node_modules/``, with its scope. Version 1
-    nests: each round opens one level, and only entries that hold another level go into the next round.
+    nests: a fold opens one level per step and keeps the inner levels as texts for the next. The document cannot be
+    deeper than the number of its "dependencies" keys, so that many steps open all of it; spare steps find nothing.
     """
     keep = [c for c in files.columns if c != content]
-    head = files.withColumn("_v", F.coalesce(F.get_json_object(content, "$.lockfileVersion").try_cast("int"), F.lit(1)))
-
-    listed = F.from_json(content, f"packages map<string, struct<{ENTRY_DDL}, dependencies map<string,string>>>")["packages"]
-    flat = head.where("_v >= 2").select(*keep, F.explode(listed).alias("_path", "e")).where("_path <> ''")
-    out = flat.select(
-        *keep, F.element_at(F.split("_path", "node_modules/"), -1).alias("package"), F.coalesce("e.version", F.lit("unknown")).alias("version"),
-        F.col("e.resolved").alias("resolved_url"), "e.integrity", "e.license",
-        F.coalesce("e.dev", F.lit(False)).alias("dev"), F.coalesce("e.optional", F.lit(False)).alias("optional"), F.col("e.dependencies").alias("requires"),
-    ).where("package <> ''")
-
-    level_ddl = f"map<string, struct<{ENTRY_DDL}, dependencies string>>"
-    frontier = head.where("_v < 2").select(*keep, F.from_json(content, "dependencies string")["dependencies"].alias("_json"))
-    first = True
-    while True:
-        opened = frontier.select(*keep, F.explode(F.from_json("_json", level_ddl)).alias("package", "e"))
-        if not first:
-            opened = cut_lineage(opened)
-            if opened.isEmpty():
-                return out
-        first = False
-        out = out.unionByName(
-            opened.select(
-                *keep, "package", F.coalesce("e.version", F.lit("unknown")).alias("version"), F.col("e.resolved").alias("resolved_url"), "e.integrity",
-                "e.license", F.coalesce("e.dev", F.lit(False)).alias("dev"), F.coalesce("e.optional", F.lit(False)).alias("optional"), "e.requires",
-            )
+    level = f"map<string,struct<{ENTRY_DDL},dependencies:string>>".replace(" string", ":string").replace(" boolean", ":boolean").replace(" map", ":map")
+    steps = f"int((length({content}) - length(replace({content}, '\"dependencies\"', ''))) / 14)"
+    nested = (
+        f"aggregate(sequence(1, greatest(1, {steps})), "
+        f"named_struct('done', cast(array() AS array<struct<key:string,value:struct<{level[level.index('struct<') + 7:-2]}>>>), 'front', array(_d.dependencies)), "
+        f"(acc, i) -> transform(array(flatten(transform(acc.front, j -> map_entries(from_json(j, '{level}'))))), "
+        f"o -> named_struct('done', concat(acc.done, o), 'front', filter(transform(o, e -> e.value.dependencies), d -> d IS NOT NULL)))[0], "
+        f"acc -> acc.done)"
+    )
+
+    def entry(package: str, requires: str) -> str:
+        return (
+            f"named_struct('package', {package}, 'version', coalesce(e.value.version, 'unknown'), 'resolved_url', e.value.resolved, "
+            f"'integrity', e.value.integrity, 'license', e.value.license, 'dev', coalesce(e.value.dev, false), "
+            f"'optional', coalesce(e.value.optional, false), 'requires', {requires})"
         )
-        frontier = opened.where("e.dependencies IS NOT NULL").select(*keep, F.col("e.dependencies").alias("_json"))
+
+    entries = (
+        f"if(coalesce(_d.lockfileVersion, 1) >= 2, "
+        f"transform(filter(map_entries(_d.packages), e -> e.key <> ''), e -> {entry("element_at(split(e.key, 'node_modules/'), -1)", 'e.value.dependencies')}), "
+        f"transform({nested}, e -> {entry('e.key', 'e.value.requires')}))"
+    )
+    ddl = f"lockfileVersion int, packages map<string, struct<{ENTRY_DDL}, dependencies map<string,string>>>, dependencies string"
+    parsed = files.withColumn("_d", F.from_json(content, ddl))
+    return parsed.select(*keep, F.explode(F.expr(entries)).alias("_e")).select(*keep, *[f"_e.{c}" for c in LOCK_COLUMNS])
 
 
 def parse_yarn_lock(files: DataFrame, content: str = "content") -> DataFrame:
