@@ -1,14 +1,14 @@
 """Dependency graphs.
 
-A tree is grown level by level: the frontier joins the edges on (project, parent), and each level is checkpointed in
-the shared folder, so a lost executor costs one level and the plan does not grow with the depth.
+A tree is grown level by level: the frontier joins the edges on (project, parent), and each level is written to the
+shared folder, so a lost executor costs one level and the plan does not grow with the depth.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayside.session import cut_lineage
@@ -26,9 +26,8 @@ def roots(edges: DataFrame) -> DataFrame:
 
 
 def _links(edges: DataFrame) -> DataFrame:
-    """Distinct edges, placed once by (project, parent) for the joins of all levels."""
-    links = edges.select("project_id", F.col("parent").alias("_from"), F.col("child").alias("_to")).distinct()
-    return cut_lineage(links.repartition("project_id", "_from").sortWithinPartitions("project_id", "_from"))
+    """Distinct edges, computed once for the joins of all levels."""
+    return cut_lineage(edges.select("project_id", F.col("parent").alias("_from"), F.col("child").alias("_to")).distinct(), "edges")
 
 
 def expand_tree(edges: DataFrame, start: DataFrame, max_depth: int = 10) -> DataFrame:
@@ -37,7 +36,7 @@ def expand_tree(edges: DataFrame, start: DataFrame, max_depth: int = 10) -> Data
     ``start`` has (project_id, node). ``max_depth`` bounds the tree, as the feature does.
     """
     links = _links(edges)
-    level = start.select("project_id", "node", F.lit(0).alias("depth"), F.array("node").alias("path"), F.lit(False).alias("cycle"))
+    level = cut_lineage(start).select("project_id", "node", F.lit(0).alias("depth"), F.array("node").alias("path"), F.lit(False).alias("cycle"))
     levels = [level]
     for depth in range(1, max_depth + 1):
         grown = level.where(~F.col("cycle")).withColumnRenamed("node", "_from").join(links, ["project_id", "_from"])
@@ -55,14 +54,15 @@ def expand_tree(edges: DataFrame, start: DataFrame, max_depth: int = 10) -> Data
 
 def mark_duplicates(tree: DataFrame) -> DataFrame:
     """A node is a duplicate when a shallower (then smaller) path already shows it."""
-    first = Window.partitionBy("project_id", "node").orderBy("depth", F.array_join("path", ">"))
-    return tree.withColumn("duplicate", F.row_number().over(first) > 1)
+    place = F.struct("depth", F.array_join("path", ">").alias("shown"))
+    first = tree.groupBy("project_id", "node").agg(F.min(place).alias("_first"))
+    return tree.join(first, ["project_id", "node"]).withColumn("duplicate", place != F.col("_first")).drop("_first")
 
 
 def reach(edges: DataFrame, start: DataFrame, max_depth: int = 10) -> DataFrame:
     """Reachable nodes with their shortest depth. Each node is kept once, so dense graphs do not explode."""
     links = _links(edges)
-    seen = start.select("project_id", "node", F.lit(0).alias("depth")).distinct()
+    seen = cut_lineage(start.select("project_id", "node", F.lit(0).alias("depth")).distinct())
     level = seen
     for depth in range(1, max_depth + 1):
         found = level.withColumnRenamed("node", "_from").join(links, ["project_id", "_from"]).select("project_id", F.col("_to").alias("node")).distinct()

@@ -39,19 +39,29 @@ def with_version(deps: DataFrame, spec: str = "spec") -> DataFrame:
     return with_version_key(deps.withColumn("version", clean_spec(F.col(spec))))
 
 
-def match_versions(deps: DataFrame, ranges: DataFrame, conservative: bool = False) -> DataFrame:
+def match_versions(deps: DataFrame, ranges: DataFrame, conservative: bool = False, salts: int = 1) -> DataFrame:
     """Dependencies inside an affected interval; ``conservative`` keeps unparseable versions as affected.
 
     ``deps`` has ``package`` and ``version_key``; ``ranges`` has ``package``, ``lo``, ``hi`` (disjoint per advisory).
+    ``salts`` deals the rows of each package to that many tasks, for a package that holds a large share of all rows
+    while the advisories are too many to broadcast; the ranges are repeated once per salt.
     """
+    if salts > 1:
+        dealt = deps.withColumn("_salt", F.pmod(F.xxhash64(*deps.columns), F.lit(salts).cast("bigint")))
+        repeated = ranges.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+        return _match(dealt, repeated, ["package", "_salt"], conservative).drop("_salt")
+    return _match(deps, ranges, ["package"], conservative)
+
+
+def _match(deps: DataFrame, ranges: DataFrame, on: list[str], conservative: bool) -> DataFrame:
     inside = (F.col("version_key") >= F.col("lo")) & (F.col("version_key") < F.col("hi"))
     if not conservative:
-        return deps.join(ranges, "package").where(inside).drop("lo", "hi").withColumn("confidence", F.lit("exact"))
+        return deps.join(ranges, on).where(inside).drop("lo", "hi").withColumn("confidence", F.lit("exact"))
     # an unparseable version matches an advisory once: through its lowest interval only
     first = ranges.withColumn("_first", F.lit(True)) if "_first" not in ranges.columns else ranges
     unparsed = ~is_parsed()
     return (
-        deps.join(first, "package")
+        deps.join(first, on)
         .where(inside | (unparsed & F.col("_first")))
         .withColumn("confidence", F.when(unparsed, "unparsed").otherwise("exact"))
         .drop("lo", "hi", "_first")
@@ -182,7 +192,7 @@ def catalogue_intervals(catalogue_df: DataFrame) -> DataFrame:
 
 def cve_hunt(deps: DataFrame, catalogue_df: DataFrame, cve_id: str) -> DataFrame:
     """Every project and package affected by one advisory."""
-    return match_versions(deps, F.broadcast(catalogue_intervals(catalogue_df.where(F.col("cve_id") == cve_id))))
+    return match_versions(deps, catalogue_intervals(catalogue_df.where(F.col("cve_id") == cve_id)))
 
 
 def catalogue_filter(

@@ -93,10 +93,7 @@ def watched(path: str = "path") -> Column:
 
 def skip_reason(path: str = "file_path", patched: str = "patched_version") -> Column:
     """P10: why a finding needs no action; null when it does."""
-    low = F.lower(F.col(path))
-    outside = F.lit(False)
-    for word in words.NON_PRODUCTION_WORDS:
-        outside = outside | low.contains(word)
+    outside = F.lower(F.col(path)).rlike("|".join(re.escape(w) for w in words.NON_PRODUCTION_WORDS))
     return F.when(outside, words.SKIP_NON_PRODUCTION).when(
         F.col(patched).isNull() | F.col(patched).isin("", "unknown"), words.SKIP_NO_PATCH
     )

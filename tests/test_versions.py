@@ -83,6 +83,17 @@ def test_overlapping_ranges_match_once(spark):
     assert matching.match_versions(deps, intervals(adv, ["cve_id", "package"])).count() == 2
 
 
+def test_salted_match_is_the_same(spark):
+    # one package holds most of the rows
+    deps = spark.range(400).select("id", F.when(F.col("id") % 10 < 8, "hot").otherwise("cold").alias("package"), F.concat(F.lit("1."), F.col("id") % 7, F.lit(".0")).alias("spec"))
+    adv = spark.createDataFrame([("A", "hot", ["<1.3.0"]), ("B", "hot", ["1.2.0-1.5.0"]), ("C", "cold", ["1.6.0"])], "cve_id string, package string, affected_versions array<string>")
+    ranges = intervals(adv, ["cve_id", "package"])
+    keyed = matching.with_version(deps)
+    plain = {tuple(r) for r in matching.match_versions(keyed, ranges).select("id", "cve_id").collect()}
+    salted = [tuple(r) for r in matching.match_versions(keyed, ranges, salts=8).select("id", "cve_id").collect()]
+    assert len(salted) == len(set(salted)) and set(salted) == plain and plain
+
+
 def test_catalogue(spark):
     known = cat.catalogue(spark)
     assert known.count() == 32
