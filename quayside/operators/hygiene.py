@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from quayside.catalogue import lists as words
 from quayside.functions.text import lookup
-from quayside.session import fixed_dim
+from quayside.session import fixed_dim, ship_package
 
 
 def flatten_sections(deps: DataFrame) -> DataFrame:
@@ -116,6 +116,7 @@ def _matching_blocks(names: pd.Series) -> pd.Series:
 
 def typosquat_exact_ratio(names: DataFrame) -> DataFrame:
     """J12 with the matching-blocks ratio; Python sees each distinct name once."""
+    ship_package(names.sparkSession)
     distinct = names.select(bare_name().alias("name")).distinct()
     return distinct.withColumn("_near", F.explode(_matching_blocks("name"))).select("name", "_near.popular", "_near.similarity")
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -72,6 +74,17 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, once per application, for the few operators that run Python in tasks."""
+    context = spark.sparkContext
+    if getattr(context, "_quayside_shipped", None) == context.applicationId:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="quayside-"), "quayside"), "zip", root, "quayside")
+    context.addPyFile(archive)
+    context._quayside_shipped = context.applicationId
+
+
 def fixed_table(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
     """A small table of fixed values, built inside the JVM (no Python worker, no file)."""
     literal = json.dumps(rows)

@@ -6,9 +6,11 @@ Streams append to tables in the shared folder, keyed by micro-batch, so a replay
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -80,6 +82,8 @@ class ChangeDetector(StatefulProcessor):
 def change_stream(rows: DataFrame, poll_seconds: int, ttl_ms: int | None = None) -> DataFrame:
     """Created, modified and deleted files. ``rows``: path, ts, event_id, hash (null: the file is gone)."""
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # the processor also starts in a worker of the driver, which does not see shipped packages
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     seconds = F.unix_micros(F.col("ts").cast("timestamp"))
     keyed = rows.select(
         "path", F.floor(seconds / (poll_seconds * 1_000_000)).cast("bigint").alias("tick"),
