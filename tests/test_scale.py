@@ -33,6 +33,48 @@ def test_row_wise_queries_do_not_shuffle(spark, tables, name):
     assert "Exchange" not in plan
 
 
+@pytest.mark.parametrize("name", ["w2_top_n", "w7_latest_and_history"])
+def test_top_k_limits_groups_before_the_shuffle(spark, tables, name):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, tables.folder)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+
+
+def test_growing_tables_carry_no_broadcast_hint(spark, tables):
+    from quayside.plans.matching import dep_matches
+
+    logical = dep_matches(tables)._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in logical
+
+
+def test_shared_folder_without_setting():
+    from quayside.session import shared_dir
+
+    class Context:
+        def __init__(self, master, setting=None):
+            self.master, self.setting, self.dir = master, setting, None
+
+        def getConf(self):  # noqa: N802
+            return {"spark.checkpoint.dir": self.setting} if self.setting else {}
+
+        def getCheckpointDir(self):  # noqa: N802
+            return self.dir
+
+        def setCheckpointDir(self, path):  # noqa: N802
+            self.dir = path
+
+    class Session:
+        def __init__(self, *args):
+            self.sparkContext = Context(*args)  # noqa: N815
+
+    assert shared_dir(Session("yarn", "hdfs:///shared")) == "hdfs:///shared"
+    local = Session("local[2]")
+    assert shared_dir(local) == shared_dir(local)
+    with pytest.raises(RuntimeError):
+        shared_dir(Session("yarn"))
+
+
 def test_scan_reads_two_columns(spark, tables):
     plan = hygiene.missing_integrity(tables.view("v_lock")).select("project_id")._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in plan and "l_shipdate" not in plan
