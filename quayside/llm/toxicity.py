@@ -209,15 +209,25 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40) -> np.ndarray:
-    """Newton's method on a few columns; the penalty keeps weights finite where classes part."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 60) -> np.ndarray:
+    """Newton's method with halved steps on a few columns; the penalty keeps weights finite where classes part."""
     x = np.column_stack([np.ones(len(x)), x])
+    shrink = np.array([1e-3] + [ridge] * (x.shape[1] - 1))
+
+    def loss(w):
+        z = x @ w
+        return np.logaddexp(0, z).sum() - y @ z + shrink @ (w * w) / 2
+
     w = np.zeros(x.shape[1])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-x @ w))
-        slope = x.T @ (y - p) - ridge * len(x) * np.r_[0, w[1:]] * 0.01
-        bend = (x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)) * ridge
-        w += np.linalg.solve(bend, slope)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        move = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(shrink), x.T @ (y - p) - shrink * w)
+        size = 1.0
+        while size > 1e-4 and loss(w + size * move) > loss(w):
+            size /= 2
+        w = w + size * move
+        if np.abs(size * move).max() < 1e-8:
+            break
     return w
 
 
@@ -233,33 +243,43 @@ def in_texts(texts: list, size: int = 4_000_000) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, most_terms: int = 1_000, least_docs: int = 4, least_odds: float = 2.5) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, most_terms: int = 1_000, least_docs: int = 4, least_odds: float = 4.0) -> Model | None:
     """Learn from at most ``per_class`` labelled rows of each kind (those of the smallest id hash); labels: doc_id, toxic."""
     spark = docs.sparkSession
     ship_package(spark)
     labelled = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
     chosen = labelled.where("toxic = 1").orderBy(order).limit(per_class).unionByName(labelled.where("toxic = 0").orderBy(order).limit(per_class))
-    sample = cut_lineage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxic-sample")  # at most 2 * per_class ids
+    sample = cut_lineage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", order.alias("h")), "toxic-sample")  # at most 2 * per_class ids
     sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return None
 
     def count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[tuple[str, bool], list[int]] = defaultdict(lambda: [0, 0])
+        seen: dict[tuple[str, bool], list] = defaultdict(lambda: [0, []])
         for batch in batches:
-            for text, toxic in zip(batch["text"], batch["toxic"]):
+            for text, toxic, h in zip(batch["text"], batch["toxic"], batch["h"]):
                 found = {w for w in words(text) if 3 <= len(w) <= 40}
                 terms = {(w, False) for w in found} | {(w[:k], True) for w in found for k in STEM if len(w) > k}
                 for term in terms:
-                    seen[term][toxic] += 1
-        yield pd.DataFrame([(t, s, c[0], c[1]) for (t, s), c in seen.items()], columns=["term", "stem", "clean", "toxic"])
+                    if toxic:
+                        seen[term][1].append(h)
+                    else:
+                        seen[term][0] += 1
+        yield pd.DataFrame([(t, s, c[0], c[1]) for (t, s), c in seen.items()], columns=["term", "stem", "clean", "docs"])
 
-    counts = sample.mapInPandas(count_terms, "term string, stem boolean, clean long, toxic long").groupBy("term", "stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = sample.mapInPandas(count_terms, "term string, stem boolean, clean long, docs array<long>").groupBy("term", "stem").agg(F.sum("clean").alias("clean"), F.flatten(F.collect_list("docs")).alias("docs")).withColumn("toxic", F.size("docs"))
     odds = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1)) - F.log((F.col("clean") + 0.5) / (sizes[0] + 1))
-    strong = counts.withColumn("odds", odds).where((F.col("toxic") >= least_docs) & (F.col("odds") >= least_odds))
+    least = max(least_docs, sizes[1] / 100)  # rarer terms are mostly chance, or copies of one document
+    strong = counts.withColumn("odds", odds).where((F.col("toxic") >= least) & (F.col("odds") >= least_odds))
     rows = strong.orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "term", "stem").limit(20 * most_terms).collect()
-    lexicon = choose_terms([(r.term, r.stem, r.toxic, r.odds) for r in rows])[:most_terms]
+    docs_of = {(r.term, r.stem): set(r.docs) for r in rows}
+    lexicon, covered = [], set()
+    for term, stem, value in choose_terms([(r.term, r.stem, r.toxic, r.odds) for r in rows]):
+        frequent = len(docs_of[term, stem]) >= max(least_docs, sizes[1] / 20)
+        if (frequent or len(docs_of[term, stem] - covered) >= least) and len(lexicon) < most_terms:  # other words of copies explain nothing new
+            lexicon.append((term, stem, value))
+            covered |= docs_of[term, stem]
     if not lexicon:
         return None
     terms = sorted(lexicon)
@@ -303,7 +323,11 @@ def choose_terms(rows: list[tuple[str, bool, int, float]]) -> list[tuple[str, bo
             if len(word) > k:
                 below[word[:k]].append(n)
     stems = {t: (n, o) for t, s, n, o in rows if s and len(below[t]) >= 4 and 2 * max(below[t]) < n}
-    chosen = {t: v for t, v in stems.items() if not any(t[:k] in stems for k in STEM if k < len(t))}
+    chosen = {}
+    for t in [t for t in stems if not any(t[:k] in stems for k in STEM if k < len(t))]:
+        same = [u for u, (n, _) in stems.items() if u.startswith(t) and 10 * n >= 9 * stems[t][0]]
+        longest = max(same, key=lambda u: (len(u), u))  # as long as it still covers the stem's documents
+        chosen[longest] = stems[longest]
     out = [(t, True, o, n) for t, (n, o) in chosen.items()]
     out += [(t, s, o, n) for t, s, n, o in rows if not s and not any(t[:k] in chosen for k in STEM)]
     return [(t, s, o) for t, s, o, n in sorted(out, key=lambda r: (-r[2] * r[3] ** 0.5, r[0]))]
