@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quayside.llm.common import ship_package, table, words_of
 from quayside.llm.registry import register
 
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 #: Letters whose lower case and normal form are one letter each, then ASCII signs that take part in no contraction.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
