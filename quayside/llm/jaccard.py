@@ -1 +1,269 @@
-"""Being built."""
+"""N-gram Jaccard join on count vectors in an R-tree (operator 7).
+
+A text's set is that of its five-word shingles. Equal sets are one class. The shingles of a class are hashed into groups;
+the group counts are a point, and the sum of the coordinate minima of two points bounds the overlap of their sets from
+above. Points are indexed in R-trees whose nodes keep the largest coordinates; node pairs below the needed overlap are cut,
+surviving pairs are verified on the whole sets. Finer points fold to coarser ones, so each text has as many groups as its
+size needs.
+
+A tree per bucket keeps the work local: classes meet where one of ``BANDS`` keys of three min-hashes agrees, which two sets
+at the threshold miss with a chance of (1 - 0.75^3)^36 < 3e-9; near pairs above it less. Before the trees, every class is
+verified against the smallest class of the bucket it shares most; what is linked that way is one component, and only buckets
+with several components reach the trees, in blocks of bounded size. So large groups of near copies never become all pairs.
+
+Null and empty texts have size 0 and stand alone. Shorter texts than five words are one shingle. Repeated rows are copies.
+Rows with a null id take part with their text and get the component of their text's links. Empty tables give no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quayside.llm.common import U64, cut_lineage, hash_pieces, mix64, shingle_hashes, ship_package, table, word_hashes
+from quayside.llm.registry import register
+
+BANDS, ROWS = 36, 3
+BLOCK = 2_000
+LEAF = 16
+_A = mix64(np.arange(1001, 1001 + BANDS * ROWS, dtype=np.uint64)) | U64(1)
+_B = mix64(np.arange(5001, 5001 + BANDS * ROWS, dtype=np.uint64))
+
+
+def needed(a, b, num: int = 3, den: int = 4):
+    """Least overlap of sets of sizes a and b with den * overlap >= num * union."""
+    return -(-num * (a + b) // (num + den))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for first in range(0, len(shingles), 4_096):
+        part = shingles[first : first + 4_096]
+        low = np.minimum(low, ((part[None, :] ^ _B[:, None]) * _A[:, None]).min(axis=1))
+    low = mix64(low).reshape(BANDS, ROWS)
+    return mix64(low[:, 0] * U64(3) + low[:, 1] * U64(5) + low[:, 2] * U64(7) + np.arange(BANDS, dtype=np.uint64))
+
+
+def count_vector(shingles: np.ndarray) -> np.ndarray:
+    """Counts of the shingles by the low bits of their hash; the more groups, the larger the set."""
+    groups = 1 << int(np.clip(len(shingles) // 4, 16, 1 << 16)).bit_length()
+    return np.bincount((shingles & U64(groups - 1)).astype(np.int64), minlength=groups).astype("<u4")
+
+
+def folded(points: list[np.ndarray], groups: int) -> np.ndarray:
+    return np.stack([p.reshape(-1, groups).sum(axis=0) for p in points])
+
+
+class CountTree:
+    """An R-tree over count vectors, packed from points in order of size: nodes keep the largest coordinates."""
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray):
+        self.order = np.lexsort((labels, sizes))
+        self.points, self.sizes, self.labels = points[self.order], sizes[self.order], labels[self.order]
+        starts = np.arange(0, len(sizes), LEAF)
+        tops, low, high = np.maximum.reduceat(self.points, starts), np.minimum.reduceat(self.sizes, starts), np.maximum.reduceat(self.sizes, starts)
+        first, last = np.minimum.reduceat(self.labels, starts), np.maximum.reduceat(self.labels, starts)
+        self.levels = [(tops, low, high, first, last)]
+        while len(self.levels[-1][0]) > 1:
+            starts = np.arange(0, len(self.levels[-1][0]), LEAF)
+            t, lo, hi, f, la = self.levels[-1]
+            self.levels.append((np.maximum.reduceat(t, starts), np.minimum.reduceat(lo, starts), np.maximum.reduceat(hi, starts), np.minimum.reduceat(f, starts), np.maximum.reduceat(la, starts)))
+
+
+def may_link(tops_a, low_a, high_a, tops_b, low_b, high_b):
+    """Which node pairs can hold a link: sizes near enough, and the summed minima reach the least overlap."""
+    sized = (4 * high_a >= 3 * low_b) & (4 * high_b >= 3 * low_a)
+    sized[sized] = np.minimum(tops_a[sized], tops_b[sized]).sum(axis=1) >= needed(low_a[sized], low_b[sized])
+    return sized
+
+
+def tree_join(a: CountTree, b: CountTree) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in the inputs of a and b of pairs with different labels that the bound cannot exclude."""
+    level_a, level_b = len(a.levels) - 1, len(b.levels) - 1
+    i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def children(nodes, total):
+        kids = nodes[:, None] * LEAF + np.arange(LEAF)
+        return kids, kids < total
+
+    def keep(i, j, la, lb):
+        ta, lo_a, hi_a, f_a, l_a = la
+        tb, lo_b, hi_b, f_b, l_b = lb
+        out = []
+        for first in range(0, len(i), 4_096):
+            x, y = i[first : first + 4_096], j[first : first + 4_096]
+            several = ~((f_a[x] == l_a[x]) & (f_b[y] == l_b[y]) & (f_a[x] == f_b[y]))
+            x, y = x[several], y[several]
+            ok = may_link(ta[x], lo_a[x], hi_a[x], tb[y], lo_b[y], hi_b[y])
+            out.append((x[ok], y[ok]))
+        return np.concatenate([o[0] for o in out] or [i]), np.concatenate([o[1] for o in out] or [j])
+
+    points_a = (a.points, a.sizes, a.sizes, a.labels, a.labels)
+    points_b = (b.points, b.sizes, b.sizes, b.labels, b.labels)
+    while level_a >= 0 or level_b >= 0:
+        if level_a >= level_b and level_a >= 0:
+            level_a -= 1
+            kids, real = children(i, len(a.levels[level_a][0]) if level_a >= 0 else len(a.sizes))
+            i, j = kids[real], np.repeat(j, LEAF).reshape(kids.shape)[real]
+        else:
+            level_b -= 1
+            kids, real = children(j, len(b.levels[level_b][0]) if level_b >= 0 else len(b.sizes))
+            i, j = np.repeat(i, LEAF).reshape(kids.shape)[real], kids[real]
+        i, j = keep(i, j, a.levels[level_a] if level_a >= 0 else points_a, b.levels[level_b] if level_b >= 0 else points_b)
+    return a.order[i], b.order[j]
+
+
+def bounded_pairs(keys, sizes, labels, points, side) -> set[tuple[int, int]]:
+    """Pairs (smaller key first) of different labels that the trees cannot exclude; side 1 and 2 rows only meet each other, 0 all."""
+    out: set[tuple[int, int]] = set()
+    groups = np.array([len(p) for p in points])
+    for g in np.unique(groups):
+        for h in (g, 2 * g):  # near sizes have as many groups, or twice as many
+            left, right = np.flatnonzero(groups == g), np.flatnonzero(groups == h)
+            for s, t in ((0, 0), (1, 2), (2, 1)):
+                x, y = left[side[left] == s], right[side[right] == t]
+                if len(x) and len(y):
+                    trees = [CountTree(folded([points[k] for k in z], int(g)), sizes[z], labels[z]) for z in (x, y)]
+                    i, j = tree_join(*trees)
+                    u, v = x[i], y[j]
+                    other = labels[u] != labels[v]
+                    out |= {(min(p, q), max(p, q)) for p, q in zip(keys[u[other]].tolist(), keys[v[other]].tolist())}
+    return out
+
+
+def each_text(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+    """Batches with the sorted distinct shingles of every text."""
+    for batch in batches:
+        for first, texts in hash_pieces(list(batch["text"])):
+            hashes, counts, _, _ = word_hashes(texts)
+            ends = np.cumsum(counts)
+            yield batch.iloc[first : first + len(texts)], [np.unique(shingle_hashes(hashes[e - n : e])) for e, n in zip(ends.tolist(), counts.tolist())]
+
+
+def class_key(shingles: np.ndarray) -> int:
+    """One number for a set; different sets collide with a chance of about 2^-64."""
+    total = mix64(shingles).sum() ^ mix64(np.array([len(shingles)], dtype=np.uint64))[0]
+    return int(mix64(np.array([total], dtype=np.uint64)).view(np.int64)[0])
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    ship_package(docs.sparkSession)
+
+    def sketch(batches):
+        for rows, sets in each_text(batches):
+            yield pd.DataFrame({
+                "doc_id": rows["doc_id"], "n": [len(s) for s in sets], "k": [class_key(s) for s in sets],
+                "bands": [band_keys(s).view(np.int64) if len(s) else None for s in sets], "v": [count_vector(s).astype("<u2").tobytes() if len(s) < 1 << 16 else count_vector(s).tobytes() for s in sets],
+            })
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(sketch, "doc_id long, n long, k long, bands array<long>, v binary")
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """k and the sorted set of the classes in ``wanted`` (doc_id of one member, k)."""
+
+    def build(batches):
+        for rows, sets in each_text(batches):
+            match = [class_key(s) == k for s, k in zip(sets, rows["k"])]
+            yield pd.DataFrame({"k": rows["k"][match], "s": [s.tobytes() for s, m in zip(sets, match) if m]})
+
+    near = docs.select(F.col("doc_id").cast("long"), "text").join(wanted.select(F.col("doc_id").alias("__d"), "k"), F.col("doc_id").eqNullSafe(F.col("__d")))
+    return near.select("text", "k").mapInPandas(build, "k long, s binary").groupBy("k").agg(F.first("s").alias("s"))
+
+
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold."""
+
+    def linked(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(left, right):
+            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            both = np.sort(np.concatenate((x, y)))
+            out.append(int((both[1:] == both[:-1]).sum()) >= needed(len(x), len(y)))
+        return pd.Series(out, dtype=bool)
+
+    left, right = (sets.select(F.col("k").alias(c), F.col("s").alias("s" + c)) for c in "ab")
+    return pairs.join(left, "a").join(right, "b").where(F.pandas_udf(linked, "boolean")("sa", "sb")).select("a", "b")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """k and its component's smallest k, for the ends of edges (a, b): smallest neighbours and pointer jumping, to a standstill."""
+    both = cut_lineage(edges.select(F.col("a").alias("k"), F.col("b").alias("o")).unionByName(edges.select(F.col("b").alias("k"), F.col("a").alias("o"))).distinct(), "edges")
+    labels = cut_lineage(both.groupBy("k").agg(F.least(F.first("k"), F.min("o")).alias("l")), "labels")
+    while True:
+        around = both.join(labels.select(F.col("k").alias("o"), F.col("l").alias("n")), "o").groupBy("k").agg(F.min("n").alias("n"))
+        nearer = cut_lineage(labels.join(around, "k").select("k", "l", F.least("l", "n").alias("m")), "labels")
+        jumped = nearer.join(nearer.select(F.col("k").alias("m"), F.col("m").alias("j")), "m").select("k", F.col("l").alias("was"), F.least("m", "j").alias("l"))
+        jumped = cut_lineage(jumped, "labels")
+        labels = jumped.select("k", "l")
+        if jumped.where("was <> l").isEmpty():
+            return labels
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, one row per row."""
+    known = cut_lineage(sketches(docs), "sketches")
+    classes = cut_lineage(known.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("v").alias("v")), "classes")
+    keys = classes.select("k", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("k").alias("head"), F.count("*").alias("size")).where("size > 1")
+    members = cut_lineage(keys.join(shared, "key"), "members")
+    sets = cut_lineage(sets_of(docs, classes.join(members.select("k").distinct(), "k").select("doc_id", "k")), "sets")
+
+    stars = members.where("k <> head").groupBy("k", "head").count().groupBy("k").agg(F.max_by("head", F.struct("count", -F.col("head"))).alias("head"))
+    labels = components(verify(stars.select(F.col("head").alias("a"), F.col("k").alias("b")), sets))
+
+    labelled = cut_lineage(members.join(labels, "k", "left").select("key", "k", "size", F.coalesce("l", "k").alias("l")), "labelled")
+    mixed = labelled.groupBy("key").agg(F.min("l").alias("x"), F.max("l").alias("y")).where("x <> y").select("key")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    placed = labelled.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("k", "key"), blocks).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), blocks - 1))
+    met = placed.withColumn("o", other).select("key", "k", "l", "block", F.least("block", "o").alias("p"), F.greatest("block", "o").alias("q"))
+    points = met.join(classes.select("k", "n", "v"), "k")
+
+    def join_block(group: pd.DataFrame) -> pd.DataFrame:
+        sizes = group["n"].to_numpy(np.int64)
+        vectors = [np.frombuffer(v, "<u2" if n < 1 << 16 else "<u4").astype(np.int32) for v, n in zip(group["v"], sizes)]
+        same = (group["p"] == group["q"]).to_numpy()
+        side = np.where(same, 0, np.where(group["block"] == group["p"], 1, 2))
+        found = bounded_pairs(group["k"].to_numpy(np.int64), sizes, group["l"].to_numpy(np.int64), vectors, side)
+        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+
+    pairs = cut_lineage(points.groupBy("key", "p", "q").applyInPandas(join_block, "a long, b long").distinct(), "pairs")
+    links = verify(pairs, sets)
+    ends = labels.select(F.col("k").alias("a"), F.col("l").alias("la")), labels.select(F.col("k").alias("b"), F.col("l").alias("lb"))
+    between = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    wider = components(between)
+
+    first = classes.select("k", "doc_id").join(labels, "k", "left").select("k", "doc_id", F.coalesce("l", "k").alias("l"))
+    first = first.join(wider.select(F.col("k").alias("l"), F.col("l").alias("w")), "l", "left").select("k", "doc_id", F.coalesce("w", "l").alias("w"))
+    smallest = first.groupBy("w").agg(F.min("doc_id").alias("component_id"))
+    of_class = first.join(smallest, "w").select("k", "component_id")
+    joined = known.select("doc_id", "n", "k").join(of_class, "k", "left")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_per_group(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the row with the smallest id stays, of repeated rows one."""
+    found = jaccard_components(docs).where("n_shingles = 0 OR doc_id <=> component_id").select(F.col("doc_id").alias("__d")).distinct()
+    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__d"))).select(*[docs[c] for c in docs.columns]).dropDuplicates(["doc_id"])
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+g AS (SELECT DISTINCT doc_id, hash(array_to_string(words[i:i + 4], ' ')) AS gram FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, CASE WHEN len(words) > 0 THEN 2 ELSE 1 END))) AS i FROM w)),
+n AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM g GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+r AS (WITH RECURSIVE r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x) SELECT x, min(y) AS y FROM r GROUP BY x)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(r.y, w.doc_id)) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN r ON r.x = w.doc_id
+"""
+
+
+@register("op7_jaccard_components", ORACLE)
+def op7_jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_components(table(spark, folder, "documents").select("doc_id", "text"))
