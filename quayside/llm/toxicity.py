@@ -333,11 +333,11 @@ def choose_terms(rows: list[tuple[str, bool, int, float]]) -> list[tuple[str, bo
     return [(t, s, o) for t, s, o, n in sorted(out, key=lambda r: (-r[2] * r[3] ** 0.5, r[0]))]
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All rows with ``toxicity``; a column of that name is replaced."""
-    carried = [c for c in docs.columns if c != "toxicity"]
+def score(docs: DataFrame, model: Model | None, column: str = "toxicity") -> DataFrame:
+    """All rows with their score in ``column``; a column of that name is replaced."""
+    carried = [c for c in docs.columns if c != column]
     if model is None:
-        return docs.select(*[f"`{c}`" for c in carried], F.lit(0.0).alias("toxicity"))
+        return docs.select(*[f"`{c}`" for c in carried], F.lit(0.0).alias(column))
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most most_terms terms
 
@@ -347,7 +347,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pd.Series(np.concatenate([shared.value.scores(texts[a:b]) for a, b in in_texts(texts)]) if texts else np.empty(0))
 
     scored = F.pandas_udf(run, "double")  # an iterator of batches
-    return docs.select(*[f"`{c}`" for c in carried], scored("text").alias("toxicity"))
+    return docs.select(*[f"`{c}`" for c in carried], scored("text").alias(column))
 
 
 @register("op1_toxicity")
