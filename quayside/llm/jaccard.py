@@ -7,9 +7,10 @@ surviving pairs are verified on the whole sets. Finer points fold to coarser one
 size needs.
 
 A tree per bucket keeps the work local: classes meet where one of ``BANDS`` keys of three min-hashes agrees, which two sets
-at the threshold miss with a chance of (1 - 0.75^3)^36 < 3e-9; near pairs above it less. Before the trees, every class is
-verified against the smallest class of the bucket it shares most; what is linked that way is one component, and only buckets
-with several components reach the trees, in blocks of bounded size. So large groups of near copies never become all pairs.
+at the threshold miss with a chance of (1 - 0.75^3)^36 < 3e-9; near pairs above it less. Before the trees, two
+rounds verify one class of every component against the fullest class of the bucket it shares most; what is linked that way
+is one component, and only buckets with several components reach the trees, in blocks of bounded size, where pairs within a
+component are cut as well. So large groups of near copies do not become all pairs.
 
 Null and empty texts have size 0 and stand alone. Shorter texts than five words are one shingle. Repeated rows are copies.
 Rows with a null id take part with their text and get the component of their text's links. Empty tables give no rows.
@@ -28,7 +29,9 @@ from quayside.llm.common import U64, cut_lineage, hash_pieces, mix64, shingle_ha
 from quayside.llm.registry import register
 
 BANDS, ROWS = 36, 3
+STAR_ROUNDS = 2
 BLOCK = 2_000
+TASK_ROWS = 10_000
 LEAF = 16
 _A = mix64(np.arange(1001, 1001 + BANDS * ROWS, dtype=np.uint64)) | U64(1)
 _B = mix64(np.arange(5001, 5001 + BANDS * ROWS, dtype=np.uint64))
@@ -48,14 +51,26 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return mix64(low[:, 0] * U64(3) + low[:, 1] * U64(5) + low[:, 2] * U64(7) + np.arange(BANDS, dtype=np.uint64))
 
 
-def count_vector(shingles: np.ndarray) -> np.ndarray:
-    """Counts of the shingles by the low bits of their hash; the more groups, the larger the set."""
-    groups = 1 << int(np.clip(len(shingles) // 4, 16, 1 << 16)).bit_length()
-    return np.bincount((shingles & U64(groups - 1)).astype(np.int64), minlength=groups).astype("<u4")
+def groups_of(n: int) -> int:
+    """About one to two groups per shingle, a power of two; sets of near sizes have as many, or twice as many."""
+    return 1 << min(max(n, 16), 1 << 20).bit_length()
+
+
+def count_vector(shingles: np.ndarray) -> bytes:
+    """Counts of the shingles by the low bits of their hash, in one byte each if they fit, else in four."""
+    groups = groups_of(len(shingles))
+    counts = np.bincount((shingles & U64(groups - 1)).astype(np.int64), minlength=groups)
+    return counts.astype("u1" if counts.max() < 1 << 7 else "<u4").tobytes()
+
+
+def read_vector(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, "u1" if len(raw) == groups_of(n) else "<u4")
 
 
 def folded(points: list[np.ndarray], groups: int) -> np.ndarray:
-    return np.stack([p.reshape(-1, groups).sum(axis=0) for p in points])
+    """Points with as many groups, coarser ones as sums; bytes stay bytes."""
+    out = np.stack([p if len(p) == groups else p.reshape(-1, groups).sum(axis=0, dtype=np.uint32) for p in points])
+    return out.astype(np.uint8) if out.dtype != np.uint8 and out.max() < 1 << 8 else out
 
 
 class CountTree:
@@ -64,6 +79,8 @@ class CountTree:
     def __init__(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray):
         self.order = np.lexsort((labels, sizes))
         self.points, self.sizes, self.labels = points[self.order], sizes[self.order], labels[self.order]
+        width = points.shape[1]
+        self.coarse = self.points.reshape(len(sizes), max(16, width // 8), -1).sum(axis=2, dtype=np.uint16 if self.points.dtype == np.uint8 else np.uint32)
         starts = np.arange(0, len(sizes), LEAF)
         tops, low, high = np.maximum.reduceat(self.points, starts), np.minimum.reduceat(self.sizes, starts), np.maximum.reduceat(self.sizes, starts)
         first, last = np.minimum.reduceat(self.labels, starts), np.maximum.reduceat(self.labels, starts)
@@ -77,7 +94,7 @@ class CountTree:
 def may_link(tops_a, low_a, high_a, tops_b, low_b, high_b):
     """Which node pairs can hold a link: sizes near enough, and the summed minima reach the least overlap."""
     sized = (4 * high_a >= 3 * low_b) & (4 * high_b >= 3 * low_a)
-    sized[sized] = np.minimum(tops_a[sized], tops_b[sized]).sum(axis=1) >= needed(low_a[sized], low_b[sized])
+    sized[sized] = np.minimum(tops_a[sized], tops_b[sized]).sum(axis=1, dtype=np.int64) >= needed(low_a[sized], low_b[sized])
     return sized
 
 
@@ -104,6 +121,8 @@ def tree_join(a: CountTree, b: CountTree) -> tuple[np.ndarray, np.ndarray]:
 
     points_a = (a.points, a.sizes, a.sizes, a.labels, a.labels)
     points_b = (b.points, b.sizes, b.sizes, b.labels, b.labels)
+    coarse_a = (a.coarse, *points_a[1:])
+    coarse_b = (b.coarse, *points_b[1:])
     while level_a >= 0 or level_b >= 0:
         if level_a >= level_b and level_a >= 0:
             level_a -= 1
@@ -113,6 +132,8 @@ def tree_join(a: CountTree, b: CountTree) -> tuple[np.ndarray, np.ndarray]:
             level_b -= 1
             kids, real = children(j, len(b.levels[level_b][0]) if level_b >= 0 else len(b.sizes))
             i, j = np.repeat(i, LEAF).reshape(kids.shape)[real], kids[real]
+        if level_a < 0 and level_b < 0:  # sums of neighbouring groups bound the overlap too, at an eighth of the work
+            i, j = keep(i, j, coarse_a, coarse_b)
         i, j = keep(i, j, a.levels[level_a] if level_a >= 0 else points_a, b.levels[level_b] if level_b >= 0 else points_b)
     return a.order[i], b.order[j]
 
@@ -128,7 +149,7 @@ def bounded_pairs(keys, sizes, labels, points, side) -> set[tuple[int, int]]:
                 x, y = left[side[left] == s], right[side[right] == t]
                 if len(x) and len(y):
                     trees = [CountTree(folded([points[k] for k in z], int(g)), sizes[z], labels[z]) for z in (x, y)]
-                    i, j = tree_join(*trees)
+                    i, j = tree_join(*trees)  # a tree with itself gives both orders of a pair
                     u, v = x[i], y[j]
                     other = labels[u] != labels[v]
                     out |= {(min(p, q), max(p, q)) for p, q in zip(keys[u[other]].tolist(), keys[v[other]].tolist())}
@@ -157,7 +178,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         for rows, sets in each_text(batches):
             yield pd.DataFrame({
                 "doc_id": rows["doc_id"], "n": [len(s) for s in sets], "k": [class_key(s) for s in sets],
-                "bands": [band_keys(s).view(np.int64) if len(s) else None for s in sets], "v": [count_vector(s).astype("<u2").tobytes() if len(s) < 1 << 16 else count_vector(s).tobytes() for s in sets],
+                "bands": [band_keys(s).view(np.int64) if len(s) else None for s in sets], "v": [count_vector(s) for s in sets],
             })
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(sketch, "doc_id long, n long, k long, bands array<long>, v binary")
@@ -204,42 +225,61 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Join the components that links (a, b) connect: new labels l of k."""
+    ends = [labels.select(F.col("k").alias(c), F.col("l").alias("l" + c)) for c in "ab"]
+    wider = components(links.join(ends[0], "a").join(ends[1], "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    joined = labels.join(wider.select(F.col("k").alias("l"), F.col("l").alias("w")), "l", "left")
+    return cut_lineage(joined.select("k", F.coalesce("w", "l").alias("l")), "labels")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, one row per row."""
     known = cut_lineage(sketches(docs), "sketches")
     classes = cut_lineage(known.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("v").alias("v")), "classes")
     keys = classes.select("k", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("k").alias("head"), F.count("*").alias("size")).where("size > 1")
+    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = cut_lineage(keys.join(shared, "key"), "members")
-    sets = cut_lineage(sets_of(docs, classes.join(members.select("k").distinct(), "k").select("doc_id", "k")), "sets")
-
-    stars = members.where("k <> head").groupBy("k", "head").count().groupBy("k").agg(F.max_by("head", F.struct("count", -F.col("head"))).alias("head"))
-    labels = components(verify(stars.select(F.col("head").alias("a"), F.col("k").alias("b")), sets))
-
-    labelled = cut_lineage(members.join(labels, "k", "left").select("key", "k", "size", F.coalesce("l", "k").alias("l")), "labelled")
+    # The class with the fullest buckets is likeliest what the others are copies of.
+    fullness = cut_lineage(members.groupBy("k").agg(F.sum("size").alias("full")), "fullness")
+    members = cut_lineage(members.join(fullness, "k"), "members")
+    sets = cut_lineage(sets_of(docs, classes.join(fullness, "k").select("doc_id", "k")), "sets")
+
+    labels = fullness.select("k", F.col("k").alias("l"))
+    for _ in range(STAR_ROUNDS):
+        tagged = members.join(labels, "k").groupBy("key", "l").agg(F.max(F.struct("full", "k")).alias("best"))
+        head = tagged.groupBy("key").agg(F.max(F.struct("best", "l")).alias("head"), F.count("*").alias("labels")).where("labels > 1")
+        stars = tagged.join(head, "key").where("l <> head.l").groupBy("l", F.col("head.l").alias("hl")).agg(F.count("*").alias("times"), F.max(F.struct(F.col("best.k").alias("k"), F.col("head.best.k").alias("h"))).alias("pair"))
+        stars = stars.groupBy("l").agg(F.max_by("pair", F.struct("times", "pair")).alias("pair"))
+        links = verify(stars.select(F.col("pair.h").alias("a"), F.col("pair.k").alias("b")), sets)
+        labels = relabel(labels, links)
+
+    labelled = cut_lineage(members.join(labels, "k").select("key", "k", "size", "l"), "labelled")
     mixed = labelled.groupBy("key").agg(F.min("l").alias("x"), F.max("l").alias("y")).where("x <> y").select("key")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     placed = labelled.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("k", "key"), blocks).cast("int"))
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
     met = placed.withColumn("o", other).select("key", "k", "l", "block", F.least("block", "o").alias("p"), F.greatest("block", "o").alias("q"))
-    points = met.join(classes.select("k", "n", "v"), "k")
-
-    def join_block(group: pd.DataFrame) -> pd.DataFrame:
-        sizes = group["n"].to_numpy(np.int64)
-        vectors = [np.frombuffer(v, "<u2" if n < 1 << 16 else "<u4").astype(np.int32) for v, n in zip(group["v"], sizes)]
-        same = (group["p"] == group["q"]).to_numpy()
-        side = np.where(same, 0, np.where(group["block"] == group["p"], 1, 2))
-        found = bounded_pairs(group["k"].to_numpy(np.int64), sizes, group["l"].to_numpy(np.int64), vectors, side)
+    points = cut_lineage(met.join(classes.select("k", "n", "v"), "k"), "points")
+    groups = max(64, points.count() // TASK_ROWS)  # a task takes many small blocks, or a few of the largest
+
+    def join_blocks(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["key", "p", "q"])
+        block = group[["key", "p", "q"]].to_numpy()
+        cuts = np.flatnonzero((block[1:] != block[:-1]).any(axis=1)) + 1
+        k, l, n = (group[c].to_numpy(np.int64) for c in ("k", "l", "n"))
+        side = np.where(block[:, 1] == block[:, 2], 0, np.where(group["block"].to_numpy() == block[:, 1], 1, 2))
+        vectors = [read_vector(v, size) for v, size in zip(group["v"], n.tolist())]
+        found: set[tuple[int, int]] = set()
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(k)]):
+            found |= bounded_pairs(k[a:b], n[a:b], l[a:b], vectors[a:b], side[a:b])
         return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
-    pairs = cut_lineage(points.groupBy("key", "p", "q").applyInPandas(join_block, "a long, b long").distinct(), "pairs")
-    links = verify(pairs, sets)
-    ends = labels.select(F.col("k").alias("a"), F.col("l").alias("la")), labels.select(F.col("k").alias("b"), F.col("l").alias("lb"))
-    between = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    wider = components(between)
+    dealt = points.withColumn("task", F.pmod(F.xxhash64("key", "p", "q"), F.lit(groups)))
+    pairs = cut_lineage(dealt.groupBy("task").applyInPandas(join_blocks, "a long, b long").distinct(), "pairs")
+    labels = relabel(labels, verify(pairs, sets))
 
-    first = classes.select("k", "doc_id").join(labels, "k", "left").select("k", "doc_id", F.coalesce("l", "k").alias("l"))
-    first = first.join(wider.select(F.col("k").alias("l"), F.col("l").alias("w")), "l", "left").select("k", "doc_id", F.coalesce("w", "l").alias("w"))
+    first = classes.select("k", "doc_id").join(labels, "k", "left").select("k", "doc_id", F.coalesce("l", "k").alias("w"))
     smallest = first.groupBy("w").agg(F.min("doc_id").alias("component_id"))
     of_class = first.join(smallest, "w").select("k", "component_id")
     joined = known.select("doc_id", "n", "k").join(of_class, "k", "left")
