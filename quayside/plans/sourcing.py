@@ -12,7 +12,7 @@ FILE_PATHS = "SELECT file_id, folder || name AS rel_path, name, content FROM v_p
 
 
 @register("s1_manifest_scan", """SELECT file_id, folder || name AS rel_path FROM v_project_files WHERE name = 'package.json'
-  AND len(string_split(folder || name, '/')) - 1 <= 10 AND NOT regexp_matches(folder, '(^|/)(node_modules|dist|build|coverage|[.][^/]+)/')""")
+  AND NOT regexp_matches(folder, '(^|/)(node_modules|dist|build|coverage|[.][^/]+)/')""")
 def manifest_scan(t: Tables):
     return files.manifest_scan(t.sql(FILE_PATHS)).select("file_id", "rel_path")
 

@@ -70,10 +70,11 @@ def _outside(path: Column, excluded: list[str]) -> Column:
     return ~F.coalesce(blocked, F.lit(False))
 
 
-def manifest_scan(files: DataFrame, path: str = "rel_path", max_depth: int = 10) -> DataFrame:
-    """Every manifest at most ``max_depth`` folders deep, outside excluded and hidden folders."""
+def manifest_scan(files: DataFrame, path: str = "rel_path", max_depth: int | None = None) -> DataFrame:
+    """Every manifest outside excluded and hidden folders, if asked only those at most ``max_depth`` folders deep."""
     p = F.col(path)
-    return files.where((F.element_at(F.split(p, "/"), -1) == "package.json") & (F.size(F.split(p, "/")) - 1 <= max_depth) & _outside(p, words.EXCLUDED_DIRS))
+    found = files.where((F.element_at(F.split(p, "/"), -1) == "package.json") & _outside(p, words.EXCLUDED_DIRS))
+    return found if max_depth is None else found.where(F.size(F.split(p, "/")) - 1 <= max_depth)
 
 
 def lockfile_type(name: str = "name", content: str = "content") -> Column:

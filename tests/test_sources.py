@@ -71,3 +71,9 @@ def test_audits(spark):
 def test_base64_contents(spark):
     rows = docs(spark, '{"name": "a", "dependencies": {"x": "1"}}').withColumn("content", F.regexp_replace(F.base64(F.encode("content", "UTF-8")), "(.{8})", "$1\n"))
     assert manifests.parse_manifests(manifests.decode_contents(rows)).first().name == "a"
+
+
+def test_manifest_scan_has_no_depth_limit(spark):
+    deep = "/".join(f"d{i}" for i in range(15)) + "/package.json"
+    tree = spark.createDataFrame([(deep,)], "rel_path string")
+    assert files.manifest_scan(tree).count() == 1 and files.manifest_scan(tree, max_depth=10).count() == 0
