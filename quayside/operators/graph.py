@@ -7,6 +7,7 @@ shared folder, so a lost executor costs one level and the plan does not grow wit
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,15 +31,15 @@ def _links(edges: DataFrame) -> DataFrame:
     return cut_lineage(edges.select("project_id", F.col("parent").alias("_from"), F.col("child").alias("_to")).distinct(), "edges")
 
 
-def expand_tree(edges: DataFrame, start: DataFrame, max_depth: int = 10) -> DataFrame:
+def expand_tree(edges: DataFrame, start: DataFrame) -> DataFrame:
     """Every node below the roots with its depth and path; a node already on its path closes a cycle.
 
-    ``start`` has (project_id, node). ``max_depth`` bounds the tree, as the feature does.
+    ``start`` has (project_id, node). The tree is whole: a path ends at a leaf or where it closes a cycle.
     """
     links = _links(edges)
     level = cut_lineage(start).select("project_id", "node", F.lit(0).alias("depth"), F.array("node").alias("path"), F.lit(False).alias("cycle"))
     levels = [level]
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         grown = level.where(~F.col("cycle")).withColumnRenamed("node", "_from").join(links, ["project_id", "_from"])
         level = cut_lineage(
             grown.select(
@@ -52,6 +53,13 @@ def expand_tree(edges: DataFrame, start: DataFrame, max_depth: int = 10) -> Data
     return reduce(DataFrame.unionByName, levels)
 
 
+def shown(tree: DataFrame, max_depth: int | None = None, name: str | None = None) -> DataFrame:
+    """The part of a tree that a display asks for: down to a depth, names that contain a text."""
+    if max_depth is not None:
+        tree = tree.where(F.col("depth") <= max_depth)
+    return tree if name is None else tree.where(F.lower("node").contains(name.lower()))
+
+
 def mark_duplicates(tree: DataFrame) -> DataFrame:
     """A node is a duplicate when a shallower (then smaller) path already shows it."""
     place = F.struct("depth", F.array_join("path", ">").alias("shown"))
@@ -59,12 +67,12 @@ def mark_duplicates(tree: DataFrame) -> DataFrame:
     return tree.join(first, ["project_id", "node"]).withColumn("duplicate", place != F.col("_first")).drop("_first")
 
 
-def reach(edges: DataFrame, start: DataFrame, max_depth: int = 10) -> DataFrame:
-    """Reachable nodes with their shortest depth. Each node is kept once, so dense graphs do not explode."""
+def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """All reachable nodes with their shortest depth. Each node is kept once, so dense graphs do not explode."""
     links = _links(edges)
     seen = cut_lineage(start.select("project_id", "node", F.lit(0).alias("depth")).distinct())
     level = seen
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         found = level.withColumnRenamed("node", "_from").join(links, ["project_id", "_from"]).select("project_id", F.col("_to").alias("node")).distinct()
         level = cut_lineage(found.join(seen, ["project_id", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if level.isEmpty():

@@ -15,7 +15,7 @@ from quayside.sources import sinks
 
 TREE = """WITH RECURSIVE r AS (SELECT DISTINCT project_id, parent AS node FROM v_edges e WHERE NOT EXISTS (SELECT 1 FROM v_edges x WHERE x.project_id = e.project_id AND x.child = e.parent)),
   t(project_id, node, depth, path, cycle) AS (SELECT project_id, node, 0, [node], FALSE FROM r
-    UNION ALL SELECT t.project_id, e.child, t.depth + 1, list_append(t.path, e.child), list_contains(t.path, e.child) FROM t JOIN v_edges e ON e.project_id = t.project_id AND e.parent = t.node WHERE t.depth < 10 AND NOT t.cycle)
+    UNION ALL SELECT t.project_id, e.child, t.depth + 1, list_append(t.path, e.child), list_contains(t.path, e.child) FROM t JOIN v_edges e ON e.project_id = t.project_id AND e.parent = t.node WHERE NOT t.cycle)
   """
 
 

@@ -82,18 +82,21 @@ def npm_lock_parse(t: Tables):
 
 YARN = """SELECT l_orderkey AS project_id, l_linenumber AS line_no, concat('# yarn lockfile v1', chr(10), chr(10), '"@org/p', CAST(l_partkey AS STRING), '@^1.0.0", "@org/p', CAST(l_partkey AS STRING), '@~1.2.0":', chr(10), '  version "1.2.',
     CAST(l_linenumber AS STRING), '"', chr(10), '  resolved "https://registry.yarnpkg.com/p#1"', chr(10), '  integrity sha512-xyz', chr(10), '  dependencies:', chr(10), '    dep-', CAST(l_suppkey AS STRING), ' "^2.0.0"', chr(10), chr(10),
-    'dep-', CAST(l_suppkey AS STRING), '@^2.0.0:', chr(10), '  version "2.0.0"') AS content FROM lineitem"""
+    'dep-', CAST(l_suppkey AS STRING), '@^2.0.0:', chr(10), '  version "2.0.0"', chr(10), '  dependencies:', chr(10), '    twice "^1.0.0"', chr(10), '  optionalDependencies:', chr(10), '    twice "^2.0.0"', chr(10), '  peerDependencies:', chr(10),
+    '    peer "^3.0.0"', chr(10), chr(10), '"berry-', CAST(l_linenumber AS STRING), '@npm:^4.0.0":', chr(10), '  version: 4.1.0', chr(10), '  resolution: "berry@npm:4.1.0"', chr(10), '  dependencies:', chr(10), '    dep-', CAST(l_suppkey AS STRING), ': "npm:^2.0.0"', chr(10),
+    '  bin:', chr(10), '    tool: bin/tool.js', chr(10), '  checksum: 10c0/abc', chr(10), '  languageName: node') AS content FROM lineitem"""
 
 
 @register("s6_yarn_lock_parse", """SELECT l_orderkey AS project_id, l_linenumber AS line_no, '@org/p' || l_partkey AS package, '1.2.' || l_linenumber AS version, 'https://registry.yarnpkg.com/p#1' AS resolved_url, 'sha512-xyz' AS integrity,
     '{"dep-' || l_suppkey || '":"^2.0.0"}' AS requires FROM lineitem
-  UNION ALL SELECT l_orderkey, l_linenumber, 'dep-' || l_suppkey, '2.0.0', NULL, NULL, '{}' FROM lineitem""")
+  UNION ALL SELECT l_orderkey, l_linenumber, 'dep-' || l_suppkey, '2.0.0', NULL, NULL, '{"twice":"^2.0.0"}' FROM lineitem
+  UNION ALL SELECT l_orderkey, l_linenumber, 'berry-' || l_linenumber, '4.1.0', NULL, '10c0/abc', '{"dep-' || l_suppkey || '":"npm:^2.0.0"}' FROM lineitem""")
 def yarn_lock_parse(t: Tables):
     return manifests.parse_yarn_lock(t.sql(YARN)).withColumn("requires", F.to_json("requires"))
 
 
 PNPM = """SELECT l_orderkey AS project_id, l_linenumber AS line_no, concat('lockfileVersion: 6.0', chr(10), 'packages:', chr(10), chr(10), '  /@org/p', CAST(l_partkey AS STRING), '@1.0.', CAST(l_linenumber AS STRING), '(react@18.0.0):', chr(10),
-    '    resolution: {integrity: sha512-abc}', chr(10), '    dev: false', chr(10), chr(10), '  /old-', CAST(l_suppkey AS STRING), '/3.1.0:', chr(10), '    resolution: {integrity: sha512-def}', chr(10)) AS content FROM lineitem"""
+    '    resolution: {integrity: sha512-abc}', chr(10), '    dev: false', chr(10), chr(10), '  /old-', CAST(l_suppkey AS STRING), '/3.1.0:', chr(10), '    resolution: {integrity: sha512-def}', chr(10), chr(10), 'snapshots:', chr(10), chr(10), '  late@1.0.0:', chr(10), '    dev: true', chr(10)) AS content FROM lineitem"""
 
 
 @register("s7_pnpm_lock_parse", """SELECT l_orderkey AS project_id, l_linenumber AS line_no, '@org/p' || l_partkey AS package, '1.0.' || l_linenumber AS version, 'sha512-abc' AS integrity FROM lineitem

@@ -145,7 +145,10 @@ FROM lineitem""",
 SELECT DISTINCT l_orderkey AS project_id, concat('lib-', CAST(l_linenumber AS STRING)) AS parent,
   concat('lib-', CAST(CASE WHEN l_returnflag = 'R' AND l_linenumber >= 4 THEN l_linenumber - 3
                            ELSE l_linenumber + 1 + l_suppkey % 2 END AS STRING)) AS child
-FROM lineitem""",
+FROM lineitem
+UNION  -- long chains in some projects
+SELECT l_orderkey, concat('lib-', CAST(l_linenumber + 8 AS STRING)), concat('lib-', CAST(l_linenumber + 9 AS STRING))
+FROM lineitem WHERE l_orderkey % 7 = 0""",
     "v_files": f"""
 SELECT doc_id AS file_id, source AS project_id,
   concat(CASE doc_id % 8 WHEN 0 THEN '/app/src/' WHEN 1 THEN '/app/node_modules/' WHEN 2 THEN '/srv/research/'

@@ -88,7 +88,11 @@ def parse_npm_lock(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def parse_yarn_lock(files: DataFrame, content: str = "content") -> DataFrame:
-    """Blocks of a yarn lockfile. A block starts at a line without indent; its fields follow, indented."""
+    """Blocks of a yarn lockfile, classic or berry. A block starts at a line without indent; its fields follow, indented.
+
+    ``requires`` holds the entries of ``dependencies`` and ``optionalDependencies``; of a name named twice the later entry wins.
+    Berry writes ``name: range`` and a checksum where classic writes ``name "range"`` and an integrity.
+    """
     keep = [c for c in files.columns if c != content]
     block = files.select(*keep, F.explode(F.split(content, r"\n(?=[^\s])")).alias("_b"))
     header = r'^"?((?:@[^@/\s"]+/)?[^@\s"]+)@'
@@ -97,20 +101,23 @@ def parse_yarn_lock(files: DataFrame, content: str = "content") -> DataFrame:
         F.regexp_extract("_b", header, 1).alias("package"),
         F.regexp_extract("_b", r'\n\s+version:? "?([^"\s]+)"?', 1).alias("version"),
         F.nullif(F.regexp_extract("_b", r'\n\s+resolved "?([^"\s]+)"?', 1), F.lit("")).alias("resolved_url"),
-        F.nullif(F.regexp_extract("_b", r"\n\s+integrity (\S+)", 1), F.lit("")).alias("integrity"),
-        F.split(F.regexp_extract("_b", r"(?s)\n  dependencies:\n(.*)$", 1), "\n").alias("_deps"),
-    )
-    dep = r'^    "?([^"\s]+)"? "?([^"]+?)"?$'
-    pairs = F.transform(
-        F.filter("_deps", lambda d: d.rlike(dep)), lambda d: F.struct(F.regexp_extract(d, dep, 1).alias("k"), F.regexp_extract(d, dep, 2).alias("v"))
+        F.nullif(F.regexp_extract("_b", r"\n  (?:integrity|checksum:) (\S+)", 1), F.lit("")).alias("integrity"),
+        F.split("_b", r"\n(?=  [^\s])").alias("_sections"),
     )
-    return fields.where("package <> '' AND version <> ''").withColumn("requires", F.map_from_entries(pairs)).drop("_deps")
+    dep = r'^    "?([^"\s]+?)"?:? "?([^"]+?)"?$'
+    named = F.filter("_sections", lambda s: s.startswith("  dependencies:") | s.startswith("  optionalDependencies:"))
+    lines = F.filter(F.flatten(F.transform(named, lambda s: F.split(s, "\n"))), lambda d: d.rlike(dep))
+    pairs = F.transform(lines, lambda d: F.struct(F.regexp_extract(d, dep, 1).alias("k"), F.regexp_extract(d, dep, 2).alias("v")))
+    read = fields.where("package <> '' AND version <> ''").withColumn("_late", F.reverse(pairs)).withColumn("_names", F.col("_late.k"))
+    last = F.filter("_late", lambda p, i: F.array_position("_names", p["k"]) == i + 1)
+    return read.withColumn("requires", F.map_from_entries(F.reverse(last))).drop("_sections", "_late", "_names")
 
 
 def parse_pnpm_lock(files: DataFrame, content: str = "content") -> DataFrame:
     """Entries ``/name@version:`` (or the older ``/name/version:``) of a pnpm lockfile; peer suffixes are dropped."""
     keep = [c for c in files.columns if c != content]
-    body = F.regexp_extract(content, r"(?s)(?:^|\n)packages:\s*\n(.*)$", 1)
+    after = F.regexp_extract(content, r"(?s)(?:^|\n)packages:[^\S\n]*\n(.*)$", 1)
+    body = F.split(after, r"\n(?=\S)", 2)[0]  # the section ends at the next line without indent
     entry = files.select(*keep, F.explode(F.split(body, r"\n(?=  [/'\"@A-Za-z0-9])")).alias("_b"))
     key = F.trim(F.regexp_replace(F.regexp_replace(F.split("_b", "\n")[0], r"\([^)]*\)", ""), r"['\"]", ""))
     at = r"^/?((?:@[^/]+/)?[^@/]+)@([^:@]+):\s*$"

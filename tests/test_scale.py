@@ -126,6 +126,15 @@ def test_graph_with_cycle(spark):
     assert {r.path for r in graph.find_paths(tree, "c").collect()} >= {"a -> c", "a -> b -> c"}
 
 
+def test_tree_is_whole_at_any_depth(spark):
+    edges = spark.createDataFrame([(1, f"n{i:02d}", f"n{i + 1:02d}") for i in range(15)], "project_id int, parent string, child string")
+    tree = graph.expand_tree(edges, graph.roots(edges))
+    assert tree.count() == 16 and graph.reach(edges, graph.roots(edges)).agg(F.max("depth")).first()[0] == 15
+    stats = graph.tree_stats(tree).first()
+    assert stats.max_depth == 15 and stats.verdict == "deep"
+    assert graph.shown(tree, max_depth=3).count() == 4 and graph.shown(tree, name="N1").count() == 6
+
+
 def test_change_stream_keeps_state_between_batches(spark, tables, tmp_path):
     rows = tables.view("v_changes").select("event_id", "ts", "path", "hash")
     ticks = rows.withColumn("tick", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (6 * 3600 * 1_000_000)))

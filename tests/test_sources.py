@@ -77,3 +77,21 @@ def test_manifest_scan_has_no_depth_limit(spark):
     deep = "/".join(f"d{i}" for i in range(15)) + "/package.json"
     tree = spark.createDataFrame([(deep,)], "rel_path string")
     assert files.manifest_scan(tree).count() == 1 and files.manifest_scan(tree, max_depth=10).count() == 0
+
+
+def test_yarn_sections_and_berry(spark):
+    classic = 'a@^1.0.0:\n  version "1.0.0"\n  dependencies:\n    b "^1.0.0"\n    b "^1.1.0"\n  optionalDependencies:\n    c "^1.0.0"\n    b "^2.0.0"\n  peerDependencies:\n    d "^4.0.0"\n'
+    berry = (
+        '__metadata:\n  version: 8\n\n"lodash@npm:^4.17.21, lodash@npm:^4.0.0":\n  version: 4.17.21\n  resolution: "lodash@npm:4.17.21"\n  dependencies:\n    "@x/y": "npm:^1.0.0"\n    z: ^2.0.0\n'
+        "  bin:\n    tool: bin/tool.js\n  checksum: 10c0/abc\n  languageName: node\n  linkType: hard\n"
+    )
+    rows = {r.package: r for r in manifests.parse_yarn_lock(docs(spark, classic, berry)).collect()}
+    assert set(rows) == {"a", "lodash"}
+    assert rows["a"].requires == {"b": "^2.0.0", "c": "^1.0.0"}
+    assert rows["lodash"].version == "4.17.21" and rows["lodash"].integrity == "10c0/abc"
+    assert rows["lodash"].requires == {"@x/y": "npm:^1.0.0", "z": "^2.0.0"}
+
+
+def test_pnpm_stops_after_packages(spark):
+    text = "packages:\n\n  a@1.0.0:\n    resolution: {integrity: sha512-q}\n\nsnapshots:\n\n  a@1.0.0:\n    dependencies:\n      b: 2.0.0\n"
+    assert [(r.package, r.version, r.integrity) for r in manifests.parse_pnpm_lock(docs(spark, text)).collect()] == [("a", "1.0.0", "sha512-q")]
