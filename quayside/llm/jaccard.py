@@ -33,8 +33,8 @@ STAR_ROUNDS = 2
 BLOCK = 2_000
 TASK_ROWS = 10_000
 LEAF = 16
-_A = mix64(np.arange(1001, 1001 + BANDS * ROWS, dtype=np.uint64)) | U64(1)
-_B = mix64(np.arange(5001, 5001 + BANDS * ROWS, dtype=np.uint64))
+_A = (mix64(np.arange(1001, 1001 + BANDS * ROWS, dtype=np.uint64)) >> U64(32)).astype(np.uint32)[:, None] | np.uint32(1)
+_B = (mix64(np.arange(5001, 5001 + BANDS * ROWS, dtype=np.uint64)) >> U64(32)).astype(np.uint32)[:, None]
 
 
 def needed(a, b, num: int = 3, den: int = 4):
@@ -43,11 +43,17 @@ def needed(a, b, num: int = 3, den: int = 4):
 
 
 def band_keys(shingles: np.ndarray) -> np.ndarray:
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for first in range(0, len(shingles), 4_096):
-        part = shingles[first : first + 4_096]
-        low = np.minimum(low, ((part[None, :] ^ _B[:, None]) * _A[:, None]).min(axis=1))
-    low = mix64(low).reshape(BANDS, ROWS)
+    """A key per band of three min-hashes; the min-hashes take the upper half of a shingle's hash, in pieces that fit the cache."""
+    upper = (shingles >> U64(32)).astype(np.uint32)
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, dtype=np.uint32)
+    room = np.empty((BANDS * ROWS, min(len(upper), 1_024)), dtype=np.uint32)
+    for first in range(0, len(upper), 1_024):
+        part = upper[first : first + 1_024]
+        values = room[:, : len(part)]
+        np.bitwise_xor(part[None, :], _B, out=values)
+        np.multiply(values, _A, out=values)
+        np.minimum(low, values.min(axis=1), out=low)
+    low = mix64(low.astype(np.uint64)).reshape(BANDS, ROWS)
     return mix64(low[:, 0] * U64(3) + low[:, 1] * U64(5) + low[:, 2] * U64(7) + np.arange(BANDS, dtype=np.uint64))
 
 
