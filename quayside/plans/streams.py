@@ -11,9 +11,9 @@ from quayside.streaming import changes as s
 POLL = 6 * 3600
 
 
-def event_stream(t: Tables):
-    """The events table as a stream of file changes: the expressions of the view v_changes."""
-    raw = s.read_stream(t.spark, t.folder, "events.parquet", t.base("events").schema)
+def event_stream(t: Tables, folder: str | None = None):
+    """The events table, or what has landed of it in a folder, as a stream of file changes: the expressions of the view v_changes."""
+    raw = s.read_stream(t.spark, folder or t.folder, "*.parquet" if folder else "events.parquet", t.base("events").schema)
     return raw.select(
         "event_id", "ts", F.expr("concat('/p', CAST(user_id AS STRING), '/f', CAST(event_id % 5 AS STRING))").alias("path"),
         F.expr("concat('p', CAST(user_id AS STRING))").alias("project_id"),
@@ -22,6 +22,18 @@ def event_stream(t: Tables):
     )
 
 
+def landings(t: Tables, label: str):
+    """Land the events in three steps, cut anywhere in time; yields the folder after each."""
+    rows = t.base("events")
+    folder = s.stream_path(t.spark, label)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = rows.agg(F.min(micros), F.max(micros)).first()
+    third = F.least(F.lit(2), F.floor((micros - F.lit(low or 0)) / F.lit(((high or 0) - (low or 0)) / 3 + 1)))
+    for step in range(3):
+        rows.where(F.coalesce(third, F.lit(0)) == step).write.mode("append").parquet(folder)
+        yield folder
+
+
 CHANGES = f"""WITH l AS (SELECT path, CAST(floor(epoch_us(ts) / {POLL * 1_000_000}) AS BIGINT) AS tick, hash, ts, event_id FROM v_changes),
   n AS (SELECT path, tick, hash FROM (SELECT *, row_number() OVER (PARTITION BY path, tick ORDER BY ts DESC, event_id DESC) AS r FROM l) WHERE r = 1),
   o AS (SELECT *, lag(hash) OVER (PARTITION BY path ORDER BY tick) AS old FROM n)
@@ -30,8 +42,10 @@ CHANGES = f"""WITH l AS (SELECT path, CAST(floor(epoch_us(ts) / {POLL * 1_000_00
 
 @register("t1_change_stream", CHANGES)
 def change_stream(t: Tables):
-    stream = s.change_stream(event_stream(t), POLL)
-    return s.append_table(stream, s.stream_path(t.spark, "changes")).drop("batch_id")
+    path = s.stream_path(t.spark, "changes")
+    for folder in landings(t, "landed"):
+        log = s.append_table(s.change_stream(event_stream(t, folder), POLL), path)
+    return s.newest_changes(log)
 
 
 @register("t1_change_batch", CHANGES)
@@ -67,7 +81,10 @@ def rescan_on_change(t: Tables):
         affected = files.join(projects, "project_id", "left_semi")
         return indicator_files(affected).groupBy("project_id", "name", "kind").agg(F.count(F.lit(1)).alias("n"))
 
-    return s.rescan_on_change(event_stream(t), scan, s.stream_path(t.spark, "rescan"))
+    path = s.stream_path(t.spark, "rescan")
+    for folder in landings(t, "landed"):
+        found = s.rescan_on_change(event_stream(t, folder), scan, path)
+    return found
 
 
 @register("t4_running_counters", """SELECT CAST(epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS BIGINT) AS window_us, severity, count(*) AS n FROM v_changes GROUP BY 1, 2""")

@@ -36,51 +36,64 @@ def change_event(old: str | None, new: str | None) -> str | None:
     return None if old == new else "modified"
 
 
+def tick_events(old: str | None, looks: dict[int, tuple]) -> dict[int, tuple]:
+    """(event, hash) of every tick that shows one. ``looks``: tick to (seq, hash); ``old``: the hash before the first."""
+    out = {}
+    for tick in sorted(looks):
+        new = looks[tick][1]
+        event = change_event(old, new)
+        if event:
+            out[tick] = (event, new)
+        old = new
+    return out
+
+
 class ChangeDetector(StatefulProcessor):
-    """Per path, the hash at each poll tick against the hash before. State: the last tick and hash.
+    """Per path, the newest hash at each poll tick against the hash before.
 
-    The state of a deleted file is cleared. A stream that runs for good may also give it a time to live; a stream that
-    ends with the landed data may not, since processing-time state asks for another batch for ever. Rows of one path are folded to the newest hash per tick while they stream through, so a path with very many rows
-    needs memory for its ticks only.
+    State: the looks of the newest tick and of the ``late_ticks`` before it, and the hash before those. A later look at one of
+    these ticks, in whatever batch it comes, mends the events: a row with the same (path, tick) replaces the earlier one, and one
+    without event takes it back. Looks at older ticks come too late and change nothing. A path's rows are folded to the newest
+    look per tick as they stream through, so a path with very many rows needs memory for its ticks only.
     """
 
-    def __init__(self, ttl_ms: int | None = None):
-        self.ttl_ms = ttl_ms
+    def __init__(self, late_ticks: int = 1):
+        self.late_ticks = late_ticks
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        ttl = {} if self.ttl_ms is None else {"ttlDurationMs": self.ttl_ms}
-        self.last = handle.getValueState("last", "tick bigint, hash string", **ttl)
+        self.before = handle.getValueState("before", "tick bigint, hash string")
+        self.looks = handle.getListState("looks", "tick bigint, seq string, hash string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        ticks: dict[int, tuple] = {}
+        closed, old = self.before.get() if self.before.exists() else (None, None)
+        looks = {t: (seq, value) for t, seq, value in self.looks.get()} if self.looks.exists() else {}
+        known = tick_events(old, looks)
         for batch in rows:
             newest = batch.sort_values("seq").groupby("tick", sort=False).tail(1)
-            for tick, seq, value in zip(newest["tick"], newest["seq"], newest["hash"]):
-                if tick not in ticks or seq > ticks[tick][0]:
-                    ticks[tick] = (seq, None if pd.isna(value) else value)
-        known = self.last.get() if self.last.exists() else None
-        seen, old = (known[0], known[1]) if known else (None, None)
-        out = []
-        for tick in sorted(ticks):
-            if seen is not None and tick <= seen:
-                continue  # a look that is older than the state cannot change it
-            new = ticks[tick][1]
-            event = change_event(old, new)
-            if event:
-                out.append((key[0], tick, event, new))
-            seen, old = tick, new
-        if old is None:
-            self.last.clear()
-        else:
-            self.last.update((int(seen), old))
-        yield pd.DataFrame(out, columns=["path", "tick", "event", "hash"])
+            for tick, seq, value in zip(newest["tick"].tolist(), newest["seq"], newest["hash"]):
+                if (closed is None or tick > closed) and (tick not in looks or seq > looks[tick][0]):
+                    looks[tick] = (seq, None if pd.isna(value) else value)
+        events = tick_events(old, looks)
+        changed = [t for t in sorted(looks) if events.get(t) != known.get(t)]
+        ticks = sorted(looks)
+        for tick in ticks:
+            if tick < ticks[-1] - self.late_ticks:
+                closed, old = tick, looks.pop(tick)[1]
+        if closed is not None:
+            self.before.update((int(closed), old))
+        self.looks.put([(int(t), *looks[t]) for t in sorted(looks)])
+        none = (None, None)
+        yield pd.DataFrame([(key[0], t, *events.get(t, none)) for t in changed], columns=["path", "tick", "event", "hash"])
 
     def close(self) -> None:
         pass
 
 
-def change_stream(rows: DataFrame, poll_seconds: int, ttl_ms: int | None = None) -> DataFrame:
-    """Created, modified and deleted files. ``rows``: path, ts, event_id, hash (null: the file is gone)."""
+def change_stream(rows: DataFrame, poll_seconds: int, late_ticks: int = 1) -> DataFrame:
+    """Created, modified and deleted files. ``rows``: path, ts, event_id, hash (null: the file is gone).
+
+    The output is a log of updates: ``newest_changes`` gives the events as they stand.
+    """
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     # the processor also starts in a worker of the driver, which does not see shipped packages
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -90,11 +103,15 @@ def change_stream(rows: DataFrame, poll_seconds: int, ttl_ms: int | None = None)
         F.concat(F.lpad(seconds.cast("string"), 20, "0"), F.lit("-"), F.lpad(F.col("event_id").cast("string"), 20, "0")).alias("seq"), "hash",
     )
     return keyed.groupBy("path").transformWithStateInPandas(
-        statefulProcessor=ChangeDetector(ttl_ms), outputStructType=CHANGE_DDL, outputMode="Append",
-        timeMode="None" if ttl_ms is None else "ProcessingTime",
+        statefulProcessor=ChangeDetector(late_ticks), outputStructType=CHANGE_DDL, outputMode="Append", timeMode="None",
     )
 
 
+def newest_changes(log: DataFrame) -> DataFrame:
+    """The events of a change log as they stand after its last batch."""
+    return newest_updates(log, ["path", "tick"]).where("event IS NOT NULL")
+
+
 def change_batch(rows: DataFrame, poll_seconds: int) -> DataFrame:
     """T1 as a batch: newest hash per (path, tick) by partial maximum, then each tick against the one before."""
     from pyspark.sql import Window
@@ -125,6 +142,15 @@ def running_counters(rows: DataFrame, width: str) -> DataFrame:
     return rows.groupBy(F.window("ts", width).alias("w"), "severity").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "severity", "n")
 
 
+def begin_log(spark: SparkSession, schema: StructType, path: str) -> None:
+    """An empty batch, so that a log without any batch can be read."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/batch=none")
+
+
+def read_log(spark: SparkSession, schema: StructType, path: str) -> DataFrame:
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
+
+
 def append_table(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Run a stream over everything that has landed; batches are written by id, so a replay does not double them."""
 
@@ -132,9 +158,11 @@ def append_table(stream: DataFrame, path: str, mode: str = "append") -> DataFram
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/data/batch={batch_id:08d}")
 
     spark = stream.sparkSession
+    schema = StructType([*stream.schema.fields]).add("batch_id", "integer")
+    begin_log(spark, schema, f"{path}/data")
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(f"{stream.schema.simpleString()[7:-1].replace(':', ' ')}, batch_id int").option("recursiveFileLookup", True).parquet(f"{path}/data")
+    return read_log(spark, schema, f"{path}/data")
 
 
 def newest_updates(log: DataFrame, keys: list[str]) -> DataFrame:
@@ -147,20 +175,26 @@ def newest_updates(log: DataFrame, keys: list[str]) -> DataFrame:
 def rescan_on_change(changes: DataFrame, scan: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
     """Each micro-batch rescans the projects that changed in it. ``scan`` takes distinct project ids, returns rows with ``project_id``.
 
-    Results are written per batch; reading keeps, for each project, the rows of its last scan.
+    The scanned projects and the results are written per batch; reading keeps, for each project, the rows of its last scan, so a
+    project whose last scan finds nothing has none.
     """
     spark = changes.sparkSession
-    schema: list[str] = []
+    ids = StructType([changes.schema["project_id"]])
+    scanned_schema = StructType([*ids.fields]).add("batch_id", "integer")
+    schema = StructType([*scan(spark.createDataFrame([], ids)).schema.fields]).add("batch_id", "integer")
+    begin_log(spark, scanned_schema, f"{path}/scanned")
+    begin_log(spark, schema, f"{path}/data")
 
     def rescan(batch: DataFrame, batch_id: int) -> None:
-        found = scan(batch.select("project_id").distinct()).withColumn("batch_id", F.lit(batch_id))
-        schema[:] = [found.schema.simpleString()[7:-1].replace(":", " ")]
-        found.write.mode("overwrite").parquet(f"{path}/data/batch={batch_id:08d}")
+        scanned = f"{path}/scanned/batch={batch_id:08d}"
+        batch.select("project_id").distinct().withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(scanned)
+        projects = spark.read.schema(scanned_schema).parquet(scanned).select("project_id")
+        scan(projects).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/data/batch={batch_id:08d}")
 
     query = changes.writeStream.option("checkpointLocation", f"{path}/checkpoint").foreachBatch(rescan).trigger(availableNow=True).start()
     query.awaitTermination()
-    log = spark.read.schema(schema[0]).option("recursiveFileLookup", True).parquet(f"{path}/data")
-    last = log.groupBy("project_id").agg(F.max("batch_id").alias("batch_id"))
+    log = read_log(spark, schema, f"{path}/data")
+    last = read_log(spark, scanned_schema, f"{path}/scanned").groupBy("project_id").agg(F.max("batch_id").alias("batch_id"))
     return log.join(last, ["project_id", "batch_id"], "left_semi").drop("batch_id")
 
 

@@ -135,23 +135,62 @@ def test_tree_is_whole_at_any_depth(spark):
     assert graph.shown(tree, max_depth=3).count() == 4 and graph.shown(tree, name="N1").count() == 6
 
 
-def test_change_stream_keeps_state_between_batches(spark, tables, tmp_path):
+@pytest.fixture(scope="module")
+def looks_schema(tables):
+    return tables.view("v_changes").select("event_id", "ts", "path", "hash").schema
+
+
+def run_changes(spark, batches, schema, folder, late_ticks=1):
+    """Land one batch after the other and return the events as they stand, and those of the batch twin."""
+    for rows in batches:
+        rows.coalesce(1).write.mode("append").parquet(f"{folder}/landed")
+        stream = changes.change_stream(changes.read_stream(spark, f"{folder}/landed", "*.parquet", schema), 6 * 3600, late_ticks)
+        log = changes.append_table(stream, f"{folder}/out")
+    whole = spark.read.schema(schema).parquet(f"{folder}/landed")
+    columns = ["path", "tick", "event", "hash"]
+    return [sorted(map(tuple, d.select(columns).collect())) for d in (changes.newest_changes(log), changes.change_batch(whole, 6 * 3600))]
+
+
+def test_change_stream_equals_batch_in_four_batches(spark, tables, looks_schema, tmp_path):
     rows = tables.view("v_changes").select("event_id", "ts", "path", "hash")
-    ticks = rows.withColumn("tick", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (6 * 3600 * 1_000_000)))
-    low, high = ticks.agg(F.min("tick"), F.max("tick")).first()
-    middle = (low + high) // 2
-    landed = str(tmp_path / "landed")
-    first, second = ticks.where(F.col("tick") <= middle).drop("tick"), ticks.where(F.col("tick") > middle).drop("tick")
-    first.coalesce(1).write.parquet(landed)
-    path = str(tmp_path / "out")
-    schema = rows.schema
-
-    def run():
-        stream = changes.change_stream(changes.read_stream(spark, landed, "*.parquet", schema), 6 * 3600)
-        return changes.append_table(stream, path)
-
-    run()
-    second.coalesce(1).write.mode("append").parquet(landed)
-    got = {tuple(r) for r in run().select("path", "tick", "event", "hash").collect()}
-    want = {tuple(r) for r in changes.change_batch(rows, 6 * 3600).select("path", "tick", "event", "hash").collect()}
+    late = F.col("event_id") % 10 == 0  # some looks come a batch late
+    low, high = rows.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    third = F.least(F.lit(2), F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - low) * 3 / (high - low)))
+    batch = rows.withColumn("b", third + F.when(late, 1).otherwise(0))
+    got, want = run_changes(spark, [batch.where(F.col("b") == b).drop("b") for b in range(4)], looks_schema, str(tmp_path), late_ticks=10_000)
     assert got == want and len(got) > 100
+
+
+def test_change_stream_inside_a_tick_late_and_idle(spark, looks_schema, tmp_path):
+    def at(*rows):
+        frame = spark.createDataFrame([(i, f"2024-01-01 {hour}", path, value) for i, hour, path, value in rows], "event_id bigint, ts string, path string, hash string")
+        return frame.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in looks_schema.fields])
+
+    batches = [
+        at((1, "00:00:00", "/p", "A"), (2, "00:10:00", "/q", "A")),
+        at((3, "01:00:00", "/p", "B"), (4, "02:00:00", "/q", None)),  # a later look in the same tick; a file that is gone again
+        at((5, "13:00:00", "/p", "C")),
+        at((6, "07:00:00", "/p", "C"), (7, "07:00:00", "/q", "D")),  # late: the change happened a tick before
+        at(),
+    ]
+    got, want = run_changes(spark, batches, looks_schema, str(tmp_path))
+    assert got == want
+    assert [(p, e, h) for p, _, e, h in got] == [("/p", "created", "B"), ("/p", "modified", "C"), ("/q", "created", "D")]
+
+
+def test_rescan_forgets_what_the_last_scan_does_not_find(spark, tmp_path):
+    schema = spark.createDataFrame([], "project_id string, n int").schema
+    landed, path = str(tmp_path / "landed"), str(tmp_path / "out")
+    infected = [{"a", "b"}, {"b"}, {"b"}]
+
+    def run(now):
+        stream = changes.read_stream(spark, landed, "*.parquet", schema)
+        return {r.project_id for r in changes.rescan_on_change(stream, lambda ids: ids.where(F.col("project_id").isin(*now)).select("project_id", F.lit("bad").alias("kind")), path).collect()}
+
+    spark.createDataFrame([], schema).write.parquet(landed)
+    assert run({"a"}) == set()  # nothing has landed yet
+    spark.createDataFrame([("a", 1), ("b", 1)], schema).coalesce(1).write.mode("append").parquet(landed)
+    assert run(infected[0]) == {"a", "b"}
+    spark.createDataFrame([("a", 2)], schema).coalesce(1).write.mode("append").parquet(landed)
+    assert run(infected[1]) == {"b"}  # clean after infected
+    assert run(infected[2]) == {"b"}  # idle restart
