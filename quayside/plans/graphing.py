@@ -247,11 +247,11 @@ def scanner_registry_quick(t: Tables):
     return registry.run_scanners(registry.default_tables(t), quick=True).groupBy("scanner", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("u2_findings_union", """SELECT scanner, severity, count(*) AS n, count(DISTINCT project_id) AS projects FROM v_findings WHERE scanner IN ('react', 'npm') GROUP BY ALL
+@register("u2_findings_union", """SELECT scanner, severity, count(*) AS n, count(DISTINCT project_id) AS projects FROM v_findings GROUP BY ALL
   UNION ALL SELECT 'lockfile', 'LOW', count(*), count(DISTINCT project_id) FROM v_lock WHERE integrity IS NULL""")
 def findings_union(t: Tables):
     landed = t.view("v_findings")
-    parts = [landed.where(F.col("scanner") == name).select("scanner", "project_id", "severity", "package") for name in ("react", "npm")]
+    parts = [landed.where(F.col("scanner") == name).select("scanner", "project_id", "severity", "package") for name in ("react", "npm", "nodejs", "supply-chain")]
     lock = hygiene.missing_integrity(t.view("v_lock")).select(F.lit("lockfile").alias("scanner"), "project_id", F.lit("LOW").alias("severity"))
     whole = union_findings([*parts, lock])
     return whole.groupBy("scanner", "severity").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("project_id").alias("projects"))

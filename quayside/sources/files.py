@@ -18,16 +18,13 @@ from quayside.catalogue import lists as words
 SOURCE_GLOB = "*"
 
 
-def read_files(spark: SparkSession, root: str, glob: str = SOURCE_GLOB, max_bytes: int | None = None) -> DataFrame:
+def read_files(spark: SparkSession, root: str, glob: str = SOURCE_GLOB) -> DataFrame:
     """Every file below ``root`` whose name fits ``glob``: path, folder, name, depth, size, mtime, content.
 
-    ``content`` is read only by plans that use it. ``max_bytes`` rejects larger files before they are read; it is
-    off by default, so that results are whole.
+    ``content`` is read only by plans that use it.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
     raw = reader.load(root)
-    if max_bytes is not None:
-        raw = raw.where(F.col("length") <= max_bytes)
     clean = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/+", "/"), "/+", "/")
     base = "/" + "/".join(p for p in root.split("://")[-1].split("/") if p)
     relative = F.substr(clean, F.lit(len(base) + 2))

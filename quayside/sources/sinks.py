@@ -168,6 +168,6 @@ def append_findings(findings: DataFrame, path: str, session: str = "session_date
 
 
 def newest_session(log: DataFrame, session: str = "session_date") -> DataFrame:
-    """K6: findings of the newest session; the partition column alone decides, so older partitions are not read."""
-    newest = log.agg(F.max(session).alias("_newest"))
-    return log.join(F.broadcast(newest), F.col(session) == F.col("_newest")).drop("_newest")
+    """K6: findings of the newest session; a scalar subquery over the partition column prunes the others before they are read."""
+    newest = log.agg(F.max(session)).scalar()
+    return log.where(F.col(session) == newest)

@@ -126,6 +126,17 @@ def test_graph_with_cycle(spark):
     assert {r.path for r in graph.find_paths(tree, "c").collect()} >= {"a -> c", "a -> b -> c"}
 
 
+def test_newest_session_reads_one_partition(spark, tmp_path):
+    path = str(tmp_path / "log")
+    sinks.append_findings(spark.range(40).select("id", (F.col("id") % 4).cast("int").alias("session_date")), path)
+    newest = sinks.newest_session(spark.read.parquet(path))
+    assert sorted(r.id for r in newest.collect()) == list(range(3, 40, 4))
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters: ["):].split("]")[0]
+    assert "ubquery" in filters
+    assert len(newest.inputFiles()) >= 4  # the files are known, the subquery decides at run time which are read
+
+
 def test_tree_is_whole_at_any_depth(spark):
     edges = spark.createDataFrame([(1, f"n{i:02d}", f"n{i + 1:02d}") for i in range(15)], "project_id int, parent string, child string")
     tree = graph.expand_tree(edges, graph.roots(edges))
