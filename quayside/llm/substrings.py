@@ -1,20 +1,20 @@
-"""Near-duplicate passages by compact windows (operator 9).
+"""Near-duplicate passages by an exact join on shingles (operator 9).
 
-The tokens of a text are its five-word shingles. For each of ``HASHES`` hash functions the nearest smaller values on both
-sides, which are the extents of the nodes of a Cartesian tree, give the compact windows: all runs around a token within them
-have that token as their min-hash. Windows of ``PASSAGE`` words or more with equal min-hashes in two places meet in a join
-on the min-hash; where windows of at least ``ENOUGH`` hash functions cover a place, it is a candidate. Candidates are
-verified shingle by shingle: a passage is a repeat if six sevenths of its shingles, which means a similarity of 0.75, stand
-in an earlier place, short gaps included. The place with the smallest (doc_id, position) is the first and is not reported.
+The tokens of a text are its five-word shingles. Every shingle of every text of ``PASSAGE`` words or more takes part: a first
+pass collects the hashes that stand in several places (each task sends a hash at most twice, so common ones weigh no more than
+others), a second pass joins the places to them. No place is left out by a sample or a sketch, so every passage that the
+rule accepts is found, whatever its similarity: the recall is that of the rule, 1 but for collisions of 64-bit hashes.
+
+A place is repeated if its shingle also stands in an earlier place. A passage is a repeat if six sevenths of its shingles,
+which means a similarity of 0.75, are repeated, gaps included. The place with the smallest (doc_id, position) is the first
+and is not reported; null ids come before all others.
 
-Extents beyond a passage's length on either side add nothing, as every part of a longer passage has windows of its own.
 Whole copies are one class; each but the smallest doc_id is reported as one passage. Texts of fewer words, null and empty
 texts have no passages. Repeated rows (same id, same text) are one document. Texts of any length are read whole.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,47 +22,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm.common import U64, cut_lineage, hash_pieces, mix64, shingle_hashes, ship_package, table, word_hashes
+from quayside.llm.common import cut_lineage, hash_pieces, shingle_hashes, ship_package, table, word_hashes, words_of
 from quayside.llm.registry import register
 
-HASHES, ENOUGH = 3, 2
 SHINGLE, PASSAGE = 5, 50
 WIDTH = PASSAGE - SHINGLE + 1
 GAP = 2 * SHINGLE
-_SEEDS = mix64(np.arange(71, 71 + HASHES, dtype=np.uint64))
-
-
-def sliding(op, x: np.ndarray, width: int) -> np.ndarray:
-    """op over every run of ``width`` values, by its first place."""
-    step = 1
-    while 2 * step <= width:
-        x = op(x[:-step], x[step:])
-        step *= 2
-    rest = width - step
-    return op(x[: len(x) - rest], x[rest:]) if rest else x
-
-
-def compact_windows(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(left, centre, right) of the places that are the smallest of some run of ``width``; zeros part the texts.
-
-    The extents reach to the next smaller value (on the left also an equal one), but at most ``width`` - 1 places.
-    """
-    if len(x) < width:
-        return (np.empty(0, np.int64),) * 3
-    lows = np.concatenate((np.zeros(width - 1, x.dtype), sliding(np.minimum, x, width), np.zeros(width - 1, x.dtype)))
-    centre = np.flatnonzero((sliding(np.maximum, lows, width) == x) & (x > 0))
-    value = x[centre]
-    left, right = centre.copy(), centre + 1
-    levels, size = [np.concatenate((x, np.zeros(2 * width, x.dtype)))], 1
-    while 2 * size < width:
-        levels.append(np.minimum(levels[-1][:-size], levels[-1][size:]))
-        size *= 2
-    for level in reversed(levels):
-        go = (left >= size) & (level[np.maximum(left - size, 0)] > value)
-        left = left - size * go
-        right = right + size * (level[right] >= value)
-        size //= 2
-    return np.maximum(left, centre - width + 1), centre, np.minimum(right - 1, centre + width - 1)
+#: A place is (number of the class << PLACE_BITS) | position; the longest text that Spark holds has fewer words.
+PLACE_BITS = 30
+#: Hashes that a task holds before it sends them on, and that a bucket holds.
+HELD, BUCKET = 1_000_000, 4_000_000
 
 
 def text_shingles(texts: list[bytes]) -> tuple[list[np.ndarray], list[int]]:
@@ -72,32 +41,6 @@ def text_shingles(texts: list[bytes]) -> tuple[list[np.ndarray], list[int]]:
     return [shingle_hashes(w, SHINGLE) for w in words], counts.tolist()
 
 
-def covered(places: list[tuple[int, int, int]], enough: int) -> list[tuple[int, int]]:
-    """Merged runs [first, last] that windows (function, left, right) of at least ``enough`` functions cover."""
-    steps: Counter = Counter()
-    for f in {p[0] for p in places}:
-        last = None
-        for left, right in sorted((p[1], p[2]) for p in places if p[0] == f):
-            if last is not None and left <= last[1] + 1:
-                last[1] = max(last[1], right)
-            else:
-                if last:
-                    steps[last[0]] += 1
-                    steps[last[1] + 1] -= 1
-                last = [left, right]
-        steps[last[0]] += 1
-        steps[last[1] + 1] -= 1
-    out, depth, start = [], 0, None
-    for place in sorted(steps):
-        depth += steps[place]
-        if depth >= enough and start is None:
-            start = place
-        elif depth < enough and start is not None:
-            out.append((start, place - 1))
-            start = None
-    return out
-
-
 def passages(at: np.ndarray) -> list[tuple[int, int]]:
     """Runs [first, last] of repeated places that make a passage: gaps of at most ``GAP``, six sevenths repeated."""
     out = []
@@ -123,81 +66,99 @@ def text_class(column: str = "text"):
     return F.xxhash64(F.md5(F.coalesce(F.col(column), F.lit("")).cast("binary")))
 
 
+def numbered(found: DataFrame) -> DataFrame:
+    """c, d, doc_id (the smallest) and n of every class of texts; c counts from 0 in the order of (doc_id, d), null ids first."""
+    classes = found.groupBy("d").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    ordered = cut_lineage(classes.orderBy("doc_id", "d").withColumn("m", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftrightunsigned("m", 33)
+    before, at = [], 0
+    for row in sorted(ordered.groupBy(part.alias("part")).agg(F.count("*").alias("rows")).collect()):
+        before.append((row.part, at))
+        at += row.rows
+    offsets = found.sparkSession.createDataFrame(before, "part long, before long")
+    joined = ordered.withColumn("part", part).join(F.broadcast(offsets), "part")
+    return cut_lineage(joined.select((F.col("before") + F.col("m").bitwiseAND((1 << 33) - 1)).alias("c"), "d", "doc_id", "n"), "classes")
+
+
+def shared_shingles(texts: DataFrame, buckets: int) -> DataFrame:
+    """h: the shingles of ``texts`` that stand in several places."""
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+
+        def flush() -> pd.DataFrame:
+            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            values = np.repeat(values, np.minimum(counts, 2))
+            bucket = (values % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            names, first = np.unique(bucket[order], return_index=True)
+            return pd.DataFrame({"bucket": names, "hs": [x.tobytes() for x in np.split(values[order], first[1:])]})
+
+        for batch in batches:
+            for _, pieces in hash_pieces(list(batch["text"])):
+                for shingles in text_shingles(pieces)[0]:
+                    held.append(shingles)
+                    size += len(shingles)
+                    if size >= HELD:
+                        yield flush()
+                        held, size = [], 0
+        if size:
+            yield flush()
+
+    def several(rows: pd.DataFrame) -> pd.DataFrame:
+        values = np.sort(np.concatenate([np.frombuffer(x, "<u8") for x in rows["hs"]]))
+        return pd.DataFrame({"h": np.unique(values[1:][values[1:] == values[:-1]]).view(np.int64)})
+
+    return texts.select("text").mapInPandas(send, "bucket long, hs binary").groupBy("bucket").applyInPandas(several, "h long")
+
+
 def find_passages(docs: DataFrame) -> DataFrame:
     """doc_id, d (class of the text), start and n_words (in words), first_doc_id, first_start, repeated (share of shingles)."""
     spark = docs.sparkSession
     ship_package(spark)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_class().alias("d"))
 
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for first, texts in hash_pieces(list(batch["text"])):
-                rows = batch.iloc[first : first + len(texts)]
-                shingles, counts = text_shingles(texts)
-                gap = np.zeros(1, dtype=np.uint64)
-                joined = np.concatenate([p for s in shingles for p in (gap, s)])
-                starts = np.cumsum([1] + [len(s) + 1 for s in shingles])
-                parts = []
-                for f in range(HASHES):
-                    left, centre, right = compact_windows(np.where(joined == 0, joined, mix64(joined ^ _SEEDS[f])), WIDTH)
-                    owner = np.searchsorted(starts, centre, side="right") - 1
-                    parts.append((owner, np.full(len(owner), f), joined[centre] * U64(HASHES) + U64(f), left - starts[owner], centre - starts[owner], right - starts[owner]))
-                owner, f, key, left, centre, right = (np.concatenate(p) for p in zip(*parts))
-                order = np.argsort(owner, kind="stable")
-                cuts = np.searchsorted(owner[order], np.arange(1, len(texts)))
-                split = {n: np.split(v[order], cuts) for n, v in (("f", f.astype(np.int32)), ("key", mix64(key).view(np.int64)), ("lo", left.astype(np.int32)), ("c", centre.astype(np.int32)), ("hi", right.astype(np.int32)))}
-                yield pd.DataFrame({"doc_id": rows["doc_id"], "d": rows["d"], "n": counts, **split})
-
-    schema = "doc_id long, d long, n long, f array<int>, key array<long>, lo array<int>, c array<int>, hi array<int>"
-    found = cut_lineage(known.select("doc_id", "d", "text").mapInPandas(windows, schema), "windows")
-    classes = cut_lineage(found.groupBy("d").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "classes")
-    each = found.select("d", F.explode(F.arrays_zip("f", "key", "lo", "c", "hi")).alias("w")).select("d", "w.*")
-    shared = each.select("key", F.xxhash64("d", "c").alias("v")).groupBy("key").agg(F.min("v").alias("x"), F.max("v").alias("y")).where("x <> y").select("key")
-    shared = cut_lineage(shared, "shared")
-    release(spark)
-    met = each.join(shared, "key").groupBy("d").agg(F.collect_set(F.struct("f", "lo", "hi")).alias("w"))
-
-    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            runs = [covered([(w["f"], w["lo"], w["hi"]) for w in ws], ENOUGH) for ws in batch["w"]]
-            out = pd.DataFrame({"d": batch["d"], "a": [[r[0] for r in rs] for rs in runs], "b": [[r[1] for r in rs] for rs in runs]})
-            yield out[[bool(rs) for rs in runs]]
+    def count(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(words_of(t)) for t in texts], dtype="int64")
 
-    regions = cut_lineage(met.mapInPandas(candidates, "d long, a array<int>, b array<int>").join(classes, "d").select("d", F.col("doc_id").alias("r"), "a", "b"), "regions")
+    found = cut_lineage(known.select("doc_id", "d", F.pandas_udf(count, "long")("text").alias("n")), "found")
+    classes = numbered(found)
+    long_ones = classes.where(F.col("n") >= PASSAGE).select("c", F.col("d").alias("__d"), F.col("doc_id").alias("__r"))
+    texts = known.join(long_ones, (F.col("d") == F.col("__d")) & F.col("doc_id").eqNullSafe(F.col("__r"))).select("c", "text")
+    buckets = max(64, -(-(classes.agg(F.sum("n")).head()[0] or 0) // BUCKET))
+    shared = cut_lineage(shared_shingles(texts, buckets), "shared")
     release(spark)
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for first, texts in hash_pieces(list(batch["text"])):
-                rows = batch.iloc[first : first + len(texts)]
-                parts = []
-                for shingles, doc, d, a, b in zip(text_shingles(texts)[0], rows["r"], rows["d"], rows["a"], rows["b"]):
-                    at = np.concatenate([np.arange(x, y + 1) for x, y in zip(a, b)])
-                    parts.append((shingles[at].view(np.int64), np.full(len(at), -1 if pd.isna(doc) else int(doc)), np.full(len(at), d), at))
-                if parts:
-                    yield pd.DataFrame(dict(zip(("h", "doc", "d", "at"), (np.concatenate(p) for p in zip(*parts)))))
-
-    texts = known.join(regions.withColumnRenamed("d", "rd"), (F.col("d") == F.col("rd")) & F.col("doc_id").eqNullSafe(F.col("r")))
-    spots = cut_lineage(texts.select("text", "r", "d", "a", "b").mapInPandas(places, "h long, doc long, d long, at int"), "spots")
+            for first, pieces in hash_pieces(list(batch["text"])):
+                shingles = text_shingles(pieces)[0]
+                at = [np.arange(len(s)) + (int(c) << PLACE_BITS) for c, s in zip(batch["c"].iloc[first : first + len(pieces)], shingles)]
+                yield pd.DataFrame({"h": np.concatenate(shingles).view(np.int64), "p": np.concatenate(at)})
+
+    spots = cut_lineage(texts.mapInPandas(places, "h long, p long").join(shared, "h"), "spots")
     release(spark)
-    firsts = spots.groupBy("h").agg(F.min(F.struct("doc", "d", "at")).alias("first"), F.count("*").alias("times")).where("times > 1")
-    again = spots.join(firsts, "h").where(F.struct("doc", "d", "at") != F.col("first"))
-    again = again.groupBy("d").agg(F.collect_list(F.struct("at", F.col("first.doc").alias("doc"), F.col("first.at").alias("place"))).alias("s"))
+    firsts = cut_lineage(spots.groupBy("h").agg(F.min("p").alias("first")), "firsts")
+    again = spots.join(firsts, "h").where("p <> first").select(F.shiftright("p", PLACE_BITS).alias("c"), F.col("p").bitwiseAND((1 << PLACE_BITS) - 1).alias("at"), "first")
+    again = again.groupBy("c").agg(F.collect_list("at").alias("at"), F.collect_list("first").alias("first"))
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for d, spots_ in zip(batch["d"], batch["s"]):
-                by_place = {s["at"]: (s["doc"], s["place"]) for s in spots_}
-                at = np.array(sorted(by_place))
+            for c, at, first in zip(batch["c"], batch["at"], batch["first"]):
+                at, one = np.unique(np.asarray(at, np.int64), return_index=True)
+                first = np.asarray(first, np.int64)[one]
                 for a, b in passages(at):
-                    inside = [by_place[int(p)] for p in at[(at >= a) & (at <= b)]]
-                    doc = min(Counter(x[0] for x in inside).items(), key=lambda x: (-x[1], x[0]))[0]
-                    out.append((d, a, b - a + SHINGLE, doc, min(p for x, p in inside if x == doc), len(inside) / (b - a + 1)))
-            yield pd.DataFrame(out, columns=["d", "start", "n_words", "first_doc_id", "first_start", "repeated"])
-
-    spans = again.mapInPandas(verified, "d long, start long, n_words long, first_doc_id long, first_start long, repeated double")
-    own = spans.join(classes.select("d", "doc_id"), "d").select("doc_id", "d", "start", "n_words", "first_doc_id", "first_start", "repeated")
+                    inside = first[np.searchsorted(at, a) : np.searchsorted(at, b, side="right")]
+                    owners, counts = np.unique(inside >> PLACE_BITS, return_counts=True)
+                    owner = int(owners[counts.argmax()])
+                    place = int(inside[inside >> PLACE_BITS == owner].min()) & ((1 << PLACE_BITS) - 1)
+                    out.append((c, a, b - a + SHINGLE, owner, place, len(inside) / (b - a + 1)))
+            yield pd.DataFrame(out, columns=["c", "start", "n_words", "o", "first_start", "repeated"])
+
+    spans = cut_lineage(again.mapInPandas(verified, "c long, start long, n_words long, o long, first_start long, repeated double"), "spans")
+    own = spans.join(classes.select("c", "d", "doc_id"), "c").join(classes.select(F.col("c").alias("o"), F.col("doc_id").alias("first_doc_id")), "o")
+    own = own.select("doc_id", "d", "start", "n_words", "first_doc_id", "first_start", "repeated")
     copies = found.select("doc_id", "d").distinct().join(classes.select("d", F.col("doc_id").alias("r"), "n"), "d").where(~F.col("doc_id").eqNullSafe(F.col("r")) & (F.col("n") >= PASSAGE))
     whole = copies.select("doc_id", "d", F.lit(0).cast("long").alias("start"), F.col("n").alias("n_words"), F.col("r").alias("first_doc_id"), F.lit(0).cast("long").alias("first_start"), F.lit(1.0).alias("repeated"))
     return cut_lineage(own.unionByName(whole), "passages")

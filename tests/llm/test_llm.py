@@ -244,6 +244,30 @@ def test_passages_against_brute_force(spark):
     assert all(66 <= r.n_words <= 74 for r in got)
 
 
+def test_edited_passages_are_all_found(spark):
+    """Near copies at and above a similarity of 0.75: 50 to 80 words with one, two or three changed words."""
+    rng = random.Random(4)
+    rows, expected = [], set()
+    for k in range(240):
+        words, changes = [(52, 1), (60, 1), (75, 2), (80, 2), (50, 1), (80, 3)][k % 6]
+        passage = text_of(10_000 + k, words).split()
+        while True:
+            edited = list(passage)
+            for at in rng.sample(range(words), changes):
+                edited[at] = f"edit{k}x{at}"
+            same = [all(edited[i + j] == passage[i + j] for j in range(5)) for i in range(words - 4)]
+            last = len(same) - 1 - same[::-1].index(True)
+            size = last - same.index(True) + 1
+            if size >= substrings.WIDTH and 7 * sum(same) >= 6 * size:
+                break
+            changes = max(changes - 1, 0)
+        rows.append((k, f"{text_of(k + 20_000, 60)} {' '.join(passage)} {text_of(k + 30_000, 60)}"))
+        rows.append((1_000 + k, f"{text_of(k + 40_000, 70)} {' '.join(edited)} {text_of(k + 50_000, 50)}"))
+        expected.add((1_000 + k, k, 70 + same.index(True)))
+    got = substrings.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.first_doc_id, r.start) for r in got} == expected
+
+
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = table(spark, FOLDER, "documents")
