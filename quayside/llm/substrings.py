@@ -6,8 +6,9 @@ others), a second pass joins the places to them. No place is left out by a sampl
 rule accepts is found, whatever its similarity: the recall is that of the rule, 1 but for collisions of 64-bit hashes.
 
 A place is repeated if its shingle also stands in an earlier place. A passage is a repeat if six sevenths of its shingles,
-which means a similarity of 0.75, are repeated, gaps included. The place with the smallest (doc_id, position) is the first
-and is not reported; null ids come before all others.
+which means a similarity of 0.75, are repeated, gaps included: a gap may be as long as a seventh of the whole run. Runs that
+hold the share are reported at their longest; two may overlap where their union does not hold it. The place with the smallest
+(doc_id, position) is the first and is not reported; null ids come before all others.
 
 Whole copies are one class; each but the smallest doc_id is reported as one passage. Texts of fewer words, null and empty
 texts have no passages. Repeated rows (same id, same text) are one document. Texts of any length are read whole.
@@ -27,7 +28,6 @@ from quayside.llm.registry import register
 
 SHINGLE, PASSAGE = 5, 50
 WIDTH = PASSAGE - SHINGLE + 1
-GAP = 2 * SHINGLE
 #: A place is (number of the class << PLACE_BITS) | position; the longest text that Spark holds has fewer words.
 PLACE_BITS = 30
 #: Hashes that a task holds before it sends them on, and that a bucket holds.
@@ -42,14 +42,23 @@ def text_shingles(texts: list[bytes]) -> tuple[list[np.ndarray], list[int]]:
 
 
 def passages(at: np.ndarray) -> list[tuple[int, int]]:
-    """Runs [first, last] of repeated places that make a passage: gaps of at most ``GAP``, six sevenths repeated."""
-    out = []
-    for part in np.split(at, np.flatnonzero(np.diff(at) > GAP + 1) + 1):
-        size = int(part[-1] - part[0]) + 1
-        if size >= WIDTH and 7 * len(part) >= 6 * size:
-            out.append((int(part[0]), int(part[-1])))
-        elif len(part) >= WIDTH:
-            out += [(int(p[0]), int(p[-1])) for p in np.split(part, np.flatnonzero(np.diff(part) > 1) + 1) if len(p) >= WIDTH]
+    """Runs [first, last] of at least ``WIDTH`` places that begin and end at one of the repeated places ``at`` (sorted), six
+    sevenths of them repeated: as few as hold every place of every such run, each the longest from its first place.
+
+    A run from the i-th to the j-th place holds six sevenths where 7j - 6at[j] >= 7i - 6at[i] - 1.
+    """
+    room = 7 * np.arange(len(at)) - 6 * at
+    best = np.maximum.accumulate(room[::-1])[::-1]  # falling, so the last place that reaches a bound is found by bisection
+    last = np.searchsorted(-best, 1 - room, side="right") - 1
+    first = np.flatnonzero(at[last] - at + 1 >= WIDTH)
+    ends = last[first]
+    further = np.flatnonzero(np.diff(np.maximum.accumulate(ends), prepend=-1) > 0)
+    first, ends = first[further], ends[further]
+    out, k = [], 0
+    while k < len(first):
+        out.append((int(at[first[k]]), int(at[ends[k]])))
+        reach = int(np.searchsorted(first, ends[k] + 1, side="right")) - 1  # the furthest that leaves no place out
+        k = max(reach, k + 1)
     return out
 
 

@@ -268,6 +268,22 @@ def test_edited_passages_are_all_found(spark):
     assert {(r.doc_id, r.first_doc_id, r.start) for r in got} == expected
 
 
+def test_passages_are_all_runs_that_hold_six_sevenths():
+    assert substrings.passages(np.r_[0:42, 54:96]) == [(0, 95)]  # eight neighbouring words of 100 replaced
+    runs = substrings.passages(np.r_[np.delete(np.arange(51), range(20, 25)), 61, 72, 83])  # a near copy, then stray places
+    assert len(runs) == 1 and runs[0][0] == 0 and runs[0][1] in (50, 61)
+    rng = random.Random(6)
+    for _ in range(400):
+        dense = [rng.choice((0.2, 0.8, 0.86, 0.95, 1)) for _ in range(5)]
+        at = [p for p in range(250) if rng.random() < dense[p // 50]]
+        valid = [(a, b) for i, a in enumerate(at) for j, b in enumerate(at[i:], 1) if b - a + 1 >= substrings.WIDTH and 7 * j >= 6 * (b - a + 1)]
+        got = substrings.passages(np.array(at, dtype=np.int64))
+        assert set(got) <= set(valid) and got == sorted(got)
+        assert {p for a, b in got for p in at if a <= p <= b} == {p for a, b in valid for p in at if a <= p <= b}
+        assert all(not (c <= a and b <= d) for a, b in got for c, d in valid if (a, b) != (c, d))
+        assert all(x[1] < z[0] for x, z in zip(got, got[2:]))
+
+
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = table(spark, FOLDER, "documents")
