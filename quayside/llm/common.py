@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quayside.session import cut_lineage, ship_package
 
-__all__ = ["table", "held_out", "words_of", "cut_lineage", "ship_package", "word_hashes", "shingle_hashes", "hash_pieces", "mix64"]
+__all__ = ["table", "held_out", "text_class", "words_of", "cut_lineage", "ship_package", "word_hashes", "shingle_hashes", "hash_pieces", "mix64"]
 
 U64 = np.uint64
 
@@ -22,6 +22,11 @@ def held_out(column, parts: int, remainder: int):
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(parts)) == remainder
 
 
+def text_class(column: str = "text"):
+    """A number for a text; null counts as empty."""
+    return F.xxhash64(F.md5(F.coalesce(F.col(column), F.lit("")).cast("binary")))
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Runs of anything but ASCII white space, as UTF-8 bytes; null and empty texts have none."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm.common import U64, cut_lineage, hash_pieces, mix64, shingle_hashes, ship_package, table, word_hashes
+from quayside.llm.common import U64, cut_lineage, hash_pieces, mix64, shingle_hashes, ship_package, table, text_class, word_hashes
 from quayside.llm.registry import register
 
 BANDS, ROWS = 36, 3
@@ -183,22 +183,23 @@ def sketches(docs: DataFrame) -> DataFrame:
     def sketch(batches):
         for rows, sets in each_text(batches):
             yield pd.DataFrame({
-                "doc_id": rows["doc_id"], "n": [len(s) for s in sets], "k": [class_key(s) for s in sets],
+                "doc_id": rows["doc_id"], "d": rows["d"], "n": [len(s) for s in sets], "k": [class_key(s) for s in sets],
                 "bands": [band_keys(s).view(np.int64) if len(s) else None for s in sets], "v": [count_vector(s) for s in sets],
             })
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(sketch, "doc_id long, n long, k long, bands array<long>, v binary")
+    return docs.select(F.col("doc_id").cast("long"), "text", text_class().alias("d")).mapInPandas(sketch, "doc_id long, d long, n long, k long, bands array<long>, v binary")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """k and the sorted set of the classes in ``wanted`` (doc_id of one member, k)."""
+    """k and the sorted set of the classes in ``wanted`` (doc_id and text class d of one member, k)."""
 
     def build(batches):
         for rows, sets in each_text(batches):
             match = [class_key(s) == k for s, k in zip(sets, rows["k"])]
             yield pd.DataFrame({"k": rows["k"][match], "s": [s.tobytes() for s, m in zip(sets, match) if m]})
 
-    near = docs.select(F.col("doc_id").cast("long"), "text").join(wanted.select(F.col("doc_id").alias("__d"), "k"), F.col("doc_id").eqNullSafe(F.col("__d")))
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", text_class().alias("d"))
+    near = keyed.join(wanted.select(F.col("doc_id").alias("__id"), F.col("d").alias("__d"), "k"), (F.col("d") == F.col("__d")) & F.col("doc_id").eqNullSafe(F.col("__id")))
     return near.select("text", "k").mapInPandas(build, "k long, s binary").groupBy("k").agg(F.first("s").alias("s"))
 
 
@@ -239,17 +240,22 @@ def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut_lineage(joined.select("k", F.coalesce("w", "l").alias("l")), "labels")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, one row per row."""
+def rank():
+    """The order in which rows stay: smallest id first, null ids last, then by text."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "d")
+
+
+def labelled_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, d (text class), n, component_id and kept (its component's first row has this id and text), one row per row."""
     known = cut_lineage(sketches(docs), "sketches")
-    classes = cut_lineage(known.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("v").alias("v")), "classes")
+    classes = cut_lineage(known.where("n > 0").groupBy("k").agg(F.min(rank()).alias("r"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("v").alias("v")).select("k", "r.doc_id", "r.d", "n", "bands", "v"), "classes")
     keys = classes.select("k", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = cut_lineage(keys.join(shared, "key"), "members")
     # The class with the fullest buckets is likeliest what the others are copies of.
     fullness = cut_lineage(members.groupBy("k").agg(F.sum("size").alias("full")), "fullness")
     members = cut_lineage(members.join(fullness, "k"), "members")
-    sets = cut_lineage(sets_of(docs, classes.join(fullness, "k").select("doc_id", "k")), "sets")
+    sets = cut_lineage(sets_of(docs, classes.join(fullness, "k").select("doc_id", "d", "k")), "sets")
 
     labels = fullness.select("k", F.col("k").alias("l"))
     for _ in range(STAR_ROUNDS):
@@ -285,17 +291,27 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     pairs = cut_lineage(dealt.groupBy("task").applyInPandas(join_blocks, "a long, b long").distinct(), "pairs")
     labels = relabel(labels, verify(pairs, sets))
 
-    first = classes.select("k", "doc_id").join(labels, "k", "left").select("k", "doc_id", F.coalesce("l", "k").alias("w"))
-    smallest = first.groupBy("w").agg(F.min("doc_id").alias("component_id"))
-    of_class = first.join(smallest, "w").select("k", "component_id")
-    joined = known.select("doc_id", "n", "k").join(of_class, "k", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    first = classes.select("k", "doc_id", "d").join(labels, "k", "left").select("k", "doc_id", "d", F.coalesce("l", "k").alias("w"))
+    smallest = first.groupBy("w").agg(F.min(rank()).alias("r"))
+    of_class = first.join(smallest, "w").select("k", "r")
+    joined = known.select("doc_id", "d", "n", "k").join(of_class, "k", "left")
+    kept = (F.col("n") == 0) | (F.col("doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d") == F.col("r.d")))
+    return joined.select("doc_id", "d", "n", F.when(F.col("n") > 0, F.col("r.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), kept.alias("kept"))
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, one row per row."""
+    return labelled_rows(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the row with the smallest id stays, of repeated rows one."""
-    found = jaccard_components(docs).where("n_shingles = 0 OR doc_id <=> component_id").select(F.col("doc_id").alias("__d")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__d"))).select(*[docs[c] for c in docs.columns]).dropDuplicates(["doc_id"])
+    """The rows of ``docs`` without near copies: of each component the row with the smallest id stays, of repeated rows one.
+
+    Rows are told apart by id and text, so different texts under a null or a repeated id stay."""
+    found = labelled_rows(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("d").alias("__d")).distinct()
+    keyed = docs.withColumn("__text", text_class())
+    joined = keyed.join(found, (F.col("__text") == F.col("__d")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
+    return joined.dropDuplicates(["doc_id", "__text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""

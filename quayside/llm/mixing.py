@@ -1,6 +1,6 @@
 """Mixing sources to target weights with hash-threshold histograms (operator 8).
 
-Each document has a 60-bit hash of its id. Per source, words are summed by the leading bits of the hash; the bucket in which
+Each document has a 60-bit hash of its id (in the pipeline, of its id and text). Per source, words are summed by the leading bits of the hash; the bucket in which
 the running sum crosses the budget is opened by the next bits, until it holds one hash value. What lies below the threshold
 is in, nothing is sorted. A target above the source's size becomes whole repeats of the source plus a threshold for the
 rest, so a larger budget always contains a smaller one. The crossing document itself is taken when that comes nearer.
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quayside.llm.common import cut_lineage, ship_package, table, words_of
+from quayside.llm.common import cut_lineage, ship_package, table, text_class, words_of
 from quayside.llm.registry import register
 
 HASH_BITS, LEVEL_BITS = 60, 12
@@ -37,12 +37,18 @@ def water_fill(sizes: list[int], weights: list[int], most: int) -> list[tuple[in
         capped |= over
 
 
-def mix_sources(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (how often the mix takes the row), taken (words), one row per row."""
+def mix_sources(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = 3, by_text: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies (how often the mix takes the row), taken (words), one row per row.
+
+    With ``by_text`` the hash is that of the id and the text, so texts under null and repeated ids are drawn one by one, and
+    the text's class d is a further column.
+    """
     spark = docs.sparkSession
     ship_package(spark)
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    sized = docs.select("doc_id", "source", F.pandas_udf(count_words, "long")("text").alias("size"), F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long").alias("h"))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    digest = F.md5((F.concat_ws(" ", own, F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))) if by_text else own).cast("binary"))
+    extra = ["d"] if by_text else []
+    sized = docs.withColumn("d", text_class()).select(*extra, "doc_id", "source", F.pandas_udf(count_words, "long")("text").alias("size"), F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long").alias("h"))
     sized = cut_lineage(sized, "mix")
 
     totals = sorted(((r.source, r.words) for r in sized.groupBy("source").agg(F.sum("size").alias("words")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
@@ -80,13 +86,13 @@ def mix_sources(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int =
 
     plan = spark.createDataFrame([(s["source"], s["words"], s["target"], s["whole"], s["limit"]) for s in state.values()], "s string, source_size long, target double, whole int, h_limit long")
     copies = F.col("whole") + (F.col("h") <= F.col("h_limit")).cast("int")
-    return sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).select(*extra, "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with their own columns."""
-    copies = mix_sources(docs).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "size", "copies").groupBy("__id", "__source").agg(F.max("copies").alias("__copies"))
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__source")))
+    copies = mix_sources(docs, by_text=True).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("d").alias("__d"), "copies").groupBy("__id", "__source", "__d").agg(F.max("copies").alias("__copies"))
+    joined = docs.join(copies, (text_class() == F.col("__d")) & docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__source")))
     return joined.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
 
 

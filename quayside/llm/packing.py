@@ -1,6 +1,7 @@
 """Packing documents into fixed-length token sequences: first-fit decreasing on a tournament tree (operator 4).
 
-Documents are dealt to randomised groups by the hash of their id, about ``group_docs`` each; every group packs alone. Whole
+Documents are dealt to randomised groups by the hash of their id, their text and, for repeated rows, their number in the
+task that tokenises them, so null and repeated ids spread like others; about ``group_docs`` each; every group packs alone. Whole
 lengths of ``width`` are cut off first, the rests are placed by first-fit decreasing: a tournament tree over the rooms of
 the bins finds the first bin that still takes a rest. Then the emptiest bins are cut up to fill the gaps of the fuller ones,
 and the last bin's rest is cut at powers of two, which need no padding.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm.common import ship_package, table, words_of
+from quayside.llm.common import ship_package, table, text_class, words_of
 from quayside.llm.registry import register
 
 CACHE_WORDS = 500_000
@@ -179,22 +181,27 @@ def pack(lengths: list[int], width: int) -> list[list[tuple[int, int, int]]]:
 
 
 def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """doc_id and the ids of every text with the end token, as bytes."""
+    """doc_id, the ids of every text with the end token, as bytes, d (text class) and nth (of the task's rows of that id and text)."""
     ship_package(docs.sparkSession)
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter = Counter()
         for batch in batches:
+            nth = []
+            for key in zip(batch["doc_id"].astype("Int64").fillna(-1), batch["d"]):
+                nth.append(seen[hash(key)])
+                seen[hash(key)] += 1
             narrow = [np.frombuffer(x + tail, "<u4") for x in encode_words(path, list(batch["text"]))]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [x.astype("<u2" if x.max() < 1 << 16 else "<u4").tobytes() for x in narrow], "wide": [bool(x.max() >= 1 << 16) for x in narrow]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [x.astype("<u2" if x.max() < 1 << 16 else "<u4").tobytes() for x in narrow], "wide": [bool(x.max() >= 1 << 16) for x in narrow], "d": batch["d"], "nth": nth})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, ids binary, wide boolean")
+    return docs.select(F.col("doc_id").cast("long"), "text", text_class().alias("d")).mapInPandas(run, "doc_id long, ids binary, wide boolean, d long, nth long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end: int = 2, width: int = 4096, group_docs: int = 2_000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset."""
     groups = max(1, -(-docs.count() // group_docs))
-    dealt = tokenised(docs, tokenizer, end).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    dealt = tokenised(docs, tokenizer, end).withColumn("part", F.pmod(F.xxhash64("doc_id", "d", "nth"), F.lit(groups))).drop("d", "nth")
 
     def pack_group(group: pd.DataFrame) -> pd.DataFrame:
         ids = [np.frombuffer(x, "<u4" if wide else "<u2").astype("<u4") for x, wide in zip(group["ids"], group["wide"])]

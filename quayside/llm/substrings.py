@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm.common import cut_lineage, hash_pieces, shingle_hashes, ship_package, table, word_hashes, words_of
+from quayside.llm.common import cut_lineage, hash_pieces, shingle_hashes, ship_package, table, text_class, word_hashes, words_of
 from quayside.llm.registry import register
 
 SHINGLE, PASSAGE = 5, 50
@@ -63,16 +63,13 @@ def passages(at: np.ndarray) -> list[tuple[int, int]]:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps whose tables are written."""
+    """Let Spark drop the shuffle files of steps whose tables are written; its cleaner works beside the jobs, so give it time."""
     import gc
+    import time
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-
-
-def text_class(column: str = "text"):
-    """A number for a text; null counts as empty."""
-    return F.xxhash64(F.md5(F.coalesce(F.col(column), F.lit("")).cast("binary")))
+    time.sleep(3)
 
 
 def numbered(found: DataFrame) -> DataFrame:
@@ -125,6 +122,7 @@ def find_passages(docs: DataFrame) -> DataFrame:
     """doc_id, d (class of the text), start and n_words (in words), first_doc_id, first_start, repeated (share of shingles)."""
     spark = docs.sparkSession
     ship_package(spark)
+    release(spark)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_class().alias("d"))
 
     def count(texts: pd.Series) -> pd.Series:

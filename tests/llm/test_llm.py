@@ -284,6 +284,26 @@ def test_passages_are_all_runs_that_hold_six_sevenths():
         assert all(x[1] < z[0] for x, z in zip(got, got[2:]))
 
 
+def test_null_and_repeated_ids_keep_their_texts(spark):
+    """A third of the rows without an id, two texts under one id, copies and null texts: nothing but near copies goes."""
+    rows = [(None if k % 3 == 0 else k // 2 if k % 3 == 1 else k, text_of(k, 60)) for k in range(90)]
+    copies = [(None, rows[0][1]), (None, rows[3][1] + " tail"), (500, rows[6][1]), (500, None), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows + copies], "doc_id long, text string, source string")
+    kept = jaccard.one_per_group(docs)
+    got = Counter((r.doc_id, r.text or "") for r in kept.collect())
+    expected = Counter(rows + [(500, rows[6][1]), (500, ""), (None, "")])
+    del expected[None, rows[6][1]]  # a copy with an id comes first
+    tails = {(None, rows[3][1]), (None, rows[3][1] + " tail")}
+    assert sum(got[t] for t in tails) == 1
+    assert {t: n for t, n in got.items() if t not in tails} == {t: n for t, n in expected.items() if t not in tails}
+
+    many = spark.createDataFrame([(None, text_of(k, 30), "ab"[k % 2]) for k in range(200)] + [(None, "x y", "a")] * 20, docs.schema)
+    pieces = packing.pack_documents(many, packing.default_tokenizer(), group_docs=20).collect()
+    assert len({p.sequence_id >> 32 for p in pieces}) > 5
+    taken = Counter(r.text for r in mixing.mixed(many).where("source = 'a'").collect())
+    assert len(taken) > 20 and 0 < sum(n * len(t.split()) for t, n in taken.items()) < 3040  # part of the source, not all or nothing
+
+
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = table(spark, FOLDER, "documents")
