@@ -58,5 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Learning, min-hashes and tokenizers have no SQL; tests hold the stages against brute-force versions.
+#: Learning, min-hashes and tokenizers have no SQL.
 ORACLE_SQL = None
