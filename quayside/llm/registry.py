@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["toxicity", "html", "quality", "packing", "mixture_lm", "topk", "jaccard", "mixing", "substrings", "tokens"]
+MODULES = ["toxicity", "html", "quality", "packing", "mixture_lm", "topk", "jaccard", "mixing", "substrings", "tokens", "warc", "merkle", "spelling"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
