@@ -1,13 +1,17 @@
 """Rule matching over source lines: malware, secrets, tokens, scripts.
 
-A file is one row; its lines stay an array until only the lines worth a look are left, so numbering, context and the
-prefilter need neither a shuffle nor a window over a file that may be very large. Rules are data: an array literal in
-the plan. A line meets a rule's regex only if it contains one of the rule's literal needles.
+A rulebook is compiled into the plan. A line is looked at once with one constant pattern that holds the needles of all rules;
+only lines with a needle go on, and there each rule is one constant pattern of its own behind its own needles. Constant
+patterns are compiled once per task, not per line. Lines, numbers and context come from the file's own row, so nothing is
+shuffled and no window is laid over a file that may be very large.
 """
 
 from __future__ import annotations
 
 import json
+import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,16 +21,50 @@ from quayside.functions.text import mask_value
 from quayside.operators.matching import severity_rank
 from quayside.session import fixed_dim
 
-RULE_DDL = (
-    "array<struct<rule_id string, name string, pattern string, threat_level string, malware_type string, "
-    "cve_ids array<string>, needles array<string>>>"
-)
+RULE_DDL = "array<struct<rule_id string, name string, threat_level string, malware_type string, cve_ids array<string>>>"
+
+
+def needles_of(rule: dict) -> list[str]:
+    return [n.lower() for n in rule.get("needles", [])]
+
+
+def alternation(texts: list[str], guards: int = 6) -> str:
+    """One pattern for any of several lower-case texts, as a tree of their common beginnings.
+
+    The first letters are split into guarded groups, so that a place where nothing begins is left after a few tests
+    instead of one per text.
+    """
+
+    def branch(rest: list[str]) -> str:
+        if "" in rest:
+            return ""
+        by_first: dict[str, list[str]] = {}
+        for t in rest:
+            by_first.setdefault(t[0], []).append(t[1:])
+        parts = [re.escape(c) + branch(more) for c, more in sorted(by_first.items())]
+        return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+    texts = sorted(set(texts))
+    firsts = sorted({t[0] for t in texts})
+    step = -(-len(firsts) // guards)
+    groups = [firsts[i : i + step] for i in range(0, len(firsts), step)]
+    return "|".join("(?=[" + "".join(map(re.escape, g)) + "])" + branch([t for t in texts if t[0] in g]) for g in groups)
+
+
+def may_match(lowered: Column, rules: list[dict]) -> Column:
+    """Whether a line can match any rule at all; a rule without needles lets every line through."""
+    if not rules or any(not needles_of(r) for r in rules):
+        return F.lit(bool(rules))
+    return lowered.rlike(alternation([n for r in rules for n in needles_of(r)]))
+
+
+def has_needle(lowered: Column, rule: dict) -> Column:
+    return reduce(or_, [F.contains(lowered, F.lit(n)) for n in needles_of(rule)], F.lit(not needles_of(rule)))
 
 
 def rule_array(rules: list[dict]) -> Column:
-    """The rulebook as one constant; a rule without needles is tried on every line."""
-    lowered = [{**r, "cve_ids": r.get("cve_ids", []), "needles": [n.lower() for n in r.get("needles", [])]} for r in rules]
-    return F.from_json(F.lit(json.dumps(lowered)), RULE_DDL)
+    """What is told about each rule, as one constant."""
+    return F.from_json(F.lit(json.dumps([{**r, "cve_ids": r.get("cve_ids", [])} for r in rules])), RULE_DDL)
 
 
 def add_rule(rules: list[dict], rule: dict) -> list[dict]:
@@ -48,37 +86,38 @@ def source_lines(files: DataFrame) -> DataFrame:
 
 
 def candidate_lines(files: DataFrame, rules: list[dict], context: int = 0) -> DataFrame:
-    """Lines that contain a needle of at least one rule, with those rules and optional context lines."""
+    """Lines that contain a needle of at least one rule, in lower case too, with optional context lines."""
     keep = [c for c in files.columns if c != "content"]
-    lined = files.withColumn("_lines", F.split("content", "\n")).withColumn("_rules", rule_array(rules))
-    hit = (
-        "filter(transform(_lines, (l, i) -> named_struct('line_no', bigint(i + 1), 'line', l, 'rules', "
-        "transform(array(lower(l)), low -> filter(_rules, r -> size(r.needles) = 0 OR exists(r.needles, n -> contains(low, n))))[0])), "
-        "h -> size(h.rules) > 0)"
+    lines = F.split("content", "\n")
+    if not context:
+        rows = files.select(*keep, F.posexplode(lines).alias("_pos", "line"))
+        return rows.where(may_match(F.lower("line"), rules)).select(*keep, (F.col("_pos") + 1).cast("bigint").alias("line_no"), "line", F.lower("line").alias("_low"))
+    # the same array moved by one place and more: a line's neighbours stand in its struct, without a window over the file
+    near = range(1, context + 1)
+    before = [F.slice(F.concat(F.array_repeat(F.lit(None).cast("string"), k), lines), F.lit(1), F.size(lines)).alias(f"b{k}") for k in near]
+    after = [F.slice(lines, F.lit(k + 1), F.size(lines)).alias(f"a{k}") for k in near]
+    rows = files.select(*keep, F.posexplode(F.arrays_zip(lines.alias("l"), *before, *after)).alias("_pos", "_l")).select(*keep, "_pos", "_l.*")
+    below = reduce(lambda n, k: n + F.col(f"a{k}").isNotNull().cast("int"), near, F.lit(0))
+    return rows.where(may_match(F.lower("l"), rules)).select(
+        *keep, (F.col("_pos") + 1).cast("bigint").alias("line_no"), F.col("l").alias("line"), F.lower("l").alias("_low"),
+        F.slice(F.array(*[f"b{k}" for k in near][::-1]), context + 1 - F.least(F.col("_pos"), F.lit(context)), F.least(F.col("_pos"), F.lit(context))).alias("context_before"),
+        F.slice(F.array(*[f"a{k}" for k in near]), F.lit(1), below).alias("context_after"),
     )
-    fields = ["h.line_no AS line_no", "h.line AS line", "h.rules AS rules"]
-    if context:
-        before = f"slice(_lines, int(greatest(h.line_no - {context}, 1)), int(least(h.line_no - 1, {context})))"
-        after = f"slice(_lines, int(h.line_no + 1), {context})"
-        hit = (
-            f"transform({hit}, h -> named_struct('line_no', h.line_no, 'line', h.line, 'rules', h.rules, "
-            f"'context_before', {before}, 'context_after', {after}))"
-        )
-        fields += ["h.context_before AS context_before", "h.context_after AS context_after"]
-    # the array is built inside explode: as a column of its own it would be computed again by an inferred size filter
-    return lined.select(*keep, F.explode(F.expr(hit)).alias("h")).selectExpr(*keep, *fields)
 
 
 def rule_matches(files: DataFrame, rules: list[dict] | None = None, context: int = 0) -> DataFrame:
     """One row per match of a rule on a line: all non-overlapping matches, ignoring case."""
-    lines = candidate_lines(files, book.RULES if rules is None else rules, context)
-    pairs = lines.withColumn("r", F.explode("rules")).drop("rules")
-    texts = F.expr("regexp_extract_all(line, concat('(?i)', r.pattern), 0)")
-    matched = pairs.select("*", F.posexplode(texts).alias("match_no", "matched_text"))
-    return matched.select(
-        *[c for c in pairs.columns if c != "r"], "match_no", "matched_text",
-        "r.rule_id", "r.name", "r.threat_level", "r.malware_type", "r.cve_ids",
-    )
+    rules = book.RULES if rules is None else rules
+    lines = candidate_lines(files, rules, context)
+    keep = [c for c in lines.columns if c != "_low"]
+    if not rules:
+        return lines.select(*keep, F.lit(0).alias("match_no"), F.lit("").alias("matched_text"), *[F.lit("").alias(c) for c in ("rule_id", "name", "threat_level", "malware_type")], F.array(F.lit("")).alias("cve_ids"))
+    texts = [F.when(has_needle(F.col("_low"), r), F.regexp_extract_all("line", F.lit("(?i)" + r["pattern"]), F.lit(0))).alias(f"_m{i}") for i, r in enumerate(rules)]
+    found = lines.select(*keep, *texts)
+    hits = F.array(*[F.when(F.size(f"_m{i}") > 0, F.struct(F.lit(i).alias("rule"), F.col(f"_m{i}").alias("texts"))) for i in range(len(rules))])
+    pairs = found.select(*keep, F.explode(hits).alias("_h")).where("_h IS NOT NULL")
+    matched = pairs.select(*keep, F.posexplode("_h.texts").alias("match_no", "matched_text"), F.element_at(rule_array(rules), F.col("_h.rule") + 1).alias("_r"))
+    return matched.select(*keep, "match_no", "matched_text", "_r.rule_id", "_r.name", "_r.threat_level", "_r.malware_type", "_r.cve_ids")
 
 
 def secret_rules() -> list[dict]:
@@ -178,19 +217,25 @@ def critical_files(matches: DataFrame) -> DataFrame:
 
 
 def neutralise(files: DataFrame, rules: list[dict] | None = None, mark: str = "// [removed] ") -> DataFrame:
-    """new content with every matched line commented out; other lines stay. Done on the file's own row."""
-    lined = files.withColumn("_lines", F.split("content", "\n")).withColumn("_rules", rule_array(book.RULES if rules is None else rules))
-    hit = (
-        "transform(array(lower(l)), low -> exists(_rules, r -> (size(r.needles) = 0 OR exists(r.needles, n -> contains(low, n))) "
-        "AND l rlike concat('(?i)', r.pattern)))[0]"
-    )
-    marked = lined.withColumn("_mark", F.lit(mark)).withColumn(
-        "_new", F.expr(f"transform(_lines, l -> if({hit}, concat(_mark, l), l))")
-    )
+    """new content with every matched line commented out; other lines stay.
+
+    Done on the file's own row, because putting lines together again would shuffle the text. A file without any needle is
+    left as it is; in the others a line meets the rules' constant patterns only if it has a needle itself.
+    """
+    rules = book.RULES if rules is None else rules
+
+    def hit(line: Column) -> Column:
+        low = F.lower(line)
+        return may_match(low, rules) & reduce(or_, [has_needle(low, r) & line.rlike("(?i)" + r["pattern"]) for r in rules], F.lit(False))
+
+    lines = F.split("content", "\n")
+    cleaned = F.transform(lines, lambda l: F.struct(hit(l).alias("hit"), l.alias("line")))
+    marked = files.withColumn("_lines", F.when(may_match(F.lower("content"), rules), cleaned))
+    new = F.array_join(F.transform("_lines", lambda x: F.when(x["hit"], F.concat(F.lit(mark), x["line"])).otherwise(x["line"])), "\n")
     return (
-        marked.withColumn("cleaned_lines", F.expr("size(filter(_new, l -> startswith(l, _mark)))"))
-        .withColumn("new_content", F.array_join("_new", "\n"))
-        .drop("_lines", "_rules", "_mark", "_new", "content")
+        marked.withColumn("cleaned_lines", F.coalesce(F.size(F.filter("_lines", lambda x: x["hit"])), F.lit(0)))
+        .withColumn("new_content", F.coalesce(new, "content"))
+        .drop("_lines", "content")
     )
 
 

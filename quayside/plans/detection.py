@@ -9,21 +9,28 @@ from quayside.functions.text import fingerprint, mask_value, match_all, shannon_
 from quayside.operators import detection as d
 from quayside.plans.registry import Tables, register, sql_rows, sql_text
 
-PLAIN_RULES = [r for r in book.RULES if r["rule_id"] not in book.LOOKAHEAD_RULES]
+# The SQL engine has no lookahead. The same matches without it: the group is the match, what follows it is looked at.
+# White space before the look can be given back, so only a quote that stands directly behind the last sign is refused.
+WITHOUT_LOOKAHEAD = {
+    "XSS-001": r"""(\.innerHTML\s*=(?:[^;'"][^;]*)?(?:req\.|user|input|\+))""",
+    "XSS-003": r"""(dangerouslySetInnerHTML\s*=\s*\{\s*\{\s*__html\s*:\s*)(?:[^'"\s]|$|\s['"])""",
+    "TYPOSQUAT-003": r'("(?:angular-|react-native-|vue-|next-)[a-z]+-[a-z]+-[a-z]+")',
+}
 
 
 def sql_matches(rules: list[dict], source: str, columns: str) -> str:
     """All matches of every rule over a table of lines: one SELECT per rule keeps its pattern constant."""
     return " UNION ALL ".join(
         f"SELECT {columns}, {sql_text(r['rule_id'])} AS rule_id, {sql_text(r['name'])} AS name, {sql_text(r['threat_level'])} AS threat_level, "
-        f"{sql_text(r['malware_type'])} AS malware_type, unnest(regexp_extract_all(line, {sql_text(r['pattern'])}, 0, 'i')) AS matched_text "
+        f"{sql_text(r['malware_type'])} AS malware_type, "
+        f"unnest(regexp_extract_all(line, {sql_text(WITHOUT_LOOKAHEAD.get(r['rule_id'], r['pattern']))}, {int(r['rule_id'] in WITHOUT_LOOKAHEAD)}, 'i')) AS matched_text "
         f"FROM {source}"
         for r in rules
     )
 
 
 LINES = "SELECT l.file_id, f.project_id, f.path, line_no, line FROM v_lines l JOIN v_files f ON l.file_id = f.file_id"
-MATCHES = {"all_lines": LINES, "matches": sql_matches(PLAIN_RULES, "all_lines", "file_id, project_id, path, line_no, line")}
+MATCHES = {"all_lines": LINES, "matches": sql_matches(book.RULES, "all_lines", "file_id, project_id, path, line_no, line")}
 
 
 def files(t: Tables):
@@ -38,21 +45,22 @@ def source_lines(t: Tables):
 
 @register("j22_rule_match", "SELECT file_id, path, line_no, rule_id, threat_level, malware_type, matched_text FROM matches", MATCHES)
 def rule_match(t: Tables):
-    found = d.rule_matches(files(t), PLAIN_RULES)
+    found = d.rule_matches(files(t))
     return found.select("file_id", "path", "line_no", "rule_id", "threat_level", "malware_type", "matched_text")
 
 
-@register("j22_rule_match_full_book")
+@register("j22_rule_match_full_book", "SELECT rule_id, threat_level, count(*) AS n FROM matches GROUP BY ALL", MATCHES)
 def rule_match_full_book(t: Tables):
-    """All 72 rules, with the three that need lookaround."""
+    """How often each of the 72 rules matches."""
     return d.rule_matches(files(t)).groupBy("rule_id", "threat_level").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("j22_rule_match_conversations", f"""SELECT rule_id, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM (
-  {sql_matches(PLAIN_RULES, "(SELECT conv_id, unnest(string_split(text, chr(10))) AS line FROM conversations)", "conv_id")}) GROUP BY rule_id""")
+@register("j22_rule_match_conversations", "SELECT rule_id, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM said GROUP BY rule_id", {
+    "said": sql_matches(book.RULES, "(SELECT conv_id, unnest(string_split(content, chr(10))) AS line FROM v_messages)", "conv_id")})
 def rule_match_conversations(t: Tables):
-    talk = t.base("conversations").select(F.col("conv_id"), F.col("text").alias("content"))
-    return d.rule_matches(talk, PLAIN_RULES).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("conv_id").alias("conversations"))
+    """Code that is pasted into conversations."""
+    found = d.rule_matches(t.view("v_messages"))
+    return found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("conv_id").alias("conversations"))
 
 
 MASK = "CASE WHEN length({v}) <= 8 THEN repeat('*', length({v})) ELSE left({v}, 4) || repeat('*', length({v}) - 8) || right({v}, 4) END"
@@ -72,7 +80,7 @@ def secret_match(t: Tables):
 @register("j25_explanation_enrich", "SELECT file_id, line_no, rule_id, explanation, remediation FROM matches LEFT JOIN advice USING (malware_type)",
           MATCHES | {"advice": sql_rows(["malware_type", "explanation", "remediation"], [[k, *v] for k, v in book.ADVICE.items()])})
 def explanation_enrich(t: Tables):
-    return d.explain(d.rule_matches(files(t), PLAIN_RULES)).select("file_id", "line_no", "rule_id", "explanation", "remediation")
+    return d.explain(d.rule_matches(files(t))).select("file_id", "line_no", "rule_id", "explanation", "remediation")
 
 
 @register("w4_context_lines", """WITH ctx AS (SELECT file_id, line_no,
@@ -81,7 +89,7 @@ def explanation_enrich(t: Tables):
   SELECT m.file_id, m.line_no, rule_id, md5(coalesce(before, '')) AS before_hash, md5(coalesce(after, '')) AS after_hash
   FROM matches m JOIN ctx USING (file_id, line_no)""", MATCHES)
 def context_lines(t: Tables):
-    found = d.rule_matches(files(t), PLAIN_RULES, context=3)
+    found = d.rule_matches(files(t), context=3)
     return found.select("file_id", "line_no", "rule_id", F.md5(F.array_join("context_before", "\n")).alias("before_hash"),
                         F.md5(F.array_join("context_after", "\n")).alias("after_hash"))
 
@@ -93,20 +101,21 @@ def context_lines(t: Tables):
     CAST(sum(high) AS BIGINT) AS high, CAST(sum(medium) AS BIGINT) AS medium, count(*) FILTER (critical > 0) AS critical_files
   FROM per_file GROUP BY ROLLUP (project_id)""", MATCHES)
 def threat_report(t: Tables):
-    return d.threat_report(d.rule_matches(files(t), PLAIN_RULES), files(t))
+    return d.threat_report(d.rule_matches(files(t)), files(t))
 
 
 @register("a18_critical_files", "SELECT project_id, path, count(*) AS critical FROM matches WHERE threat_level = 'CRITICAL' GROUP BY ALL", MATCHES)
 def critical_files(t: Tables):
-    return d.critical_files(d.rule_matches(files(t), PLAIN_RULES))
+    return d.critical_files(d.rule_matches(files(t)))
+
+
+CUSTOM = {"rule_id": "CUSTOM-001", "name": "Items", "pattern": "items[.]length", "threat_level": "LOW", "malware_type": "Custom", "needles": ["items"]}
 
 
 @register("x2_rule_registry", f"""SELECT rule_id, count(*) AS n FROM (
-  {sql_matches([{"rule_id": "CUSTOM-001", "name": "Items", "pattern": "items[.]length", "threat_level": "LOW", "malware_type": "Custom"}] + [r for r in PLAIN_RULES if r["threat_level"] == "MEDIUM"], "v_lines", "file_id")}) GROUP BY rule_id""")
+  {sql_matches([CUSTOM] + book.RULES, "v_lines", "file_id")}) GROUP BY rule_id""")
 def rule_registry(t: Tables):
-    rules = d.add_rule([r for r in PLAIN_RULES if r["threat_level"] == "MEDIUM"],
-                       {"rule_id": "CUSTOM-001", "name": "Items", "pattern": "items[.]length", "threat_level": "LOW", "malware_type": "Custom"})
-    return d.rule_matches(files(t), rules).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+    return d.rule_matches(files(t), d.add_rule(book.RULES, CUSTOM)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("f1_match_all", """SELECT file_id, unnest(regexp_extract_all(content, '[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}', 0)) AS address FROM v_files""")
@@ -118,7 +127,7 @@ def match_all_addresses(t: Tables):
 @register("f2_fingerprint", """SELECT file_id, line_no, rule_id, left(sha256(concat_ws(':', rule_id, path, CAST(line_no AS VARCHAR), name)), 16) AS fingerprint,
   md5(line) AS line_md5 FROM matches""", MATCHES)
 def fingerprints(t: Tables):
-    found = d.rule_matches(files(t), PLAIN_RULES)
+    found = d.rule_matches(files(t))
     mark = fingerprint(F.col("rule_id"), F.col("path"), F.col("line_no").cast("string"), F.col("name"))
     return found.select("file_id", "line_no", "rule_id", mark.alias("fingerprint"), F.md5("line").alias("line_md5"))
 
@@ -184,4 +193,4 @@ def proxy_exposure(t: Tables):
         FROM v_lines l LEFT JOIN hit h ON l.file_id = h.file_id AND l.line_no = h.line_no)
   SELECT file_id, count(*) FILTER (marked)::INT AS cleaned_lines, md5(string_agg(line, chr(10) ORDER BY line_no)) AS content_hash FROM n GROUP BY file_id""", MATCHES)
 def neutralise_lines(t: Tables):
-    return d.neutralise(files(t), PLAIN_RULES).select("file_id", "cleaned_lines", F.md5("new_content").alias("content_hash"))
+    return d.neutralise(files(t)).select("file_id", "cleaned_lines", F.md5("new_content").alias("content_hash"))

@@ -10,7 +10,7 @@ from quayside.functions.text import FEED_SEVERITY, SARIF_LEVEL, SARIF_SCORE, loo
 from quayside.functions.versions import bump_spec, runtime_requirement
 from quayside.operators import detection, diffs, fixes, matching, paths, reports, scoring
 from quayside.operators.evidence import indicator_files
-from quayside.plans.detection import LINES, PLAIN_RULES, sql_matches
+from quayside.plans.detection import LINES, sql_matches
 from quayside.plans.hygiene import CONTEXT, SKIP, usage_files
 from quayside.plans.matching import ctes, dep_matches
 from quayside.plans.registry import Tables, register, sql_rows, sql_text
@@ -41,7 +41,7 @@ def config_score(t: Tables):
 
 SCORE_CTES = ctes("deps_k", "adv_k") | {
     "all_lines": LINES,
-    "matches": sql_matches(PLAIN_RULES, "all_lines", "file_id, line_no"),
+    "matches": sql_matches(book.RULES, "all_lines", "file_id, line_no"),
     "secret_hits": sql_matches(detection.secret_rules(), "all_lines", "file_id, line_no"),
     "impacts": f"""SELECT project_id, 'vulnerabilities' AS category, {case_of('severity', scoring.IMPACT['vulnerabilities'], '0')} AS impact
         FROM deps_k d JOIN adv_k a ON d.package = a.package AND k >= lo AND k < hi
@@ -60,7 +60,7 @@ def project_scores(t: Tables):
     projects = t.base("orders").select(F.col("o_orderkey").alias("project_id"))
     sources = t.view("v_files").select("file_id", "content")
     fields = [r for r in detection.secret_rules() if r["rule_id"].startswith("TOKEN-")]
-    matches = detection.rule_matches(sources, PLAIN_RULES + fields).withColumnRenamed("file_id", "project_id")
+    matches = detection.rule_matches(sources, book.RULES + fields).withColumnRenamed("file_id", "project_id")
     flags = scoring.config_flags(usage_files(t), t.view("v_scripts"))
     return scoring.category_scores(
         projects,
