@@ -77,27 +77,38 @@ def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"bytes": out})
 
 
-def record_name(id_column, row_column):
-    return F.concat(F.lit("urn:page:"), F.coalesce(id_column.cast("string"), F.lit("")), F.lit(":"), row_column.cast("string"))
+def name_of(id_column, rest):
+    return F.concat(F.lit("urn:page:"), F.coalesce(id_column.cast("string"), F.lit("")), F.lit(":"), rest)
 
 
 def deduplicated(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """name, url, html, digest, size, kind, refers: what each record holds."""
+    """name, url, html, digest, size, kind, refers: what each record holds.
+
+    The response of a payload is the row with the largest (id, url). Rows equal in both are told apart by nothing, so they
+    are counted and folded, and come out as one response and the revisits that are left.
+    """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = cut_lineage(
-        pages.select("page_id", "url", "html").select("*", F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("size")).withColumn("row", F.monotonically_increasing_id()),
-        "payloads",
-    )
-    long_ones = rows.where(F.col("size") >= least)
-    groups = long_ones.groupBy("digest", "size").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("page_id", "row")).alias("best")).where("n > 1")
+    rows = pages.select("page_id", "url", "html", F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("size"))
+    alike = rows.where(F.col("size") >= least).groupBy("digest", "size", "page_id", "url").agg(F.count(F.lit(1)).alias("k"))
+    groups = alike.groupBy(F.col("digest").alias("d"), F.col("size").alias("s")).agg(F.sum("k").alias("n"), F.max(F.struct("page_id", "url", "k")).alias("best"))
+    groups = cut_lineage(groups.where("n > 1").drop("n"), "payloads")
     # a payload that very many rows share is dealt to several tasks
-    groups = groups.select(F.col("digest").alias("d"), F.col("size").alias("s"), "best", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    same = (F.col("digest") == F.col("d")) & (F.col("size") == F.col("s")) & (F.pmod("row", F.lit(SALTS)) == F.col("salt"))
-    revisit = F.col("best.row") != F.col("row")
-    return rows.join(groups, same, "left").select(
-        record_name(F.col("page_id"), F.col("row")).alias("name"), "url", "html", "digest", "size",
-        F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, record_name(F.col("best.page_id"), F.col("best.row"))).alias("refers"),
-    )
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same = (F.col("digest") == F.col("d")) & (F.col("size") == F.col("s")) & (F.col("own_salt") == F.col("salt"))
+    joined = rows.withColumn("own_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, same, "left")
+    first = F.coalesce(F.col("best").isNotNull() & F.col("page_id").eqNullSafe(F.col("best.page_id")) & F.col("url").eqNullSafe(F.col("best.url")), F.lit(False))
+    joined = joined.withColumn("kind", F.when(first | F.col("best").isNull(), "response").otherwise("revisit"))
+    kept = ["page_id", "url", "html", "digest", "size", "kind", "best"]
+    whole = joined.select(*kept)
+    if not groups.where("best.k > 1").isEmpty():
+        twin = first & (F.col("best.k") > 1)
+        folded = joined.where(twin).groupBy("page_id", "url", "digest", "size").agg(F.first("html").alias("html"), F.first("best").alias("best"))
+        folded = folded.withColumn("kind", F.explode(F.concat(F.array(F.lit("response")), F.array_repeat(F.lit("revisit"), (F.col("best.k") - 1).cast("int")))))
+        whole = joined.where(~twin).select(*kept).unionByName(folded.select(*kept))
+    shared = name_of(F.col("best.page_id"), F.col("digest"))
+    revisit = F.col("kind") == "revisit"
+    name = F.when(revisit | F.col("best").isNull(), name_of(F.col("page_id"), F.uuid())).otherwise(shared)
+    return whole.select(name.alias("name"), "url", F.when(~revisit, F.col("html")).alias("html"), "digest", "size", "kind", F.when(revisit, shared).alias("refers"))
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 1000) -> None:
@@ -253,7 +264,8 @@ def read_archives(spark: SparkSession, path: str, range_bytes: int = 64 << 20, w
     files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
     starts = F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))
     ranges = files.select("path", "length", F.explode(starts).alias("start")).select("path", "start", F.least("length", F.col("start") + range_bytes).alias("stop"))
-    return ranges.repartition(F.col("path"), F.col("start")).mapInPandas(range_reader(with_payload), RECORD)
+    # as many tasks as ranges: by size alone Spark would put these few rows into one
+    return ranges.repartition(max(1, ranges.count())).mapInPandas(range_reader(with_payload), RECORD)
 
 
 def id_of(urn_column):
