@@ -3,10 +3,11 @@ r"""Spelling variants of one word, by asymmetric q-chunks (operator 13).
 Words are counted over the whole corpus before anything else, so that a word is one row however often it occurs. Two words
 are near if one inserted, deleted or replaced code point tells them apart. Of such a pair the shorter one (of two equally
 long ones, the smaller) is cut into two disjoint chunks, its first half and its rest; the other one gives its positional
-grams. One edit lies in at most one of the chunks, so the other one is left whole and stands at its own place or one beside
-it: words meet by an equi-join on (length of the cut word, chunk, its characters), with a row for each of the three shifts.
-The join itself verifies by edit distance, so pairs that only share a chunk never leave it; Spark splits chunks that very
-many words share (adaptive skew join), because the join is an inner one with nothing behind it on the same key.
+grams. One edit lies in at most one of the chunks, so the other one is left whole and stands at its own place (the head) or
+as far from the end (the tail), which is a shift of at most one. The chunk that holds the edit has two halves in turn, of
+which one is whole: a key is a whole chunk and one half of the other, so words that only begin or end alike do not meet.
+Words join on the key, and the join itself verifies by edit distance, so no other pair leaves it. Keys that very many words
+share are split by Spark (adaptive skew join), because the join is an inner one with nothing behind it on the same key.
 
 A word's form is its near word of largest count (ties: smallest in code-point order) if that is at least ``ratio`` times its
 own count. Counts grow by ``ratio`` along a chain of forms, which bounds its length; roots come from pointer doubling.
@@ -47,29 +48,33 @@ def count_words(docs: DataFrame, shortest: int = 7, least: int = 2, every: int =
     return words.where(F.length("word") >= shortest).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
-def chunk_key(size, part: int, characters):
-    return F.xxhash64(size.cast("int"), F.lit(part), characters)
+def keys(word, size):
+    """The four keys of ``word`` as one of a pair whose shorter word has ``size`` code points.
+
+    The first two hold the head chunk, the others the tail chunk, each with one half of the rest. A head piece stands at
+    the same place in both words, a tail piece is as far from the end in both.
+    """
+    head = F.floor(size / 2).cast("int")
+    tail = size - head
+    half, other = F.floor(tail / 2).cast("int"), F.floor(head / 2).cast("int")
+    pieces = [(head + half, F.lit(0)), (head, tail - half), (other, tail), (F.lit(0), size - other)]
+    return [F.xxhash64(size, F.lit(i), F.left(word, front), F.right(word, back)) for i, (front, back) in enumerate(pieces)]
 
 
 def chunks(words: DataFrame) -> DataFrame:
-    """key, short, short_n: the two disjoint chunks of each word."""
-    size = F.length("word")
-    half = F.floor(size / 2).cast("int")
-    both = F.array(chunk_key(size, 0, F.substring("word", F.lit(1), half)), chunk_key(size, 1, F.substring("word", half + 1, size)))
-    return words.select(F.explode(both).alias("key"), F.col("word").alias("short"), F.col("n").alias("short_n"))
+    """key, short, short_n: each word's two disjoint chunks, each with either half of the rest."""
+    return words.select(F.explode(F.array(*keys(F.col("word"), F.length("word")))).alias("key"), F.col("word").alias("short"), F.col("n").alias("short_n"))
 
 
 def grams(words: DataFrame, shortest: int) -> DataFrame:
-    """key, long, long_n: each word's grams, as chunks of words of its own length or one less, at most one place beside them."""
-    own, keys = F.length("word"), []
-    for less in (0, 1):
-        size = own - less
-        half = F.floor(size / 2).cast("int")
-        for part, start, width in ((0, F.lit(0), half), (1, half, size - half)):
-            for shift in (-1, 0, 1):
-                inside = (start + shift >= 0) & (start + shift + width <= own) & (size >= shortest)
-                keys.append(F.when(inside, chunk_key(size, part, F.substring("word", (start + shift + 1).cast("int"), width))))
-    return words.select(F.explode(F.array_compact(F.array_distinct(F.array(*keys)))).alias("key"), F.col("word").alias("long"), F.col("n").alias("long_n"))
+    """key, long, long_n: the grams of each word that a chunk of a word of its length, or of one less, can be.
+
+    What stands left of the edit has shift 0, what stands right of it the difference of the lengths; no other shift is
+    possible, so grams at other places are not made.
+    """
+    own, word = F.length("word"), F.col("word")
+    shorter = [F.when(own > shortest, k) for k in keys(word, own - 1)]
+    return words.select(F.explode(F.array(*keys(word, own), *shorter)).alias("key"), word.alias("long"), F.col("n").alias("long_n")).where("key IS NOT NULL")
 
 
 def near_pairs(words: DataFrame, shortest: int = 7) -> DataFrame:
