@@ -2,6 +2,10 @@
 
 A tree is grown level by level: the frontier joins the edges on (project, parent), and each level is written to the
 shared folder, so a lost executor costs one level and the plan does not grow with the depth.
+
+Only G2 itself lists every path. Figures about the tree (A5) and the class of its edges (K5) come from counts: a path passes
+the strongly connected components one after the other, so what arrives at a node is summed and goes on as one row per depth,
+and paths are listed only inside a component that is a cycle. G3 lists only paths that lead to a node it looks for.
 """
 
 from __future__ import annotations
@@ -81,19 +85,142 @@ def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
     return seen
 
 
-def find_paths(tree: DataFrame, text: str) -> DataFrame:
-    """All root-to-package paths whose package name contains a text."""
-    return tree.where(F.lower("node").contains(text.lower())).select("project_id", "node", F.array_join("path", " -> ").alias("path"))
+def visible_roots(start: DataFrame, lock: DataFrame, dev: bool = True, optional: bool = False, name: str | None = None) -> DataFrame:
+    """The roots that a display asks for: without packages whose entries are all dev (all optional), names that contain a text."""
+    flags = lock.groupBy("project_id", F.col("package").alias("node")).agg(F.bool_and("dev").alias("_dev"), F.bool_and("optional").alias("_optional"))
+    hidden = (F.lit(not dev) & F.col("_dev")) | (F.lit(not optional) & F.col("_optional"))
+    kept = start.join(flags.where(hidden), ["project_id", "node"], "left_anti")
+    return kept if name is None else kept.where(F.lower("node").contains(name.lower()))
 
 
-def tree_stats(tree: DataFrame) -> DataFrame:
-    """A5: per project: tree nodes, distinct packages, depth, repeated packages, cycles, verdict."""
-    per_node = tree.groupBy("project_id", "node").agg(
-        F.count(F.lit(1)).alias("n"), F.max("depth").alias("depth"), F.count_if("cycle").alias("cycles")
-    )
+def find_paths(edges: DataFrame, start: DataFrame, text: str) -> DataFrame:
+    """All root-to-package paths whose package name contains a text.
+
+    What can reach such a package is found first, against the direction of the edges; only that is expanded.
+    """
+    both = edges.select("project_id", "parent", "child").distinct()
+    nodes = both.select("project_id", F.explode(F.array("parent", "child")).alias("node")).unionByName(start.select("project_id", "node")).distinct()
+    wanted = F.lower("node").contains(text.lower())
+    useful = reach(both.select("project_id", F.col("child").alias("parent"), F.col("parent").alias("child")), nodes.where(wanted)).select("project_id", "node")
+    useful = cut_lineage(useful, "useful")
+    leading = both.join(useful.withColumnRenamed("node", "child"), ["project_id", "child"], "left_semi")
+    tree = expand_tree(leading, start.join(useful, ["project_id", "node"], "left_semi"))
+    return tree.where(wanted).select("project_id", "node", F.array_join("path", " -> ").alias("path"))
+
+
+def _trim(links: DataFrame) -> DataFrame:
+    """Links without those that start where nothing arrives or end where nothing goes on; what is left holds all cycles."""
+    size = links.count()
+    while size:
+        for _ in range(2):
+            entered = links.select("project_id", F.col("_to").alias("_from")).distinct()
+            left = links.select("project_id", F.col("_from").alias("_to")).distinct()
+            links = links.join(entered, ["project_id", "_from"], "left_semi").join(left, ["project_id", "_to"], "left_semi")
+        links = cut_lineage(links.select("project_id", "_from", "_to"), "trim")
+        before, size = size, links.count()
+        if size == before:
+            break
+    return links
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(project, node, component) for every node on a cycle; the component is named after its smallest node.
+
+    After trimming, every node takes the smallest name that reaches it; those that also reach the node of that name are its
+    component. What is left is trimmed and named again, until nothing is left.
+    """
+    links, found = _trim(_links(edges)), []
+    while not links.isEmpty():
+        named = cut_lineage(links.select("project_id", F.explode(F.array("_from", "_to")).alias("node")).distinct().withColumn("component", F.col("node")), "names")
+        while True:
+            told = links.join(named.withColumnRenamed("node", "_from"), ["project_id", "_from"]).groupBy("project_id", F.col("_to").alias("node")).agg(F.min("component").alias("_told"))
+            smaller = F.least("component", F.coalesce("_told", "component"))
+            now = cut_lineage(named.join(told, ["project_id", "node"], "left").select("project_id", "node", smaller.alias("component"), (smaller < F.col("component")).alias("_moved")), "names")
+            named = now.drop("_moved")
+            if now.where("_moved").isEmpty():
+                break
+        same = links.join(named.withColumnRenamed("node", "_from"), ["project_id", "_from"]).join(
+            named.select("project_id", F.col("node").alias("_to"), F.col("component").alias("_other")), ["project_id", "_to"]
+        ).where("component = _other")
+        # inside one name every path stays in that name's set, so going back from the named node finds its component
+        back = same.select("project_id", F.col("_to").alias("parent"), F.col("_from").alias("child"))
+        heads = named.where("node = component").select("project_id", "node")
+        members = cut_lineage(reach(back, heads).select("project_id", "node").join(named, ["project_id", "node"]), "members")
+        found.append(members)
+        gone = members.select("project_id", "node")
+        rest = links.join(gone.withColumnRenamed("node", "_from"), ["project_id", "_from"], "left_anti").join(gone.withColumnRenamed("node", "_to"), ["project_id", "_to"], "left_anti")
+        links = _trim(cut_lineage(rest.select("project_id", "_from", "_to"), "rest"))
+    if not found:
+        return edges.select("project_id", F.col("parent").alias("node"), F.col("parent").alias("component")).limit(0)
+    # a single node without a link to itself is no cycle
+    whole = reduce(DataFrame.unionByName, found)
+    inner = _links(edges).join(whole.withColumnRenamed("node", "_from"), ["project_id", "_from"]).join(
+        whole.select("project_id", F.col("node").alias("_to"), F.col("component").alias("_other")), ["project_id", "_to"]
+    ).where("component = _other")
+    return cut_lineage(inner.select("project_id", F.explode(F.array("_from", "_to")).alias("node"), "component").distinct(), "components")
+
+
+MOST_PATHS = 10**18
+
+
+def path_counts(edges: DataFrame, start: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """How many rows the tree of G2 has for each node and depth, and which of its steps close a cycle, without listing it.
+
+    The first table has (project, node, depth, n, closings): paths that end at the node, and those of them that end there
+    because the node stood on the path before. The second one has (project, parent, child). A count stays at 10^18 once it
+    is there.
+    """
+    links = _links(edges)
+    cyclic = components(edges)
+    has_cycles = not cyclic.isEmpty()
+    across = links
+    if has_cycles:
+        sides = links.join(cyclic.select("project_id", F.col("node").alias("_from"), F.col("component").alias("_a")), ["project_id", "_from"], "left").join(
+            cyclic.select("project_id", F.col("node").alias("_to"), F.col("component").alias("_b")), ["project_id", "_to"], "left"
+        )
+        sides = cut_lineage(sides, "sides")
+        across = sides.where("_a IS NULL OR _b IS NULL OR _a <> _b").select("project_id", "_from", "_to")
+        within = sides.where("_a = _b").select("project_id", F.col("_from").alias("parent"), F.col("_to").alias("child"))
+        entered = across.select("project_id", F.col("_to").alias("node")).unionByName(start.select("project_id", "node")).distinct()
+        inside = cut_lineage(expand_tree(within, entered.join(cyclic, ["project_id", "node"], "left_semi")), "inside").withColumn("entry", F.col("path")[0])
+        steps = inside.groupBy("project_id", "entry", F.col("node").alias("_node"), F.col("depth").alias("_depth")).agg(F.count_if(~F.col("cycle")).alias("_on"), F.count_if("cycle").alias("_closed"))
+        steps = cut_lineage(steps, "steps").withColumnRenamed("entry", "node")
+
+    def most(n):
+        return F.least(n, F.lit(MOST_PATHS).cast("decimal(38,0)")).cast("decimal(38,0)")
+
+    def visits(arrivals: DataFrame) -> DataFrame:
+        if not has_cycles:
+            return arrivals.select("project_id", "node", "depth", "n", F.lit(0).cast("decimal(38,0)").alias("closings"), F.lit(True).alias("entry"))
+        on, closed = F.coalesce("_on", F.lit(1)), F.coalesce("_closed", F.lit(0))
+        return arrivals.join(steps, ["project_id", "node"], "left").select(
+            "project_id", F.coalesce("_node", "node").alias("node"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
+            most(F.col("n") * on).alias("n"), most(F.col("n") * closed).alias("closings"), (F.coalesce("_depth", F.lit(0)) == 0).alias("entry"),
+        )
+
+    first = start.select("project_id", "node").distinct().select("project_id", "node", F.lit(0).alias("depth"), F.lit(1).cast("decimal(38,0)").alias("n"))
+    level = cut_lineage(visits(first), "visits")
+    levels = []
+    while not level.isEmpty():
+        levels.append(level)
+        onward = level.where("n > 0").withColumnRenamed("node", "_from").join(across, ["project_id", "_from"])
+        level = cut_lineage(visits(onward.groupBy("project_id", F.col("_to").alias("node"), (F.col("depth") + 1).alias("depth")).agg(most(F.sum("n")).alias("n"))), "visits")
+    whole = reduce(DataFrame.unionByName, levels or [level])
+    counted = whole.groupBy("project_id", "node", "depth").agg(most(F.sum("n")).alias("n"), most(F.sum("closings")).alias("closings"))
+    if not has_cycles:
+        return counted, links.limit(0).toDF("project_id", "parent", "child")
+    entries = whole.where("entry").select("project_id", F.col("node").alias("entry")).distinct()
+    closing = inside.where("cycle").select("project_id", "entry", F.element_at("path", -2).alias("parent"), F.col("node").alias("child"))
+    return counted, closing.join(entries, ["project_id", "entry"], "left_semi").select("project_id", "parent", "child").distinct()
+
+
+def tree_stats(counts: DataFrame) -> DataFrame:
+    """A5: per project: tree nodes, distinct packages, depth, repeated packages, cycles, verdict; from ``path_counts``."""
+    most = F.lit(2**63 - 1).cast("decimal(38,0)")
+    per_node = counts.groupBy("project_id", "node").agg(F.sum(F.col("n") + F.col("closings")).alias("n"), F.max("depth").alias("depth"), F.sum("closings").alias("cycles"))
     stats = per_node.groupBy("project_id").agg(
-        F.sum("n").alias("total"), F.count(F.lit(1)).alias("unique_packages"), F.max("depth").alias("max_depth"),
-        F.count_if(F.col("n") > 1).alias("repeated"), F.sum("cycles").alias("cycles"),
+        F.least(F.sum("n"), most).cast("long").alias("total"), F.count(F.lit(1)).alias("unique_packages"), F.max("depth").alias("max_depth"),
+        F.count_if(F.col("n") > 1).alias("repeated"), F.least(F.sum("cycles"), most).cast("long").alias("cycles"),
     )
     verdict = (
         F.when(F.col("cycles") > 0, "circular")
@@ -105,12 +232,9 @@ def tree_stats(tree: DataFrame) -> DataFrame:
     return stats.withColumn("verdict", verdict)
 
 
-def classed_edges(edges: DataFrame, tree: DataFrame, vulnerable: DataFrame) -> DataFrame:
-    """K5: distinct edges with the class of the child: cycle, dev, optional, vulnerable, plain."""
-    steps = tree.where("depth > 0").select(
-        "project_id", F.expr("element_at(path, -2)").alias("parent"), F.col("node").alias("child"), "cycle"
-    )
-    cycles = steps.groupBy("project_id", "parent", "child").agg(F.bool_or("cycle").alias("cycle"))
+def classed_edges(edges: DataFrame, closing: DataFrame, vulnerable: DataFrame) -> DataFrame:
+    """K5: distinct edges with the class of the child: cycle, dev, optional, vulnerable, plain; ``closing`` from ``path_counts``."""
+    cycles = closing.select("project_id", "parent", "child", F.lit(True).alias("cycle"))
     bad = vulnerable.select("project_id", F.col("package").alias("child"), F.lit(True).alias("vulnerable")).distinct()
     joined = edges.join(cycles, ["project_id", "parent", "child"], "left").join(bad, ["project_id", "child"], "left")
     kind = (

@@ -41,9 +41,19 @@ def reachable(t: Tables):
     return graph.reach(edges, graph.roots(edges))
 
 
-@register("g3_find_paths", TREE + "SELECT project_id, node, array_to_string(path, ' -> ') AS path FROM t WHERE contains(node, '-7')")
+@register("g3_find_paths", TREE + "SELECT project_id, node, array_to_string(path, ' -> ') AS path FROM t WHERE contains(lower(node), 'lib-7')")
 def find_paths(t: Tables):
-    return graph.find_paths(tree(t), "LIB-7".lower())
+    edges = t.view("v_edges")
+    return graph.find_paths(edges, graph.roots(edges), "LIB-7")
+
+
+@register("g2_visible_tree", TREE.replace("WHERE NOT EXISTS", "WHERE NOT EXISTS (SELECT 1 FROM v_liblock k WHERE k.project_id = e.project_id AND k.package = e.parent HAVING bool_and(dev) OR bool_and(optional)) AND NOT EXISTS")
+          + "SELECT project_id, node, CAST(depth AS INT) AS depth, array_to_string(path, '>') AS path, cycle FROM t WHERE depth <= 10")
+def visible_tree(t: Tables):
+    """What a display shows without dev and optional packages, ten levels deep."""
+    edges = t.view("v_edges")
+    chosen = graph.visible_roots(graph.roots(edges), t.view("v_liblock"), dev=False)
+    return graph.shown(graph.expand_tree(edges, chosen), max_depth=10).withColumn("path", F.array_join("path", ">"))
 
 
 @register("a5_tree_stats", TREE + """, n AS (SELECT project_id, node, count(*) AS k, max(depth) AS depth, count(*) FILTER (cycle) AS c FROM t GROUP BY 1, 2)
@@ -51,7 +61,8 @@ def find_paths(t: Tables):
     CASE WHEN sum(c) > 0 THEN 'circular' WHEN count(*) FILTER (k > 1) > 10 THEN 'many duplicates' WHEN max(depth) > 10 THEN 'deep' WHEN count(*) FILTER (k > 1) = 0 AND max(depth) < 8 THEN 'healthy' ELSE 'fair' END AS verdict
   FROM n GROUP BY project_id""")
 def tree_stats(t: Tables):
-    return graph.tree_stats(tree(t))
+    edges = t.view("v_edges")
+    return graph.tree_stats(graph.path_counts(edges, graph.roots(edges))[0])
 
 
 @register("k5_edge_list_sink", TREE + """, c AS (SELECT project_id, path[-2] AS parent, node AS child, bool_or(cycle) AS cycle FROM t WHERE depth > 0 GROUP BY ALL),
@@ -62,7 +73,9 @@ def tree_stats(t: Tables):
 def edge_list_sink(t: Tables):
     lock = t.view("v_liblock")
     edges = lock.groupBy("project_id", F.col("package").alias("parent"), "child").agg(F.bool_and("dev").alias("dev"), F.bool_and("optional").alias("optional"))
-    classed = graph.classed_edges(edges, tree(t), lock.where("version = '1.0.0'"))
+    views = t.view("v_edges")
+    closing = graph.path_counts(views, graph.roots(views))[1]
+    classed = graph.classed_edges(edges, closing, lock.where("version = '1.0.0'"))
     path = scratch_path(t.spark, "edges")
     classed.write.parquet(path)
     return t.spark.read.parquet(path)

@@ -123,7 +123,53 @@ def test_graph_with_cycle(spark):
     paths = {(">".join(r.path), r.cycle) for r in tree.collect()}
     assert paths == {("a", False), ("a>b", False), ("a>c", False), ("a>b>c", False), ("a>c>b", False), ("a>b>c>b", True), ("a>c>b>c", True)}
     assert {(r.node, r.depth) for r in graph.reach(edges, graph.roots(edges)).collect()} == {("a", 0), ("b", 1), ("c", 1)}
-    assert {r.path for r in graph.find_paths(tree, "c").collect()} >= {"a -> c", "a -> b -> c"}
+    assert {r.path for r in graph.find_paths(edges, graph.roots(edges), "C").collect()} == {"a -> c", "a -> b -> c", "a -> c -> b -> c"}
+
+
+def listed(tree):
+    """What path_counts should give, from all paths."""
+    counts, closing = {}, set()
+    for r in tree.collect():
+        n, c = counts.get((r.project_id, r.node, r.depth), (0, 0))
+        counts[r.project_id, r.node, r.depth] = (n + (not r.cycle), c + r.cycle)
+        if r.cycle:
+            closing.add((r.project_id, r.path[-2], r.node))
+    return counts, closing
+
+
+def test_path_counts_equal_listed_paths(spark):
+    import random
+
+    draw = random.Random(5)
+    rows = [(0, "a", "a"), (0, "a", "b"), (1, "r", "x"), (1, "x", "x"), (1, "x", "y"), (2, "u", "v"), (2, "v", "u")]
+    for project in range(3, 23):  # trees with cycles inside cycles, chains of cycles, nodes that no root reaches
+        nodes = draw.randint(4, 9)
+        rows += [(project, f"n{draw.randrange(nodes)}", f"n{draw.choice([draw.randrange(nodes), draw.randrange(1, nodes)])}") for _ in range(nodes + draw.randint(0, 4))]
+        rows += [(project, "root", f"n{draw.randrange(nodes)}")]
+    edges = spark.createDataFrame(rows, "project_id int, parent string, child string")
+    start = graph.roots(edges)
+    want, want_closing = listed(graph.expand_tree(edges, start))
+    counts, closing = graph.path_counts(edges, start)
+    assert {(r.project_id, r.node, r.depth): (int(r.n), int(r.closings)) for r in counts.collect()} == want
+    assert {tuple(r) for r in closing.collect()} == want_closing and len(want_closing) > 20
+
+
+def test_components_are_strongly_connected(spark):
+    rows = [(1, "a", "b"), (1, "b", "a"), (1, "b", "c"), (1, "c", "d"), (1, "d", "e"), (1, "e", "c"), (1, "e", "f"), (1, "g", "g"), (1, "f", "h"), (2, "b", "a"), (2, "a", "b"), (3, "a", "b")]
+    edges = spark.createDataFrame(rows, "project_id int, parent string, child string")
+    assert {tuple(r) for r in graph.components(edges).select("project_id", "node", "component").collect()} == {
+        (1, "a", "a"), (1, "b", "a"), (1, "c", "c"), (1, "d", "c"), (1, "e", "c"), (1, "g", "g"), (2, "a", "a"), (2, "b", "a")}
+    assert graph.components(edges.where("project_id = 3")).count() == 0
+
+
+def test_a_ladder_of_very_many_paths(spark):
+    """Two nodes in each of 30 layers: 2^30 paths, which are counted but never listed."""
+    rows = [(1, "r", f"{side}00") for side in "ab"]
+    rows += [(1, f"{a}{k:02d}", f"{b}{k + 1:02d}") for k in range(29) for a in "ab" for b in "ab"] + [(1, "a03", "needle")]
+    edges = spark.createDataFrame(rows, "project_id int, parent string, child string")
+    stats = graph.tree_stats(graph.path_counts(edges, graph.roots(edges))[0]).first()
+    assert stats.total == 1 + sum(2**k for k in range(1, 31)) + 8 and stats.max_depth == 30 and stats.unique_packages == 62 and stats.cycles == 0
+    assert graph.find_paths(edges, graph.roots(edges), "Needle").count() == 8
 
 
 def test_newest_session_reads_one_partition(spark, tmp_path):
@@ -141,7 +187,7 @@ def test_tree_is_whole_at_any_depth(spark):
     edges = spark.createDataFrame([(1, f"n{i:02d}", f"n{i + 1:02d}") for i in range(15)], "project_id int, parent string, child string")
     tree = graph.expand_tree(edges, graph.roots(edges))
     assert tree.count() == 16 and graph.reach(edges, graph.roots(edges)).agg(F.max("depth")).first()[0] == 15
-    stats = graph.tree_stats(tree).first()
+    stats = graph.tree_stats(graph.path_counts(edges, graph.roots(edges))[0]).first()
     assert stats.max_depth == 15 and stats.verdict == "deep"
     assert graph.shown(tree, max_depth=3).count() == 4 and graph.shown(tree, name="N1").count() == 6
 
