@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayside.functions.text import integrity_hash, purl
+from quayside.operators.ranks import numbered
 
 
 def with_directness(lock: DataFrame, manifest_deps: DataFrame) -> DataFrame:
@@ -32,20 +33,13 @@ def components(lock: DataFrame, manifest_deps: DataFrame) -> DataFrame:
     )
 
 
-def component_order(parts: DataFrame, prefix: int = 10) -> DataFrame:
+def component_order(parts: DataFrame) -> DataFrame:
     """Dense position in a project: direct first, then name, then version.
 
-    A project may hold very many components, so it is not ranked in one task: components are ranked inside
-    (project, directness, name prefix) and moved up by the number of components in the groups before. Prefixes keep
-    the name order, so the positions equal a ranking of the whole project.
+    A project may hold very many components: positions come from ranges, so no task and no window holds a project.
     """
-    keyed = parts.withColumn("_group", F.substring("name", 1, prefix))
-    keys = ["project_id", "is_direct", "_group"]
-    before = Window.partitionBy("project_id").orderBy(F.col("is_direct").desc(), "_group").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    inside = Window.partitionBy(*keys).orderBy("name", "version")
-    ranked = keyed.withColumn("_rank", F.row_number().over(inside))
-    return ranked.join(offsets.drop("_n"), keys).withColumn("ordinal", F.col("_offset") + F.col("_rank")).drop("_group", "_offset", "_rank")
+    placed = numbered(parts, ["project_id"], [F.col("is_direct").desc(), F.col("name").asc(), F.col("version").asc()], "_place")
+    return placed.withColumn("ordinal", (F.col("_place") + 1).cast("long")).drop("_place")
 
 
 def resolve_dependencies(edges: DataFrame, ordered: DataFrame) -> DataFrame:

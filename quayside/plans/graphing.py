@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quayside.catalogue import advisories as cat
+from quayside.catalogue import rules as book
 from quayside.functions.text import integrity_hash, purl
-from quayside.operators import graph, hygiene, registry, sbom
+from quayside.operators import detection, graph, hygiene, registry, sbom
 from quayside.operators.reports import union_findings
+from quayside.plans.detection import LINES, MASK, sql_matches
+from quayside.plans.hygiene import CONFUSED
 from quayside.plans.matching import HI, LO, ctes
 from quayside.plans.registry import Tables, register, sql_key, sql_rows
 from quayside.session import cut_lineage, scratch_path
@@ -148,11 +151,11 @@ def license_histogram(t: Tables):
 CREATED = "2026-01-01T00:00:00Z"
 
 
-def read_back(t: Tables, documents, label: str, ddl: str):
-    """Write the documents as text, then read them again as JSON."""
+def written(t: Tables, lines, keys: list[str], label: str):
+    """Write the documents, then read their lines again."""
     path = scratch_path(t.spark, label)
-    sinks.write_documents(documents, path)
-    return t.spark.read.text(path).select(F.from_json("value", ddl).alias("d")).select("d.*")
+    sinks.write_documents(lines, keys, path)
+    return t.spark.read.parquet(path)
 
 
 @register("k3_cyclonedx_sink", f"""WITH l AS ({LINKS}), d AS (SELECT project_id, parent AS name, parent_version AS version, string_agg(child || '@' || child_version, ',' ORDER BY child, child_version) AS depends FROM l WHERE child_version IS NOT NULL GROUP BY 1, 2, 3)
@@ -163,56 +166,75 @@ def cyclonedx_sink(t: Tables):
     depends = links(t, ordered).where("child_version IS NOT NULL").groupBy("project_id", F.col("parent").alias("name"), F.col("parent_version").alias("version")).agg(
         F.sort_array(F.collect_set(F.concat("child", F.lit("@"), "child_version"))).alias("depends_on")
     )
-    ddl = (
-        "metadata struct<component:struct<name:string>>, components array<struct<name:string,version:string,purl:string,licenses:array<struct<license:struct<id:string>>>,"
-        "hashes:array<struct<alg:string,content:string>>,scope:string>>, dependencies array<struct<ref:string,dependsOn:array<string>>>"
-    )
-    back = read_back(t, sinks.cyclonedx_documents(ordered, depends, CREATED), "cyclonedx", ddl)
-    rows = back.select(F.col("metadata.component.name").alias("project"), F.explode(F.arrays_zip("components", "dependencies")).alias("z"))
-    c = "z.components"
+    back = written(t, sinks.cyclonedx_documents(ordered, depends, CREATED), ["project_id"], "cyclonedx")
+    header = sinks.header_of(back, "]}", "metadata struct<component:struct<name:string>>").select("project_id", F.col("header.metadata.component.name").alias("project"))
+    parts_ddl = "name string, version string, purl string, licenses array<struct<license:struct<id:string>>>, hashes array<struct<alg:string,content:string>>, scope string"
+    listed = sinks.items_of(back, 0, parts_ddl).withColumnRenamed("item", "c")
+    linked = sinks.items_of(back, 1, "ref string, dependsOn array<string>").withColumnRenamed("item", "d")
+    rows = listed.join(linked, ["project_id", "place"]).join(header, "project_id")
     return rows.select(
-        "project", f"{c}.name", f"{c}.version", f"{c}.purl", F.get(F.col(f"{c}.licenses"), F.lit(0))["license"]["id"].alias("license"),
-        F.get(F.col(f"{c}.hashes"), F.lit(0))["alg"].alias("hash_alg"), F.get(F.col(f"{c}.hashes"), F.lit(0))["content"].alias("hash_value"), f"{c}.scope",
-        F.array_join("z.dependencies.dependsOn", ",").alias("depends"),
+        "project", "c.name", "c.version", "c.purl", F.get(F.col("c.licenses"), F.lit(0))["license"]["id"].alias("license"),
+        F.get(F.col("c.hashes"), F.lit(0))["alg"].alias("hash_alg"), F.get(F.col("c.hashes"), F.lit(0))["content"].alias("hash_value"), "c.scope",
+        F.array_join("d.dependsOn", ",").alias("depends"),
     )
 
 
 @register("k4_spdx_sink", """SELECT 'project-' || project_id AS project, 'SPDXRef-Package-' || ordinal AS spdx_id, name, version, coalesce(license, 'NOASSERTION') AS license,
     count(*) FILTER (is_direct) OVER (PARTITION BY project_id) + 1 AS relationships FROM placed""", PARTS)
 def spdx_sink(t: Tables):
-    ddl = "name string, packages array<struct<SPDXID:string,name:string,versionInfo:string,licenseDeclared:string>>, relationships array<struct<relationshipType:string>>"
-    back = read_back(t, sinks.spdx_documents(sbom.component_order(parts(t)), CREATED), "spdx", ddl)
-    rows = back.select(F.col("name").alias("project"), F.size("relationships").cast("bigint").alias("relationships"), F.explode("packages").alias("p"))
-    return rows.select("project", F.col("p.SPDXID").alias("spdx_id"), "p.name", F.col("p.versionInfo").alias("version"), F.col("p.licenseDeclared").alias("license"), "relationships")
+    back = written(t, sinks.spdx_documents(sbom.component_order(parts(t)), CREATED), ["project_id"], "spdx")
+    header = sinks.header_of(back, "]}", "name string").select("project_id", F.col("header.name").alias("project"))
+    relations = sinks.items_of(back, 1, "relationshipType string").groupBy("project_id").agg(F.count("item.relationshipType").alias("relationships"))
+    rows = sinks.items_of(back, 0, "SPDXID string, name string, versionInfo string, licenseDeclared string").join(header, "project_id").join(relations, "project_id")
+    return rows.select("project", F.col("item.SPDXID").alias("spdx_id"), "item.name", F.col("item.versionInfo").alias("version"), F.col("item.licenseDeclared").alias("license"), "relationships")
 
 
 @register("k1_findings_json_sink", """SELECT scanner, project_id AS target, count(*) AS total, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high,
     count(*) AS listed, min(cve_id) AS first_cve FROM v_findings GROUP BY 1, 2""")
 def findings_json_sink(t: Tables):
-    ddl = "scanner string, target bigint, summary struct<total:bigint,critical:bigint,high:bigint>, findings array<struct<cve_id:string>>"
-    back = read_back(t, sinks.findings_documents(t.view("v_findings")), "findings", ddl)
-    # a report may have several parts: their sums are the report
-    return back.groupBy("scanner", "target").agg(
-        F.sum("summary.total").alias("total"), F.sum("summary.critical").alias("critical"), F.sum("summary.high").alias("high"),
-        F.sum(F.size("findings")).alias("listed"), F.min(F.array_min("findings.cve_id")).alias("first_cve"),
-    )
+    back = written(t, sinks.findings_documents(t.view("v_findings")), ["scanner", "project_id"], "findings")
+    header = sinks.header_of(back, "]}", "scanner string, target bigint, summary struct<total:bigint,critical:bigint,high:bigint>")
+    listed = sinks.items_of(back, 0, "cve_id string").groupBy("scanner", "project_id").agg(F.count("item.cve_id").alias("listed"), F.min("item.cve_id").alias("first_cve"))
+    return header.join(listed, ["scanner", "project_id"]).select("header.scanner", "header.target", "header.summary.*", "listed", "first_cve")
 
 
 @register("k2_sarif_sink", """SELECT cve_id AS rule_id, file_path, line_no AS start_line, CASE severity WHEN 'CRITICAL' THEN 'error' WHEN 'HIGH' THEN 'error' WHEN 'MEDIUM' THEN 'warning' ELSE 'note' END AS level,
     left(sha256(cve_id || ':' || file_path || ':' || line_no || ':' || package || ' ' || version), 16) AS fingerprint FROM v_findings""")
 def sarif_sink(t: Tables):
-    findings = t.view("v_findings").select(
-        "project_id", F.col("cve_id").alias("rule_id"), F.concat(F.lit("Advisory "), "cve_id").alias("title"), "severity",
-        F.concat("package", F.lit(" "), "version").alias("message"), "file_path", "line_no",
-    )
+    return sarif_rows(t, sinks.sarif_findings(t.view("v_findings"))).drop("project_id")
+
+
+def sarif_rows(t: Tables, findings):
+    back = written(t, sinks.sarif_documents(findings), ["project_id"], "sarif")
     ddl = (
-        "runs array<struct<results:array<struct<ruleId:string,level:string,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>,"
-        "fingerprints:struct<primary:string>>>>>"
+        "ruleId string, level string, locations array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>,"
+        "fingerprints struct<primary:string>"
     )
-    back = read_back(t, sinks.sarif_documents(findings), "sarif", ddl).select(F.explode(F.col("runs")[0]["results"]).alias("r"))
-    place = F.col("r.locations")[0]["physicalLocation"]
-    return back.select(F.col("r.ruleId").alias("rule_id"), place["artifactLocation"]["uri"].alias("file_path"), place["region"]["startLine"].alias("start_line"),
-                       "r.level", F.col("r.fingerprints.primary").alias("fingerprint"))
+    place = F.col("item.locations")[0]["physicalLocation"]
+    return sinks.items_of(back, 1, ddl).select("project_id", F.col("item.ruleId").alias("rule_id"), place["artifactLocation"]["uri"].alias("file_path"),
+                                               place["region"]["startLine"].alias("start_line"), "item.level", F.col("item.fingerprints.primary").alias("fingerprint"))
+
+
+SARIF_ALL = {
+    "all_lines": LINES, "matches": sql_matches(book.RULES, "all_lines", "project_id, path, line_no"), "secret_hits": sql_matches(detection.secret_rules(), "all_lines", "project_id, path, line_no"),
+    "advice": sql_rows(["malware_type", "explanation", "remediation"], [[k, *v] for k, v in book.ADVICE.items()]),
+    "every": f"""SELECT project_id, 'MALWARE-' || rule_id AS rule_id, path AS file_path, line_no, threat_level AS severity, name || ': ' || explanation AS message FROM matches JOIN advice USING (malware_type)
+      UNION ALL SELECT project_id, 'SECRET-' || upper(rule_id), path, line_no, threat_level, name || ': ' || {MASK.format(v='matched_text')} FROM secret_hits
+      UNION ALL SELECT CAST(project_id AS VARCHAR), 'DEP-MISSING_INTEGRITY', 'package-lock.json', 1, 'LOW', 'missing integrity: ' || package || ' ' || version FROM v_lock WHERE integrity IS NULL
+      UNION ALL SELECT CAST(project_id AS VARCHAR), 'DEP-DEPENDENCY_CONFUSION', 'package-lock.json', 1, 'MEDIUM', 'dependency confusion: ' || package || ' ' || version || ' ' || resolved_url FROM v_lock WHERE {CONFUSED}
+      UNION ALL SELECT CAST(project_id AS VARCHAR), 'DEP-GIT_DEPENDENCY', 'package-lock.json', 1, 'INFO', 'git dependency: ' || package || ' ' || version || ' ' || resolved_url FROM v_lock WHERE contains(resolved_url, 'github.com')
+      UNION ALL SELECT CAST(project_id AS VARCHAR), 'DEP-DUPLICATE_PACKAGE', 'package-lock.json', 1, 'INFO', 'duplicate package: ' || package || ' ' || string_agg(DISTINCT version, ', ' ORDER BY version) || ' ' || count(DISTINCT version)
+        FROM v_lock GROUP BY project_id, package HAVING count(DISTINCT version) > 2""",
+}
+
+
+@register("k2_sarif_all_scanners", """SELECT project_id, rule_id, file_path, CAST(line_no AS INT) AS start_line, CASE severity WHEN 'CRITICAL' THEN 'error' WHEN 'HIGH' THEN 'error' WHEN 'MEDIUM' THEN 'warning' ELSE 'note' END AS level,
+    left(sha256(rule_id || ':' || file_path || ':' || line_no || ':' || message), 16) AS fingerprint FROM every""", SARIF_ALL)
+def sarif_all_scanners(t: Tables):
+    """Malware, secret and lockfile findings as SARIF."""
+    files = t.view("v_files").select("file_id", "project_id", "path", "content")
+    issues = hygiene.lock_issues(t.view("v_lock")).where("issue_type <> 'typosquatting'").withColumn("project_id", F.col("project_id").cast("string")).withColumn("file_path", F.lit("package-lock.json"))
+    return sarif_rows(t, sinks.sarif_findings(malware=detection.explain(detection.rule_matches(files)), secrets=detection.secret_matches(files), lock=issues))
 
 
 LOG = """SELECT l_orderkey AS project_id, concat('ADV-', CAST(l_partkey AS STRING)) AS cve_id, CASE l_partkey % 3 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'HIGH' ELSE 'LOW' END AS severity, year(l_shipdate) AS session_date FROM lineitem"""

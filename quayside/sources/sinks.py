@@ -1,8 +1,9 @@
 """Documents and logs (K1-K6).
 
-A document gathers the rows of one project. A project may hold any number of rows, so its document is split into
-numbered parts of bounded size by a hash of the row: every row lands in exactly one part, and no task gathers more
-than about ``max_items`` rows.
+A document is written as ordered lines: a header, one line per item, what stands between the sections, a footer. Items get
+their place from ``ranks.numbered``, lines are dealt by ranges of (document, section, place) and sorted inside a task, so a
+document of any size is one valid JSON document and no task gathers one. Line by line, the part files in the order of their
+names hold one document after the other; a large document goes on in the next file.
 """
 
 from __future__ import annotations
@@ -11,105 +12,148 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.functions.text import SARIF_LEVEL, SARIF_SCORE, fingerprint, lookup
+from quayside.operators.matching import severity_rank
+from quayside.operators.ranks import numbered
 
-MAX_ITEMS = 20_000
 TOOL = "quayside"
 SARIF_SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json"
 
 
-def in_parts(rows: DataFrame, keys: list[str], identity: list[str], max_items: int = MAX_ITEMS) -> DataFrame:
-    """Add ``part`` and ``parts``: the row's place among the documents of its key."""
-    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / max_items).cast("int").alias("parts"))
-    placed = rows.join(sizes, keys)
-    return placed.withColumn("part", F.pmod(F.xxhash64(*identity), F.col("parts").cast("bigint")).cast("int"))
+def document_lines(keys: list[str], frames: DataFrame, around: list, sections: list[DataFrame]) -> DataFrame:
+    """(keys, section, place, line): ``around`` are the columns of ``frames`` (one row per document) that stand before,
+    between and behind the sections; a section has (keys, place from 0, item as JSON)."""
+    fixed = F.explode(F.array(*[F.struct(F.lit(2 * i).alias("section"), text.alias("line")) for i, text in enumerate(around)])).alias("_f")
+    lines = frames.select(*keys, fixed).select(*keys, "_f.section", F.lit(0).cast("long").alias("place"), "_f.line")
+    for i, items in enumerate(sections):
+        line = F.when(F.col("place") > 0, F.concat(F.lit(","), "item")).otherwise(F.col("item"))
+        lines = lines.unionByName(items.select(*keys, F.lit(2 * i + 1).alias("section"), F.col("place").cast("long").alias("place"), line.alias("line")))
+    return lines
 
 
-def findings_documents(findings: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
+def placed_items(rows: DataFrame, keys: list[str], order: list[str], item: Column) -> DataFrame:
+    """A section: the rows of each document in order, as JSON."""
+    return numbered(rows.select(*keys, *[F.col(c) for c in order], F.to_json(item).alias("item")), keys, [F.col(c).asc_nulls_first() for c in order] + [F.col("item").asc()], "place").select(*keys, "place", "item")
+
+
+def write_documents(lines: DataFrame, keys: list[str], path: str, as_text: bool = False) -> None:
+    """The lines of all documents in order: with their keys as a table, or only as text."""
+    order = [*keys, "section", "place"]
+    dealt = lines.repartitionByRange(*order).sortWithinPartitions(*order)
+    if as_text:
+        dealt.select(F.col("line").alias("value")).write.mode("overwrite").text(path)
+    else:
+        dealt.write.mode("overwrite").parquet(path)
+
+
+def items_of(written: DataFrame, section: int, ddl: str) -> DataFrame:
+    """The items of a section of written documents, read as JSON again."""
+    bare = F.regexp_replace("line", "^,", "")
+    return written.where(F.col("section") == 2 * section + 1).select(*[c for c in written.columns if c not in ("section", "line")], F.from_json(bare, ddl).alias("item"))
+
+
+def header_of(written: DataFrame, closing: str, ddl: str) -> DataFrame:
+    """The header line of each document, closed and read as JSON."""
+    return written.where("section = 0").select(*[c for c in written.columns if c not in ("section", "place", "line")], F.from_json(F.concat("line", F.lit(closing)), ddl).alias("header"))
+
+
+def opened(struct: Column, name: str) -> Column:
+    """The JSON of an object that is left open behind a new, open array."""
+    return F.concat(F.regexp_replace(F.to_json(struct), r"\}$", ""), F.lit(f',"{name}":['))
+
+
+# ---- K1 ----
+
+
+def findings_documents(findings: DataFrame) -> DataFrame:
     """K1: scan report per scanner and project: counts and findings."""
     keys = ["scanner", "project_id"]
     fields = ["cve_id", "severity", "package", "version", "patched_version", "file_path"]
-    rows = in_parts(findings, keys, fields + ["ordinal"], max_items)
-    grouped = rows.groupBy(*keys, "part", "parts").agg(
+    counts = findings.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("severity") == "CRITICAL").alias("critical"), F.count_if(F.col("severity") == "HIGH").alias("high"),
-        F.sort_array(F.collect_list(F.struct(*fields))).alias("findings"),
-    )
-    document = F.to_json(
-        F.struct("scanner", F.col("project_id").alias("target"), "part", "parts", F.struct("total", "critical", "high").alias("summary"), "findings")
     )
-    return grouped.select(*keys, "part", document.alias("document"))
+    header = F.struct("scanner", F.col("project_id").alias("target"), F.struct("total", "critical", "high").alias("summary"))
+    return document_lines(keys, counts, [opened(header, "findings"), F.lit("]}")], [placed_items(findings, keys, fields, F.struct(*fields))])
 
 
-def sarif_rules(findings: DataFrame) -> DataFrame:
-    """K2: one rule per rule id, with level and score of its severity."""
+# ---- K2 ----
+
+
+def sarif_findings(advisories: DataFrame | None = None, malware: DataFrame | None = None, secrets: DataFrame | None = None, lock: DataFrame | None = None) -> DataFrame:
+    """K2: findings of every kind in one shape: project_id, rule_id, title, severity, message, file_path, line_no.
+
+    ``advisories`` has cve_id and package facts, ``malware`` and ``secrets`` are rule matches (malware with an explanation),
+    ``lock`` are lockfile issues of the file ``file_path``.
+    """
+    parts = []
+    if advisories is not None:
+        parts.append(advisories.select("project_id", F.col("cve_id").alias("rule_id"), F.concat(F.lit("Advisory "), "cve_id").alias("title"), "severity",
+                                       F.concat("package", F.lit(" "), "version").alias("message"), "file_path", F.col("line_no").cast("long").alias("line_no")))
+    if malware is not None:
+        parts.append(malware.select("project_id", F.concat(F.lit("MALWARE-"), "rule_id").alias("rule_id"), F.col("name").alias("title"), F.col("threat_level").alias("severity"),
+                                    F.concat("name", F.lit(": "), "explanation").alias("message"), F.col("path").alias("file_path"), F.col("line_no").cast("long").alias("line_no")))
+    if secrets is not None:
+        parts.append(secrets.select("project_id", F.concat(F.lit("SECRET-"), F.upper("rule_id")).alias("rule_id"), F.col("name").alias("title"), F.col("threat_level").alias("severity"),
+                                    F.concat("name", F.lit(": "), "masked").alias("message"), F.col("path").alias("file_path"), F.col("line_no").cast("long").alias("line_no")))
+    if lock is not None:
+        message = F.concat_ws(" ", F.concat(F.regexp_replace("issue_type", "_", " "), F.lit(":")), "package", "version", "detail")
+        parts.append(lock.select("project_id", F.concat(F.lit("DEP-"), F.upper("issue_type")).alias("rule_id"), F.regexp_replace("issue_type", "_", " ").alias("title"), "severity",
+                                 message.alias("message"), "file_path", F.lit(1).cast("long").alias("line_no")))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def sarif_documents(findings: DataFrame) -> DataFrame:
+    """K2: SARIF 2.1.0 per project: each rule once (with its gravest severity), then all results."""
     low = F.lower("severity")
+    rules = findings.groupBy("project_id", "rule_id").agg(F.min("title").alias("title"), F.min_by("severity", severity_rank(F.col("severity"))).alias("severity"))
     rule = F.struct(
         F.col("rule_id").alias("id"), F.col("title").alias("name"), F.struct(F.col("title").alias("text")).alias("shortDescription"),
         F.struct(lookup(low, SARIF_LEVEL, "warning").alias("level")).alias("defaultConfiguration"),
         F.create_map(F.lit("security-severity"), lookup(low, SARIF_SCORE, "5.0")).alias("properties"),
     )
-    return findings.withColumn("rule", rule)
-
-
-def sarif_result() -> Column:
-    message = F.col("message")
     location = F.struct(
         F.struct(
             F.struct(F.col("file_path").alias("uri"), F.lit("%SRCROOT%").alias("uriBaseId")).alias("artifactLocation"),
             F.struct(F.col("line_no").alias("startLine")).alias("region"),
         ).alias("physicalLocation")
     )
-    return F.struct(
-        F.col("rule_id").alias("ruleId"), lookup(F.lower("severity"), SARIF_LEVEL, "warning").alias("level"), F.struct(message.alias("text")).alias("message"),
+    result = F.struct(
+        F.col("rule_id").alias("ruleId"), lookup(low, SARIF_LEVEL, "warning").alias("level"), F.struct(F.col("message").alias("text")).alias("message"),
         F.array(location).alias("locations"),
-        F.create_map(F.lit("primary"), fingerprint(F.col("rule_id"), F.col("file_path"), F.col("line_no").cast("string"), message)).alias("fingerprints"),
+        F.create_map(F.lit("primary"), fingerprint(F.col("rule_id"), F.col("file_path"), F.col("line_no").cast("string"), F.col("message"))).alias("fingerprints"),
     )
+    around = [F.lit('{"$schema":"' + SARIF_SCHEMA + '","version":"2.1.0","runs":[{"tool":{"driver":{"name":"' + TOOL + '","rules":['), F.lit(']}},"results":['), F.lit("]}]}")]
+    sections = [placed_items(rules, ["project_id"], ["rule_id"], rule), placed_items(findings, ["project_id"], ["rule_id", "file_path", "line_no", "message"], result)]
+    return document_lines(["project_id"], findings.select("project_id").distinct(), around, sections)
 
 
-def sarif_documents(findings: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
-    """K2: SARIF 2.1.0 per project. ``findings``: project_id, rule_id, title, severity, message, file_path, line_no.
+# ---- K3, K4 ----
 
-    Each part is a complete document: it carries the rules its own results name.
-    """
-    rows = in_parts(sarif_rules(findings), ["project_id"], ["rule_id", "file_path", "line_no", "message"], max_items)
-    grouped = rows.groupBy("project_id", "part", "parts").agg(
-        F.collect_set(F.to_json("rule")).alias("_rules"), F.collect_list(F.to_json(sarif_result())).alias("_results")
-    )
-    driver = F.concat(
-        F.lit('{"$schema":"' + SARIF_SCHEMA + '","version":"2.1.0","runs":[{"tool":{"driver":{"name":"' + TOOL + '","rules":['),
-        F.array_join(F.sort_array("_rules"), ","), F.lit("]}},"), F.lit('"results":['), F.array_join(F.sort_array("_results"), ","), F.lit("]}]}"),
-    )
-    return grouped.select("project_id", "part", driver.alias("document"))
 
-
-def cyclonedx_documents(parts: DataFrame, depends: DataFrame, created: str, max_items: int = MAX_ITEMS) -> DataFrame:
-    """K3: CycloneDX 1.4 per project. ``depends``: project_id, name, version, depends_on (array of refs)."""
-    joined = parts.join(depends, ["project_id", "name", "version"], "left")
+def cyclonedx_documents(parts: DataFrame, depends: DataFrame, created: str) -> DataFrame:
+    """K3: CycloneDX 1.4 per project. ``parts`` has the component order; ``depends``: project_id, name, version, depends_on (array of refs)."""
     ref = F.concat("name", F.lit("@"), "version")
+    place = (F.col("ordinal") - 1).alias("place")
     component = F.struct(
-        "ordinal", F.lit("library").alias("type"), ref.alias("bom-ref"), "name", "version", "purl",
+        F.lit("library").alias("type"), ref.alias("bom-ref"), "name", "version", "purl",
         F.when(F.col("license").isNotNull(), F.array(F.struct(F.struct(F.col("license").alias("id")).alias("license")))).alias("licenses"),
         F.when(F.col("hash_alg").isNotNull(), F.array(F.struct(F.col("hash_alg").alias("alg"), F.col("hash_value").alias("content")))).alias("hashes"),
         F.when(F.col("is_dev"), "optional").alias("scope"),
     )
-    link = F.struct("ordinal", ref.alias("ref"), F.coalesce("depends_on", F.array().cast("array<string>")).alias("dependsOn"))
-    rows = in_parts(joined, ["project_id"], ["name", "version"], max_items)
-    grouped = rows.groupBy("project_id", "part", "parts").agg(
-        F.sort_array(F.collect_list(component)).alias("_c"), F.sort_array(F.collect_list(link)).alias("_d")
-    )
-    bare_c = F.transform("_c", lambda c: c.dropFields("ordinal"))
-    bare_d = F.transform("_d", lambda c: c.dropFields("ordinal"))
-    document = F.to_json(
+    joined = parts.join(depends, ["project_id", "name", "version"], "left")
+    link = F.struct(ref.alias("ref"), F.coalesce("depends_on", F.array().cast("array<string>")).alias("dependsOn"))
+    header = F.struct(
+        F.lit("CycloneDX").alias("bomFormat"), F.lit("1.4").alias("specVersion"), F.lit(1).alias("version"),
+        F.concat(F.lit("urn:uuid:"), _uuid(F.col("project_id").cast("string"))).alias("serialNumber"),
         F.struct(
-            F.lit("CycloneDX").alias("bomFormat"), F.lit("1.4").alias("specVersion"), F.lit(1).alias("version"),
-            F.concat(F.lit("urn:uuid:"), _uuid(F.concat_ws(":", F.col("project_id").cast("string"), F.col("part").cast("string")))).alias("serialNumber"),
-            F.struct(
-                F.lit(created).alias("timestamp"), F.array(F.struct(F.lit(TOOL).alias("name"))).alias("tools"),
-                F.struct(F.lit("application").alias("type"), F.concat(F.lit("project-"), "project_id").alias("name")).alias("component"),
-            ).alias("metadata"),
-            bare_c.alias("components"), bare_d.alias("dependencies"),
-        )
+            F.lit(created).alias("timestamp"), F.array(F.struct(F.lit(TOOL).alias("name"))).alias("tools"),
+            F.struct(F.lit("application").alias("type"), F.concat(F.lit("project-"), "project_id").alias("name")).alias("component"),
+        ).alias("metadata"),
     )
-    return grouped.select("project_id", "part", document.alias("document"))
+    sections = [parts.select("project_id", place, F.to_json(component).alias("item")), joined.select("project_id", place, F.to_json(link).alias("item"))]
+    return document_lines(["project_id"], parts.select("project_id").distinct(), [opened(header, "components"), F.lit('],"dependencies":['), F.lit("]}")], sections)
 
 
 def _uuid(text: Column) -> Column:
@@ -119,12 +163,12 @@ def _uuid(text: Column) -> Column:
     return F.concat_ws("-", *[F.substring(h, start, size) for start, size in cuts])
 
 
-def spdx_documents(parts: DataFrame, created: str, max_items: int = MAX_ITEMS) -> DataFrame:
-    """K4: SPDX 2.3 per project; package ids come from the component order."""
+def spdx_documents(parts: DataFrame, created: str) -> DataFrame:
+    """K4: SPDX 2.3 per project; package ids and places come from the component order, in which direct packages are first."""
     spdx_id = F.concat(F.lit("SPDXRef-Package-"), F.col("ordinal").cast("string"))
     licence = F.coalesce("license", F.lit("NOASSERTION"))
     package = F.struct(
-        "ordinal", spdx_id.alias("SPDXID"), "name", F.col("version").alias("versionInfo"), F.lit("NOASSERTION").alias("downloadLocation"),
+        spdx_id.alias("SPDXID"), "name", F.col("version").alias("versionInfo"), F.lit("NOASSERTION").alias("downloadLocation"),
         F.lit(False).alias("filesAnalyzed"),
         F.array(F.struct(F.lit("PACKAGE-MANAGER").alias("referenceCategory"), F.lit("purl").alias("referenceType"), F.col("purl").alias("referenceLocator"))).alias("externalRefs"),
         licence.alias("licenseConcluded"), licence.alias("licenseDeclared"),
@@ -133,33 +177,21 @@ def spdx_documents(parts: DataFrame, created: str, max_items: int = MAX_ITEMS) -
             F.array(F.struct(F.replace(F.col("hash_alg"), F.lit("-"), F.lit("")).alias("algorithm"), F.col("hash_value").alias("checksumValue"))),
         ).alias("checksums"),
     )
-    relation = F.when(
-        F.col("is_direct"),
-        F.struct("ordinal", F.lit("SPDXRef-Package").alias("spdxElementId"), F.lit("DEPENDS_ON").alias("relationshipType"), spdx_id.alias("relatedSpdxElement")),
-    )
-    rows = in_parts(parts, ["project_id"], ["name", "version"], max_items)
-    grouped = rows.groupBy("project_id", "part", "parts").agg(
-        F.sort_array(F.collect_list(package)).alias("_p"), F.sort_array(F.collect_list(relation)).alias("_r")
-    )
-    name = F.concat(F.lit("project-"), F.col("project_id").cast("string"))
-    root = F.array(
-        F.struct(F.lit("SPDXRef-DOCUMENT").alias("spdxElementId"), F.lit("DESCRIBES").alias("relationshipType"), F.lit("SPDXRef-Package").alias("relatedSpdxElement"))
-    )
-    document = F.to_json(
-        F.struct(
-            F.lit("SPDX-2.3").alias("spdxVersion"), F.lit("CC0-1.0").alias("dataLicense"), F.lit("SPDXRef-DOCUMENT").alias("SPDXID"), name.alias("name"),
-            F.concat(F.lit("https://example.org/sbom/"), name, F.lit("/"), F.col("part").cast("string")).alias("documentNamespace"),
-            F.struct(F.lit(created).alias("created"), F.array(F.lit(f"Tool: {TOOL}")).alias("creators")).alias("creationInfo"),
-            F.transform("_p", lambda p: p.dropFields("ordinal")).alias("packages"),
-            F.concat(root, F.transform("_r", lambda r: r.dropFields("ordinal"))).alias("relationships"),
-        )
-    )
-    return grouped.select("project_id", "part", document.alias("document"))
 
+    def relation(source: Column, kind: str, target: Column) -> Column:
+        return F.to_json(F.struct(source.alias("spdxElementId"), F.lit(kind).alias("relationshipType"), target.alias("relatedSpdxElement")))
 
-def write_documents(documents: DataFrame, path: str) -> None:
-    """One JSON document per line."""
-    documents.select(F.col("document").alias("value")).write.mode("overwrite").text(path)
+    name = F.concat(F.lit("project-"), F.col("project_id").cast("string"))
+    header = F.struct(
+        F.lit("SPDX-2.3").alias("spdxVersion"), F.lit("CC0-1.0").alias("dataLicense"), F.lit("SPDXRef-DOCUMENT").alias("SPDXID"), name.alias("name"),
+        F.concat(F.lit("https://example.org/sbom/"), name).alias("documentNamespace"),
+        F.struct(F.lit(created).alias("created"), F.array(F.lit(f"Tool: {TOOL}")).alias("creators")).alias("creationInfo"),
+    )
+    projects = parts.select("project_id").distinct()
+    packages = parts.select("project_id", (F.col("ordinal") - 1).alias("place"), F.to_json(package).alias("item"))
+    described = projects.select("project_id", F.lit(0).alias("place"), relation(F.lit("SPDXRef-DOCUMENT"), "DESCRIBES", F.lit("SPDXRef-Package")).alias("item"))
+    direct = parts.where("is_direct").select("project_id", F.col("ordinal").alias("place"), relation(F.lit("SPDXRef-Package"), "DEPENDS_ON", spdx_id).alias("item"))
+    return document_lines(["project_id"], projects, [opened(header, "packages"), F.lit('],"relationships":['), F.lit("]}")], [packages, described.unionByName(direct)])
 
 
 def append_findings(findings: DataFrame, path: str, session: str = "session_date") -> None:

@@ -91,16 +91,68 @@ def hot_components(spark):
 def test_component_order_equals_plain_ranking(spark):
     parts = hot_components(spark)
     plain = parts.withColumn("want", F.row_number().over(Window.partitionBy("project_id").orderBy(F.col("is_direct").desc(), "name", "version")))
-    for prefix in (1, 6, 10):
-        got = sbom.component_order(parts, prefix)
-        assert got.join(plain, ["project_id", "name", "version", "is_direct"]).where("ordinal <> want").count() == 0
-        assert got.count() == 3000
-
-
-def test_documents_split_and_stay_whole(spark):
-    rows = sinks.in_parts(hot_components(spark), ["project_id"], ["name", "version"], max_items=100)
-    sizes = rows.groupBy("project_id", "part").agg(F.count(F.lit(1)).alias("n"))
-    assert rows.count() == 3000 and sizes.where("project_id = 1").count() > 10 and sizes.agg(F.max("n")).first()[0] < 300
+    got = sbom.component_order(parts)
+    assert got.join(plain, ["project_id", "name", "version", "is_direct"]).where("ordinal <> want").count() == 0
+    assert got.count() == 3000
+
+
+def test_positions_of_hot_groups_ties_and_nulls(spark):
+    from quayside.operators.ranks import numbered
+
+    rows = [(None if k % 4 == 0 else "hot", None if k % 5 == 0 else k % 7, k) for k in range(2000)] + [("one", 1, -1)]
+    got = numbered(spark.createDataFrame(rows, "g string, x int, id int").repartition(5), ["g"], [F.col("x").asc_nulls_first()], "place", "size").collect()
+    for g in (None, "hot", "one"):
+        mine = sorted((r for r in got if r.g == g), key=lambda r: r.place)
+        assert [r.place for r in mine] == list(range(len(mine))) and {r.size for r in mine} == {sum(1 for r in rows if r[0] == g)}
+        keys = [-1 if r.x is None else r.x for r in mine]
+        assert keys == sorted(keys)
+    assert sorted(r.id for r in got) == sorted(r[2] for r in rows)
+    assert numbered(spark.createDataFrame([], "g string, x int"), ["g"], [F.col("x").asc()]).count() == 0
+
+
+def documents_in(folder):
+    """The JSON documents of the part files, one after the other."""
+    import glob
+    import json
+
+    text = "".join(open(f, encoding="utf-8").read() for f in sorted(glob.glob(f"{folder}/part-*")))
+    decoder, at, found = json.JSONDecoder(), 0, []
+    while text[at:].strip():
+        at += len(text[at:]) - len(text[at:].lstrip())
+        document, at = decoder.raw_decode(text, at)
+        found.append(document)
+    return found
+
+
+def test_large_documents_are_one_and_valid(spark, tmp_path):
+    parts = spark.range(50_010).select(
+        F.when(F.col("id") < 50_000, 1).otherwise(F.col("id")).alias("project_id"), F.concat(F.lit('p"'), F.col("id").cast("string")).alias("name"), F.lit("1.0.0").alias("version"),
+        F.lit("pkg:x").alias("purl"), F.lit(None).cast("string").alias("license"), F.lit("SHA-512").alias("hash_alg"), F.lit("aa").alias("hash_value"), (F.col("id") % 3 == 0).alias("is_direct"), F.lit(True).alias("is_dev"))
+    ordered = sbom.component_order(parts)
+    depends = parts.where("project_id = 1").select("project_id", "name", "version", F.array(F.lit("a@1")).alias("depends_on"))
+    for label, lines, items in (("cyclonedx", sinks.cyclonedx_documents(ordered, depends, "now"), "components"), ("spdx", sinks.spdx_documents(ordered, "now"), "packages")):
+        sinks.write_documents(lines, ["project_id"], str(tmp_path / label), as_text=True)
+        documents = documents_in(tmp_path / label)
+        assert sorted(len(d[items]) for d in documents) == [1] * 10 + [50_000]
+        if label == "spdx":
+            assert max(len(d["relationships"]) for d in documents) == 1 + 16_667
+            assert [p["SPDXID"] for p in max(documents, key=lambda d: len(d[items]))["packages"]] == [f"SPDXRef-Package-{k}" for k in range(1, 50_001)]
+        else:
+            assert all(len(d["dependencies"]) == len(d["components"]) for d in documents)
+
+
+def test_findings_and_sarif_documents(spark, tmp_path):
+    rows = [("npm", 1, f"CVE-{k % 7}", "CRITICAL" if k % 2 else "LOW", "p", str(k), None, f"/f{k % 5}", k) for k in range(300)] + [("npm", 2, "CVE-1", "HIGH", "p", "1", "2", "/f", 1)]
+    found = spark.createDataFrame(rows, "scanner string, project_id int, cve_id string, severity string, package string, version string, patched_version string, file_path string, line_no int")
+    sinks.write_documents(sinks.findings_documents(found), ["scanner", "project_id"], str(tmp_path / "k1"), as_text=True)
+    reports = {d["target"]: d for d in documents_in(tmp_path / "k1")}
+    assert len(reports[1]["findings"]) == 300 and reports[1]["summary"] == {"total": 300, "critical": 150, "high": 0} and reports[2]["findings"][0]["patched_version"] == "2"
+    sinks.write_documents(sinks.sarif_documents(sinks.sarif_findings(found)), ["project_id"], str(tmp_path / "k2"), as_text=True)
+    runs = sorted((d["runs"][0] for d in documents_in(tmp_path / "k2")), key=lambda r: -len(r["results"]))
+    assert len(runs[0]["results"]) == 300 and len(runs[0]["tool"]["driver"]["rules"]) == 7 and runs[1]["results"][0]["level"] == "error"
+    empty = found.limit(0)
+    sinks.write_documents(sinks.findings_documents(empty), ["scanner", "project_id"], str(tmp_path / "none"), as_text=True)
+    assert documents_in(tmp_path / "none") == []
 
 
 def test_score_bounds(spark):
