@@ -165,8 +165,8 @@ def pack(lengths: list[int], width: int) -> list[list[tuple[int, int, int]]]:
             rooms[high] += part
             if part < n:
                 bins[high].append((doc, start + part, n - part))
+    bins = [b for b in bins if b]  # emptied ones first, or the one that is half full would not be the last
     last = bins.pop() if bins and used(bins[-1]) < width else []
-    bins = [b for b in bins if b]
     while last:
         need, piece_list = 1 << (used(last).bit_length() - 1), []
         while need:
@@ -198,9 +198,13 @@ def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text", text_class().alias("d")).mapInPandas(run, "doc_id long, ids binary, wide boolean, d long, nth long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end: int = 2, width: int = 4096, group_docs: int = 2_000) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset."""
-    groups = max(1, -(-docs.count() // group_docs))
+def pack_documents(docs: DataFrame, tokenizer: str, end: int = 2, width: int = 4096, group_docs: int = 2_000, group_bytes: int = 16 << 20) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
+
+    There are as many groups as keep the average below ``group_docs`` documents and ``group_bytes`` bytes of text.
+    """
+    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    groups = max(1, -(-n // group_docs), -(-size // group_bytes))
     dealt = tokenised(docs, tokenizer, end).withColumn("part", F.pmod(F.xxhash64("doc_id", "d", "nth"), F.lit(groups))).drop("d", "nth")
 
     def pack_group(group: pd.DataFrame) -> pd.DataFrame:

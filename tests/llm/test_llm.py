@@ -310,3 +310,21 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, FOLDER).collect()
     assert rows and {r.doc_id for r in rows} <= {r.doc_id for r in docs.collect()}
     assert all(zlib.crc32(b"") <= r.ids_crc32 < 1 << 32 for r in rows)
+
+
+def test_packing_leaves_no_padding():
+    import random
+
+    draw = random.Random(1)
+    for _ in range(500):
+        width = draw.choice([8, 64, 512])
+        lengths = sorted((draw.randint(1, draw.choice([3, width, 3 * width])) for _ in range(draw.randint(0, 40))), reverse=True)
+        sequences = packing.pack(lengths, width)
+        sizes = [sum(n for _, _, n in pieces) for pieces in sequences]
+        assert all(s == width or s & (s - 1) == 0 for s in sizes) and sum(s < width for s in sizes) <= width.bit_length()
+        covered = sorted((doc, start, n) for pieces in sequences for doc, start, n in pieces)
+        ends = {}
+        for doc, start, n in covered:
+            assert n > 0 and start == ends.get(doc, 0)
+            ends[doc] = start + n
+        assert ends == dict(enumerate(lengths))
