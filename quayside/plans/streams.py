@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quayside.operators.evidence import indicator_files
 from quayside.plans.registry import Tables, register
 from quayside.streaming import changes as s
+from quayside.streaming import flushes as fl
 
 POLL = 6 * 3600
 
@@ -22,15 +23,15 @@ def event_stream(t: Tables, folder: str | None = None):
     )
 
 
-def landings(t: Tables, label: str):
-    """Land the events in three steps, cut anywhere in time; yields the folder after each."""
+def landings(t: Tables, label: str, steps: int = 3):
+    """Land the events in some steps, cut anywhere in time; yields the folder after each."""
     rows = t.base("events")
     folder = s.stream_path(t.spark, label)
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     low, high = rows.agg(F.min(micros), F.max(micros)).first()
-    third = F.least(F.lit(2), F.floor((micros - F.lit(low or 0)) / F.lit(((high or 0) - (low or 0)) / 3 + 1)))
-    for step in range(3):
-        rows.where(F.coalesce(third, F.lit(0)) == step).write.mode("append").parquet(folder)
+    part = F.least(F.lit(steps - 1), F.floor((micros - F.lit(low or 0)) / F.lit(((high or 0) - (low or 0)) / steps + 1)))
+    for step in range(steps):
+        rows.where(F.coalesce(part, F.lit(0)) == step).write.mode("append").parquet(folder)
         yield folder
 
 
@@ -64,11 +65,77 @@ def debounce(t: Tables):
     return s.debounced(rows, "30 minutes").select("project_id", F.unix_micros("started").alias("started_us"), "changes", "flushes")
 
 
-@register("t2_debounce_stream")
+def land_all(t: Tables, label: str, closings: int = 1):
+    """Land the events in two steps, then late events of nobody, so that the watermark passes all others; yields the folder after each."""
+    for folder in landings(t, label, 2):
+        yield folder
+    rows = t.base("events")
+    for k in range(1, closings + 1):
+        late = F.col("ts") + F.expr(f"INTERVAL {10 * k} DAYS")
+        closing = rows.agg(F.max("ts").alias("ts")).select(*[(late if c.name == "ts" else F.lit(None)).cast(c.dataType).alias(c.name) for c in rows.schema])
+        closing.where("ts IS NOT NULL").write.mode("append").parquet(folder)
+        yield folder
+
+
+def watermarked(t: Tables, folder: str):
+    return event_stream(t, folder).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
+
+
+@register("t2_debounce_stream", SESSIONS)
 def debounce_stream(t: Tables):
     """The same sessions as a stream; a session appears once the watermark has passed its end."""
-    rows = event_stream(t).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
-    return s.append_table(s.debounced(rows, "30 minutes"), s.stream_path(t.spark, "sessions")).drop("batch_id")
+    path = s.stream_path(t.spark, "sessions")
+    for folder in land_all(t, "landed"):
+        log = s.append_table(s.debounced(watermarked(t, folder), "30 minutes"), path)
+    return log.where("project_id IS NOT NULL").select("project_id", F.unix_micros("started").alias("started_us"), "changes", "flushes")
+
+
+FLUSHES = """WITH g AS (SELECT project_id, CAST(floor(epoch_us(ts) / 60000000) AS BIGINT) AS tick, event_id FROM v_changes),
+  f AS (SELECT *, CASE WHEN tick - lag(tick) OVER w < 30 THEN 0 ELSE 1 END AS fresh FROM g WINDOW w AS (PARTITION BY project_id ORDER BY tick, event_id)),
+  i AS (SELECT *, sum(fresh) OVER (PARTITION BY project_id ORDER BY tick, event_id ROWS UNBOUNDED PRECEDING) AS k FROM f),
+  n AS (SELECT *, min(tick) OVER (PARTITION BY project_id, k) AS session, row_number() OVER (PARTITION BY project_id, k ORDER BY tick, event_id) - 1 AS place FROM i)
+  SELECT project_id, session, place // 10 + 1 AS flush, min(tick) AS started, max(tick) AS ended, count(*) AS changes, CASE count(*) WHEN 10 THEN 'count' ELSE 'quiet' END AS reason
+  FROM n GROUP BY project_id, session, place // 10"""
+
+
+@register("t2_flush_batch", FLUSHES)
+def flush_batch(t: Tables):
+    """Flushes at the tenth pending change or after thirty quiet minutes."""
+    return fl.flush_batch(t.view("v_changes"))
+
+
+@register("t2_flush_stream", FLUSHES)
+def flush_stream(t: Tables):
+    """The same flushes as a stream over three landings, by count and by event-time timer."""
+    path = s.stream_path(t.spark, "flushes")
+    for folder in land_all(t, "landed"):
+        log = s.append_table(fl.flush_stream(watermarked(t, folder)), path)
+    return log.where("project_id IS NOT NULL").drop("batch_id")
+
+
+CACHE = """WITH e AS (SELECT project_id AS package, CAST(floor(epoch_us(ts) / 60000000) AS BIGINT) AS tick, ts, CASE WHEN severity IN ('HIGH', 'MEDIUM') THEN hash END AS stored, severity NOT IN ('HIGH', 'MEDIUM') AS asked FROM v_changes),
+  k AS (SELECT package, tick, arg_max(stored, row(ts, stored)) FILTER (stored IS NOT NULL) AS stored, bool_or(asked) AS asked FROM e GROUP BY ALL),
+  c AS (SELECT *, last_value(CASE WHEN stored IS NOT NULL THEN struct_pack(tick := tick, stored := stored) END IGNORE NULLS) OVER (PARTITION BY package ORDER BY tick) AS held FROM k)
+  SELECT package, tick, CASE WHEN tick - held.tick < 1440 THEN held.stored END AS advisory_set, CASE WHEN tick - held.tick < 1440 THEN 'hit' ELSE 'refetch' END AS answer FROM c WHERE asked"""
+
+
+def cache_rows(changes):
+    stores = F.col("severity").isin("HIGH", "MEDIUM")
+    return changes.select(F.col("project_id").alias("package"), "ts", F.when(stores, F.col("hash")).alias("advisory_set"), (~stores).alias("asked"))
+
+
+@register("t5_cache_batch", CACHE)
+def cache_batch(t: Tables):
+    """Which requests for a package's advisories a stored set still answers."""
+    return fl.cache_batch(cache_rows(t.view("v_changes")))
+
+
+@register("t5_cache_stream", CACHE)
+def cache_stream(t: Tables):
+    path = s.stream_path(t.spark, "cache")
+    for folder in land_all(t, "landed", closings=2):
+        log = s.append_table(fl.cache_stream(cache_rows(watermarked(t, folder))), path, idle_batches=False)
+    return log.where("package IS NOT NULL").drop("batch_id")
 
 
 @register("t3_rescan_on_change", """SELECT project_id, name, kind, count(*) AS n FROM (SELECT project_id, name, 'indicator_file' AS kind FROM v_project_files WHERE (folder = '' OR regexp_matches(folder, '^node_modules/([^/]+/)?$')) AND name IN ('setup_bun.js', '.truffler-cache')

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -94,7 +95,6 @@ def change_stream(rows: DataFrame, poll_seconds: int, late_ticks: int = 1) -> Da
 
     The output is a log of updates: ``newest_changes`` gives the events as they stand.
     """
-    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     # the processor also starts in a worker of the driver, which does not see shipped packages
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     seconds = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -151,8 +151,12 @@ def read_log(spark: SparkSession, schema: StructType, path: str) -> DataFrame:
     return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
 
 
-def append_table(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Run a stream over everything that has landed; batches are written by id, so a replay does not double them."""
+def append_table(stream: DataFrame, path: str, mode: str = "append", idle_batches: bool = True) -> DataFrame:
+    """Run a stream over everything that has landed; batches are written by id, so a replay does not double them.
+
+    A stream whose state lives by the clock asks for another batch for ever: run it without ``idle_batches``; what its
+    watermark closes then comes with the next landing.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/data/batch={batch_id:08d}")
@@ -160,11 +164,25 @@ def append_table(stream: DataFrame, path: str, mode: str = "append") -> DataFram
     spark = stream.sparkSession
     schema = StructType([*stream.schema.fields]).add("batch_id", "integer")
     begin_log(spark, schema, f"{path}/data")
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
+    with settings(spark, {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": str(idle_batches).lower()}):
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
     query.awaitTermination()
     return read_log(spark, schema, f"{path}/data")
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the streams that start inside; a stream keeps those it started with, the session gets its own back."""
+    own = {name: spark.conf.get(name, None) for name in values}
+    try:
+        for name, value in values.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in own.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def newest_updates(log: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of an update-mode log as they stand now: the last batch of each key wins."""
     rest = [c for c in log.columns if c not in [*keys, "batch_id"]]

@@ -303,3 +303,62 @@ def test_rescan_forgets_what_the_last_scan_does_not_find(spark, tmp_path):
     spark.createDataFrame([("a", 2)], schema).coalesce(1).write.mode("append").parquet(landed)
     assert run(infected[1]) == {"b"}  # clean after infected
     assert run(infected[2]) == {"b"}  # idle restart
+
+
+def at(spark, rows):
+    return spark.createDataFrame(rows, "project_id string, at string").select("project_id", F.col("at").cast("timestamp").alias("ts"))
+
+
+def test_flushes_at_the_tenth_change_and_after_the_gap(spark):
+    from quayside.streaming import flushes
+
+    rows = [("p", f"2024-01-01 00:{k:02d}:00") for k in range(23)] + [("p", "2024-01-01 00:52:59"), ("p", "2024-01-01 03:00:00"), ("q", "2024-01-01 00:00:30")] + [("q", "2024-01-01 00:01:00")] * 25
+    got = sorted((r.project_id, r.session, r.flush, r.started, r.ended, r.changes, r.reason) for r in flushes.flush_batch(at(spark, rows)).collect())
+    start = 28401120  # minutes from 1970 to 2024-01-01
+    assert got == [
+        ("p", start, 1, start, start + 9, 10, "count"), ("p", start, 2, start + 10, start + 19, 10, "count"), ("p", start, 3, start + 20, start + 22, 3, "quiet"),
+        ("p", start + 52, 1, start + 52, start + 52, 1, "quiet"), ("p", start + 180, 1, start + 180, start + 180, 1, "quiet"),
+        ("q", start, 1, start, start + 1, 10, "count"), ("q", start, 2, start + 1, start + 1, 10, "count"), ("q", start, 3, start + 1, start + 1, 6, "quiet")]
+    assert flushes.flush_batch(at(spark, [])).count() == 0
+
+
+def test_flush_stream_equals_batch_with_late_changes(spark, tmp_path):
+    from quayside.streaming import flushes
+
+    batches = [
+        [("p", f"2024-01-01 00:{k:02d}:00") for k in range(0, 24, 2)],
+        [("p", f"2024-01-01 00:{k:02d}:00") for k in range(1, 24, 2)] + [("q", "2024-01-01 00:30:00")],  # late, inside the watermark
+        [("z", "2024-02-01 00:00:00")],
+    ]
+    for rows in batches:
+        at(spark, rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "landed"))
+        stream = changes.read_stream(spark, str(tmp_path / "landed"), "*.parquet", at(spark, []).schema).withWatermark("ts", "1 hour")
+        log = changes.append_table(flushes.flush_stream(stream), str(tmp_path / "out"))
+    columns = ["project_id", "session", "flush", "started", "ended", "changes", "reason"]
+    want = flushes.flush_batch(at(spark, [r for b in batches for r in b if r[0] != "z"]))
+    assert sorted(map(tuple, log.select(columns).where("project_id <> 'z'").collect())) == sorted(map(tuple, want.select(columns).collect()))
+    assert log.where("reason = 'count'").count() == 2
+
+
+def test_cached_sets_expire(spark, tmp_path):
+    """Across three batches: a fresh set answers, one that is too old by its time asks for a refetch, and so does one whose state is gone."""
+    import datetime
+    import time
+
+    from quayside.streaming import flushes
+
+    schema = spark.createDataFrame([], "package string, ts timestamp, advisory_set string, asked boolean").schema
+
+    def run(rows, lifetime):
+        spark.createDataFrame([(p, datetime.datetime.fromisoformat(t), a, k) for p, t, a, k in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "landed"))
+        stream = changes.read_stream(spark, str(tmp_path / "landed"), "*.parquet", schema).withWatermark("ts", "1 minute")
+        cache = flushes.cache_stream(stream, lifetime=datetime.timedelta(seconds=lifetime))
+        return changes.append_table(cache, str(tmp_path / "out"), idle_batches=False)
+
+    run([("a", "2024-01-01 00:00:00", "A", False), ("b", "2024-01-01 00:00:00", "B", False), ("c", "2024-01-01 00:00:00", None, True), ("z", "2024-01-01 00:30:00", None, False)], 25)
+    run([("a", "2024-01-01 12:00:00", None, True), ("z", "2024-01-01 13:00:00", None, False)], 25)
+    run([("b", "2024-01-02 01:00:00", None, True), ("z", "2024-01-02 02:00:00", None, False)], 25)
+    time.sleep(26)
+    log = run([("a", "2024-01-02 02:30:00", None, True), ("z", "2024-01-02 05:00:00", None, False)], 25)
+    log = run([("z", "2024-01-03 05:00:00", None, False)], 25)
+    assert sorted((r.package, r.answer, r.advisory_set) for r in log.collect()) == [("a", "hit", "A"), ("a", "refetch", None), ("b", "refetch", None), ("c", "refetch", None)]
