@@ -1,4 +1,4 @@
-"""Manifests and lockfiles (S4-S7, S11). A document is parsed on its own row, so no parser needs a shuffle."""
+"""Manifests and lockfiles (S4-S7, S11). A document is parsed on its own row, so no parser needs a shuffle (S5: see there)."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.catalogue.lists import SECTIONS
+from quayside.session import cut_lineage
 
 MANIFEST_DDL = "name string, version string, description string, license string, scripts map<string,string>, engines map<string,string>, " + ", ".join(
     f"{s} map<string,string>" for s in SECTIONS
@@ -14,7 +15,6 @@ ENTRY_DDL = (
     "version string, resolved string, integrity string, license string, dev boolean, optional boolean, peer boolean, bundled boolean, "
     "requires map<string,string>"
 )
-LOCK_COLUMNS = ["package", "version", "resolved_url", "integrity", "license", "dev", "optional", "requires"]
 
 
 def parse_manifests(files: DataFrame, content: str = "content") -> DataFrame:
@@ -53,38 +53,33 @@ def script_rows(manifests: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def parse_npm_lock(files: DataFrame, content: str = "content") -> DataFrame:
-    """Entries of npm lockfiles of every version, each document on its own row.
+    """Entries of npm lockfiles of every version.
 
-    Versions 2 and 3 list paths: the name is the text after the last ``node_modules/``, with its scope. Version 1
-    nests: a fold opens one level per step and keeps the inner levels as texts for the next. The document cannot be
-    deeper than the number of its "dependencies" keys, so that many steps open all of it; spare steps find nothing.
+    Versions 2 and 3 list paths: the name is the text after the last ``node_modules/``, with its scope. Version 1 nests: its
+    entries are opened level by level. What a level leaves closed is one text per entry, so every subtree is a row of its own
+    and a large lockfile spreads over tasks; each level is a table in the shared folder, and the levels end with the deepest
+    document.
     """
     keep = [c for c in files.columns if c != content]
-    level = f"map<string,struct<{ENTRY_DDL},dependencies:string>>".replace(" string", ":string").replace(" boolean", ":boolean").replace(" map", ":map")
-    steps = f"int((length({content}) - length(replace({content}, '\"dependencies\"', ''))) / 14)"
-    nested = (
-        f"aggregate(sequence(1, greatest(1, {steps})), "
-        f"named_struct('done', cast(array() AS array<struct<key:string,value:struct<{level[level.index('struct<') + 7:-2]}>>>), 'front', array(_d.dependencies)), "
-        f"(acc, i) -> transform(array(flatten(transform(acc.front, j -> map_entries(from_json(j, '{level}'))))), "
-        f"o -> named_struct('done', concat(acc.done, o), 'front', filter(transform(o, e -> e.value.dependencies), d -> d IS NOT NULL)))[0], "
-        f"acc -> acc.done)"
-    )
 
-    def entry(package: str, requires: str) -> str:
-        return (
-            f"named_struct('package', {package}, 'version', coalesce(e.value.version, 'unknown'), 'resolved_url', e.value.resolved, "
-            f"'integrity', e.value.integrity, 'license', e.value.license, 'dev', coalesce(e.value.dev, false), "
-            f"'optional', coalesce(e.value.optional, false), 'requires', {requires})"
+    def entries(rows: DataFrame, package: Column, requires: str) -> DataFrame:
+        return rows.select(
+            *keep, package.alias("package"), F.coalesce("_v.version", F.lit("unknown")).alias("version"), F.col("_v.resolved").alias("resolved_url"), "_v.integrity", "_v.license",
+            F.coalesce("_v.dev", F.lit(False)).alias("dev"), F.coalesce("_v.optional", F.lit(False)).alias("optional"), F.col(f"_v.{requires}").alias("requires"),
         )
 
-    entries = (
-        f"if(coalesce(_d.lockfileVersion, 1) >= 2, "
-        f"transform(filter(map_entries(_d.packages), e -> e.key <> ''), e -> {entry("element_at(split(e.key, 'node_modules/'), -1)", 'e.value.dependencies')}), "
-        f"transform({nested}, e -> {entry('e.key', 'e.value.requires')}))"
-    )
-    ddl = f"lockfileVersion int, packages map<string, struct<{ENTRY_DDL}, dependencies map<string,string>>>, dependencies string"
-    parsed = files.withColumn("_d", F.from_json(content, ddl))
-    return parsed.select(*keep, F.explode(F.expr(entries)).alias("_e")).select(*keep, *[f"_e.{c}" for c in LOCK_COLUMNS])
+    version = F.coalesce(F.get_json_object(content, "$.lockfileVersion").try_cast("int"), F.lit(1))
+    listed = files.where(version >= 2).select(*keep, F.from_json(content, f"packages map<string, struct<{ENTRY_DDL}, dependencies map<string,string>>>").alias("_d"))
+    paths = listed.select(*keep, F.explode("_d.packages").alias("_k", "_v")).where("_k <> ''")
+    found = entries(paths, F.element_at(F.split("_k", "node_modules/"), -1), "dependencies")
+
+    closed = files.where(version < 2).select(*keep, F.from_json(content, "dependencies string")["dependencies"].alias("_j")).where("_j IS NOT NULL")
+    while True:
+        opened = cut_lineage(closed.select(*keep, F.explode(F.from_json("_j", f"map<string, struct<{ENTRY_DDL}, dependencies string>>")).alias("_k", "_v")), "lock")
+        if opened.isEmpty():
+            return found
+        found = found.unionByName(entries(opened, F.col("_k"), "requires"))
+        closed = opened.where("_v.dependencies IS NOT NULL").select(*keep, F.col("_v.dependencies").alias("_j"))
 
 
 def parse_yarn_lock(files: DataFrame, content: str = "content") -> DataFrame:

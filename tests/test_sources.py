@@ -95,3 +95,26 @@ def test_yarn_sections_and_berry(spark):
 def test_pnpm_stops_after_packages(spark):
     text = "packages:\n\n  a@1.0.0:\n    resolution: {integrity: sha512-q}\n\nsnapshots:\n\n  a@1.0.0:\n    dependencies:\n      b: 2.0.0\n"
     assert [(r.package, r.version, r.integrity) for r in manifests.parse_pnpm_lock(docs(spark, text)).collect()] == [("a", "1.0.0", "sha512-q")]
+
+
+def test_a_large_nested_lock_is_opened_in_linear_time(spark):
+    import json
+    import time
+
+    def lock(n, depth=4):
+        inner = {f"deep-{k}": {"version": f"{k}.0.0"} for k in range(3)}
+        for level in range(depth):
+            inner = {f"mid-{level}": {"version": "1.0.0", "dependencies": inner}}
+        return {"lockfileVersion": 1, "dependencies": {f"pkg-{k}": {"version": f"1.{k}.0", "requires": {"x": "^1"}, **({"dependencies": inner} if k % 10 == 0 else {})} for k in range(n)}}
+
+    def run(n):
+        files = spark.createDataFrame([(1, json.dumps(lock(n))), (2, "no json"), (3, "{}"), (4, None)], "id int, content string")
+        start = time.perf_counter()
+        rows = manifests.parse_npm_lock(files).groupBy("package").count().collect()
+        return time.perf_counter() - start, sum(r["count"] for r in rows), {r["package"]: r["count"] for r in rows}
+
+    run(100)
+    small, _, _ = run(4_000)
+    large, total, counts = run(40_000)
+    assert total == 40_000 + 4_000 * (4 + 3) and counts["deep-2"] == 4_000 and counts["mid-0"] == 4_000
+    assert large < 10 * small + 10
