@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quayside.operators.detection import registry_tokens
 from quayside.operators.fixes import patch_manifest
 from quayside.plans.registry import Tables, register
+from quayside.session import scratch_path
 from quayside.sources import feeds, files, manifests
 
 FILE_PATHS = "SELECT file_id, folder || name AS rel_path, name, content FROM v_project_files"
@@ -32,6 +34,40 @@ def runtime_version_read(t: Tables):
     return files.runtime_versions(t.view("v_project_files")).select("file_id", "name", "version")
 
 
+NODE = """CASE file_id % 5 WHEN 0 THEN '>=18.2 <21' WHEN 1 THEN '^20.' || CAST(file_id % 7 AS STRING) || '.1' WHEN 2 THEN '22.x || 24' WHEN 3 THEN 'lts' END"""
+TREE_FILES = f"""SELECT concat('p', CAST(file_id AS STRING), '/', name) AS rel_path, content FROM v_project_files WHERE name <> 'package.json'
+  UNION ALL SELECT concat('p', CAST(file_id AS STRING), '/package.json'), concat('{{"name": "a"', coalesce(concat(', "engines": {{"node": "', {NODE}, '"}}'), ''), '}}') FROM v_project_files"""
+
+
+def written_projects(t: Tables):
+    """Every project file in a folder of its own in the shared folder, read back: manifests, and the dotfiles beside them."""
+    root = scratch_path(t.spark, "projects")
+    files.write_files(t.sql(TREE_FILES), root)
+    found = files.manifest_scan(files.read_files(t.spark, root, "package.json"))
+    return found, files.read_dotfiles(found)
+
+
+FILE_ID = F.regexp_extract("project_dir", "/p([0-9]+)$", 1).cast("bigint").alias("file_id")
+
+
+@register("s10_declared_runtimes", f"""WITH e AS (SELECT file_id, regexp_extract({NODE}, '([0-9]+)[.]?([0-9]+)?[.]?([0-9]+)?', ['a', 'b', 'c']) AS v FROM v_project_files)
+  SELECT file_id, 'package.json' AS name, v.a || '.' || coalesce(nullif(v.b, ''), '0') || '.' || coalesce(nullif(v.c, ''), '0') AS version FROM e WHERE v.a <> ''
+  UNION ALL SELECT file_id, name, version FROM (SELECT file_id, name, CASE WHEN name = '.tool-versions' THEN nullif(regexp_extract(content, 'nodejs\\s+([0-9]+[.][0-9]+[.][0-9]+)', 1), '')
+    WHEN regexp_matches(content, 'v?[0-9]+[.][0-9]+[.][0-9]+') THEN regexp_extract(content, 'v?([0-9]+[.][0-9]+[.][0-9]+)', 1)
+    WHEN regexp_full_match(trim(content), '[0-9]+') THEN trim(content) || '.0.0' END AS version
+  FROM v_project_files WHERE name IN ('.nvmrc', '.node-version', '.tool-versions')) WHERE version IS NOT NULL""".replace("STRING", "VARCHAR"))
+def declared_runtimes(t: Tables):
+    """Runtime versions of real files: engines of manifests, and the version files that Spark's own sources skip."""
+    return files.declared_runtimes(*written_projects(t)).select(FILE_ID, "name", "version")
+
+
+@register("p16_token_files", """SELECT file_id, name FROM v_project_files
+  WHERE name IN ('.npmrc', '.yarnrc', '.yarnrc.yml', '.env', '.env.local', '.env.production') AND contains(content, '//registry.npmjs.org/:_authToken=')""")
+def token_files(t: Tables):
+    """Registry tokens in real dotfiles of the shared folder."""
+    return registry_tokens(written_projects(t)[1]).select(FILE_ID, "name")
+
+
 @register("s12_file_snapshot", "SELECT path, md5(content) AS hash, CAST(strlen(content) AS INT) AS size FROM v_files")
 def file_snapshot(t: Tables):
     return files.file_snapshot(t.view("v_files"))

@@ -1,7 +1,8 @@
 """File trees as DataFrames (S1, S2, S10, S12). Reading, filtering and hashing are plans.
 
 Spark's file sources skip names that start with a dot. The few dotfiles that matter (token files, version files, ignore
-files) are read beside the manifests that were found, by tasks that each get some project folders.
+files) are read beside the manifests that were found, by tasks that each get some project folders. The folders are rows of
+a table, so the driver holds no list of them, and they keep their store's scheme and host.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.catalogue import lists as words
+from quayside.functions.versions import runtime_requirement
 
 SOURCE_GLOB = "*"
 
@@ -25,12 +27,13 @@ def read_files(spark: SparkSession, root: str, glob: str = SOURCE_GLOB) -> DataF
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
     raw = reader.load(root)
+    # relative to the root, whatever scheme and host the store puts before it
     clean = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/+", "/"), "/+", "/")
     base = "/" + "/".join(p for p in root.split("://")[-1].split("/") if p)
     relative = F.substr(clean, F.lit(len(base) + 2))
     return raw.select(
-        clean.alias("path"), relative.alias("rel_path"),
-        F.regexp_extract(clean, r"^(.*)/[^/]*$", 1).alias("project_dir"),
+        "path", relative.alias("rel_path"),
+        F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("project_dir"),
         F.element_at(F.split("path", "/"), -1).alias("name"),
         (F.size(F.split(relative, "/")) - 1).alias("depth"),
         F.col("length").alias("size"), F.col("modificationTime").alias("mtime"),
@@ -38,7 +41,14 @@ def read_files(spark: SparkSession, root: str, glob: str = SOURCE_GLOB) -> DataF
     )
 
 
+# Dotfiles that scans look for.
 DOTFILES = [".npmrc", ".yarnrc", ".yarnrc.yml", ".env", ".env.local", ".env.production", ".gitignore", ".nvmrc", ".node-version", ".tool-versions"]
+DOTFILE_DDL = "path string, project_dir string, name string, size bigint, content string"
+
+
+def store_of(uri: str) -> tuple[arrow_fs.FileSystem, str]:
+    """The store of a folder or file and its path there; Spark writes local paths with a single slash."""
+    return arrow_fs.FileSystem.from_uri("file:///" + uri.removeprefix("file:").lstrip("/") if uri.startswith("file:") else uri)
 
 
 def read_dotfiles(manifests: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -47,17 +57,30 @@ def read_dotfiles(manifests: DataFrame, names: list[str] | None = None) -> DataF
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
             for folder in batch["project_dir"]:
-                system, base = arrow_fs.FileSystem.from_uri(folder)
-                infos = system.get_file_info([f"{base}/{n}" for n in wanted])
-                for info in infos:
+                system, base = store_of(folder)
+                for info in system.get_file_info([f"{base}/{n}" for n in wanted]):
                     if info.type == arrow_fs.FileType.File:
                         with system.open_input_stream(info.path) as stream:
-                            rows.append((f"{folder}/{info.base_name}", folder, info.base_name, info.size, stream.read().decode("utf-8", "replace")))
-            yield pd.DataFrame(rows, columns=["path", "project_dir", "name", "size", "content"])
+                            row = (f"{folder}/{info.base_name}", folder, info.base_name, info.size, stream.read().decode("utf-8", "replace"))
+                        yield pd.DataFrame([row], columns=[c.split()[0] for c in DOTFILE_DDL.split(", ")])
+
+    return manifests.select("project_dir").distinct().mapInPandas(load, DOTFILE_DDL)
 
-    return manifests.select("project_dir").distinct().mapInPandas(load, "path string, project_dir string, name string, size bigint, content string")
+
+def write_files(files: DataFrame, root: str) -> int:
+    """Write files (rel_path, content) below ``root`` and return their number; a task that runs again writes the same files."""
+
+    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = store_of(root)
+        for batch in batches:
+            for path, content in zip(batch["rel_path"], batch["content"]):
+                system.create_dir(f"{base}/{path}".rpartition("/")[0], recursive=True)
+                with system.open_output_stream(f"{base}/{path}") as stream:
+                    stream.write((content or "").encode("utf-8"))
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return files.select("rel_path", "content").mapInPandas(save, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def _outside(path: Column, excluded: list[str]) -> Column:
@@ -103,6 +126,18 @@ def runtime_versions(files: DataFrame) -> DataFrame:
     return found.withColumn("version", version).where("version IS NOT NULL")
 
 
+def engine_versions(manifests: DataFrame) -> DataFrame:
+    """Runtime version of ``engines.node`` in manifests: the first version number of the requirement."""
+    asked = manifests.where("name = 'package.json'").withColumn("_node", F.get_json_object("content", "$.engines.node"))
+    return asked.withColumn("version", runtime_requirement("_node")).where("version IS NOT NULL").drop("_node")
+
+
+def declared_runtimes(manifests: DataFrame, dotfiles: DataFrame) -> DataFrame:
+    """(project_dir, name, version) of manifests and of the version files beside them."""
+    found = [engine_versions(manifests), runtime_versions(dotfiles)]
+    return found[0].select("project_dir", "name", "version").unionByName(found[1].select("project_dir", "name", "version"))
+
+
 def file_snapshot(files: DataFrame) -> DataFrame:
     """Content hash and size of each file at one point in time."""
     return files.select("path", F.md5(F.col("content").cast("binary")).alias("hash"), F.octet_length("content").alias("size"))
