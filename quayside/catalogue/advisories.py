@@ -233,3 +233,11 @@ def catalogue(spark: SparkSession) -> DataFrame:
 def by_package(catalogue_df: DataFrame) -> DataFrame:
     """One row per (advisory, package)."""
     return catalogue_df.withColumn("package", F.explode("packages")).drop("packages")
+
+# Our own wording for the advisories that get an explanation: why it matters, what is gained, how it is found.
+CVE_EXPLANATIONS = {
+    "CVE-2025-29927": ("An internal header switches the middleware off.", "Pages behind the middleware open without its checks.", "Version range, middleware files and sign-in code."),
+    "CVE-2025-55182": ("Image addresses end up in the cache as they come.", "Visitors get cached content of the attacker's choice.", "Version range, use of the image component and its hosts."),
+    "CVE-2024-34351": ("Redirects of server actions trust the Host header.", "Internal services answer to outside requests.", "Version range, server actions and redirects."),
+    "CVE-2024-47831": ("Image optimisation takes requests of any cost.", "The server runs out of time or memory.", "Version range and image settings."),
+}

@@ -83,6 +83,17 @@ def fix_recommendations(audits: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def fix_packages(audits: DataFrame, keys: list[str]) -> DataFrame:
+    """Each vulnerability of an audit with its kind of fix; what has no automatic fix carries its reason and a way out."""
+    kind = F.when(~F.col("fix_available"), "manual").when(F.col("direct"), "auto_fix").otherwise("force_fix")
+    manual = F.col("type") == "manual"
+    return audits.withColumn("type", kind).select(
+        *keys, "type", "name", "severity", F.when(manual, "No automatic fix available").alias("reason"),
+        F.when(manual, F.concat(F.lit("Replace "), "name", F.lit(" by another package"))).otherwise(
+            F.when(F.col("type") == "force_fix", "May install breaking changes")).alias("suggestion"),
+    )
+
+
 def next_minor_patch(version: Column) -> Column:
     """patched version by version prefix; the first prefix that fits decides."""
     patch = F.lit(NEXT_PATCH_DEFAULT)

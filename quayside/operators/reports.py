@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quayside.catalogue import lists as words
 from quayside.catalogue import rules as book
-from quayside.catalogue.advisories import LEGACY_REACT
+from quayside.catalogue.advisories import CVE_EXPLANATIONS, LEGACY_REACT
 from quayside.functions.text import lookup
 from quayside.operators.matching import SEVERITIES, severity_rank
+from quayside.operators.paths import path_context
+from quayside.session import fixed_dim
 
 FINDING_COLUMNS = ["scanner", "project_id", "file_path", "cve_id", "severity", "package", "version", "patched_version", "detection_method"]
 
@@ -22,14 +25,37 @@ def union_findings(parts: list[DataFrame]) -> DataFrame:
 
 
 def scan_summary(findings: DataFrame) -> DataFrame:
-    """A1: totals per scanner and overall (scanner null)."""
-    return findings.rollup("scanner").agg(
+    """A1: totals per scanner and overall (scanner null); findings in exploit data, research, archives and tests need no action."""
+    outside = path_context("file_path").isin(words.NOT_ACTIONABLE_CONTEXTS)
+    return findings.withColumn("_outside", outside).rollup("scanner").agg(
         F.count(F.lit(1)).alias("total"),
         *[F.count_if(F.col("severity") == s).alias(s.lower()) for s in SEVERITIES],
         F.count_if(F.col("patched_version").isNotNull()).alias("fixable"),
+        F.count_if(~F.col("_outside")).alias("actionable"), F.count_if("_outside").alias("non_production"),
     )
 
 
+def finding_context(findings: DataFrame) -> DataFrame:
+    """What a finding means where it stands: kind of path, whether to act, how urgent, and what to run there.
+
+    ``findings`` has file_path, severity, package and patched_version.
+    """
+    kind = path_context("file_path")
+    act = ~kind.isin(words.NOT_ACTIONABLE_CONTEXTS)
+    priority = F.when(act, F.col("severity")).when(kind == "exploit_data", "INFO").otherwise("LOW")
+    folder = F.regexp_extract("file_path", r"^(.*)/[^/]*$", 1)
+    command = F.when(kind == "node_modules", F.concat(F.lit("cd "), F.element_at(F.split("file_path", "/node_modules"), 1), F.lit(" && npm audit fix"))).when(
+        (kind == words.PRODUCTION) & F.col("patched_version").isNotNull(), F.concat(F.lit("cd "), folder, F.lit(" && npm install "), "package", F.lit("@"), "patched_version")
+    )
+    return findings.withColumn("context", kind).withColumn("actionable", act).withColumn("priority", priority).withColumn("fix_command", command)
+
+
+def explain_cves(findings: DataFrame) -> DataFrame:
+    """Why an advisory matters, what an attacker gains and how it was found, by CVE id; unknown ids stay without text."""
+    rows = [{"cve_id": k, "why": w, "gain": g, "how": h} for k, (w, g, h) in CVE_EXPLANATIONS.items()]
+    return findings.join(fixed_dim(findings.sparkSession, rows, "cve_id string, why string, gain string, how string"), "cve_id", "left")
+
+
 def severity_sorted(findings: DataFrame) -> DataFrame:
     """By severity, then by stable tie-breakers."""
     ranked = findings.withColumn("severity_rank", severity_rank(F.col("severity")))
@@ -109,10 +135,20 @@ def infected_projects(projects: DataFrame, indicators: DataFrame) -> DataFrame:
 def repo_exposure(deps: DataFrame, repos: DataFrame) -> DataFrame:
     """Repositories with a vulnerable framework version, its patch, and what else they use."""
     version = F.col("version")
+    legacy = (F.col("package") == "react") & version.isin(*LEGACY_REACT)
     per_repo = deps.groupBy("project_id").agg(
-        F.max(F.when((F.col("package") == "react") & version.isin(*LEGACY_REACT), version)).alias("current_version"),
+        F.max_by(version, F.when(legacy, F.col("version_key"))).alias("current_version"),
         F.bool_or(F.col("package") == "next").alias("has_next"),
         F.bool_or(F.col("package") == "react-server-dom-webpack").alias("has_rsc"),
     )
     exposed = per_repo.where("current_version IS NOT NULL").withColumn("patched_version", lookup(F.col("current_version"), LEGACY_REACT))
     return exposed.join(repos, "project_id", "left")
+
+
+def exposure_totals(repos: DataFrame, exposed: DataFrame) -> DataFrame:
+    """Per state and version of the framework, and per state (version null): repositories, private ones, those with next."""
+    rows = repos.select("project_id", "private").join(exposed.select("project_id", "current_version", "has_next"), "project_id", "left")
+    told = rows.select("private", "has_next", F.coalesce("current_version", F.lit("none")).alias("version"), F.when(F.col("current_version").isNull(), "safe").otherwise("exposed").alias("state"))
+    return told.groupingSets([["state", "version"], ["state"]], "state", "version").agg(
+        F.count(F.lit(1)).alias("repositories"), F.count_if("private").alias("private_repositories"), F.count_if("has_next").alias("with_next"),
+    )

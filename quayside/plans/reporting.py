@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quayside.catalogue import lists
 from quayside.catalogue import rules as book
-from quayside.catalogue.advisories import LEGACY_REACT, NEXT_PATCH_DEFAULT, NEXT_PATCH_PREFIXES
+from quayside.catalogue.advisories import CVE_EXPLANATIONS, LEGACY_REACT, NEXT_PATCH_DEFAULT, NEXT_PATCH_PREFIXES
 from quayside.functions.text import FEED_SEVERITY, SARIF_LEVEL, SARIF_SCORE, lookup
 from quayside.functions.versions import bump_spec, runtime_requirement
 from quayside.operators import detection, diffs, fixes, matching, paths, reports, scoring
@@ -171,7 +172,12 @@ COUNTS = ", ".join(f"count(*) FILTER (severity = '{s}') AS {s.lower()}" for s in
 RANK = "CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END"
 
 
-@register("a1_scan_summary", f"SELECT scanner, count(*) AS total, {COUNTS}, count(patched_version) AS fixable FROM v_findings GROUP BY ROLLUP (scanner)")
+FILE_CONTEXT = "(" + CONTEXT.replace("lower(path)", "lower(file_path)") + ")"
+NO_ACTION = ", ".join(sql_text(c) for c in lists.NOT_ACTIONABLE_CONTEXTS)
+
+
+@register("a1_scan_summary", f"""SELECT scanner, count(*) AS total, {COUNTS}, count(patched_version) AS fixable,
+    count(*) FILTER ({FILE_CONTEXT} NOT IN ({NO_ACTION})) AS actionable, count(*) FILTER ({FILE_CONTEXT} IN ({NO_ACTION})) AS non_production FROM v_findings GROUP BY ROLLUP (scanner)""")
 def scan_summary(t: Tables):
     return reports.scan_summary(t.view("v_findings"))
 
@@ -235,6 +241,12 @@ def fix_recommendations(t: Tables):
     return fixes.fix_recommendations(t.view("v_audits"), ["project_id", "audit_year"])
 
 
+@register("a14_fix_packages", """SELECT project_id, CAST(audit_year AS INT) AS audit_year, CASE WHEN NOT fix_available THEN 'manual' WHEN direct THEN 'auto_fix' ELSE 'force_fix' END AS type, name, severity,
+    CASE WHEN NOT fix_available THEN 'No automatic fix available' END AS reason, CASE WHEN NOT fix_available THEN 'Replace ' || name || ' by another package' WHEN NOT direct THEN 'May install breaking changes' END AS suggestion FROM v_audits""")
+def fix_packages(t: Tables):
+    return fixes.fix_packages(t.view("v_audits"), ["project_id", "audit_year"])
+
+
 INDICATORS = """SELECT project_id, 'CRITICAL' AS severity FROM v_project_files WHERE folder = '' AND name IN ('setup_bun.js', '.truffler-cache')
   UNION ALL SELECT concat('p', CAST(project_id % 97 AS VARCHAR)), 'HIGH' FROM v_scripts WHERE contains(command, 'setup_bun.js')"""
 
@@ -251,7 +263,7 @@ def infected_projects(t: Tables):
     return reports.infected_projects(files.select("project_id"), critical.unionByName(high))
 
 
-@register("a19_repo_exposure", f"""WITH d AS (SELECT project_id, max(version) FILTER (package = 'react' AND version IN ({', '.join(f"'{v}'" for v in LEGACY_REACT)})) AS current_version,
+@register("a19_repo_exposure", f"""WITH d AS (SELECT project_id, arg_max(version, k) FILTER (package = 'react' AND version IN ({', '.join(f"'{v}'" for v in LEGACY_REACT)})) AS current_version,
       bool_or(package = 'next') AS has_next, bool_or(package = 'react-server-dom-webpack') AS has_rsc FROM stack_k GROUP BY project_id)
   SELECT project_id, current_version, {case_of('current_version', LEGACY_REACT)} AS patched_version, has_next, has_rsc, o_orderstatus = 'P' AS private FROM d JOIN orders ON o_orderkey = project_id WHERE current_version IS NOT NULL""", ctes("stack_k"))
 def repo_exposure(t: Tables):
@@ -260,6 +272,34 @@ def repo_exposure(t: Tables):
     return exposed.select("project_id", "current_version", "patched_version", "has_next", "has_rsc", "private")
 
 
+@register("a19_exposure_totals", f"""WITH d AS (SELECT project_id, arg_max(version, k) FILTER (package = 'react' AND version IN ({', '.join(f"'{v}'" for v in LEGACY_REACT)})) AS v, bool_or(package = 'next') AS has_next FROM stack_k GROUP BY project_id),
+    r AS (SELECT o_orderstatus = 'P' AS private, v, v IS NOT NULL AND has_next AS has_next FROM orders LEFT JOIN d ON project_id = o_orderkey)
+  SELECT CASE WHEN v IS NULL THEN 'safe' ELSE 'exposed' END AS state, coalesce(v, 'none') AS version, count(*) AS repositories, count(*) FILTER (private) AS private_repositories, count(*) FILTER (has_next) AS with_next FROM r GROUP BY 1, 2
+  UNION ALL SELECT CASE WHEN v IS NULL THEN 'safe' ELSE 'exposed' END, NULL, count(*), count(*) FILTER (private), count(*) FILTER (has_next) FROM r GROUP BY 1""", ctes("stack_k"))
+def exposure_totals(t: Tables):
+    repos = t.base("orders").select(F.col("o_orderkey").alias("project_id"), (F.col("o_orderstatus") == "P").alias("private"))
+    return reports.exposure_totals(repos, reports.repo_exposure(matching.with_version(t.view("v_stack")), repos.drop("private")))
+
+
+@register("j25_finding_context", f"""SELECT project_id, line_no, package, {FILE_CONTEXT} AS context, {FILE_CONTEXT} NOT IN ({NO_ACTION}) AS actionable,
+    CASE WHEN {FILE_CONTEXT} NOT IN ({NO_ACTION}) THEN severity WHEN {FILE_CONTEXT} = 'exploit_data' THEN 'INFO' ELSE 'LOW' END AS priority,
+    CASE WHEN {FILE_CONTEXT} = 'node_modules' THEN 'cd ' || split_part(file_path, '/node_modules', 1) || ' && npm audit fix'
+      WHEN {FILE_CONTEXT} = 'production' AND patched_version IS NOT NULL THEN 'cd ' || regexp_extract(file_path, '^(.*)/[^/]*$', 1) || ' && npm install ' || package || '@' || patched_version END AS fix_command FROM v_findings""")
+def finding_context(t: Tables):
+    return reports.finding_context(t.view("v_findings")).select("project_id", "line_no", "package", "context", "actionable", "priority", "fix_command")
+
+
+@register("j25_cve_explanations", "SELECT file_id, line_no, rule_id, cve_id, why, gain, how FROM (SELECT file_id, line_no, rule_id, unnest(cves) AS cve_id FROM matches JOIN rule_cves USING (rule_id)) LEFT JOIN told USING (cve_id)", {
+    "all_lines": LINES, "matches": sql_matches(book.RULES, "all_lines", "file_id, line_no"),
+    "rule_cves": sql_rows(["rule_id", "cves"], [[r["rule_id"], r["cve_ids"]] for r in book.RULES if r["cve_ids"]]),
+    "told": sql_rows(["cve_id", "why", "gain", "how"], [[k, *v] for k, v in CVE_EXPLANATIONS.items()]),
+})
+def cve_explanations(t: Tables):
+    """Matches of rules that name advisories, with what is told about each."""
+    found = detection.rule_matches(t.view("v_files").select("file_id", "content")).select("file_id", "line_no", "rule_id", F.explode("cve_ids").alias("cve_id"))
+    return reports.explain_cves(found).select("file_id", "line_no", "rule_id", "cve_id", "why", "gain", "how")
+
+
 # ---- snapshots and history ----
 
 
