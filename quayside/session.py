@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,13 +65,28 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/quayside/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of what starts inside; the session gets its own back."""
+    own = {name: spark.conf.get(name, None) for name in values}
+    try:
+        for name, value in values.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in own.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     """Write a step as a table in the shared folder and read it again.
 
-    Later stages restart from the table when executors are lost, and the planner knows its size.
+    Later stages restart from the table when executors are lost, and the planner knows its size. The step's shuffle files are
+    of no more use then, so Spark is asked to remove them as the step ends.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with settings(df.sparkSession, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

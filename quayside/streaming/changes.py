@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from quayside.session import scratch_path
+from quayside.session import scratch_path, settings
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHANGE_DDL = "path string, tick bigint, event string, hash string"
@@ -170,19 +169,6 @@ def append_table(stream: DataFrame, path: str, mode: str = "append", idle_batche
     return read_log(spark, schema, f"{path}/data")
 
 
-@contextmanager
-def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
-    """Settings of the streams that start inside; a stream keeps those it started with, the session gets its own back."""
-    own = {name: spark.conf.get(name, None) for name in values}
-    try:
-        for name, value in values.items():
-            spark.conf.set(name, value)
-        yield
-    finally:
-        for name, value in own.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
-
-
 def newest_updates(log: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of an update-mode log as they stand now: the last batch of each key wins."""
     rest = [c for c in log.columns if c not in [*keys, "batch_id"]]
