@@ -1,17 +1,22 @@
-"""Near-duplicate passages by an exact join on shingles (operator 9).
+"""Near-duplicate passages by compact windows (operator 9).
 
-The tokens of a text are its five-word shingles. Every shingle of every text of ``PASSAGE`` words or more takes part: a first
-pass collects the hashes that stand in several places (each task sends a hash at most twice, so common ones weigh no more than
-others), a second pass joins the places to them. No place is left out by a sample or a sketch, so every passage that the
-rule accepts is found, whatever its similarity: the recall is that of the rule, 1 but for collisions of 64-bit hashes.
+The tokens of a text are its five-word shingles. For each of ``HASHES`` hash functions a Cartesian tree over the tokens'
+min-hashes groups all runs of ``WIDTH`` tokens or more that share a smallest token: such a group is a compact window [left,
+right] around that token, and a text of n tokens has about 2n / ``WIDTH`` of them per function. Windows whose smallest token
+also stands in another window are shared. Where the shared windows of at least ``ENOUGH`` functions overlap (an interval join
+inside each text), a passage may be a near duplicate; only the tokens of those places go on to be verified.
 
-A place is repeated if its shingle also stands in an earlier place. A passage is a repeat if six sevenths of its shingles,
-which means a similarity of 0.75, are repeated, gaps included: a gap may be as long as a seventh of the whole run. Runs that
-hold the share are reported at their longest; two may overlap where their union does not hold it. The place with the smallest
-(doc_id, position) is the first and is not reported; null ids come before all others.
+A pair of passages of similarity s agrees under each function with probability s, and then both lie inside shared windows: at
+0.75 a passage fails to be a candidate with a chance of 0.04 % (fewer than 2 of 8 functions agree); at 0.9 of 0.00007 %.
+
+Verification is exact. A place is repeated if its shingle also stands in an earlier candidate place. A passage is a repeat
+if six sevenths of its shingles, which means a similarity of 0.75, are repeated, gaps included: a gap may be as long as a
+seventh of the whole run. Runs that hold the share are reported at their longest; two may overlap where their union does not
+hold it. The place with the smallest (doc_id, position) is the first and is not reported; null ids come before all others.
 
 Whole copies are one class; each but the smallest doc_id is reported as one passage. Texts of fewer words, null and empty
-texts have no passages. Repeated rows (same id, same text) are one document. Texts of any length are read whole.
+texts have no passages. Repeated rows (same id, same text) are one document. Texts of any length are read whole. A token that
+very many texts share is folded in every task before it is sent, so no bucket grows with it.
 """
 
 from __future__ import annotations
@@ -23,15 +28,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm.common import cut_lineage, hash_pieces, shingle_hashes, ship_package, table, text_class, word_hashes, words_of
+from quayside.llm.common import cut_lineage, hash_pieces, mix64, shingle_hashes, ship_package, table, text_class, word_hashes, words_of
 from quayside.llm.registry import register
 
 SHINGLE, PASSAGE = 5, 50
 WIDTH = PASSAGE - SHINGLE + 1
 #: A place is (number of the class << PLACE_BITS) | position; the longest text that Spark holds has fewer words.
 PLACE_BITS = 30
-#: Hashes that a task holds before it sends them on, and that a bucket holds.
-HELD, BUCKET = 1_000_000, 4_000_000
+#: Hash functions, and how many must agree on a place.
+HASHES, ENOUGH = 8, 2
+SEEDS = mix64(np.arange(201, 201 + HASHES, dtype=np.uint64))
+#: Windows that a task holds before it sends them on, and that a bucket holds.
+HELD, BUCKET = 1_000_000, 1_000_000
+#: A window: the hash of its smallest token, the class of its text, its ends, its function, and whether the task has its like.
+WINDOW = np.dtype([("v", "<u8"), ("c", "<i8"), ("l", "<i4"), ("r", "<i4"), ("f", "u1"), ("m", "u1")])
 
 
 def text_shingles(texts: list[bytes]) -> tuple[list[np.ndarray], list[int]]:
@@ -62,14 +72,143 @@ def passages(at: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps whose tables are written; its cleaner works beside the jobs, so give it time."""
-    import gc
-    import time
+def smaller_neighbours(keys: list[int], owners: list[int]) -> tuple[list[int], list[int]]:
+    """For each key the place of the last smaller one before it and of the first smaller one behind it with its owner, or -1."""
+    before, behind, stack = [-1] * len(keys), [-1] * len(keys), []
+    for i, key in enumerate(keys):
+        if stack and owners[stack[-1]] != owners[i]:
+            stack = []
+        while stack and keys[stack[-1]] > key:
+            behind[stack.pop()] = i
+        if stack:
+            before[i] = stack[-1]
+        stack.append(i)
+    return before, behind
+
+
+def compact_windows(texts: list[np.ndarray], width: int = WIDTH) -> np.ndarray:
+    """The compact windows of several texts (as arrays of tokens) for all functions; c is the number of the text.
+
+    The smallest tokens of all runs of ``width`` tokens are the centres of the tree's subtrees of at least that size. A centre
+    that is smallest from the j-th to the k-th run ends where that says, unless it leaves the runs itself; then its window
+    reaches to the nearest smaller token further away, which is a centre too.
+    """
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    long_ones = np.flatnonzero(sizes >= width)
+    if not len(long_ones):
+        return np.empty(0, WINDOW)
+    tokens, sizes = np.concatenate([texts[i] for i in long_ones]), sizes[long_ones]
+    n, ends = len(tokens), np.cumsum(sizes)
+    begins = ends - sizes
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    starts = np.arange(n)
+    starts = starts[starts + width <= ends[owner]]
+    bits = np.uint64(n.bit_length())
+    place = np.arange(n, dtype=np.uint64)
+    rest = np.full(-n % width, ~np.uint64(0))
+    out = []
+    for f in range(HASHES):
+        values = mix64(tokens + SEEDS[f])
+        keys = (values >> bits << bits) | place  # equal tokens: the first is smaller
+        blocks = np.concatenate((keys, rest)).reshape(-1, width)
+        head = np.minimum.accumulate(blocks, axis=1).ravel()
+        tail = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+        centre = (np.minimum(tail[starts], head[starts + width - 1]) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        new = np.flatnonzero(np.concatenate(([True], (centre[1:] != centre[:-1]) | (starts[1:] != starts[:-1] + 1))))
+        first, last = starts[new], starts[np.concatenate((new[1:], [len(starts)])) - 1]
+        at = centre[new]
+        text = owner[at]
+        before, behind = (np.array(x, dtype=np.int64) for x in smaller_neighbours(keys[at].tolist(), text.tolist()))
+        left = np.where(first > at - width + 1, first, np.where(before >= 0, at[before] + 1, begins[text]))
+        right = np.where(last < at, last + width - 1, np.where(behind >= 0, at[behind] - 1, ends[text] - 1))
+        rows = np.empty(len(at), WINDOW)
+        rows["v"], rows["c"], rows["l"], rows["r"], rows["f"], rows["m"] = values[at], long_ones[text], left - begins[text], right - begins[text], f, 0
+        out.append(rows)
+    return np.concatenate(out)
+
+
+def shared_windows(texts: DataFrame, buckets: int) -> DataFrame:
+    """c, l and rf (right end and function) of the windows whose smallest token stands in another window too; ``texts``: c, text."""
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+
+        def dealt(rows: np.ndarray, bucket: np.ndarray) -> pd.DataFrame:
+            order = np.argsort(bucket, kind="stable")
+            names, first = np.unique(bucket[order], return_index=True)
+            return pd.DataFrame({"bucket": names, "ws": [x.tobytes() for x in np.split(rows[order], first[1:])]})
+
+        def flush() -> Iterator[pd.DataFrame]:
+            rows = np.concatenate(held)
+            rows = rows[np.argsort(rows["v"], kind="stable")]
+            fresh = np.concatenate(([True], rows["v"][1:] != rows["v"][:-1]))
+            several = np.repeat(*(lambda first: (np.diff(np.append(first, len(rows))) > 1, np.diff(np.append(first, len(rows)))))(np.flatnonzero(fresh)))
+            sure, one = rows[several], rows[fresh].copy()
+            one["m"] = several[fresh]
+            yield dealt(one, (one["v"] % np.uint64(buckets)).astype(np.int64))
+            if len(sure):  # known to be shared; dealt by text, so a token that all texts share fills no bucket
+                yield dealt(sure, -1 - sure["c"] % buckets)
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(3)
+        for batch in batches:
+            classes = batch["c"].to_numpy()
+            for first, pieces in hash_pieces(list(batch["text"])):
+                rows = compact_windows(text_shingles(pieces)[0])
+                rows["c"] = classes[first + rows["c"]]
+                held.append(rows)
+                size += len(rows)
+                if size >= HELD:
+                    yield from flush()
+                    held, size = [], 0
+        if size:
+            yield from flush()
+
+    def several(group: pd.DataFrame) -> pd.DataFrame:
+        rows = np.frombuffer(b"".join(group["ws"]), WINDOW)
+        if group["bucket"].iat[0] >= 0:
+            rows = rows[np.argsort(rows["v"], kind="stable")]
+            first = np.flatnonzero(np.concatenate(([True], rows["v"][1:] != rows["v"][:-1])))
+            sizes = np.diff(np.append(first, len(rows)))
+            shared = np.repeat((sizes > 1) | (np.maximum.reduceat(rows["m"], first) > 0), sizes)
+            rows = rows[shared & (rows["m"] == 0)]  # the others of a task that had several are on their way already
+        return pd.DataFrame({"c": rows["c"], "l": rows["l"].astype(np.int64), "rf": rows["r"].astype(np.int64) * HASHES + rows["f"]})
+
+    return texts.mapInPandas(send, "bucket long, ws binary").groupBy("bucket").applyInPandas(several, "c long, l long, rf long")
+
+
+def covered(left: np.ndarray, right: np.ndarray, function: np.ndarray) -> list[tuple[int, int]]:
+    """Intervals [first, last] of at least ``WIDTH`` places that windows of at least ``ENOUGH`` different functions cover."""
+    edges, steps = [], []
+    for f in np.unique(function):
+        a, b = left[function == f], right[function == f]
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], np.maximum.accumulate(b[order])
+        apart = np.concatenate(([True], a[1:] > b[:-1] + 1))  # one function counts once
+        ends = b[np.concatenate((np.flatnonzero(apart)[1:], [len(a)])) - 1]
+        edges += [a[apart], ends + 1]
+        steps += [np.ones(apart.sum(), np.int64), -np.ones(len(ends), np.int64)]
+    edge, step = np.concatenate(edges), np.concatenate(steps)
+    order = np.argsort(edge, kind="stable")
+    places, first = np.unique(edge[order], return_index=True)
+    enough = np.cumsum(np.add.reduceat(step[order], first)) >= ENOUGH
+    turns = np.flatnonzero(np.diff(np.concatenate(([False], enough, [False])).astype(np.int8)))
+    return [(int(places[i]), int(places[j]) - 1) for i, j in zip(turns[0::2], turns[1::2]) if places[j] - places[i] >= WIDTH]
+
+
+def candidates(windows: DataFrame) -> DataFrame:
+    """c, starts, ends: the places of each text that may hold a near duplicate."""
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for c, left, rf in zip(batch["c"], batch["l"], batch["rf"]):
+                rf = np.asarray(rf, np.int64)
+                found = covered(np.asarray(left, np.int64), rf // HASHES, rf % HASHES)
+                if found:
+                    out.append((c, [a for a, _ in found], [b for _, b in found]))
+            yield pd.DataFrame(out, columns=["c", "starts", "ends"])
+
+    packed = windows.groupBy("c").agg(F.collect_list("l").alias("l"), F.collect_list("rf").alias("rf"))
+    return packed.mapInPandas(join, "c long, starts array<long>, ends array<long>")
 
 
 def numbered(found: DataFrame) -> DataFrame:
@@ -86,43 +225,10 @@ def numbered(found: DataFrame) -> DataFrame:
     return cut_lineage(joined.select((F.col("before") + F.col("m").bitwiseAND((1 << 33) - 1)).alias("c"), "d", "doc_id", "n"), "classes")
 
 
-def shared_shingles(texts: DataFrame, buckets: int) -> DataFrame:
-    """h: the shingles of ``texts`` that stand in several places."""
-
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
-
-        def flush() -> pd.DataFrame:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            values = np.repeat(values, np.minimum(counts, 2))
-            bucket = (values % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            names, first = np.unique(bucket[order], return_index=True)
-            return pd.DataFrame({"bucket": names, "hs": [x.tobytes() for x in np.split(values[order], first[1:])]})
-
-        for batch in batches:
-            for _, pieces in hash_pieces(list(batch["text"])):
-                for shingles in text_shingles(pieces)[0]:
-                    held.append(shingles)
-                    size += len(shingles)
-                    if size >= HELD:
-                        yield flush()
-                        held, size = [], 0
-        if size:
-            yield flush()
-
-    def several(rows: pd.DataFrame) -> pd.DataFrame:
-        values = np.sort(np.concatenate([np.frombuffer(x, "<u8") for x in rows["hs"]]))
-        return pd.DataFrame({"h": np.unique(values[1:][values[1:] == values[:-1]]).view(np.int64)})
-
-    return texts.select("text").mapInPandas(send, "bucket long, hs binary").groupBy("bucket").applyInPandas(several, "h long")
-
-
 def find_passages(docs: DataFrame) -> DataFrame:
     """doc_id, d (class of the text), start and n_words (in words), first_doc_id, first_start, repeated (share of shingles)."""
     spark = docs.sparkSession
     ship_package(spark)
-    release(spark)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_class().alias("d"))
 
     def count(texts: pd.Series) -> pd.Series:
@@ -130,22 +236,25 @@ def find_passages(docs: DataFrame) -> DataFrame:
 
     found = cut_lineage(known.select("doc_id", "d", F.pandas_udf(count, "long")("text").alias("n")), "found")
     classes = numbered(found)
-    long_ones = classes.where(F.col("n") >= PASSAGE).select("c", F.col("d").alias("__d"), F.col("doc_id").alias("__r"))
-    texts = known.join(long_ones, (F.col("d") == F.col("__d")) & F.col("doc_id").eqNullSafe(F.col("__r"))).select("c", "text")
-    buckets = max(64, -(-(classes.agg(F.sum("n")).head()[0] or 0) // BUCKET))
-    shared = cut_lineage(shared_shingles(texts, buckets), "shared")
-    release(spark)
+    # one text per class, whatever the number of its copies: copies are folded in the tasks that read them
+    once = known.where(F.octet_length("text") >= 2 * PASSAGE - 1).groupBy("d").agg(F.first("text").alias("text"))
+    texts = cut_lineage(once.join(classes.where(F.col("n") >= PASSAGE).select("c", "d"), "d").select("c", "text"), "texts")
+    buckets = max(16, -(-2 * HASHES * (classes.agg(F.sum("n")).head()[0] or 0) // (WIDTH * BUCKET)))
+    spans = cut_lineage(candidates(cut_lineage(shared_windows(texts, buckets), "windows")), "candidates")
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for first, pieces in hash_pieces(list(batch["text"])):
-                shingles = text_shingles(pieces)[0]
-                at = [np.arange(len(s)) + (int(c) << PLACE_BITS) for c, s in zip(batch["c"].iloc[first : first + len(pieces)], shingles)]
-                yield pd.DataFrame({"h": np.concatenate(shingles).view(np.int64), "p": np.concatenate(at)})
-
-    spots = cut_lineage(texts.mapInPandas(places, "h long, p long").join(shared, "h"), "spots")
-    release(spark)
-    firsts = cut_lineage(spots.groupBy("h").agg(F.min("p").alias("first")), "firsts")
+                hashes, spots = [], []
+                for k, shingles in enumerate(text_shingles(pieces)[0], first):
+                    base = int(batch["c"].iat[k]) << PLACE_BITS
+                    for a, b in zip(batch["starts"].iat[k], batch["ends"].iat[k]):
+                        hashes.append(shingles[a : b + 1])
+                        spots.append(np.arange(a, b + 1) + base)
+                yield pd.DataFrame({"h": np.concatenate(hashes).view(np.int64), "p": np.concatenate(spots)})
+
+    spots = cut_lineage(texts.join(spans, "c").mapInPandas(places, "h long, p long"), "spots")
+    firsts = cut_lineage(spots.groupBy("h").agg(F.min("p").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "firsts")
     again = spots.join(firsts, "h").where("p <> first").select(F.shiftright("p", PLACE_BITS).alias("c"), F.col("p").bitwiseAND((1 << PLACE_BITS) - 1).alias("at"), "first")
     again = again.groupBy("c").agg(F.collect_list("at").alias("at"), F.collect_list("first").alias("first"))
 

@@ -328,3 +328,55 @@ def test_packing_leaves_no_padding():
             assert n > 0 and start == ends.get(doc, 0)
             ends[doc] = start + n
         assert ends == dict(enumerate(lengths))
+
+
+def test_compact_windows_group_every_run_by_its_smallest_token():
+    rng = random.Random(9)
+    for _ in range(30):
+        texts = [np.array([rng.randrange(rng.choice([5, 1 << 60])) for _ in range(rng.randint(0, 40))], dtype=np.uint64) for _ in range(5)]
+        width = rng.randint(2, 9)
+        windows = substrings.compact_windows(texts, width)
+        for f in (0, 3):
+            mine = windows[windows["f"] == f]
+            for c, tokens in enumerate(texts):
+                values = substrings.mix64(tokens + substrings.SEEDS[f]).tolist()
+                for i in range(len(tokens)):
+                    for j in range(i + width - 1, len(tokens)):
+                        smallest = min(values[i : j + 1])
+                        held = [w for w in mine if w["c"] == c and w["l"] <= i and j <= w["r"] and int(w["v"]) == smallest]
+                        assert len(held) >= 1
+                own = [w for w in mine if w["c"] == c]
+                assert all(min(values[w["l"] : w["r"] + 1]) == int(w["v"]) and w["r"] - w["l"] + 1 >= width for w in own)
+        if width > 2:
+            assert len(windows) <= substrings.HASHES * sum(max(0, len(t) - width + 1) for t in texts)
+
+
+def test_covered_counts_functions_once():
+    at = lambda *w: tuple(np.array(x, dtype=np.int64) for x in zip(*w))
+    assert substrings.covered(*at((0, 99, 0), (50, 149, 0))) == []  # one function only
+    assert substrings.covered(*at((0, 99, 0), (50, 149, 1))) == [(50, 99)]
+    assert substrings.covered(*at((0, 99, 0), (20, 40, 0), (54, 200, 1))) == [(54, 99)]
+    assert substrings.covered(*at((0, 99, 0), (55, 200, 1))) == []  # 45 places are too few
+    assert substrings.covered(*at((0, 60, 0), (61, 120, 2), (0, 120, 1), (200, 300, 3), (210, 290, 4))) == [(0, 120), (210, 290)]
+
+
+def test_recall_of_near_passages(spark):
+    """Passages of 0.75 to 0.85 similarity, edited anywhere: what the rule accepts is found."""
+    rng = random.Random(11)
+    rows, expected = [], set()
+    while len(expected) < 200:
+        k = len(expected)
+        words = rng.randint(50, 120)
+        passage = text_of(70_000 + k, words).split()
+        edited = list(passage)
+        first = rng.randrange(words)
+        for at in {min(words - 1, first + rng.choice([0, 1, 2])) for _ in range(max(1, words // 30))}:
+            edited[at] = f"e{k}x{at}"
+        same = [edited[i : i + 5] == passage[i : i + 5] for i in range(words - 4)]
+        size = len(same) - same[::-1].index(True) - same.index(True) if any(same) else 0
+        if size < substrings.WIDTH or 7 * sum(same) < 6 * size:
+            continue
+        rows += [(k, f"{text_of(k + 80_000, 40)} {' '.join(passage)}"), (1_000 + k, f"{' '.join(edited)} {text_of(k + 90_000, 30)}")]
+        expected.add((1_000 + k, k))
+    got = {(r.doc_id, r.first_doc_id) for r in substrings.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= expected and len(got) >= 0.98 * len(expected)
