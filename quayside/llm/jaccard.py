@@ -10,7 +10,9 @@ A tree per bucket keeps the work local: classes meet where one of ``BANDS`` keys
 at the threshold miss with a chance of (1 - 0.75^3)^36 < 3e-9; near pairs above it less. Before the trees, two
 rounds verify one class of every component against the fullest class of the bucket it shares most; what is linked that way
 is one component, and only buckets with several components reach the trees, in blocks of bounded size, where pairs within a
-component are cut as well. So large groups of near copies do not become all pairs.
+component are cut as well. A first pass over the blocks names the classes that have a pair left, a second one has the sets of
+these and verifies inside the block, in which a pair that is connected already is passed over. So a block of any pairs gives
+fewer links than it has classes.
 
 Null and empty texts have size 0 and stand alone. Shorter texts than five words are one shingle. Repeated rows are copies.
 Rows with a null id take part with their text and get the component of their text's links. Empty tables give no rows.
@@ -203,16 +205,20 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return near.select("text", "k").mapInPandas(build, "k long, s binary").groupBy("k").agg(F.first("s").alias("s"))
 
 
+def reaches(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets, as sorted arrays, have the similarity of a link."""
+    least = needed(len(x), len(y))
+    if min(len(x), len(y)) < least:
+        return False
+    both = np.sort(np.concatenate((x, y)), kind="stable")
+    return int((both[1:] == both[:-1]).sum()) >= least
+
+
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
 
     def linked(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(left, right):
-            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-            both = np.sort(np.concatenate((x, y)))
-            out.append(int((both[1:] == both[:-1]).sum()) >= needed(len(x), len(y)))
-        return pd.Series(out, dtype=bool)
+        return pd.Series([reaches(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(left, right)], dtype=bool)
 
     left, right = (sets.select(F.col("k").alias(c), F.col("s").alias("s" + c)) for c in "ab")
     return pairs.join(left, "a").join(right, "b").where(F.pandas_udf(linked, "boolean")("sa", "sb")).select("a", "b")
@@ -275,21 +281,49 @@ def labelled_rows(docs: DataFrame) -> DataFrame:
     points = cut_lineage(met.join(classes.select("k", "n", "v"), "k"), "points")
     groups = max(64, points.count() // TASK_ROWS)  # a task takes many small blocks, or a few of the largest
 
-    def join_blocks(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["key", "p", "q"])
+    def blocks_of(group: pd.DataFrame):
+        """The blocks of a task, one after the other: key, p, q and the rows' places with the pairs that the trees leave."""
         block = group[["key", "p", "q"]].to_numpy()
         cuts = np.flatnonzero((block[1:] != block[:-1]).any(axis=1)) + 1
         k, l, n = (group[c].to_numpy(np.int64) for c in ("k", "l", "n"))
         side = np.where(block[:, 1] == block[:, 2], 0, np.where(group["block"].to_numpy() == block[:, 1], 1, 2))
         vectors = [read_vector(v, size) for v, size in zip(group["v"], n.tolist())]
-        found: set[tuple[int, int]] = set()
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(k)]):
-            found |= bounded_pairs(k[a:b], n[a:b], l[a:b], vectors[a:b], side[a:b])
-        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+            yield block[a].tolist(), bounded_pairs(k[a:b], n[a:b], l[a:b], vectors[a:b], side[a:b])
 
-    dealt = points.withColumn("task", F.pmod(F.xxhash64("key", "p", "q"), F.lit(groups)))
-    pairs = cut_lineage(dealt.groupBy("task").applyInPandas(join_blocks, "a long, b long").distinct(), "pairs")
-    labels = relabel(labels, verify(pairs, sets))
+    def survivors(group: pd.DataFrame) -> pd.DataFrame:
+        """The classes of each block that have a pair left; at most as many rows as the block."""
+        out = []
+        for block, found in blocks_of(group.sort_values(["key", "p", "q"])):
+            out += [(*block, k) for k in {k for pair in found for k in pair}]
+        return pd.DataFrame(out, columns=["key", "p", "q", "k"], dtype="int64")
+
+    def link_blocks(group: pd.DataFrame) -> pd.DataFrame:
+        """The links of each block that join two components, verified on the whole sets: fewer than the block has classes."""
+        group = group.sort_values(["key", "p", "q"])
+        sets = {k: np.frombuffer(s, "<u8") for k, s in zip(group["k"], group["s"])}
+        label = dict(zip(group["k"].tolist(), group["l"].tolist()))
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while above.get(x, x) != x:
+                above[x] = x = above.get(above[x], above[x])
+            return x
+
+        links = []
+        for _, found in blocks_of(group):
+            for a, b in sorted(found):
+                one, other = top(label[a]), top(label[b])
+                if one != other and reaches(sets[a], sets[b]):
+                    above[one] = other
+                    links.append((a, b))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    task = F.pmod(F.xxhash64("key", "p", "q"), F.lit(groups))
+    left = cut_lineage(points.withColumn("task", task).groupBy("task").applyInPandas(survivors, "key long, p int, q int, k long"), "survivors")
+    again = points.join(left, ["key", "p", "q", "k"]).join(sets, "k")
+    links = cut_lineage(again.withColumn("task", task).groupBy("task").applyInPandas(link_blocks, "a long, b long"), "links")
+    labels = relabel(labels, links)
 
     first = classes.select("k", "doc_id", "d").join(labels, "k", "left").select("k", "doc_id", "d", F.coalesce("l", "k").alias("w"))
     smallest = first.groupBy("w").agg(F.min(rank()).alias("r"))
