@@ -39,7 +39,9 @@ PLACE_BITS = 30
 HASHES, ENOUGH = 8, 2
 SEEDS = mix64(np.arange(201, 201 + HASHES, dtype=np.uint64))
 #: Windows that a task holds before it sends them on, and that a bucket holds.
-HELD, BUCKET = 1_000_000, 1_000_000
+HELD, BUCKET = 400_000, 500_000
+#: Bytes of text that a task hashes at once; the arrays of a piece take about fifty times as much memory.
+PIECE = 2_000_000
 #: A window: the hash of its smallest token, the class of its text, its ends, its function, and whether the task has its like.
 WINDOW = np.dtype([("v", "<u8"), ("c", "<i8"), ("l", "<i4"), ("r", "<i4"), ("f", "u1"), ("m", "u1")])
 
@@ -151,7 +153,7 @@ def shared_windows(texts: DataFrame, buckets: int) -> DataFrame:
 
         for batch in batches:
             classes = batch["c"].to_numpy()
-            for first, pieces in hash_pieces(list(batch["text"])):
+            for first, pieces in hash_pieces(list(batch["text"]), PIECE):
                 rows = compact_windows(text_shingles(pieces)[0])
                 rows["c"] = classes[first + rows["c"]]
                 held.append(rows)
@@ -244,7 +246,7 @@ def find_passages(docs: DataFrame) -> DataFrame:
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for first, pieces in hash_pieces(list(batch["text"])):
+            for first, pieces in hash_pieces(list(batch["text"]), PIECE):
                 hashes, spots = [], []
                 for k, shingles in enumerate(text_shingles(pieces)[0], first):
                     base = int(batch["c"].iat[k]) << PLACE_BITS
