@@ -1,6 +1,6 @@
 """Mixing sources to target weights with hash-threshold histograms (operator 8).
 
-Each document has a 60-bit hash of its id (in the pipeline, of its id and text). Per source, words are summed by the leading bits of the hash; the bucket in which
+Each document has a 60-bit hash of its id and text. Per source, words are summed by the leading bits of the hash; the bucket in which
 the running sum crosses the budget is opened by the next bits, until it holds one hash value. What lies below the threshold
 is in, nothing is sorted. A target above the source's size becomes whole repeats of the source plus a threshold for the
 rest, so a larger budget always contains a smaller one. The crossing document itself is taken when that comes nearer.
@@ -37,17 +37,16 @@ def water_fill(sizes: list[int], weights: list[int], most: int) -> list[tuple[in
         capped |= over
 
 
-def mix_sources(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = 3, by_text: bool = False) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (how often the mix takes the row), taken (words), one row per row.
+def mix_sources(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """doc_id, source, d (text class), size, source_size, target, copies (how often the mix takes the row), taken (words), one row per row.
 
-    With ``by_text`` the hash is that of the id and the text, so texts under null and repeated ids are drawn one by one, and
-    the text's class d is a further column.
+    The hash is that of the id and the text, so texts under null and repeated ids are drawn one by one.
     """
     spark = docs.sparkSession
     ship_package(spark)
     own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    digest = F.md5((F.concat_ws(" ", own, F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))) if by_text else own).cast("binary"))
-    extra = ["d"] if by_text else []
+    digest = F.md5(F.concat_ws(" ", own, F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).cast("binary"))
+    extra = ["d"]
     sized = docs.withColumn("d", text_class()).select(*extra, "doc_id", "source", F.pandas_udf(count_words, "long")("text").alias("size"), F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long").alias("h"))
     sized = cut_lineage(sized, "mix")
 
@@ -91,14 +90,14 @@ def mix_sources(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int =
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with their own columns."""
-    copies = mix_sources(docs, by_text=True).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("d").alias("__d"), "copies").groupBy("__id", "__source", "__d").agg(F.max("copies").alias("__copies"))
+    copies = mix_sources(docs).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("d").alias("__d"), "copies").groupBy("__id", "__source", "__d").agg(F.max("copies").alias("__copies"))
     joined = docs.join(copies, (text_class() == F.col("__d")) & docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__source")))
     return joined.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
 
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size,
-  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS h FROM documents),
 t AS (SELECT source, CAST(sum(size) AS BIGINT) AS words, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM d GROUP BY source),
 f AS (SELECT *, CAST(sum(words) OVER () AS BIGINT) AS total,
   coalesce(CAST(sum(3 * words) OVER o AS BIGINT), 0) AS filled, CAST(sum(weight) OVER () AS BIGINT) - coalesce(CAST(sum(weight) OVER o AS BIGINT), 0) AS open_weight

@@ -15,6 +15,7 @@ Null and empty texts and texts of white space have 0 tokens. Texts of any length
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,6 +39,19 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
     return [("<unk>", 0.0)] + [(piece, -math.log(rank + 1)) for rank, piece in enumerate(plain, 1)]
 
 
+SEPARATORS = re.compile("[\x1c-\x1f]")  # white space for Python, letters for the tokenizer
+BETWEEN = re.compile(r"(?:\S|[\x1c-\x1f])+")
+
+
+def words_in(text: str) -> list[str]:
+    return BETWEEN.findall(text) if SEPARATORS.search(text) else text.split()
+
+
+def front(word: str) -> str:
+    """The word behind the mark; a word that begins with it gets no second one."""
+    return word if word.startswith(MARK) else MARK + word
+
+
 class Counter:
     def __init__(self, pieces: list[tuple[str, float]]):
         import ahocorasick
@@ -66,11 +80,12 @@ class Counter:
 
         Matches come by their ends, the longest first, so a place's value is final before it is used.
         """
-        joined = "\n".join([MARK + w for w in words])
+        marked = [front(w) for w in words]
+        joined = "\n".join(marked)
         starts, at = [], 0
-        for w in words:
+        for w in marked:
             starts.append(at)
-            at += len(w) + 2
+            at += len(w) + 1
         best, pieces = [-math.inf] * (len(joined) + 1), [0] * (len(joined) + 1)
         for start in starts:
             best[start] = 0.0
@@ -80,12 +95,12 @@ class Counter:
             if total > best[end]:
                 best[end] = total
                 pieces[end] = pieces[end - length] + 1
-        for start, word in zip(starts, words):
-            self.known[word] = pieces[start + len(word) + 1]
+        for start, word, whole in zip(starts, words, marked):
+            self.known[word] = pieces[start + len(whole)]
 
     def count_word(self, word: str) -> int:
         """The same for a word with letters that no piece covers."""
-        marked = MARK + word
+        marked = front(word)
         n = len(marked)
         best, pieces, open_ = [0.0] + [-math.inf] * n, [0] * (n + 1), [False] * (n + 1)
         matches: dict[int, list[tuple[int, float]]] = {}
@@ -103,7 +118,7 @@ class Counter:
     def counts(self, texts: list) -> list[int]:
         out = []
         for first in range(0, len(texts), 256):
-            split = [t.split() if t else [] for t in texts[first : first + 256]]
+            split = [words_in(t) if t else [] for t in texts[first : first + 256]]
             new = [w for w in set().union(*split) if w not in self.known]
             if new:
                 self.learn(new)

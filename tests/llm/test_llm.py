@@ -146,7 +146,7 @@ def test_token_counts_equal_a_unigram_tokenizer(spark):
     pieces = tokens.vocabulary(tokens.default_model())
     reference = Tokenizer(models.Unigram(pieces, unk_id=0, byte_fallback=False))
     reference.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.Metaspace(replacement=tokens.MARK, prepend_scheme="always", split=True)])
-    texts = [r.text for r in table(spark, FOLDER, "documents").collect()] + ["", "☃☃☃ a☃b 日本語", "  x  "]
+    texts = [r.text for r in table(spark, FOLDER, "documents").collect()] + ["", "☃☃☃ a☃b 日本語", "  x  ", "▁a b", "▁▁ab", "a\x1cb", "the\x1fend x", "a▁b ▁", "x\x85y\xa0z"]
     assert tokens.Counter(pieces).counts(texts) == [len(reference.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
@@ -380,3 +380,17 @@ def test_recall_of_near_passages(spark):
         expected.add((1_000 + k, k))
     got = {(r.doc_id, r.first_doc_id) for r in substrings.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got <= expected and len(got) >= 0.98 * len(expected)
+
+
+def test_mixing_without_ids_comes_near_the_targets(spark):
+    """A source of rows without id, one with a null source and null texts, one without words."""
+    rows = [(None, text_of(k, 50), "a", "x") for k in range(100)] + [(k, text_of(k + 200, 50), "b", "x") for k in range(100)] + [(k, text_of(k + 400, 20), None, "x") for k in range(50)]
+    rows += [(k, None, "c", "x") for k in range(5)] + [(7, text_of(9, 50), "b", "x")] * 2
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string, size string")).collect()
+    assert len(got) == len(rows) and all(r.taken <= 3 * r.size for r in got)
+    by_source = {}
+    for r in got:
+        by_source.setdefault(r.source, [r.target, 0])[1] += r.taken
+    assert all(abs(taken - target) <= 100 for target, taken in by_source.values()) and by_source["c"] == [0, 0]
+    assert sum(t for t, _ in by_source.values()) == pytest.approx(sum(r.size for r in got))
+    assert mixing.mix_sources(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
