@@ -231,30 +231,30 @@ def usage_files(t: Tables):
 
 
 IN_CVES = ", ".join(f"'{c}'" for c in RSC_CVES)
-STACK_FINDINGS = """SELECT DISTINCT project_id, line_no, d.package, spec, section, version, k, cve_id FROM stack_k d JOIN cat_k a ON d.package = a.package AND k >= lo AND k < hi"""
+STACK_FINDINGS = """SELECT DISTINCT project_id, line_no, declared, d.package, spec, section, version, k, cve_id FROM stack_k d JOIN cat_k a ON d.package = a.package AND k >= lo AND k < hi"""
 
 
 @register("j15_usage_evidence", f"""WITH ev AS (SELECT project_id FROM stack_k WHERE package IN ({', '.join(f"'{p}'" for p in RSC_PACKAGES)})
     UNION SELECT project_id FROM stack_k WHERE package = 'next' AND k // 2000000000000 >= 13 AND project_id IN (SELECT file_id FROM v_project_files WHERE folder IN ('app/', 'src/app/'))
     UNION SELECT file_id FROM v_project_files WHERE (contains(content, '"use server"') OR contains(content, '''use server''')) AND NOT contains(folder, 'node_modules'))
-  SELECT DISTINCT project_id, line_no, package, spec, section, cve_id FROM ({STACK_FINDINGS}) f WHERE NOT (cve_id IN ({IN_CVES}) AND package IN ('react', 'react-dom')) OR project_id IN (SELECT project_id FROM ev)""",
+  SELECT project_id, line_no, declared, package, spec, section, cve_id FROM ({STACK_FINDINGS}) f WHERE NOT (cve_id IN ({IN_CVES}) AND package IN ('react', 'react-dom')) OR project_id IN (SELECT project_id FROM ev)""",
   ctes("stack_k", "cat_raw", "cat_k"))
 def usage_evidence(t: Tables):
     deps = matching.with_version(t.view("v_stack"))
     shown = evidence.keep_with_evidence(catalogue_matches(t), evidence.rsc_evidence(deps, usage_files(t)))
-    return shown.select("project_id", "line_no", "package", "spec", "section", "cve_id").distinct()
+    return shown.select("project_id", "line_no", "declared", "package", "spec", "section", "cve_id")
 
 
 @register("j16_usage_annotation", f"""WITH fl AS (SELECT file_id AS project_id, bool_or(folder || name IN ('middleware.ts', 'src/middleware.ts')) AS mw,
       bool_or(folder IN ('app/', 'src/app/') AND name = 'layout.tsx') AS ar FROM v_project_files GROUP BY file_id),
     fw AS (SELECT project_id, 'next' AS frameworks FROM v_stack WHERE package = 'next' GROUP BY project_id)
-  SELECT DISTINCT project_id, line_no, package, spec, cve_id, coalesce(mw, FALSE) AS uses_middleware, coalesce(ar, FALSE) AS uses_app_router, coalesce(frameworks, '') AS frameworks
+  SELECT project_id, line_no, declared, package, spec, cve_id, coalesce(mw, FALSE) AS uses_middleware, coalesce(ar, FALSE) AS uses_app_router, coalesce(frameworks, '') AS frameworks
   FROM ({STACK_FINDINGS}) f LEFT JOIN fl USING (project_id) LEFT JOIN fw USING (project_id) WHERE package = 'next'""", ctes("stack_k", "cat_raw", "cat_k"))
 def usage_annotation(t: Tables):
     findings = catalogue_matches(t).where("package = 'next'")
     noted = evidence.annotate_usage(findings, evidence.usage_flags(usage_files(t), t.view("v_stack")))
-    return noted.select("project_id", "line_no", "package", "spec", "cve_id", "uses_middleware", "uses_app_router",
-                        F.array_join("frameworks", ",").alias("frameworks")).distinct()
+    return noted.select("project_id", "line_no", "declared", "package", "spec", "cve_id", "uses_middleware", "uses_app_router",
+                        F.array_join("frameworks", ",").alias("frameworks"))
 
 
 @register("j17_manifest_lock_merge", """WITH man AS (SELECT project_id, cve_id, d.package FROM deps_k d JOIN adv_k a ON d.package = a.package AND k >= lo AND k < hi),

@@ -82,12 +82,12 @@ def vuln_match(t: Tables):
 
 @register(
     "j1_catalogue_match",
-    """SELECT DISTINCT project_id, line_no, d.package, spec, section, cve_id, severity
-       FROM (SELECT row_number() OVER () AS rid, * FROM stack_k) d JOIN cat_k a ON d.package = a.package AND k >= lo AND k < hi""",
+    """SELECT DISTINCT project_id, line_no, declared, d.package, spec, section, cve_id, severity
+       FROM stack_k d JOIN cat_k a ON d.package = a.package AND k >= lo AND k < hi""",
     ctes("stack_k", "cat_raw", "cat_k"),
 )
 def catalogue_match(t: Tables):
-    return catalogue_matches(t).select("project_id", "line_no", "package", "spec", "section", "cve_id", "severity").distinct()
+    return catalogue_matches(t).select("project_id", "line_no", "declared", "package", "spec", "section", "cve_id", "severity")
 
 
 FEED_CTES = {
@@ -198,13 +198,13 @@ def legacy_line_match(t: Tables):
 
 @register(
     "j8_patch_lookup",
-    f"""WITH f AS (SELECT DISTINCT project_id, line_no, d.package, version, k, a.cve_id FROM stack_k d JOIN cat_k a ON d.package = a.package AND k >= lo AND k < hi),
+    f"""WITH f AS (SELECT DISTINCT project_id, line_no, declared, d.package, version, k, a.cve_id FROM stack_k d JOIN cat_k a ON d.package = a.package AND k >= lo AND k < hi),
         p AS (SELECT f.*, patched, CASE WHEN patch_key = version THEN 1
                  WHEN patch_key = split_part(version, '.', 1) || '.' || split_part(version, '.', 2) || '.x' THEN 2
                  WHEN patch_key = split_part(version, '.', 1) || '.x' THEN 3
                  WHEN patch_key LIKE '<%' AND k < {sql_key('substr(patch_key, 2)')} THEN 4 END AS precedence
               FROM f LEFT JOIN patches USING (cve_id, package))
-        SELECT project_id, line_no, package, version, cve_id, arg_min(patched, precedence) AS patched_version
+        SELECT project_id, line_no, declared, package, version, cve_id, arg_min(patched, precedence) AS patched_version
         FROM p GROUP BY ALL""",
     ctes("stack_k", "cat_raw", "cat_k") | {
         "patches": sql_rows(["cve_id", "package", "patch_key", "patched"],
@@ -213,7 +213,7 @@ def legacy_line_match(t: Tables):
 )
 def patch_lookup(t: Tables):
     found = m.patch_lookup(catalogue_matches(t), F.broadcast(m.patch_table(cat.catalogue(t.spark))))
-    return found.select("project_id", "line_no", "package", "version", "cve_id", "patched_version").distinct()
+    return found.select("project_id", "line_no", "declared", "package", "version", "cve_id", "patched_version")
 
 
 @register(

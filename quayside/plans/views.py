@@ -99,7 +99,7 @@ SELECT concat('GHSA-', lpad(CAST(p_partkey AS STRING), 9, '0')) AS ghsa_id,
 FROM part""",
     # real package names with versions around the catalogue's bounds
     "v_stack": f"""
-SELECT l_orderkey AS project_id, l_linenumber AS line_no,
+SELECT l_orderkey AS project_id, l_linenumber AS line_no, concat(CAST(l_partkey AS STRING), '/', CAST(l_suppkey AS STRING)) AS declared,
   CASE l_partkey % 20 WHEN 0 THEN 'react' WHEN 1 THEN 'next' WHEN 2 THEN 'n8n' WHEN 3 THEN 'node' WHEN 4 THEN 'mysql2'
     WHEN 5 THEN 'jsonpath-plus' WHEN 6 THEN 'body-parser' WHEN 7 THEN 'multer' WHEN 8 THEN 'nuxt'
     WHEN 9 THEN '@adonisjs/bodyparser' WHEN 10 THEN '@nestjs/platform-express' WHEN 11 THEN 'eslint-config-prettier'
