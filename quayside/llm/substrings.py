@@ -7,7 +7,7 @@ also stands in another window are shared. Where the shared windows of at least `
 inside each text), a passage may be a near duplicate; only the tokens of those places go on to be verified.
 
 A pair of passages of similarity s agrees under each function with probability s, and then both lie inside shared windows: at
-0.75 a passage fails to be a candidate with a chance of 0.04 % (fewer than 2 of 8 functions agree); at 0.9 of 0.00007 %.
+0.75 a passage fails to be a candidate with a chance of 0.4 % (fewer than 3 of 8 functions agree), at 0.9 of 0.002 %.
 
 Verification is exact. A place is repeated if its shingle also stands in an earlier candidate place. A passage is a repeat
 if six sevenths of its shingles, which means a similarity of 0.75, are repeated, gaps included: a gap may be as long as a
@@ -36,7 +36,7 @@ WIDTH = PASSAGE - SHINGLE + 1
 #: A place is (number of the class << PLACE_BITS) | position; the longest text that Spark holds has fewer words.
 PLACE_BITS = 30
 #: Hash functions, and how many must agree on a place.
-HASHES, ENOUGH = 8, 2
+HASHES, ENOUGH = 8, 3
 SEEDS = mix64(np.arange(201, 201 + HASHES, dtype=np.uint64))
 #: Windows that a task holds before it sends them on, and that a bucket holds.
 HELD, BUCKET = 400_000, 500_000
@@ -177,8 +177,8 @@ def shared_windows(texts: DataFrame, buckets: int) -> DataFrame:
     return texts.mapInPandas(send, "bucket long, ws binary").groupBy("bucket").applyInPandas(several, "c long, l long, rf long")
 
 
-def covered(left: np.ndarray, right: np.ndarray, function: np.ndarray) -> list[tuple[int, int]]:
-    """Intervals [first, last] of at least ``WIDTH`` places that windows of at least ``ENOUGH`` different functions cover."""
+def covered(left: np.ndarray, right: np.ndarray, function: np.ndarray, enough: int = ENOUGH) -> list[tuple[int, int]]:
+    """Intervals [first, last] of at least ``WIDTH`` places that windows of at least ``enough`` different functions cover."""
     edges, steps = [], []
     for f in np.unique(function):
         a, b = left[function == f], right[function == f]
@@ -191,8 +191,8 @@ def covered(left: np.ndarray, right: np.ndarray, function: np.ndarray) -> list[t
     edge, step = np.concatenate(edges), np.concatenate(steps)
     order = np.argsort(edge, kind="stable")
     places, first = np.unique(edge[order], return_index=True)
-    enough = np.cumsum(np.add.reduceat(step[order], first)) >= ENOUGH
-    turns = np.flatnonzero(np.diff(np.concatenate(([False], enough, [False])).astype(np.int8)))
+    reached = np.cumsum(np.add.reduceat(step[order], first)) >= enough
+    turns = np.flatnonzero(np.diff(np.concatenate(([False], reached, [False])).astype(np.int8)))
     return [(int(places[i]), int(places[j]) - 1) for i, j in zip(turns[0::2], turns[1::2]) if places[j] - places[i] >= WIDTH]
 
 
@@ -255,7 +255,8 @@ def find_passages(docs: DataFrame) -> DataFrame:
                         spots.append(np.arange(a, b + 1) + base)
                 yield pd.DataFrame({"h": np.concatenate(hashes).view(np.int64), "p": np.concatenate(spots)})
 
-    spots = cut_lineage(texts.join(spans, "c").mapInPandas(places, "h long, p long"), "spots")
+    # the places are made twice, which takes less than to store them
+    spots = cut_lineage(texts.join(spans, "c"), "parts").mapInPandas(places, "h long, p long")
     firsts = cut_lineage(spots.groupBy("h").agg(F.min("p").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "firsts")
     again = spots.join(firsts, "h").where("p <> first").select(F.shiftright("p", PLACE_BITS).alias("c"), F.col("p").bitwiseAND((1 << PLACE_BITS) - 1).alias("at"), "first")
     again = again.groupBy("c").agg(F.collect_list("at").alias("at"), F.collect_list("first").alias("first"))

@@ -352,12 +352,13 @@ def test_compact_windows_group_every_run_by_its_smallest_token():
 
 
 def test_covered_counts_functions_once():
-    at = lambda *w: tuple(np.array(x, dtype=np.int64) for x in zip(*w))
+    at = lambda *w: (*(np.array(x, dtype=np.int64) for x in zip(*w)), 2)
     assert substrings.covered(*at((0, 99, 0), (50, 149, 0))) == []  # one function only
     assert substrings.covered(*at((0, 99, 0), (50, 149, 1))) == [(50, 99)]
     assert substrings.covered(*at((0, 99, 0), (20, 40, 0), (54, 200, 1))) == [(54, 99)]
     assert substrings.covered(*at((0, 99, 0), (55, 200, 1))) == []  # 45 places are too few
     assert substrings.covered(*at((0, 60, 0), (61, 120, 2), (0, 120, 1), (200, 300, 3), (210, 290, 4))) == [(0, 120), (210, 290)]
+    assert substrings.covered(*at((0, 99, 0), (0, 99, 1), (0, 99, 2))[:3], 3) == [(0, 99)] and substrings.covered(*at((0, 99, 0), (0, 99, 1))[:3], 3) == []
 
 
 def test_recall_of_near_passages(spark):
