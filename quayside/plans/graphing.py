@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quayside.catalogue import advisories as cat
+from quayside.catalogue import lists as words
 from quayside.catalogue import rules as book
 from quayside.functions.text import integrity_hash, purl
 from quayside.operators import detection, graph, hygiene, registry, sbom
@@ -12,7 +13,7 @@ from quayside.operators.reports import union_findings
 from quayside.plans.detection import LINES, MASK, sql_matches
 from quayside.plans.hygiene import CONFUSED
 from quayside.plans.matching import HI, LO, ctes
-from quayside.plans.registry import Tables, register, sql_key, sql_rows
+from quayside.plans.registry import Tables, register, sql_key, sql_rows, sql_text
 from quayside.session import cut_lineage, scratch_path
 from quayside.sources import sinks
 
@@ -251,12 +252,6 @@ def findings_log_sink(t: Tables):
 # ---- scanner registry ----
 
 
-@register("x1_scanner_registry_deep")
-def scanner_registry_deep(t: Tables):
-    """All registered scanners over the same tables, as one findings table (U2), counted."""
-    return registry.run_scanners(registry.default_tables(t)).groupBy("scanner", "severity").agg(F.count(F.lit(1)).alias("n"))
-
-
 ALL_SCANNERS = f"""SELECT 'react' AS scanner, severity FROM stack_k d JOIN cat_k a ON d.package = a.package AND k >= lo AND k < hi
     WHERE d.package IN ('react', 'react-dom', 'react-server-dom-webpack') AND (d.package = 'react-server-dom-webpack' OR project_id IN (
       SELECT project_id FROM stack_k WHERE package = 'react-server-dom-webpack'
@@ -269,19 +264,42 @@ ALL_SCANNERS = f"""SELECT 'react' AS scanner, severity FROM stack_k d JOIN cat_k
     WHERE k < {sql_key('fixed')} AND NOT EXISTS (SELECT 1 FROM alts WHERE alts.cve_id = fixes.cve_id AND k >= {sql_key('alt')})"""
 
 
-@register("x1_scanner_registry_quick", f"SELECT scanner, severity, count(*) AS n FROM ({ALL_SCANNERS}) GROUP BY ALL", ctes("stack_k", "catalogue", "cat_raw", "cat_k") | {
+QUICK_CTES = ctes("stack_k", "catalogue", "cat_raw", "cat_k") | {
     "mid": sql_rows(["major", "first", "below"], [[11, "11.1.4", "12.0.0"], [12, "12.0.0", "12.3.5"], [13, "13.0.0", "13.5.7"], [14, "14.0.0", "14.2.25"], [15, "15.0.0", "15.2.3"]]),
     "thr": sql_rows(["package", "affected", "cve_id"], [[r["package"], r["affected"][0], c] for r in cat.PACKAGE_THRESHOLDS for c in r["cves"]]),
     "thr_k": f"SELECT *, {LO} AS lo, {HI} AS hi FROM thr",
     "rt": sql_rows(["major", "cve_id", "first", "fixed"], [[r["major"], r["cve_id"], r["first"], r["fixed"]] for r in cat.RUNTIME_LINES]),
     "fixes": sql_rows(["package", "cve_id", "fixed"], [[r["package"], r["cve_id"], r["fixed"]] for r in cat.MULTI_BRANCH_FIXES]),
     "alts": sql_rows(["cve_id", "alt"], [[r["cve_id"], a] for r in cat.MULTI_BRANCH_FIXES for a in r["alt_fixed"]]),
-})
+}
+
+
+@register("x1_scanner_registry_quick", f"SELECT scanner, severity, count(*) AS n FROM ({ALL_SCANNERS}) GROUP BY ALL", QUICK_CTES)
 def scanner_registry_quick(t: Tables):
     """The quick subset: manifests and versions only."""
     return registry.run_scanners(registry.default_tables(t), quick=True).groupBy("scanner", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+# one finding per script with a suspicious pattern
+SCRIPT_HITS = " OR ".join(f"regexp_matches(command, {sql_text(p)}, 'i')" for p, _ in book.SCRIPT_PATTERNS)
+DEEP_SCANNERS = f"""{ALL_SCANNERS}
+  UNION ALL SELECT 'supply-chain', severity FROM stack_k JOIN bad USING (package) WHERE list_contains(versions, version) OR (len(versions) = 0 AND campaign IS NOT NULL)
+  UNION ALL SELECT 'supply-chain', 'HIGH' FROM v_scripts WHERE script_name IN ('preinstall', 'postinstall', 'install', 'prepare') AND ({SCRIPT_HITS})
+  UNION ALL SELECT 'supply-chain', 'CRITICAL' FROM v_project_files WHERE (folder = '' OR regexp_matches(folder, '^node_modules/([^/]+/)?$')) AND name IN ('setup_bun.js', '.truffler-cache')
+  UNION ALL SELECT 'supply-chain', 'CRITICAL' FROM v_project_files WHERE folder = '' AND name IN ('setup_bun.js', '.truffler-cache')
+  UNION ALL SELECT 'supply-chain', 'CRITICAL' FROM v_project_files WHERE name IN ('setup_bun.js', '.truffler-cache')
+  UNION ALL SELECT 'supply-chain', 'CRITICAL' FROM v_project_files WHERE name IN ('.npmrc', '.yarnrc', '.yarnrc.yml', '.env', '.env.local', '.env.production') AND contains(content, '//registry.npmjs.org/:_authToken=')
+  UNION ALL SELECT 'gateway', severity FROM (SELECT DISTINCT project_id, line_no, declared, spec, cve_id, severity, d.package FROM stack_k d JOIN cat_k a ON d.package = a.package AND k >= lo AND k < hi WHERE d.package IN ('clawdbot', 'moltbot')) g
+  UNION ALL SELECT 'gateway', 'CRITICAL' FROM v_project_files WHERE regexp_matches(content, '(proxy_pass|reverse_proxy).*(18789|clawdbot|moltbot)', 'i')"""
+
+
+@register("x1_scanner_registry_deep", f"SELECT scanner, severity, count(*) AS n FROM ({DEEP_SCANNERS}) GROUP BY ALL", QUICK_CTES | {
+    "bad": sql_rows(["package", "versions", "severity", "campaign"], [[r["package"], r["bad_versions"], r["severity"], r["campaign"]] for r in words.COMPROMISED])})
+def scanner_registry_deep(t: Tables):
+    """All registered scanners over the same tables, as one findings table (U2), counted."""
+    return registry.run_scanners(registry.default_tables(t)).groupBy("scanner", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("u2_findings_union", """SELECT scanner, severity, count(*) AS n, count(DISTINCT project_id) AS projects FROM v_findings GROUP BY ALL
   UNION ALL SELECT 'lockfile', 'LOW', count(*), count(DISTINCT project_id) FROM v_lock WHERE integrity IS NULL""")
 def findings_union(t: Tables):
