@@ -47,7 +47,8 @@ def written_projects(t: Tables):
     return found, files.read_dotfiles(found)
 
 
-FILE_ID = F.regexp_extract("project_dir", "/p([0-9]+)$", 1).cast("bigint").alias("file_id")
+def file_id():
+    return F.regexp_extract("project_dir", "/p([0-9]+)$", 1).cast("bigint").alias("file_id")
 
 
 @register("s10_declared_runtimes", f"""WITH e AS (SELECT file_id, regexp_extract({NODE}, '([0-9]+)[.]?([0-9]+)?[.]?([0-9]+)?', ['a', 'b', 'c']) AS v FROM v_project_files)
@@ -58,14 +59,14 @@ FILE_ID = F.regexp_extract("project_dir", "/p([0-9]+)$", 1).cast("bigint").alias
   FROM v_project_files WHERE name IN ('.nvmrc', '.node-version', '.tool-versions')) WHERE version IS NOT NULL""".replace("STRING", "VARCHAR"))
 def declared_runtimes(t: Tables):
     """Runtime versions of real files: engines of manifests, and the version files that Spark's own sources skip."""
-    return files.declared_runtimes(*written_projects(t)).select(FILE_ID, "name", "version")
+    return files.declared_runtimes(*written_projects(t)).select(file_id(), "name", "version")
 
 
 @register("p16_token_files", """SELECT file_id, name FROM v_project_files
   WHERE name IN ('.npmrc', '.yarnrc', '.yarnrc.yml', '.env', '.env.local', '.env.production') AND contains(content, '//registry.npmjs.org/:_authToken=')""")
 def token_files(t: Tables):
     """Registry tokens in real dotfiles of the shared folder."""
-    return registry_tokens(written_projects(t)[1]).select(FILE_ID, "name")
+    return registry_tokens(written_projects(t)[1]).select(file_id(), "name")
 
 
 @register("s12_file_snapshot", "SELECT path, md5(content) AS hash, CAST(strlen(content) AS INT) AS size FROM v_files")
