@@ -243,6 +243,10 @@ def in_texts(texts: list, size: int = 4_000_000) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
+#: Terms that a task holds before it sends them on.
+HELD_TERMS = 100_000
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, most_terms: int = 1_000, least_docs: int = 4, least_odds: float = 4.0) -> Model | None:
     """Learn from at most ``per_class`` labelled rows of each kind (those of the smallest id hash); labels: doc_id, toxic."""
     spark = docs.sparkSession
@@ -257,8 +261,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, most_terms:
 
     def count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[tuple[str, bool], list] = defaultdict(lambda: [0, []])
+
+        def told() -> pd.DataFrame:
+            rows = [(t, s, c[0], c[1]) for (t, s), c in seen.items()]
+            seen.clear()
+            return pd.DataFrame(rows, columns=["term", "stem", "clean", "docs"])
+
         for batch in batches:
             for text, toxic, h in zip(batch["text"], batch["toxic"], batch["h"]):
+                if len(seen) > HELD_TERMS:  # what is told in parts is added up behind the shuffle
+                    yield told()
                 found = {w for w in words(text) if 3 <= len(w) <= 40}
                 terms = {(w, False) for w in found} | {(w[:k], True) for w in found for k in STEM if len(w) > k}
                 for term in terms:
@@ -266,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, most_terms:
                         seen[term][1].append(h)
                     else:
                         seen[term][0] += 1
-        yield pd.DataFrame([(t, s, c[0], c[1]) for (t, s), c in seen.items()], columns=["term", "stem", "clean", "docs"])
+        yield told()
 
     counts = sample.mapInPandas(count_terms, "term string, stem boolean, clean long, docs array<long>").groupBy("term", "stem").agg(F.sum("clean").alias("clean"), F.flatten(F.collect_list("docs")).alias("docs")).withColumn("toxic", F.size("docs"))
     odds = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1)) - F.log((F.col("clean") + 0.5) / (sizes[0] + 1))
