@@ -99,6 +99,12 @@ def package_verdict(packages: DataFrame, hits: DataFrame, other_dangers: DataFra
     return totals.withColumn("safe", F.col("dangers") == 0)
 
 
+def package_dangers(scripts: DataFrame, advisories: DataFrame, typos: DataFrame) -> DataFrame:
+    """(package, n) of what else makes a package dangerous: suspicious install scripts, advisories, a name that imitates another."""
+    rows = [part.select("package") for part in (scripts, advisories, typos)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("package").agg(F.count(F.lit(1)).alias("n"))
+
+
 FEED_SEVERITIES = ["critical", "high", "moderate", "low", "unknown"]
 
 

@@ -9,9 +9,9 @@ from quayside.catalogue import rules as book
 from quayside.catalogue.advisories import CVE_EXPLANATIONS, LEGACY_REACT, NEXT_PATCH_DEFAULT, NEXT_PATCH_PREFIXES
 from quayside.functions.text import FEED_SEVERITY, SARIF_LEVEL, SARIF_SCORE, lookup
 from quayside.functions.versions import bump_spec, runtime_requirement
-from quayside.operators import detection, diffs, fixes, matching, paths, reports, scoring
+from quayside.operators import detection, diffs, fixes, hygiene, matching, paths, reports, scoring
 from quayside.operators.evidence import indicator_files
-from quayside.plans.detection import LINES, sql_matches
+from quayside.plans.detection import LINES, sql_matches, sql_script_hits
 from quayside.plans.hygiene import CONTEXT, SKIP, usage_files
 from quayside.plans.matching import ctes, dep_matches
 from quayside.plans.registry import Tables, register, sql_rows, sql_text
@@ -222,6 +222,24 @@ def package_verdict(t: Tables):
     return reports.package_verdict(packages, reports.package_hits(t.view("v_files")), new_files)
 
 
+@register("a11_package_dangers", f"""WITH every AS (SELECT 'pkg-' || project_id AS package FROM ({sql_script_hits()}) UNION ALL SELECT package FROM v_advisories WHERE severity IN ('CRITICAL', 'HIGH')
+      UNION ALL SELECT 'pkg-' || name_id FROM v_names JOIN typos ON lower(package) = typo),
+    n AS (SELECT package, count(*) AS n FROM every GROUP BY package)
+  SELECT 'pkg-' || p_partkey AS package, CAST(coalesce(n, 0) AS BIGINT) AS dangers, CAST(0 AS BIGINT) AS warnings, n IS NULL AS safe FROM part LEFT JOIN n ON n.package = 'pkg-' || p_partkey""",
+  {"typos": sql_rows(["typo", "intended"], [list(kv) for kv in lists.TYPOS.items()])})
+def package_dangers(t: Tables):
+    """The verdict on every part as a package: its scripts, its grave advisories, its name."""
+    def named(rows, key: str):
+        return rows.withColumn("package", F.concat(F.lit("pkg-"), F.col(key).cast("string")))
+
+    scripts = named(detection.script_findings(t.view("v_scripts")), "project_id")
+    typos = named(hygiene.typosquat_dictionary(t.view("v_names")), "name_id")
+    packages = named(t.base("part").select("p_partkey"), "p_partkey")
+    others = reports.package_dangers(scripts, t.view("v_advisories").where(F.col("severity").isin("CRITICAL", "HIGH")), typos)
+    none = packages.limit(0).select("package", F.lit("").alias("hit_type"), F.lit(0).alias("n"), F.lit(False).alias("dangerous"))
+    return reports.package_verdict(packages, none, others)
+
+
 @register("a12_advisory_report", "SELECT package, count(*) AS advisories, " + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in reports.FEED_SEVERITIES) + " FROM v_feed GROUP BY ROLLUP (package)")
 def advisory_report(t: Tables):
     return reports.advisory_report(t.view("v_feed"))
