@@ -80,10 +80,9 @@ class WordEncoder:
             self.words[word] = np.array(code.ids, "<u4").tobytes()
 
     def encode(self, texts: list) -> list[bytes]:
-        split = [words_of(t) for t in texts]
         out = []
-        for first in range(0, len(split), 256):
-            some = split[first : first + 256]
+        for first in range(0, len(texts), 256):
+            some = [words_of(t) for t in texts[first : first + 256]]
             new = [w for w in set().union(*some) if w not in self.words]
             if new:
                 self.learn(new)
