@@ -39,9 +39,9 @@ PLACE_BITS = 30
 HASHES, ENOUGH = 8, 3
 SEEDS = mix64(np.arange(201, 201 + HASHES, dtype=np.uint64))
 #: Windows that a task holds before it sends them on, and that a bucket holds.
-HELD, BUCKET = 400_000, 500_000
+HELD, BUCKET = 200_000, 500_000
 #: Bytes of text that a task hashes at once; the arrays of a piece take about fifty times as much memory.
-PIECE = 2_000_000
+PIECE = 1_000_000
 #: A window: the hash of its smallest token, the class of its text, its ends, its function, and whether the task has its like.
 WINDOW = np.dtype([("v", "<u8"), ("c", "<i8"), ("l", "<i4"), ("r", "<i4"), ("f", "u1"), ("m", "u1")])
 
