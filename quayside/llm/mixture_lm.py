@@ -9,9 +9,10 @@ Their log odds are mixed by weights that a gate selects by the predictors' count
 with the errors made so far in it, block by block. The sum of the bits' logarithms is the score; bits per byte follow.
 
 The tables have a fixed number of cells, so what is broadcast is bounded; counts of words stay in a distributed table, with
-a bounded head of the commonest in every task. Mixing weights are fitted on at most ``SAMPLE_DOCS`` training texts, each
-without its own counts. Null and empty texts are the end alone. Texts of any length are scored whole. Repeated rows score
-alike. Without training rows every count is 0.
+a bounded head of the commonest in every task. Mixing weights are fitted on every bit of every training text: rows are dealt
+into two folds, each fold's bits are predicted from the counts of the other, every task takes Newton steps over its texts,
+and the weights of all tasks are joined by their second derivatives. Null and empty texts are the end alone. Texts of any
+length are scored whole. Repeated rows score alike. Without training rows every count is 0.
 """
 
 from __future__ import annotations
@@ -34,9 +35,11 @@ END, ESCAPE = 0, 1
 HEAD, COMMON, KNOWN = 1 << 16, 256, 1 << 17
 BITS = {"last": 21, "before": 20, "two": 19, "three": 20, "five": 21}
 BLOCK_BITS = 16
-SAMPLE_DOCS, SAMPLE_CHARS = 150, 20_000
+FOLDS = 2
+GATES, RIDGE, STEPS = 64, 1.0, 4
+SCALE = 1 << 16
 CHUNK, RATE = 256, 0.004
-PIECE = 700_000
+PIECE = 250_000
 
 
 @dataclass
@@ -108,7 +111,7 @@ class Piece:
 
 
 def cell(context: np.ndarray, bits: int) -> np.ndarray:
-    return (mix64(context) >> U64(64 - bits)).astype(np.int64)
+    return (mix64(context) >> U64(64 - bits)).astype(np.int32)
 
 
 def dissect(texts: list[bytes], coder: Coder) -> Piece:
@@ -136,7 +139,7 @@ def dissect(texts: list[bytes], coder: Coder) -> Piece:
     last = np.where(common >= np.repeat(opens, counts + 1), symbols[common], 0)
     lengths = coder.length[symbols]
     path = ragged(coder.first[symbols], lengths)
-    nodes, y = coder.nodes[path].astype(np.int64), coder.bits[path].astype(np.int64)
+    nodes, y = coder.nodes[path], coder.bits[path]
     node = nodes.astype(np.uint64)
     cells = [nodes, cell(np.repeat(last.astype(np.uint64) << U64(32), lengths) + node, BITS["last"]), cell(np.repeat(mix64(before), lengths) + node, BITS["before"])]
 
@@ -150,34 +153,51 @@ def dissect(texts: list[bytes], coder: Coder) -> Piece:
     back = [np.where(inside >= k, np.concatenate((np.zeros(k, np.int64), raw[:-k] if k <= len(raw) else raw[:0]))[: len(raw)], 0) for k in (1, 2, 3, 4, 5)]
     level = np.arange(8)
     tree = ((1 << level) | (raw[:, None] >> (8 - level))).ravel().astype(np.uint64)
-    byte_y = ((raw[:, None] >> (7 - level)) & 1).ravel()
+    byte_y = ((raw[:, None] >> (7 - level)) & 1).ravel().astype(np.int8)
     two = np.repeat((back[0] | back[1] << 8).astype(np.uint64) << U64(8), 8) + tree
     three = np.repeat((back[0] | back[1] << 8 | back[2] << 16).astype(np.uint64) << U64(8), 8) + tree
     five = np.repeat((back[0] | back[1] << 8 | back[2] << 16 | back[3] << 24 | back[4] << 32).astype(np.uint64) << U64(8), 8) + tree
-    return Piece(np.repeat(owner, lengths), y, cells, byte_y, [cell(two, BITS["two"]), cell(three + (U64(1) << U64(40)), BITS["three"]), cell(five + (U64(1) << U64(50)), BITS["five"])], np.repeat(np.repeat(np.arange(len(distinct)), size), 8), text_of[rare], which, counts, hashes, np.cumsum(counts))
+    return Piece(np.repeat(owner.astype(np.int32), lengths), y, cells, byte_y, [cell(two, BITS["two"]), cell(three + (U64(1) << U64(40)), BITS["three"]), cell(five + (U64(1) << U64(50)), BITS["five"])], np.repeat(np.repeat(np.arange(len(distinct), dtype=np.int32), size), 8), text_of[rare], which, counts, hashes, np.cumsum(counts))
 
 
 def table_sizes(coder_nodes: int) -> list[int]:
     return [1 << max(BLOCK_BITS - 1, int(coder_nodes).bit_length())] + [1 << b for b in BITS.values()]
 
 
-def count_bits(docs: DataFrame, coder: Coder, salts: int = 32) -> list[np.ndarray]:
-    """Counts (cell, bit) of every table over all rows: tables are cut into blocks, which are summed in two steps."""
+def with_fold(docs: DataFrame) -> DataFrame:
+    """text and fold of every row."""
+    return docs.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(FOLDS)).cast("int").alias("fold"))
+
+
+def fold_weights(piece: Piece, folds: np.ndarray) -> list[np.ndarray]:
+    """Per fold, how often each byte bit's word occurs in its texts."""
+    of = folds[piece.rare_owner]
+    words = int(piece.byte_word[-1]) + 1 if len(piece.byte_word) else 0
+    return [np.bincount(piece.rare_word[of == f], minlength=words)[piece.byte_word] for f in range(FOLDS)] if words else []
+
+
+def count_bits(docs: DataFrame, coder: Coder) -> list[np.ndarray]:
+    """Counts (fold, cell, bit) of every table over all rows: tables are cut into blocks, which are summed in two steps.
+
+    A task sends its tables once, so as many tasks as the cores need read all rows, and what is sent does not grow with them.
+    """
     sizes = table_sizes(len(coder.length))
-    shared = docs.sparkSession.sparkContext.broadcast(coder)
+    context = docs.sparkSession.sparkContext
+    shared, tasks = context.broadcast(coder), 2 * context.defaultParallelism
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = [np.zeros(2 * s, dtype=np.uint32) for s in sizes]
+        sums = [np.zeros(FOLDS * 2 * s, dtype=np.uint32) for s in sizes]
         for batch in batches:
-            for _, texts in hash_pieces(list(batch["text"]), PIECE):
+            for at, texts in hash_pieces(list(batch["text"]), PIECE):
                 piece = dissect(texts, shared.value)
-                repeats = np.bincount(piece.rare_word, minlength=1)
-                weight = repeats[piece.byte_word] if len(piece.byte_word) else None
+                folds = batch["fold"].to_numpy()[at : at + len(texts)]
+                fold = folds[piece.owner]
                 for k, cells in enumerate(piece.cells):
-                    np.add(sums[k], np.bincount(2 * cells + piece.y, minlength=len(sums[k])).astype(np.uint32), out=sums[k])
-                for k, cells in enumerate(piece.byte_cells, 3):
-                    if weight is not None:
-                        np.add(sums[k], np.bincount(2 * cells + piece.byte_y, weights=weight, minlength=len(sums[k])).astype(np.uint32), out=sums[k])
+                    np.add.at(sums[k], 2 * (cells + fold * np.int32(sizes[k])) + piece.y, np.uint32(1))
+                for f, weight in enumerate(fold_weights(piece, folds)):
+                    some = np.flatnonzero(weight)
+                    for k, cells in enumerate(piece.byte_cells, 3):
+                        np.add.at(sums[k], 2 * (cells[some] + np.int32(f * sizes[k])) + piece.byte_y[some], weight[some].astype(np.uint32))
         for k, values in enumerate(sums):
             blocks = values.reshape(-1, 1 << BLOCK_BITS)
             yield pd.DataFrame([(k, b, zlib.compress(v.tobytes(), 1)) for b, v in enumerate(blocks) if v.any()], columns=["t", "b", "v"])
@@ -190,17 +210,19 @@ def count_bits(docs: DataFrame, coder: Coder, salts: int = 32) -> list[np.ndarra
         return pd.DataFrame({"t": group["t"].iloc[:1], "b": group["b"].iloc[:1], "v": [zlib.compress(total.tobytes(), 1)]})
 
     schema = "t int, b int, v binary"
-    parts = docs.select("text").mapInPandas(gather, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    summed = parts.groupBy("t", "b", "salt").applyInPandas(add_up, schema).groupBy("t", "b").applyInPandas(add_up, schema)
-    out = [np.zeros(2 * s, dtype=np.uint32) for s in sizes]
+    summed = with_fold(docs).coalesce(tasks).mapInPandas(gather, schema)
+    if tasks > 64:
+        summed = summed.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(tasks // 32))).groupBy("t", "b", "salt").applyInPandas(add_up, schema)
+    summed = summed.groupBy("t", "b").applyInPandas(add_up, schema)
+    out = [np.zeros(FOLDS * 2 * s, dtype=np.uint32) for s in sizes]
     for r in summed.toLocalIterator():  # as many blocks as the tables have, whatever the input
         out[r.t][r.b << BLOCK_BITS : (r.b + 1) << BLOCK_BITS] = np.frombuffer(zlib.decompress(r.v), "<u4")
-    return out
+    return [o.reshape(FOLDS, -1) for o in out]
 
 
 def predictions(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log odds in sixteenths and a grade of confidence, as small numbers."""
-    n = zeros + ones
+    n = zeros.astype(np.float64) + ones
     odds = np.log((ones + 0.4) / (zeros + 0.4))
     return np.clip(np.rint(16 * odds), -127, 127).astype(np.int8), np.minimum(7, np.log2(n + 1).astype(np.int64)).astype(np.int8)
 
@@ -220,12 +242,18 @@ class Mixer:
         spelling = np.zeros(0)
         if len(piece.byte_y):
             x, gate = inputs([self.tables[k][0][c] for k, c in enumerate(piece.byte_cells, 3)], [self.tables[k][1][c] for k, c in enumerate(piece.byte_cells, 3)])
-            z = (x * self.bytes_[gate]).sum(axis=1)
-            bits = -np.logaddexp(0, np.where(piece.byte_y == 1, -z, z))
+            z = np.einsum("ij,ij->i", x, self.bytes_[gate])
+            bits = told(z, piece.byte_y)
             spelling = np.bincount(piece.byte_word, weights=bits)[piece.rare_word]
         return out, spelling, piece
 
 
+def told(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logarithm of the probability of each bit under its log odds."""
+    against = np.where(y == 1, -z, z)
+    return -(np.maximum(against, 0) + np.log1p(np.exp(-np.abs(z))))
+
+
 def inputs(odds: list[np.ndarray], grades: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Columns for the mixer (the last is constant), and the gate: the grades of the last two predictors."""
     x = np.empty((len(odds[0]), len(odds) + 1), dtype=np.float32)
@@ -242,52 +270,97 @@ def adaptive(x: np.ndarray, weights: np.ndarray, y: np.ndarray, owner: np.ndarra
     starts = np.cumsum(sizes) - sizes
     moved = np.zeros((texts, x.shape[1]), dtype=np.float32)
     out = np.zeros(texts)
-    static = (x * weights).sum(axis=1)
+    static = np.einsum("ij,ij->i", x, weights)
     for first in range(0, int(sizes.max(initial=0)), CHUNK):
         live = np.flatnonzero(sizes > first)
         length = np.minimum(CHUNK, sizes[live] - first)
         at = ragged(starts[live] + first, length)
         part, truth = x[at], y[at]
-        z = static[at] + (part * np.repeat(moved[live], length, axis=0)).sum(axis=1)
+        z = static[at] + np.einsum("ij,ij->i", part, np.repeat(moved[live], length, axis=0))
         cuts = np.cumsum(length) - length
-        out[live] += np.add.reduceat(-np.logaddexp(0, np.where(truth == 1, -z, z)), cuts)
+        out[live] += np.add.reduceat(told(z, truth), cuts)
         error = (truth - 1 / (1 + np.exp(-z))).astype(np.float32)
         moved[live] += RATE * np.add.reduceat(error[:, None] * part, cuts, axis=0)
     return out
 
 
-def fit_weights(x: np.ndarray, gate: np.ndarray, y: np.ndarray, steps: int = 80) -> np.ndarray:
-    """Gated logistic regression by scaled gradient steps from an even mix."""
-    w = np.full((64, x.shape[1]), 1 / (x.shape[1] - 1), dtype=np.float64)
+def even(inputs: int) -> np.ndarray:
+    """An even mix of the predictors, without a constant, for every gate."""
+    w = np.full((GATES, inputs), 1 / (inputs - 1))
     w[:, -1] = 0
-    scale = np.full_like(w, 1e-6)
-    for step in range(steps):
-        error = y - 1 / (1 + np.exp(-(x * w[gate]).sum(axis=1)))
-        slope = np.column_stack([np.bincount(gate, weights=error * x[:, k], minlength=64) for k in range(x.shape[1])])
-        scale += slope * slope
-        w += 0.3 * slope / np.sqrt(scale)
-    return w.astype(np.float32)
-
-
-def fit_mixer(coder: Coder, counts: list[np.ndarray], sample: list[str]) -> Mixer:
-    """Weights from texts of the training corpus, each with its own counts taken out."""
-    rows: list[list] = [[], []]
-    for text in sample:
-        piece = dissect([text.encode("utf-8", "surrogatepass")], coder)
-        repeats = np.bincount(piece.rare_word, minlength=1)
-        for kind, (cells, y, k0, weight) in enumerate(((piece.cells, piece.y, 0, None), (piece.byte_cells, piece.byte_y, 3, repeats[piece.byte_word] if len(piece.byte_word) else None))):
-            if not len(y):
-                continue
-            odds, grades = [], []
-            for k, c in enumerate(cells, k0):
-                _, place, which = np.unique(c, return_index=True, return_inverse=True)
-                own = [np.bincount(which, weights=(y == b) * (1 if weight is None else weight), minlength=len(place))[which] for b in (0, 1)]
-                o, g = predictions(*(np.maximum(counts[k][2 * c + b].astype(np.float64) - own[b], 0) for b in (0, 1)))
-                odds.append(o)
-                grades.append(g)
-            rows[kind].append((*inputs(odds, grades), y))
-    fitted = [fit_weights(*(np.concatenate(p) for p in zip(*r))) if r else np.full((64, n), 1 / (n - 1), dtype=np.float32) for r, n in zip(rows, (4, 4))]
-    return Mixer(coder, [predictions(c[0::2].astype(np.float64), c[1::2].astype(np.float64)) for c in counts], *fitted)
+    return w
+
+
+class Learner:
+    """Gated logistic regression by Newton steps, one run of bits after the other."""
+
+    def __init__(self, inputs: int):
+        self.start = even(inputs)
+        self.w = self.start.copy()
+        self.h = np.zeros((GATES, inputs, inputs))
+
+    def learn(self, x: np.ndarray, gate: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> None:
+        """Several steps where nothing was learnt before, then one for each run."""
+        order = np.argsort(gate.astype(np.int8), kind="stable")
+        x, y, cuts = x[order], y[order], np.concatenate(([0], np.cumsum(np.bincount(gate, minlength=GATES))))
+        weight = None if weight is None else weight[order].astype(np.float32)
+        old, ridge = self.w.copy(), RIDGE * np.eye(x.shape[1])
+        for _ in range(1 if self.h.any() else STEPS):
+            p = 1 / (1 + np.exp(-np.einsum("ij,ij->i", x, np.repeat(self.w.astype(np.float32), np.diff(cuts), axis=0))))
+            error, curve = y - p, p * (1 - p)
+            if weight is not None:
+                error, curve = error * weight, curve * weight
+            slope, bend = np.zeros_like(self.w), np.zeros_like(self.h)
+            for g in np.flatnonzero(np.diff(cuts)):
+                part = x[cuts[g] : cuts[g + 1]]
+                slope[g] = error[cuts[g] : cuts[g + 1]] @ part
+                bend[g] = (part * curve[cuts[g] : cuts[g + 1], None]).T @ part
+            known = self.h + ridge
+            pull = slope - np.einsum("gij,gj->gi", known, self.w - old) - (0 if self.h.any() else RIDGE * (old - self.start))
+            self.w += np.clip(np.linalg.solve(known + bend, pull[..., None])[..., 0], -1, 1)
+        self.h += bend
+
+
+def fit_mixer(training: DataFrame, coder: Coder, counts: list[np.ndarray]) -> Mixer:
+    """Weights from all texts of the training corpus, each read with the counts of the other fold.
+
+    A task's weights are worth its second derivatives: the sum of both products is solved once. Sums are of integers, so that
+    reruns agree whatever order the tasks end in.
+    """
+    others = [[predictions(c[1 - f, 0::2], c[1 - f, 1::2]) for f in range(FOLDS)] for c in counts]
+    shared = training.sparkSession.sparkContext.broadcast((coder, [tuple(np.concatenate(t) for t in zip(*o)) for o in others]))
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coder, tables = shared.value
+        words, spelling = Learner(4), Learner(4)
+        for batch in batches:
+            for at, texts in hash_pieces(list(batch["text"]), PIECE):
+                piece = dissect(texts, coder)
+                folds = batch["fold"].to_numpy()[at : at + len(texts)]
+                fold = folds[piece.owner]
+                at_word = [c + fold * np.int32(len(tables[k][0]) // FOLDS) for k, c in enumerate(piece.cells)]
+                words.learn(*inputs([tables[k][0][c] for k, c in enumerate(at_word)], [tables[k][1][c] for k, c in enumerate(at_word)]), piece.y)
+                xs, gates, ys, weights = [], [], [], []
+                for f, weight in enumerate(fold_weights(piece, folds)):
+                    some = np.flatnonzero(weight)
+                    at_byte = [c[some] + np.int32(f * (len(tables[k][0]) // FOLDS)) for k, c in enumerate(piece.byte_cells, 3)]
+                    x, gate = inputs([tables[k][0][c] for k, c in enumerate(at_byte, 3)], [tables[k][1][c] for k, c in enumerate(at_byte, 3)])
+                    xs.append(x), gates.append(gate), ys.append(piece.byte_y[some]), weights.append(weight[some])
+                if xs:
+                    spelling.learn(np.concatenate(xs), np.concatenate(gates), np.concatenate(ys), np.concatenate(weights))
+        for kind, learner in enumerate((words, spelling)):
+            both = np.concatenate((learner.h, np.einsum("gij,gj->gi", learner.h, learner.w)[:, None, :]), axis=1).reshape(GATES, -1)
+            found = [(kind, g, i, int(np.rint(v * SCALE))) for g in np.flatnonzero(learner.h.any(axis=(1, 2))) for i, v in enumerate(both[g])]
+            yield pd.DataFrame(found, columns=["kind", "gate", "i", "v"])
+
+    sums = with_fold(training).mapInPandas(learn, "kind int, gate int, i int, v long").groupBy("kind", "gate", "i").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v"))
+    both = np.zeros((2, GATES, 20))
+    for r in sums.collect():  # 20 numbers for each of 64 gates of two mixers
+        both[r.kind, r.gate, r.i] = float(r.v) / SCALE
+    h, hw = both[..., :16].reshape(2, GATES, 4, 4), both[..., 16:]
+    fitted = np.linalg.solve(h + RIDGE * np.eye(4), (hw + RIDGE * even(4))[..., None])[..., 0].astype(np.float32)
+    total = [c.sum(axis=0, dtype=np.uint64) for c in counts]
+    return Mixer(coder, [predictions(c[0::2], c[1::2]) for c in total], *fitted)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -314,8 +387,7 @@ def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
     rare = total - sum(c for _, c in coded)
     new = min(0.5, max(once, 1) / rare) if rare else 1.0  # how likely a rare word is a new one
     coder = build_coder(coded, ends, rare)
-    chosen = training.select("text").where(F.length("text").between(1, SAMPLE_CHARS)).withColumn("o", F.xxhash64("text")).orderBy("o").limit(SAMPLE_DOCS)
-    mixer = fit_mixer(coder, count_bits(training, coder), [r.text for r in chosen.collect()])
+    mixer = fit_mixer(training, coder, count_bits(training, coder))
     tokens, vocabulary = total + ends, distinct + (ends > 0)
     order = np.argsort(np.array([h for h, _ in top], dtype=np.int64).view(np.uint64)) if top else np.empty(0, np.int64)
     known = np.array([h for h, _ in top], dtype=np.int64).view(np.uint64)[order], np.array([c for _, c in top], dtype=np.int64)[order]

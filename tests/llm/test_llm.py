@@ -395,3 +395,29 @@ def test_mixing_without_ids_comes_near_the_targets(spark):
     assert all(abs(taken - target) <= 100 for target, taken in by_source.values()) and by_source["c"] == [0, 0]
     assert sum(t for t, _ in by_source.values()) == pytest.approx(sum(r.size for r in got))
     assert mixing.mix_sources(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_mixing_weights_come_from_every_training_text(spark):
+    rows = [(k, text_of(k, 4_000)) for k in range(6)]  # over 20,000 characters each
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    coder = mixture_lm.build_coder([], len(rows), 24_000)
+    mixer = mixture_lm.fit_mixer(docs, coder, mixture_lm.count_bits(docs, coder))
+    assert np.abs(mixer.bytes_ - mixture_lm.even(4)).max() > 0.1
+    assert min(len(t) for _, t in rows) > 20_000
+
+
+def test_learner_finds_the_same_weights_in_runs():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40_000, 4)).astype(np.float32)
+    gate = rng.integers(0, 3, len(x))
+    y = (rng.random(len(x)) < 1 / (1 + np.exp(-(x @ [0.5, 1.0, 0.2, -0.3] * (1 + gate))))).astype(np.int8)
+    whole, runs, double = (mixture_lm.Learner(4) for _ in range(3))
+    whole.learn(x, gate, y)
+    double.learn(x[:5_000], gate[:5_000], y[:5_000], np.full(5_000, 8))
+    for first in range(0, len(x), 10_000):
+        runs.learn(*(v[first : first + 10_000] for v in (x, gate, y)))
+    for g in range(3):
+        assert whole.w[g] == pytest.approx(np.array([0.5, 1.0, 0.2, -0.3]) * (1 + g), abs=0.15)
+        assert runs.w[g] == pytest.approx(whole.w[g], abs=0.05)
+        assert double.w[g] == pytest.approx(whole.w[g], abs=0.3)
+    assert whole.w[3:] == pytest.approx(mixture_lm.even(4)[3:])
