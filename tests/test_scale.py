@@ -362,3 +362,18 @@ def test_cached_sets_expire(spark, tmp_path):
     log = run([("a", "2024-01-02 02:30:00", None, True), ("z", "2024-01-02 05:00:00", None, False)], 25)
     log = run([("z", "2024-01-03 05:00:00", None, False)], 25)
     assert sorted((r.package, r.answer, r.advisory_set) for r in log.collect()) == [("a", "hit", "A"), ("a", "refetch", None), ("b", "refetch", None), ("c", "refetch", None)]
+
+
+def test_levels_of_graphs_are_not_broadcast(spark):
+    """Tables of nodes and edges grow with the fleet, so their joins shuffle, however small their files are."""
+    edges = spark.createDataFrame([(p, f"n{k}", f"n{k + 1}") for p in range(3) for k in range(4)], "project_id long, parent string, child string")
+    start = graph.roots(edges)
+    links = graph._links(edges)
+    plans = [
+        start, links.join(edges.withColumnRenamed("parent", "_from"), ["project_id", "_from"]),
+        graph.classed_edges(edges.selectExpr("*", "false AS dev", "false AS optional"), edges, edges.withColumnRenamed("child", "package")),
+    ]
+    for plan in plans:
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in text and "Broadcast" not in text
+    assert {(r.project_id, r.node, r.depth) for r in graph.reach(edges, start).collect()} == {(p, f"n{k}", k) for p in range(3) for k in range(5)}
