@@ -30,9 +30,9 @@ def document_lines(keys: list[str], frames: DataFrame, around: list, sections: l
     return lines
 
 
-def placed_items(rows: DataFrame, keys: list[str], order: list[str], item: Column) -> DataFrame:
-    """A section: the rows of each document in order, as JSON."""
-    return numbered(rows.select(*keys, *[F.col(c) for c in order], F.to_json(item).alias("item")), keys, [F.col(c).asc_nulls_first() for c in order] + [F.col("item").asc()], "place").select(*keys, "place", "item")
+def placed_items(rows: DataFrame, keys: list[str], order: list, item: Column) -> DataFrame:
+    """A section: the rows of each document in order, as JSON; rows that are equal in ``order`` have the same item."""
+    return numbered(rows, keys, [(F.col(c) if isinstance(c, str) else c).asc_nulls_first() for c in order], "place", keep=[F.to_json(item).alias("item")])
 
 
 def write_documents(lines: DataFrame, keys: list[str], path: str, as_text: bool = False) -> None:
@@ -107,10 +107,11 @@ def sarif_findings(advisories: DataFrame | None = None, malware: DataFrame | Non
 def sarif_documents(findings: DataFrame) -> DataFrame:
     """K2: SARIF 2.1.0 per project: each rule once (with its gravest severity), then all results."""
     low = F.lower("severity")
+    level = lookup(low, SARIF_LEVEL, "warning")
     rules = findings.groupBy("project_id", "rule_id").agg(F.min("title").alias("title"), F.min_by("severity", severity_rank(F.col("severity"))).alias("severity"))
     rule = F.struct(
         F.col("rule_id").alias("id"), F.col("title").alias("name"), F.struct(F.col("title").alias("text")).alias("shortDescription"),
-        F.struct(lookup(low, SARIF_LEVEL, "warning").alias("level")).alias("defaultConfiguration"),
+        F.struct(level.alias("level")).alias("defaultConfiguration"),
         F.create_map(F.lit("security-severity"), lookup(low, SARIF_SCORE, "5.0")).alias("properties"),
     )
     location = F.struct(
@@ -120,12 +121,12 @@ def sarif_documents(findings: DataFrame) -> DataFrame:
         ).alias("physicalLocation")
     )
     result = F.struct(
-        F.col("rule_id").alias("ruleId"), lookup(low, SARIF_LEVEL, "warning").alias("level"), F.struct(F.col("message").alias("text")).alias("message"),
+        F.col("rule_id").alias("ruleId"), level.alias("level"), F.struct(F.col("message").alias("text")).alias("message"),
         F.array(location).alias("locations"),
         F.create_map(F.lit("primary"), fingerprint(F.col("rule_id"), F.col("file_path"), F.col("line_no").cast("string"), F.col("message"))).alias("fingerprints"),
     )
     around = [F.lit('{"$schema":"' + SARIF_SCHEMA + '","version":"2.1.0","runs":[{"tool":{"driver":{"name":"' + TOOL + '","rules":['), F.lit(']}},"results":['), F.lit("]}]}")]
-    sections = [placed_items(rules, ["project_id"], ["rule_id"], rule), placed_items(findings, ["project_id"], ["rule_id", "file_path", "line_no", "message"], result)]
+    sections = [placed_items(rules, ["project_id"], ["rule_id"], rule), placed_items(findings, ["project_id"], ["rule_id", "file_path", "line_no", "message", level], result)]
     return document_lines(["project_id"], findings.select("project_id").distinct(), around, sections)
 
 
