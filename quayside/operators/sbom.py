@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quayside.functions.text import integrity_hash, purl
 from quayside.operators.ranks import numbered
+from quayside.session import cut_lineage
 
 
 def with_directness(lock: DataFrame, manifest_deps: DataFrame) -> DataFrame:
@@ -21,16 +22,20 @@ def with_directness(lock: DataFrame, manifest_deps: DataFrame) -> DataFrame:
 
 
 def components(lock: DataFrame, manifest_deps: DataFrame) -> DataFrame:
-    """One component per (project, name, version)."""
+    """One component per (project, name, version).
+
+    The join and the folding sort whole entries, so the table is written with as many partitions as its rows ask for.
+    """
     alg, value = integrity_hash(F.col("integrity"))
     flagged = with_directness(lock, manifest_deps)
     folded = flagged.groupBy("project_id", F.col("package").alias("name"), "version").agg(
         F.max("license").alias("license"), F.max("integrity").alias("integrity"), F.bool_or("is_direct").alias("is_direct"), F.bool_or("is_dev").alias("is_dev"),
     )
-    return folded.select(
+    parts = folded.select(
         "project_id", "name", "version", purl(F.col("name"), F.col("version")).alias("purl"), "license",
         alg.alias("hash_alg"), value.alias("hash_value"), "is_direct", "is_dev",
     )
+    return cut_lineage(parts, "components", lock.count())
 
 
 def component_order(parts: DataFrame) -> DataFrame:

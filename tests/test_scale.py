@@ -377,3 +377,54 @@ def test_levels_of_graphs_are_not_broadcast(spark):
         text = plan._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in text and "Broadcast" not in text
     assert {(r.project_id, r.node, r.depth) for r in graph.reach(edges, start).collect()} == {(p, f"n{k}", k) for p in range(3) for k in range(5)}
+
+
+def test_positions_without_sizes_equal_plain_ranking(spark):
+    """Hot groups over several partitions, null groups, and positions in few columns: no row is shuffled a second time."""
+    from quayside.operators.ranks import numbered
+
+    rows = [(None if k % 4 == 0 else ("hot" if k % 3 else f"g{k % 50}"), k * 7919 % 5003, k) for k in range(5000)]
+    df = spark.createDataFrame(rows, "g string, x int, id int").repartition(5)
+    plain = df.select("id", (F.row_number().over(Window.partitionBy("g").orderBy("x")) - 1).alias("want"))
+    got = numbered(df, ["g"], [F.col("x").asc()], "place")
+    assert got.columns == ["g", "x", "id", "place"] and got.join(plain, "id").where("place <> want").count() == 0 and got.count() == 5000
+    small = numbered(df, ["g"], [F.col("x").asc()], "place", keep=[(F.col("id") + 1).alias("next")])
+    assert small.columns == ["g", "next", "place"] and small.join(plain.withColumn("next", F.col("id") + 1), "next").where("place <> want").count() == 0
+    assert numbered(df.withColumn("h", F.lit(1)).drop("g"), [], [F.col("id").asc()], "place").where("place <> id").count() == 0
+    # a range shuffle and one number per partition: the rows themselves meet no join that sorts
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_partitions_of_a_step_grow_with_its_rows(spark, monkeypatch):
+    from quayside import session
+
+    monkeypatch.setattr(session, "ROWS_OF_TASK", 100)
+    monkeypatch.setattr(session, "BYTES_OF_TASK", "1b")
+    df = spark.range(5000).groupBy((F.col("id") % 1000).alias("k")).count()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    with session.settings(spark, {"spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        table = session.cut_lineage(df, "step", 5000)
+    assert len(table.inputFiles()) == 50 and spark.conf.get("spark.sql.shuffle.partitions") == before
+    lock = spark.createDataFrame([(1, f"p{k}", "1.0.0", None, None, False) for k in range(3000)], "project_id int, package string, version string, integrity string, license string, dev boolean")
+    manifest = lock.select("project_id", "package", F.lit("dependencies").alias("section"))
+    with session.settings(spark, {"spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        parts = sbom.components(lock, manifest)
+    assert parts.count() == 3000 and len(parts.inputFiles()) >= 20
+
+
+def test_change_stream_with_nulls_and_one_state_value(spark, tmp_path):
+    """Looks without time are left out, one without event id counts as the last of its tick; rows reach the state as they are."""
+    import datetime
+
+    from quayside.streaming import changes
+
+    schema = "path string, ts timestamp, event_id bigint, hash string"
+    at = datetime.datetime(2026, 1, 1, 1)
+    rows = [("/a", at, 1, "x"), ("/a", at, None, "y"), ("/a", None, 2, "z"), (None, at, 3, "n"), ("/b", at, 4, None)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    stream = changes.read_stream(spark, str(tmp_path / "in"), "*.parquet", spark.read.parquet(str(tmp_path / "in")).schema)
+    found = changes.newest_changes(changes.append_table(changes.change_stream(stream, 3600), str(tmp_path / "out")))
+    assert {(r.path, r.event, r.hash) for r in found.collect()} == {("/a", "created", "y"), (None, "created", "n")}
+    import inspect
+
+    assert "transformWithStateInPandas" not in inspect.getsource(changes.change_stream)
