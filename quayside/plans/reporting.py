@@ -15,6 +15,7 @@ from quayside.plans.detection import LINES, sql_matches, sql_script_hits
 from quayside.plans.hygiene import CONTEXT, SKIP, usage_files
 from quayside.plans.matching import ctes, dep_matches
 from quayside.plans.registry import Tables, register, sql_rows, sql_text
+from quayside.session import cut_lineage
 
 
 def case_of(column: str, table: dict[str, object], default: str = "NULL") -> str:
@@ -63,9 +64,11 @@ def project_scores(t: Tables):
     fields = [r for r in detection.secret_rules() if r["rule_id"].startswith("TOKEN-")]
     matches = detection.rule_matches(sources, book.RULES + fields).withColumnRenamed("file_id", "project_id")
     flags = scoring.config_flags(usage_files(t), t.view("v_scripts"))
+    # the join with the advisories sorts whole dependencies: its partitions grow in number with them
+    vulnerable = cut_lineage(scoring.severity_impact(dep_matches(t), "vulnerabilities"), "impacts", t.view("v_deps").count())
     return scoring.category_scores(
         projects,
-        scoring.severity_impact(dep_matches(t), "vulnerabilities"),
+        vulnerable,
         scoring.match_impact(matches, [r["rule_id"] for r in fields]),
         scoring.dependency_impact(t.view("v_specs")),
         scoring.config_impact(projects, flags),
