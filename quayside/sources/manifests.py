@@ -68,18 +68,23 @@ def parse_npm_lock(files: DataFrame, content: str = "content") -> DataFrame:
             F.coalesce("_v.dev", F.lit(False)).alias("dev"), F.coalesce("_v.optional", F.lit(False)).alias("optional"), F.col(f"_v.{requires}").alias("requires"),
         )
 
-    version = F.coalesce(F.get_json_object(content, "$.lockfileVersion").try_cast("int"), F.lit(1))
-    listed = files.where(version >= 2).select(*keep, F.from_json(content, f"packages map<string, struct<{ENTRY_DDL}, dependencies map<string,string>>>").alias("_d"))
-    paths = listed.select(*keep, F.explode("_d.packages").alias("_k", "_v")).where("_k <> ''")
+    # a document is parsed once: its version, and what either kind lists
+    listed, nested = f"map<string, struct<{ENTRY_DDL}, dependencies map<string,string>>>", f"map<string, struct<{ENTRY_DDL}, dependencies string>>"
+    parsed = files.select(*keep, F.from_json(content, f"lockfileVersion string, packages {listed}, dependencies {nested}").alias("_d"))
+    by_path = F.coalesce(F.col("_d.lockfileVersion").try_cast("int"), F.lit(1)) >= 2
+    at = F.when(by_path, F.transform(F.map_entries("_d.packages"), lambda e: F.struct(e["key"].alias("k"), F.lit(True).alias("listed"), e["value"].alias("p"), F.lit(None).cast(nested[len("map<string, "):-1]).alias("v"))))
+    below = F.transform(F.map_entries("_d.dependencies"), lambda e: F.struct(e["key"].alias("k"), F.lit(False).alias("listed"), F.lit(None).cast(listed[len("map<string, "):-1]).alias("p"), e["value"].alias("v")))
+    first = cut_lineage(parsed.select(*keep, F.explode_outer(at.otherwise(below)).alias("_e")).where("NOT _e.listed OR _e.k <> ''").select(*keep, "_e.*"), "lock")
+    paths = first.where("listed").select(*keep, F.col("k").alias("_k"), F.col("p").alias("_v"))
     found = entries(paths, F.element_at(F.split("_k", "node_modules/"), -1), "dependencies")
 
-    closed = files.where(version < 2).select(*keep, F.from_json(content, "dependencies string")["dependencies"].alias("_j")).where("_j IS NOT NULL")
+    opened = first.where("NOT listed").select(*keep, F.col("k").alias("_k"), F.col("v").alias("_v"))
     while True:
-        opened = cut_lineage(closed.select(*keep, F.explode(F.from_json("_j", f"map<string, struct<{ENTRY_DDL}, dependencies string>>")).alias("_k", "_v")), "lock")
-        if opened.isEmpty():
-            return found
         found = found.unionByName(entries(opened, F.col("_k"), "requires"))
         closed = opened.where("_v.dependencies IS NOT NULL").select(*keep, F.col("_v.dependencies").alias("_j"))
+        opened = cut_lineage(closed.select(*keep, F.explode(F.from_json("_j", nested)).alias("_k", "_v")), "lock")
+        if opened.isEmpty():
+            return found
 
 
 def parse_yarn_lock(files: DataFrame, content: str = "content") -> DataFrame:

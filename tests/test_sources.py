@@ -118,3 +118,20 @@ def test_a_large_nested_lock_is_opened_in_linear_time(spark):
     large, total, counts = run(40_000)
     assert total == 40_000 + 4_000 * (4 + 3) and counts["deep-2"] == 4_000 and counts["mid-0"] == 4_000
     assert large < 10 * small + 10
+
+
+def test_npm_lock_is_parsed_once(spark):
+    """What either kind of lockfile lists comes from one pass over the documents, also where a file has both lists."""
+    v2 = {"lockfileVersion": 2, "packages": {"": {"name": "r"}, "node_modules/a": {"version": "1.0.0", "dependencies": {"b": "^1"}}}, "dependencies": {"a": {"version": "9.9.9"}}}
+    old = {"dependencies": {"a": {"version": "1.0.0", "requires": {"b": "^1"}, "dependencies": {"b": {"dev": True}}}}}
+    found = manifests.parse_npm_lock(docs(spark, json.dumps(v2), json.dumps(old), '{"lockfileVersion": 1}', '{"lockfileVersion": 3}', "{bad"))
+    assert {(r.id, r.package, r.version, r.dev, str(r.requires)) for r in found.collect()} == {
+        (0, "a", "1.0.0", False, "{'b': '^1'}"), (1, "a", "1.0.0", False, "{'b': '^1'}"), (1, "b", "unknown", True, "None")}
+    assert "from_json" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_later_sections_win_in_one_pass(spark):
+    doc = {"dependencies": {"x": "1", "y": "1", "z": None}, "devDependencies": {"x": "2"}, "peerDependencies": {"y": "3"}, "optionalDependencies": {"x": "4"}}
+    merged = manifests.merged_sections(manifests.parse_manifests(docs(spark, json.dumps(doc), '{"name": "none"}')), ["id"])
+    assert {(r.id, r.package, r.spec) for r in merged.collect()} == {(0, "x", "4"), (0, "y", "3"), (0, "z", None)}
+    assert "map_concat" not in merged._jdf.queryExecution().executedPlan().toString()
