@@ -38,14 +38,11 @@ def dependency_rows(manifests: DataFrame, keys: list[str]) -> DataFrame:
 def merged_sections(manifests: DataFrame, keys: list[str]) -> DataFrame:
     """P1 on a parsed manifest: a later section overrides an earlier one, without leaving the row."""
 
-    def overridden_by(earlier: Column, later: Column) -> Column:
-        return F.map_concat(F.map_filter(earlier, lambda k, v: ~F.map_contains_key(later, k)), later)
-
-    filled = [F.coalesce(F.col(s), F.create_map().cast("map<string,string>")) for s in SECTIONS]
-    merged = filled[0]
-    for section in filled[1:]:
-        merged = overridden_by(merged, section)
-    return manifests.select(*keys, F.explode(merged).alias("package", "spec"))
+    # entries of all sections in one array, each behind those that it overrides; of equal names the last is kept
+    entries = F.flatten(F.array_compact(F.array(*[F.map_entries(s) for s in SECTIONS])))
+    sections = manifests.select(*keys, entries.alias("_e")).withColumn("_names", F.col("_e.key"))
+    merged = F.filter("_e", lambda e, i: ~F.array_contains(F.slice("_names", i + 2, F.size("_names")), e["key"]))
+    return sections.select(*keys, F.explode(merged).alias("_d")).select(*keys, F.col("_d.key").alias("package"), F.col("_d.value").alias("spec"))
 
 
 def script_rows(manifests: DataFrame, keys: list[str]) -> DataFrame:
