@@ -9,9 +9,8 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -36,6 +35,11 @@ def change_event(old: str | None, new: str | None) -> str | None:
     return None if old == new else "modified"
 
 
+def is_later(seq: str | None, known: str | None) -> bool:
+    """Whether a look comes after the known one of its tick; a look without event id counts as the last."""
+    return seq is None or (known is not None and seq > known)
+
+
 def tick_events(old: str | None, looks: dict[int, tuple]) -> dict[int, tuple]:
     """(event, hash) of every tick that shows one. ``looks``: tick to (seq, hash); ``old``: the hash before the first."""
     out = {}
@@ -61,29 +65,30 @@ class ChangeDetector(StatefulProcessor):
         self.late_ticks = late_ticks
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.before = handle.getValueState("before", "tick bigint, hash string")
-        self.looks = handle.getListState("looks", "tick bigint, seq string, hash string")
+        self.state = handle.getValueState("state", "closed bigint, old string, ticks array<bigint>, seqs array<string>, hashes array<string>")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        closed, old = self.before.get() if self.before.exists() else (None, None)
-        looks = {t: (seq, value) for t, seq, value in self.looks.get()} if self.looks.exists() else {}
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        state = self.state.get()
+        closed, old, *kept = state if state is not None else (None, None, [], [], [])
+        looks = {t: (seq, value) for t, seq, value in zip(*kept)}
         known = tick_events(old, looks)
-        for batch in rows:
-            newest = batch.sort_values("seq").groupby("tick", sort=False).tail(1)
-            for tick, seq, value in zip(newest["tick"].tolist(), newest["seq"], newest["hash"]):
-                if (closed is None or tick > closed) and (tick not in looks or seq > looks[tick][0]):
-                    looks[tick] = (seq, None if pd.isna(value) else value)
+        for row in rows:
+            tick, seq = row["tick"], row["seq"]
+            if tick is None:
+                continue
+            if (closed is None or tick > closed) and (tick not in looks or is_later(seq, looks[tick][0])):
+                looks[tick] = (seq, row["hash"])
         events = tick_events(old, looks)
-        changed = [t for t in sorted(looks) if events.get(t) != known.get(t)]
+        none = (None, None)
+        for tick in sorted(looks):
+            if events.get(tick) != known.get(tick):
+                yield Row(path=key[0], tick=tick, event=events.get(tick, none)[0], hash=events.get(tick, none)[1])
         ticks = sorted(looks)
         for tick in ticks:
             if tick < ticks[-1] - self.late_ticks:
                 closed, old = tick, looks.pop(tick)[1]
-        if closed is not None:
-            self.before.update((int(closed), old))
-        self.looks.put([(int(t), *looks[t]) for t in sorted(looks)])
-        none = (None, None)
-        yield pd.DataFrame([(key[0], t, *events.get(t, none)) for t in changed], columns=["path", "tick", "event", "hash"])
+        ticks = sorted(looks)
+        self.state.update((closed, old, ticks, [looks[t][0] for t in ticks], [looks[t][1] for t in ticks]))
 
     def close(self) -> None:
         pass
@@ -101,7 +106,7 @@ def change_stream(rows: DataFrame, poll_seconds: int, late_ticks: int = 1) -> Da
         "path", F.floor(seconds / (poll_seconds * 1_000_000)).cast("bigint").alias("tick"),
         F.concat(F.lpad(seconds.cast("string"), 20, "0"), F.lit("-"), F.lpad(F.col("event_id").cast("string"), 20, "0")).alias("seq"), "hash",
     )
-    return keyed.groupBy("path").transformWithStateInPandas(
+    return keyed.groupBy("path").transformWithState(
         statefulProcessor=ChangeDetector(late_ticks), outputStructType=CHANGE_DDL, outputMode="Append", timeMode="None",
     )
 
