@@ -99,8 +99,11 @@ def shingle_hashes(words: np.ndarray, width: int = 5) -> np.ndarray:
     return mix64(total)
 
 
-def hash_pieces(texts: list, size: int = 8_000_000):
-    """Cut a list of texts (null: empty) into runs of whole texts of about ``size`` bytes; yields (first index, bytes)."""
+def hash_pieces(texts: list, size: int = 1_000_000):
+    """Cut a list of texts (null: empty) into runs of whole texts of about ``size`` bytes; yields (first index, bytes).
+
+    Hashing a run takes about fifty times its bytes of memory, which a worker does not give back.
+    """
     part: list[bytes] = []
     first = held = 0
     for i, text in enumerate(texts):

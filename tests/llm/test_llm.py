@@ -421,3 +421,18 @@ def test_learner_finds_the_same_weights_in_runs():
         assert runs.w[g] == pytest.approx(whole.w[g], abs=0.05)
         assert double.w[g] == pytest.approx(whole.w[g], abs=0.3)
     assert whole.w[3:] == pytest.approx(mixture_lm.even(4)[3:])
+
+
+def test_hashing_a_large_batch_takes_bounded_memory():
+    import tracemalloc
+
+    import pandas as pd
+
+    from quayside.llm import jaccard
+
+    batch = pd.DataFrame({"text": [" ".join(f"w{k * 31 + i}" for i in range(2_000)) for k in range(500)]})
+    tracemalloc.start()
+    n = sum(len(sets) for _, sets in jaccard.each_text(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 500 and peak < 150e6
