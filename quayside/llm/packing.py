@@ -66,32 +66,47 @@ class WordEncoder:
             self.words.clear()
         if len(self.parts) > CACHE_WORDS:
             self.parts = {"": b""}
-        plain, other = [], []
+        words, letters, signs, other, other_texts = [], [], [], [], []
         for word in new:
             text = word.decode("utf-8", "replace")
             match = PLAIN.fullmatch(text)
-            plain.append((word, match[1].lower(), match[2])) if match else other.append((word, text))
-        missing = [p for p in dict.fromkeys(p for _, *pair in plain for p in pair) if p not in self.parts]
+            if match:
+                words.append(word)
+                letters.append(match[1].lower())
+                signs.append(match[2])
+            else:
+                other.append(word)
+                other_texts.append(text)
+        missing = [p for p in dict.fromkeys(letters + signs) if p not in self.parts]
         for k in range(0, len(missing), 5_000):
             self.encode_parts(missing[k : k + 5_000])
-        for word, letters, signs in plain:
-            self.words[word] = self.parts[letters] + self.parts[signs]
-        for word, code in zip([w for w, _ in other], self.tokenizer.encode_batch_fast([t for _, t in other], add_special_tokens=False)):
+        for word, a, b in zip(words, letters, signs):
+            self.words[word] = self.parts[a] + self.parts[b]
+        for word, code in zip(other, self.tokenizer.encode_batch_fast(other_texts, add_special_tokens=False)):
             self.words[word] = np.array(code.ids, "<u4").tobytes()
 
     def encode(self, texts: list) -> list[bytes]:
+        """Every word is looked up once; words that are not known yet are learnt for 256 texts together and filled in."""
         out = []
         for first in range(0, len(texts), 256):
-            some = [words_of(t) for t in texts[first : first + 256]]
-            new = [w for w in set().union(*some) if w not in self.words]
+            open_texts, new = [], {}
+            for text in texts[first : first + 256]:
+                words = words_of(text)
+                codes = list(map(self.words.get, words))
+                gaps = [i for i, code in enumerate(codes) if code is None]
+                if gaps:
+                    missing = [words[i] for i in gaps]
+                    new.update(dict.fromkeys(missing))
+                    open_texts.append((len(out), codes, gaps, missing))
+                    out.append(b"")
+                else:
+                    out.append(b"".join(codes))
             if new:
-                self.learn(new)
-            for words in some:
-                try:
-                    out.append(b"".join([self.words[w] for w in words]))
-                except KeyError:  # the table was emptied while this run of texts was learnt
-                    self.learn(list(set(words)))
-                    out.append(b"".join([self.words[w] for w in words]))
+                self.learn(list(new))  # which may empty the table first, and then holds all of these
+            for at, codes, gaps, missing in open_texts:
+                for i, word in zip(gaps, missing):
+                    codes[i] = self.words[word]
+                out[at] = b"".join(codes)
         return out
 
 

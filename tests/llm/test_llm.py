@@ -436,3 +436,32 @@ def test_hashing_a_large_batch_takes_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == 500 and peak < 150e6
+
+
+def test_known_words_are_looked_up_once(monkeypatch):
+    from quayside.llm import packing
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            Counted.asked += 1
+            return super().get(*a)
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+        def __contains__(self, key):
+            Counted.asked += 1
+            return super().__contains__(key)
+
+    texts = ["the cat sat on the mat", None, "", "Über 99% -- don't the the"]
+    encoder = packing.WordEncoder(packing.default_tokenizer())
+    want = [np.array(encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    encoder.words = Counted()
+    assert encoder.encode(texts) == want
+    Counted.asked = 0
+    assert encoder.encode(texts) == want and Counted.asked == sum(len((t or "").split()) for t in texts)
+    monkeypatch.setattr(packing, "CACHE_WORDS", 3)  # tables that are emptied all the time
+    assert packing.WordEncoder(packing.default_tokenizer()).encode(texts * 300) == want * 300
