@@ -35,8 +35,10 @@ def runtime_version_read(t: Tables):
 
 
 NODE = """CASE file_id % 5 WHEN 0 THEN '>=18.2 <21' WHEN 1 THEN '^20.' || CAST(file_id % 7 AS STRING) || '.1' WHEN 2 THEN '22.x || 24' WHEN 3 THEN 'lts' END"""
-TREE_FILES = f"""SELECT concat('p', CAST(file_id AS STRING), '/', name) AS rel_path, content FROM v_project_files WHERE name <> 'package.json'
-  UNION ALL SELECT concat('p', CAST(file_id AS STRING), '/package.json'), concat('{{"name": "a"', coalesce(concat(', "engines": {{"node": "', {NODE}, '"}}'), ''), '}}') FROM v_project_files"""
+# projects stand in folders of some hundred, so that no task lists them all
+PROJECT = "concat('s', CAST(file_id % 1000 AS STRING), '/p', CAST(file_id AS STRING), '/')"
+TREE_FILES = f"""SELECT concat({PROJECT}, name) AS rel_path, content FROM v_project_files WHERE name <> 'package.json'
+  UNION ALL SELECT concat({PROJECT}, 'package.json'), concat('{{"name": "a"', coalesce(concat(', "engines": {{"node": "', {NODE}, '"}}'), ''), '}}') FROM v_project_files"""
 
 
 def written_projects(t: Tables):

@@ -1,13 +1,18 @@
 """File trees as DataFrames (S1, S2, S10, S12). Reading, filtering and hashing are plans.
 
-Spark's file sources skip names that start with a dot. The few dotfiles that matter (token files, version files, ignore
-files) are read beside the manifests that were found, by tasks that each get some project folders. The folders are rows of
-a table, so the driver holds no list of them, and they keep their store's scheme and host.
+A tree is listed level by level, by tasks that each get some folders, and a file's content is read by the task that has its
+row: files and folders are rows of tables, so the driver holds no list of them, and they keep their store's scheme and host.
+
+As Spark's file sources do, the listing skips names that start with a dot or an underscore, and empty files. The few dotfiles
+that matter (token files, version files, ignore files) are read beside the manifests that were found.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import reduce
+from urllib.parse import quote
 
 import pandas as pd
 from pyarrow import fs as arrow_fs
@@ -16,17 +21,93 @@ from pyspark.sql import functions as F
 
 from quayside.catalogue import lists as words
 from quayside.functions.versions import runtime_requirement
+from quayside.session import cut_lineage, ship_package
 
 SOURCE_GLOB = "*"
 
 
+# Folders that a task lists, and bytes of content that it hands on at once.
+FOLDERS_OF_TASK, BYTES_OF_BATCH = 5_000, 8 << 20
+LISTED_DDL = "path string, name string, is_dir boolean, size bigint, mtime timestamp"
+
+
+def name_pattern(glob: str) -> str:
+    """The regular expression of a glob over names: ``*``, ``?``, ``[a-z]``, ``[!a]``, ``{a,b}`` and ``\\`` before a sign."""
+    out, braces, signs = "", 0, iter(re.findall(r"\\.|\[[!^]?\]?[^\]]*\]|.", glob, re.S))
+    for sign in signs:
+        if sign in "*?":
+            out += "." + sign.strip("?")
+        elif sign == "{":
+            out, braces = out + "(?:", braces + 1
+        elif sign == "}" and braces:
+            out, braces = out + ")", braces - 1
+        elif sign == "," and braces:
+            out += "|"
+        elif sign[0] == "[" and len(sign) > 2:
+            out += "[" + re.sub("^!", "^", sign[1:-1]).replace("\\", "\\\\").replace("[", "\\[") + "]"
+        else:
+            out += re.escape(sign[-1])
+    return f"(?s)^(?:{out})$"
+
+
+def hidden(name: str) -> bool:
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What stands in each folder; a path that is a file stands for itself."""
+    columns = [c.split()[0] for c in LISTED_DDL.split(", ")]
+    for batch in batches:
+        for folder in batch["path"]:
+            system, base = store_of(folder)
+            if system.get_file_info(base).type == arrow_fs.FileType.File:
+                infos, above = [system.get_file_info(base)], folder.rpartition("/")[0]
+            else:
+                infos, above = system.get_file_info(arrow_fs.FileSelector(base)), folder.rstrip("/")
+            for first in range(0, len(infos), 10_000):
+                rows = [(f"{above}/{i.base_name}", i.base_name, i.type == arrow_fs.FileType.Directory, i.size, i.mtime) for i in infos[first : first + 10_000] if not hidden(i.base_name)]
+                yield pd.DataFrame(rows, columns=columns).astype({"size": "Int64", "mtime": "datetime64[us, UTC]"})
+
+
+def list_files(spark: SparkSession, root: str, glob: str = SOURCE_GLOB) -> DataFrame:
+    """path, name, size and mtime of every file below ``root`` whose name fits ``glob``."""
+    ship_package(spark)
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)  # a root without a scheme lies in the session's own store
+    folders = spark.createDataFrame([(top.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(top).toString(),)], "path string")
+    levels, n = [], 1
+    while n:
+        tasks = max(min(n, spark.sparkContext.defaultParallelism), -(-n // FOLDERS_OF_TASK))
+        seen = folders.repartition(tasks).mapInPandas(_look, LISTED_DDL).withColumn("mtime", F.date_trunc("millisecond", "mtime"))
+        level = cut_lineage(seen.where(F.col("is_dir") | ((F.col("size") > 0) & F.col("name").rlike(name_pattern(glob)))), "listing")
+        levels.append(level.where("NOT is_dir").drop("is_dir"))
+        folders = level.where("is_dir").select("path")
+        n = folders.count()
+    return reduce(DataFrame.unionByName, levels)
+
+
+def _contents(paths: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The bytes of each file, some megabytes at once."""
+    for batch in paths:
+        held, size = [], 0
+        for path in batch:
+            system, base = store_of(path)
+            with system.open_input_stream(base) as stream:
+                held.append(stream.read())
+            size += len(held[-1])
+            if size >= BYTES_OF_BATCH:
+                yield pd.Series(held)
+                held, size = [], 0
+        if held:
+            yield pd.Series(held)
+
+
 def read_files(spark: SparkSession, root: str, glob: str = SOURCE_GLOB) -> DataFrame:
     """Every file below ``root`` whose name fits ``glob``: path, folder, name, depth, size, mtime, content.
 
     ``content`` is read only by plans that use it.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-    raw = reader.load(root)
+    raw = list_files(spark, root, glob)
+    content = F.pandas_udf(_contents, "binary").asNondeterministic()  # or a filter on what it gives would read the files twice
     # relative to the root, whatever scheme and host the store puts before it
     clean = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/+", "/"), "/+", "/")
     base = "/" + "/".join(p for p in root.split("://")[-1].split("/") if p)
@@ -36,8 +117,8 @@ def read_files(spark: SparkSession, root: str, glob: str = SOURCE_GLOB) -> DataF
         F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("project_dir"),
         F.element_at(F.split("path", "/"), -1).alias("name"),
         (F.size(F.split(relative, "/")) - 1).alias("depth"),
-        F.col("length").alias("size"), F.col("modificationTime").alias("mtime"),
-        F.decode("content", "UTF-8").alias("content"),
+        "size", "mtime",
+        F.decode(content("path"), "UTF-8").alias("content"),
     )
 
 
@@ -47,8 +128,11 @@ DOTFILE_DDL = "path string, project_dir string, name string, size bigint, conten
 
 
 def store_of(uri: str) -> tuple[arrow_fs.FileSystem, str]:
-    """The store of a folder or file and its path there; Spark writes local paths with a single slash."""
-    return arrow_fs.FileSystem.from_uri("file:///" + uri.removeprefix("file:").lstrip("/") if uri.startswith("file:") else uri)
+    """The store of a folder or file and its path there, of any name; Spark writes local paths with a single slash."""
+    if uri.startswith("file:"):
+        return arrow_fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    scheme, host, path = re.match(r"(?s)([a-z0-9+.-]+://)?([^/]*)(.*)", uri).groups()
+    return arrow_fs.FileSystem.from_uri(f"{scheme}{host}{quote(path)}" if scheme else uri)
 
 
 def read_dotfiles(manifests: DataFrame, names: list[str] | None = None) -> DataFrame:

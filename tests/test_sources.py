@@ -135,3 +135,18 @@ def test_later_sections_win_in_one_pass(spark):
     merged = manifests.merged_sections(manifests.parse_manifests(docs(spark, json.dumps(doc), '{"name": "none"}')), ["id"])
     assert {(r.id, r.package, r.spec) for r in merged.collect()} == {(0, "x", "4"), (0, "y", "3"), (0, "z", None)}
     assert "map_concat" not in merged._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_are_listed_by_tasks_and_equal_those_of_sparks_source(spark, tmp_path):
+    for rel, text in {"a/b/x.json": "{}", "a/b/y.js": "é", "a/empty.json": "", "a/_skip/z.json": "{}", "a/_part=1/p.json": "1", ".h/q.json": "{}", "top.json": "[]", "c d/%41.json": "s"}.items():
+        target = tmp_path / rel
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text(text, encoding="utf-8")
+    for glob in ("*", "*.json", "{x,y}.*", "[!x]*.json"):
+        plain = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(str(tmp_path))
+        got = files.read_files(spark, str(tmp_path), glob)
+        assert not any(f.endswith(".json") for f in got.inputFiles())  # no list of them on the driver
+        want = {(r.path, r.length, r.modificationTime, r.content.decode()) for r in plain.collect()}
+        assert want and {(r.path, r["size"], r.mtime, r.content) for r in got.collect()} == want
+    plans = [d._jdf.queryExecution().executedPlan().toString() for d in (got.select("path", "size"), files.engine_versions(got).select("version"))]
+    assert [p.count("ArrowEvalPython") for p in plans] == [0, 1]  # contents are read where they are asked for, once
