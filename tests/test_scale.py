@@ -428,3 +428,15 @@ def test_change_stream_with_nulls_and_one_state_value(spark, tmp_path):
     import inspect
 
     assert "transformWithStateInPandas" not in inspect.getsource(changes.change_stream)
+
+
+def test_finished_projects_leave_the_links(spark):
+    chain = [(1, f"n{k:02}", f"n{k + 1:02}") for k in range(20)]
+    edges = spark.createDataFrame(chain + [(p, "a", "b") for p in range(2, 30)] + [(2, "b", None), (2, None, "c")], "project_id int, parent string, child string")
+    links, level = graph._links(edges), spark.createDataFrame([(1, "n08")], "project_id int, node string")
+    assert graph._alive(links, level, 7).count() == graph._alive(links, level, 9).count() == 50
+    assert {r.project_id for r in graph._alive(links, level, 8).collect()} == {1}
+    start = edges.where("parent IN ('a', 'n00')").select("project_id", F.col("parent").alias("node")).distinct()
+    want = {(1, f"n{k:02}", k) for k in range(21)} | {(p, n, d) for p in range(2, 30) for n, d in (("a", 0), ("b", 1))} | {(2, None, 2)}
+    assert sorted(map(str, graph.reach(edges, start).collect())) == sorted(map(str, spark.createDataFrame(list(want), "project_id int, node string, depth int").collect()))
+    assert graph.expand_tree(edges, start).count() == len(want)
