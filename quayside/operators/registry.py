@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quayside.catalogue import advisories as cat
 from quayside.operators import detection, evidence, hygiene, matching
 from quayside.operators.reports import FINDING_COLUMNS, union_findings
+from quayside.session import cut_lineage
 
 RSC = ["react", "react-dom", *cat.RSC_BUNDLERS]
 
@@ -22,9 +23,14 @@ class ScanTables:
     deps: DataFrame
     files: DataFrame
     scripts: DataFrame
+    ready: DataFrame | None = None
 
     def keyed(self) -> DataFrame:
-        return matching.with_version(self.deps)
+        return matching.with_version(self.deps) if self.ready is None else self.ready
+
+    def landed(self) -> ScanTables:
+        """The same tables with the keyed declarations written once, for scanners that would each read and key them."""
+        return replace(self, ready=cut_lineage(self.keyed(), "keyed"))
 
 
 Scanner = Callable[[ScanTables], DataFrame]
@@ -121,13 +127,18 @@ def gateway(t: ScanTables) -> DataFrame:
 
 
 def run_scanners(tables: ScanTables, names: list[str] | None = None, quick: bool = False) -> DataFrame:
-    """Findings of the chosen scanners; ``quick`` keeps those that read manifests and versions only."""
+    """Findings of the chosen scanners; ``quick`` keeps those that read manifests and versions only.
+
+    Declarations are read and keyed once, in a table that all chosen scanners share.
+    """
     chosen = list(SCANNERS) if names is None else names
     unknown = [n for n in chosen if n not in SCANNERS]
     if unknown:
         raise ValueError(f"unknown scanners {unknown}; registered: {list(SCANNERS)}")
     if quick:
         chosen = [n for n in chosen if n in QUICK]
+    if len(chosen) > 1:
+        tables = tables.landed()
     return union_findings([SCANNERS[n](tables) for n in chosen])
 
 

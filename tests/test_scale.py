@@ -440,3 +440,12 @@ def test_finished_projects_leave_the_links(spark):
     want = {(1, f"n{k:02}", k) for k in range(21)} | {(p, n, d) for p in range(2, 30) for n, d in (("a", 0), ("b", 1))} | {(2, None, 2)}
     assert sorted(map(str, graph.reach(edges, start).collect())) == sorted(map(str, spark.createDataFrame(list(want), "project_id int, node string, depth int").collect()))
     assert graph.expand_tree(edges, start).count() == len(want)
+
+
+def test_declarations_are_keyed_once_for_all_scanners(spark, tables, monkeypatch):
+    from quayside.operators import matching, registry
+
+    calls, key = [], matching.with_version
+    monkeypatch.setattr(matching, "with_version", lambda *a: calls.append(a) or key(*a))
+    registry.run_scanners(registry.default_tables(tables))
+    assert len(calls) == 1
