@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 from quayside.llm.common import ship_package, table, text_class, words_of
 from quayside.llm.registry import register
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
+#: Rows that a task encodes at once.
+ROWS = 1_000
 #: Letters whose lower case and normal form are one letter each, then ASCII signs that take part in no contraction.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class WordEncoder:
-    """Ids of words as little-endian 32-bit numbers, each distinct word encoded once per worker.
+    """Ids of words as little-endian 32-bit numbers, each distinct word encoded once per task, whose worker keeps nothing of it.
 
     White space ends every token of this kind of tokenizer, so the ids of a text are those of its words in order. A plain word
     is further a run of letters and a run of signs, which the tokenizer also splits; many words share them. Full tables are
@@ -41,6 +43,7 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
@@ -110,16 +113,6 @@ class WordEncoder:
         return out
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
-def encode_words(path: str, texts: list) -> list[bytes]:
-    if path not in _ENCODERS:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path].encode(texts)
-
-
 class Tournament:
     """The largest room below every inner node; finds the first bin with room enough in logarithmic time."""
 
@@ -201,12 +194,13 @@ def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
-        for batch in batches:
+        encoder = WordEncoder(path)
+        for batch in (whole.iloc[first : first + ROWS] for whole in batches for first in range(0, len(whole), ROWS)):
             nth = []
             for key in zip(batch["doc_id"].astype("Int64").fillna(-1), batch["d"]):
                 nth.append(seen[hash(key)])
                 seen[hash(key)] += 1
-            narrow = [np.frombuffer(x + tail, "<u4") for x in encode_words(path, list(batch["text"]))]
+            narrow = [np.frombuffer(x + tail, "<u4") for x in encoder.encode(list(batch["text"]))]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [x.astype("<u2" if x.max() < 1 << 16 else "<u4").tobytes() for x in narrow], "wide": [bool(x.max() >= 1 << 16) for x in narrow], "d": batch["d"], "nth": nth})
 
     return docs.select(F.col("doc_id").cast("long"), "text", text_class().alias("d")).mapInPandas(run, "doc_id long, ids binary, wide boolean, d long, nth long")

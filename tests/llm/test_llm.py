@@ -465,3 +465,30 @@ def test_known_words_are_looked_up_once(monkeypatch):
     assert encoder.encode(texts) == want and Counted.asked == sum(len((t or "").split()) for t in texts)
     monkeypatch.setattr(packing, "CACHE_WORDS", 3)  # tables that are emptied all the time
     assert packing.WordEncoder(packing.default_tokenizer()).encode(texts * 300) == want * 300
+
+
+def test_walking_a_large_batch_takes_bounded_memory():
+    import tracemalloc
+
+    machine = toxicity.build_automaton([("kalom", False)])
+    texts = ["trase kalom " * 1_000 for _ in range(300)]
+    tracemalloc.start()
+    n = sum(len(machine.hits(toxicity.letters_of(texts[a:b])[0])) for a, b in toxicity.in_texts(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 300_000 and peak < 30e6
+
+
+def test_a_worker_keeps_no_words_of_a_task(spark):
+    docs = spark.createDataFrame([(k, text_of(k, 30)) for k in range(20)], "doc_id long, text string")
+    assert packing.pack_documents(docs, packing.default_tokenizer()).groupBy("doc_id").count().count() == 20
+
+    def kept(batches):
+        import gc
+
+        import pandas as pd
+
+        for _ in batches:
+            yield pd.DataFrame({"n": [sum(type(x).__name__ == "WordEncoder" for x in gc.get_objects())]})
+
+    assert spark.range(64).repartition(8).mapInPandas(kept, "n long").agg({"n": "max"}).head()[0] == 0
