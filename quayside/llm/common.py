@@ -6,9 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.session import cut_lineage, ship_package
+from quayside.session import cut_lineage, ship_package, stored_by
 
-__all__ = ["table", "held_out", "text_class", "words_of", "cut_lineage", "ship_package", "word_hashes", "shingle_hashes", "hash_pieces", "mix64"]
+__all__ = ["table", "held_out", "text_class", "words_of", "cut_lineage", "ship_package", "stored_by", "word_hashes", "shingle_hashes", "hash_pieces", "mix64"]
 
 U64 = np.uint64
 

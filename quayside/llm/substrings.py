@@ -25,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quayside.llm.common import cut_lineage, hash_pieces, mix64, shingle_hashes, ship_package, table, text_class, word_hashes, words_of
+from quayside.llm.common import cut_lineage, hash_pieces, mix64, shingle_hashes, ship_package, stored_by, table, text_class, word_hashes, words_of
 from quayside.llm.registry import register
 
 SHINGLE, PASSAGE = 5, 50
@@ -41,7 +41,9 @@ SEEDS = mix64(np.arange(201, 201 + HASHES, dtype=np.uint64))
 #: Windows that a task holds before it sends them on, and that a bucket holds.
 HELD, BUCKET = 200_000, 500_000
 #: Bytes of text that a task hashes at once; the arrays of a piece take about fifty times as much memory.
-PIECE = 1_000_000
+PIECE = 500_000
+#: Words of a stored part of the texts.
+PART_WORDS = 4_000_000
 #: A window: the hash of its smallest token, the class of its text, its ends, its function, and whether the task has its like.
 WINDOW = np.dtype([("v", "<u8"), ("c", "<i8"), ("l", "<i4"), ("r", "<i4"), ("f", "u1"), ("m", "u1")])
 
@@ -240,8 +242,10 @@ def find_passages(docs: DataFrame) -> DataFrame:
     classes = numbered(found)
     # one text per class, whatever the number of its copies: copies are folded in the tasks that read them
     once = known.where(F.octet_length("text") >= 2 * PASSAGE - 1).groupBy("d").agg(F.first("text").alias("text"))
-    texts = cut_lineage(once.join(classes.where(F.col("n") >= PASSAGE).select("c", "d"), "d").select("c", "text"), "texts")
-    buckets = max(16, -(-2 * HASHES * (classes.agg(F.sum("n")).head()[0] or 0) // (WIDTH * BUCKET)))
+    total = classes.agg(F.sum("n")).head()[0] or 0
+    stored = stored_by(once, "d", max(16, -(-total // PART_WORDS)), "texts")  # joins on d leave the texts where they are
+    texts = stored.join(classes.where(F.col("n") >= PASSAGE).select("c", "d"), "d").select("c", "text")
+    buckets = max(16, -(-2 * HASHES * total // (WIDTH * BUCKET)))
     spans = cut_lineage(candidates(cut_lineage(shared_windows(texts, buckets), "windows")), "candidates")
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -255,10 +259,10 @@ def find_passages(docs: DataFrame) -> DataFrame:
                         spots.append(np.arange(a, b + 1) + base)
                 yield pd.DataFrame({"h": np.concatenate(hashes).view(np.int64), "p": np.concatenate(spots)})
 
-    # the places are made twice, which takes less than to store them
-    spots = cut_lineage(texts.join(spans, "c"), "parts").mapInPandas(places, "h long, p long")
-    firsts = cut_lineage(spots.groupBy("h").agg(F.min("p").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "firsts")
-    again = spots.join(firsts, "h").where("p <> first").select(F.shiftright("p", PLACE_BITS).alias("c"), F.col("p").bitwiseAND((1 << PLACE_BITS) - 1).alias("at"), "first")
+    # every place travels once, to the others of its shingle, and meets the first of them before itself
+    spots = stored.join(spans.join(classes.select("c", "d"), "c"), "d").select("c", "text", "starts", "ends").mapInPandas(places, "h long, p long")
+    before = Window.partitionBy("h").orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    again = spots.withColumn("first", F.first("p").over(before)).where("p <> first").select(F.shiftright("p", PLACE_BITS).alias("c"), F.col("p").bitwiseAND((1 << PLACE_BITS) - 1).alias("at"), "first")
     again = again.groupBy("c").agg(F.collect_list("at").alias("at"), F.collect_list("first").alias("first"))
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

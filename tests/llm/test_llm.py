@@ -492,3 +492,17 @@ def test_a_worker_keeps_no_words_of_a_task(spark):
             yield pd.DataFrame({"n": [sum(type(x).__name__ == "WordEncoder" for x in gc.get_objects())]})
 
     assert spark.range(64).repartition(8).mapInPandas(kept, "n long").agg({"n": "max"}).head()[0] == 0
+
+
+def test_stored_rows_meet_others_without_a_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    from quayside.llm.common import stored_by
+
+    rows = [(k % 50, text_of(k % 50, 5)) for k in range(200)]
+    stored = stored_by(spark.createDataFrame(rows, "d long, text string").groupBy("d").agg(F.first("text").alias("text")), "d", 4)
+    other = spark.range(0, 100, 2).withColumnRenamed("id", "d")
+    joined = stored.join(other.hint("merge"), "d")
+    assert {(r.d, r.text) for r in joined.collect()} == {(k, text_of(k, 5)) for k in range(0, 50, 2)}
+    plan = joined._jdf.queryExecution().sparkPlan().toString() + joined._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") <= 2  # of the other side, in the first and the final plan
