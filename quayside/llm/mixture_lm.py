@@ -20,7 +20,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm.common import U64, cut_lineage, held_out, hash_pieces, mix64, ship_package, table, word_hashes
+from quayside.llm.common import _LOWER, U64, cut_lineage, held_out, hash_pieces, mix64, ship_package, table, word_hashes
 from quayside.llm.registry import register
 
 END, ESCAPE = 0, 1
@@ -52,13 +52,27 @@ class Coder:
     length: np.ndarray
     nodes: np.ndarray
     bits: np.ndarray
-    spells: dict = field(default_factory=dict)
+
+    def __post_init__(self):
+        """Where the hashes of each value of the upper bits begin: a hash is met in a step or two from there."""
+        bits = max(1, (4 * len(self.hashes)).bit_length())
+        self.shift = U64(64 - bits)
+        self.begin = np.searchsorted(self.hashes >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+        self.most = int(np.diff(self.begin).max())
 
     def symbol_of(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(hashes), ESCAPE)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.symbols[at], ESCAPE)
+        out = np.full(len(hashes), ESCAPE)
+        upper = (hashes >> self.shift).astype(np.int64)
+        at, end = self.begin[upper], self.begin[upper + 1]
+        open_ = np.flatnonzero(at < end)
+        at, end = at[open_], end[open_]
+        for _ in range(self.most):
+            found = self.hashes[at] == hashes[open_]
+            out[open_[found]] = self.symbols[at[found]]
+            at = at + 1
+            more = ~found & (at < end)
+            open_, at, end = open_[more], at[more], end[more]
+        return out
 
 
 def build_coder(words: list[tuple[int, int]], ends: int, rest: int) -> Coder:
@@ -103,6 +117,7 @@ class Piece:
     byte_y: np.ndarray
     byte_cells: list[np.ndarray]
     byte_word: np.ndarray  # per byte bit: distinct rare word
+    rare: np.ndarray  # the rare words in the texts
     rare_owner: np.ndarray  # per rare word in the texts: text
     rare_word: np.ndarray  # and which distinct word
     n_words: np.ndarray
@@ -111,13 +126,20 @@ class Piece:
 
 
 def cell(context: np.ndarray, bits: int) -> np.ndarray:
-    return (mix64(context) >> U64(64 - bits)).astype(np.int32)
+    """The upper bits of ``mix64``, which its last step leaves as they are; ``context`` is used up."""
+    x, spare = context, context >> U64(31)
+    x ^= spare
+    x *= U64(0x7FB5D329728EA185)
+    np.right_shift(x, U64(27), out=spare)
+    x ^= spare
+    x *= U64(0x81DADEF4BC2DD44D)
+    x >>= U64(64 - bits)
+    return x.astype(np.int32)
 
 
 def dissect(texts: list[bytes], coder: Coder) -> Piece:
     hashes, counts, starts, stops = word_hashes(texts)
-    joined = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-    joined = np.where((joined >= 65) & (joined <= 90), joined + 32, joined).astype(np.uint8)
+    joined = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)]
     text_of = np.repeat(np.arange(len(texts)), counts)
     word_symbols = coder.symbol_of(hashes)
     place = np.arange(len(hashes)) + text_of
@@ -140,8 +162,11 @@ def dissect(texts: list[bytes], coder: Coder) -> Piece:
     lengths = coder.length[symbols]
     path = ragged(coder.first[symbols], lengths)
     nodes, y = coder.nodes[path], coder.bits[path]
-    node = nodes.astype(np.uint64)
-    cells = [nodes, cell(np.repeat(last.astype(np.uint64) << U64(32), lengths) + node, BITS["last"]), cell(np.repeat(mix64(before), lengths) + node, BITS["before"])]
+    cells = [nodes]
+    for context, name in ((last.astype(np.uint64) << U64(32), "last"), (mix64(before), "before")):
+        context = np.repeat(context, lengths)
+        context += nodes.astype(np.uint64)
+        cells.append(cell(context, BITS[name]))
 
     rare = np.flatnonzero(word_symbols == ESCAPE)
     distinct, at, which = np.unique(hashes[rare], return_index=True, return_inverse=True)
@@ -154,10 +179,10 @@ def dissect(texts: list[bytes], coder: Coder) -> Piece:
     level = np.arange(8)
     tree = ((1 << level) | (raw[:, None] >> (8 - level))).ravel().astype(np.uint64)
     byte_y = ((raw[:, None] >> (7 - level)) & 1).ravel().astype(np.int8)
-    two = np.repeat((back[0] | back[1] << 8).astype(np.uint64) << U64(8), 8) + tree
-    three = np.repeat((back[0] | back[1] << 8 | back[2] << 16).astype(np.uint64) << U64(8), 8) + tree
-    five = np.repeat((back[0] | back[1] << 8 | back[2] << 16 | back[3] << 24 | back[4] << 32).astype(np.uint64) << U64(8), 8) + tree
-    return Piece(np.repeat(owner.astype(np.int32), lengths), y, cells, byte_y, [cell(two, BITS["two"]), cell(three + (U64(1) << U64(40)), BITS["three"]), cell(five + (U64(1) << U64(50)), BITS["five"])], np.repeat(np.repeat(np.arange(len(distinct), dtype=np.int32), size), 8), text_of[rare], which, counts, hashes, np.cumsum(counts))
+    contexts = [back[0] | back[1] << 8]
+    contexts += [contexts[0] | back[2] << 16, contexts[0] | back[2] << 16 | back[3] << 24 | back[4] << 32]
+    byte_cells = [cell((np.repeat(c.astype(np.uint64) << U64(8), 8) + tree) + salt, BITS[name]) for c, salt, name in zip(contexts, (U64(0), U64(1) << U64(40), U64(1) << U64(50)), ("two", "three", "five"))]
+    return Piece(np.repeat(owner.astype(np.int32), lengths), y, cells, byte_y, byte_cells, np.repeat(np.repeat(np.arange(len(distinct), dtype=np.int32), size), 8), rare, text_of[rare], which, counts, hashes, np.cumsum(counts))
 
 
 def table_sizes(coder_nodes: int) -> list[int]:
@@ -220,67 +245,105 @@ def count_bits(docs: DataFrame, coder: Coder) -> list[np.ndarray]:
     return [o.reshape(FOLDS, -1) for o in out]
 
 
-def predictions(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds in sixteenths and a grade of confidence, as small numbers."""
+def predictions(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Log odds in sixteenths and a grade of confidence, eight times one plus the other in one small number."""
     n = zeros.astype(np.float64) + ones
     odds = np.log((ones + 0.4) / (zeros + 0.4))
-    return np.clip(np.rint(16 * odds), -127, 127).astype(np.int8), np.minimum(7, np.log2(n + 1).astype(np.int64)).astype(np.int8)
+    return (8 * np.clip(np.rint(16 * odds), -127, 127) + np.minimum(7, np.floor(np.log2(n + 1)))).astype(np.int16)
 
 
 @dataclass
 class Mixer:
     coder: Coder
-    tables: list[tuple[np.ndarray, np.ndarray]]  # per table: log odds and confidence of every cell
+    tables: list[np.ndarray]  # per table: log odds and confidence of every cell
     words: np.ndarray  # gate, input -> weight
     bytes_: np.ndarray
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, Piece]:
         """Natural logarithms: of each text's probability up to its rare words, and of the spelling of each rare word."""
         piece = dissect(texts, self.coder)
-        x, gate = inputs([self.tables[k][0][c] for k, c in enumerate(piece.cells)], [self.tables[k][1][c] for k, c in enumerate(piece.cells)])
-        out = adaptive(x, self.words[gate], piece.y, piece.owner, len(texts))
+        chunks = chunks_of(piece.owner, len(texts))
+        x, gate = inputs([np.take(self.tables[k], np.take(c, chunks[0])) for k, c in enumerate(piece.cells)])
+        out = adaptive(x, self.words, gate, np.take(piece.y, chunks[0]), chunks, len(texts))
         spelling = np.zeros(0)
         if len(piece.byte_y):
-            x, gate = inputs([self.tables[k][0][c] for k, c in enumerate(piece.byte_cells, 3)], [self.tables[k][1][c] for k, c in enumerate(piece.byte_cells, 3)])
-            z = np.einsum("ij,ij->i", x, self.bytes_[gate])
-            bits = told(z, piece.byte_y)
+            x, gate = inputs([np.take(self.tables[k], c) for k, c in enumerate(piece.byte_cells, 3)])
+            bits, _ = told(mixed(x, self.bytes_, gate), signs(piece.byte_y))
             spelling = np.bincount(piece.byte_word, weights=bits)[piece.rare_word]
         return out, spelling, piece
 
 
-def told(z: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logarithm of the probability of each bit under its log odds."""
-    against = np.where(y == 1, -z, z)
-    return -(np.maximum(against, 0) + np.log1p(np.exp(-np.abs(z))))
+def signs(y: np.ndarray) -> np.ndarray:
+    """Which way log odds speak against each bit."""
+    return np.array([1, -1], np.float32)[y]
+
+
+def told(z: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithm of the probability of each bit under its log odds, and how much its probability falls short; ``z`` is used up."""
+    z *= sign
+    np.minimum(z, np.float32(80), out=z)
+    np.exp(z, out=z)
+    z += np.float32(1)
+    error = sign / z
+    error -= sign
+    np.log(z, out=z)
+    return np.negative(z, out=z), error
+
 
+def mixed(x: np.ndarray, weights: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    """Log odds: each row of ``x`` by the weights of its gate."""
+    z = x[:, 0] * weights[:, 0].astype(np.float32)[gate]
+    for k in range(1, x.shape[1]):
+        z += x[:, k] * weights[:, k].astype(np.float32)[gate]
+    return z
 
-def inputs(odds: list[np.ndarray], grades: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Columns for the mixer (the last is constant), and the gate: the grades of the last two predictors."""
-    x = np.empty((len(odds[0]), len(odds) + 1), dtype=np.float32)
-    for k, o in enumerate(odds):
-        x[:, k] = o
-    x[:, :-1] /= 16
-    x[:, -1] = 0.3
-    return x, grades[-2].astype(np.int64) * 8 + grades[-1]
 
+def inputs(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Columns for the mixer (the last is constant), each in one run of memory, and the gate: the grades of the last two predictors."""
+    x = np.empty((len(found) + 1, len(found[0])), dtype=np.float32)
+    for k, v in enumerate(found):
+        np.multiply(v >> 3, np.float32(1 / 16), out=x[k])
+    x[-1] = 0.3
+    return x.T, ((found[-2] & 7) << 3 | found[-1] & 7).astype(np.int64)
 
-def adaptive(x: np.ndarray, weights: np.ndarray, y: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
-    """Sums of log probabilities per text; each text's weights move after every ``CHUNK`` bits."""
+
+def chunks_of(owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bits in the order they are read: the first ``CHUNK`` of every text, the next, and so on; in each the shorter rests last.
+
+    Returns the order of the bits, then of every chunk its step and whether it is a rest, its text and its length.
+    """
     sizes = np.bincount(owner, minlength=texts)
     starts = np.cumsum(sizes) - sizes
-    moved = np.zeros((texts, x.shape[1]), dtype=np.float32)
+    whole = sizes // CHUNK
+    counts = -(-sizes // CHUNK)
+    text, step = np.repeat(np.arange(texts), counts), ragged(np.zeros(texts, np.int64), counts)
+    rest = step == whole[text]
+    order = np.lexsort((rest, step))
+    text, step, rest = text[order], step[order], rest[order]
+    length = np.where(rest, sizes[text] - step * CHUNK, CHUNK)
+    return ragged(starts[text] + step * CHUNK, length), np.stack((step, rest)), text, length
+
+
+def adaptive(x: np.ndarray, weights: np.ndarray, gate: np.ndarray, y: np.ndarray, chunks: tuple, texts: int) -> np.ndarray:
+    """Sums of log probabilities per text; each text's weights move after every ``CHUNK`` bits. Bits in the order of ``chunks``."""
+    _, (step, rest), text, length = chunks
+    moved = np.zeros((x.shape[1], texts), dtype=np.float32)
     out = np.zeros(texts)
-    static = np.einsum("ij,ij->i", x, weights)
-    for first in range(0, int(sizes.max(initial=0)), CHUNK):
-        live = np.flatnonzero(sizes > first)
-        length = np.minimum(CHUNK, sizes[live] - first)
-        at = ragged(starts[live] + first, length)
-        part, truth = x[at], y[at]
-        z = static[at] + np.einsum("ij,ij->i", part, np.repeat(moved[live], length, axis=0))
-        cuts = np.cumsum(length) - length
-        out[live] += np.add.reduceat(told(z, truth), cuts)
-        error = (truth - 1 / (1 + np.exp(-z))).astype(np.float32)
-        moved[live] += RATE * np.add.reduceat(error[:, None] * part, cuts, axis=0)
+    static, columns, sign = mixed(x, weights, gate), x.T, signs(y)
+    turns = np.flatnonzero(np.concatenate(([True], (step[1:] != step[:-1]) | (rest[1:] != rest[:-1]), [True])))
+    bits = np.concatenate(([0], np.cumsum(length))).tolist()
+    for a, b in zip(turns[:-1].tolist(), turns[1:].tolist()):
+        live, here = text[a:b], slice(bits[a], bits[b])
+        if rest[a]:
+            z = static[here] + np.einsum("ij,ij->j", columns[:, here], np.repeat(moved[:, live], length[a:b], axis=1))
+            out[live] += np.add.reduceat(told(z, sign[here])[0], np.cumsum(length[a:b]) - length[a:b])
+            continue
+        part = columns[:, here].reshape(-1, b - a, CHUNK)
+        z = np.einsum("kij,ki->ij", part, moved[:, live])
+        z += static[here].reshape(z.shape)
+        logs, error = told(z, sign[here].reshape(z.shape))
+        out[live] += logs.sum(axis=1)
+        moved[:, live] += np.float32(RATE) * np.einsum("kij,ij->ki", part, error)
     return out
 
 
@@ -302,19 +365,24 @@ class Learner:
     def learn(self, x: np.ndarray, gate: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> None:
         """Several steps where nothing was learnt before, then one for each run."""
         order = np.argsort(gate.astype(np.int8), kind="stable")
-        x, y, cuts = x[order], y[order], np.concatenate(([0], np.cumsum(np.bincount(gate, minlength=GATES))))
+        columns, sign, sizes = np.take(x.T, order, axis=1), signs(y[order]), np.bincount(gate, minlength=GATES)
+        cuts = np.concatenate(([0], np.cumsum(sizes)))
         weight = None if weight is None else weight[order].astype(np.float32)
-        old, ridge = self.w.copy(), RIDGE * np.eye(x.shape[1])
+        old, ridge = self.w.copy(), RIDGE * np.eye(len(columns))
         for _ in range(1 if self.h.any() else STEPS):
-            p = 1 / (1 + np.exp(-np.einsum("ij,ij->i", x, np.repeat(self.w.astype(np.float32), np.diff(cuts), axis=0))))
-            error, curve = y - p, p * (1 - p)
+            z = np.zeros(columns.shape[1], dtype=np.float32)
+            for column, own in zip(columns, self.w.T.astype(np.float32)):
+                z += column * np.repeat(own, sizes)
+            _, error = told(z, sign)
+            curve = np.abs(error)
+            curve -= curve * curve
             if weight is not None:
                 error, curve = error * weight, curve * weight
             slope, bend = np.zeros_like(self.w), np.zeros_like(self.h)
-            for g in np.flatnonzero(np.diff(cuts)):
-                part = x[cuts[g] : cuts[g + 1]]
-                slope[g] = error[cuts[g] : cuts[g + 1]] @ part
-                bend[g] = (part * curve[cuts[g] : cuts[g + 1], None]).T @ part
+            for g in np.flatnonzero(sizes):
+                part = columns[:, cuts[g] : cuts[g + 1]]
+                slope[g] = part @ error[cuts[g] : cuts[g + 1]]
+                bend[g] = (part * curve[cuts[g] : cuts[g + 1]]) @ part.T
             known = self.h + ridge
             pull = slope - np.einsum("gij,gj->gi", known, self.w - old) - (0 if self.h.any() else RIDGE * (old - self.start))
             self.w += np.clip(np.linalg.solve(known + bend, pull[..., None])[..., 0], -1, 1)
@@ -328,7 +396,7 @@ def fit_mixer(training: DataFrame, coder: Coder, counts: list[np.ndarray]) -> Mi
     reruns agree whatever order the tasks end in.
     """
     others = [[predictions(c[1 - f, 0::2], c[1 - f, 1::2]) for f in range(FOLDS)] for c in counts]
-    shared = training.sparkSession.sparkContext.broadcast((coder, [tuple(np.concatenate(t) for t in zip(*o)) for o in others]))
+    shared = training.sparkSession.sparkContext.broadcast((coder, [np.concatenate(o) for o in others]))
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder, tables = shared.value
@@ -338,13 +406,13 @@ def fit_mixer(training: DataFrame, coder: Coder, counts: list[np.ndarray]) -> Mi
                 piece = dissect(texts, coder)
                 folds = batch["fold"].to_numpy()[at : at + len(texts)]
                 fold = folds[piece.owner]
-                at_word = [c + fold * np.int32(len(tables[k][0]) // FOLDS) for k, c in enumerate(piece.cells)]
-                words.learn(*inputs([tables[k][0][c] for k, c in enumerate(at_word)], [tables[k][1][c] for k, c in enumerate(at_word)]), piece.y)
+                at_word = [c + fold * np.int32(len(tables[k]) // FOLDS) for k, c in enumerate(piece.cells)]
+                words.learn(*inputs([np.take(tables[k], c) for k, c in enumerate(at_word)]), piece.y)
                 xs, gates, ys, weights = [], [], [], []
                 for f, weight in enumerate(fold_weights(piece, folds)):
                     some = np.flatnonzero(weight)
-                    at_byte = [c[some] + np.int32(f * (len(tables[k][0]) // FOLDS)) for k, c in enumerate(piece.byte_cells, 3)]
-                    x, gate = inputs([tables[k][0][c] for k, c in enumerate(at_byte, 3)], [tables[k][1][c] for k, c in enumerate(at_byte, 3)])
+                    at_byte = [c[some] + np.int32(f * (len(tables[k]) // FOLDS)) for k, c in enumerate(piece.byte_cells, 3)]
+                    x, gate = inputs([np.take(tables[k], c) for k, c in enumerate(at_byte, 3)])
                     xs.append(x), gates.append(gate), ys.append(piece.byte_y[some]), weights.append(weight[some])
                 if xs:
                     spelling.learn(np.concatenate(xs), np.concatenate(gates), np.concatenate(ys), np.concatenate(weights))
@@ -406,9 +474,10 @@ def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
                     plus = np.log10(head_counts[at] + 1.0)
                 else:
                     found, plus = np.zeros(len(owner), dtype=bool), np.zeros(len(owner))
-                is_rare = mixer.coder.symbol_of(piece.hashes) == ESCAPE
+                is_rare = np.zeros(len(owner), dtype=bool)
+                is_rare[piece.rare] = True
                 spelt = np.zeros(len(owner))
-                spelt[is_rare] = spelling / np.log(10)
+                spelt[piece.rare] = spelling / np.log(10)
                 listed = is_rare & found
                 drawn = np.bincount(owner[listed], weights=np.log10((1 - new) * head_counts[at[listed]] / max(rare, 1) + new * 10.0 ** spelt[listed]), minlength=len(texts)) if listed.any() else 0.0
                 cuts = np.cumsum(np.bincount(owner[~found], minlength=len(texts)))[:-1]

@@ -506,3 +506,33 @@ def test_stored_rows_meet_others_without_a_shuffle(spark):
     assert {(r.d, r.text) for r in joined.collect()} == {(k, text_of(k, 5)) for k in range(0, 50, 2)}
     plan = joined._jdf.queryExecution().sparkPlan().toString() + joined._jdf.queryExecution().executedPlan().toString()
     assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") <= 2  # of the other side, in the first and the final plan
+
+
+def test_text_reader_weights_move_chunk_by_chunk():
+    """The vectorised scores equal a loop over every text's chunks."""
+    rng = np.random.default_rng(5)
+    sizes = [1, 255, 256, 257, 900, 512]
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    x = mixture_lm.inputs([rng.integers(-900, 900, len(owner)).astype(np.int16) for _ in range(3)])
+    y, weights = rng.integers(0, 2, len(owner)).astype(np.int8), rng.normal(0.3, 0.05, (mixture_lm.GATES, 4))
+    chunks = mixture_lm.chunks_of(owner, len(sizes))
+    got = mixture_lm.adaptive(x[0].T[:, chunks[0]].T, weights, x[1][chunks[0]], y[chunks[0]], chunks, len(sizes))
+    for t in range(len(sizes)):
+        (own,), moved, total = np.nonzero(owner == t), np.zeros(4), 0.0
+        for first in range(0, len(own), mixture_lm.CHUNK):
+            at = own[first : first + mixture_lm.CHUNK]
+            p = 1 / (1 + np.exp(-(x[0][at] * (weights[x[1][at]] + moved)).sum(axis=1, dtype=float)))
+            total += np.log(np.where(y[at] == 1, p, 1 - p)).sum()
+            moved = moved + mixture_lm.RATE * ((y[at] - p) @ x[0][at])
+        assert got[t] == pytest.approx(total, rel=1e-4)
+
+
+def test_symbols_are_those_of_a_dictionary():
+    rng = np.random.default_rng(6)
+    known = np.unique(rng.integers(0, 1 << 63, 3_000)).tolist()
+    known += [known[0] + k for k in range(1, 9)]
+    for words in ([], known):
+        coder = mixture_lm.build_coder([(h, 2) for h in words], 5, 5)
+        asked = np.array(known + [h + 20 for h in known], dtype=np.int64).view(np.uint64)
+        numbers = {h: k for k, h in enumerate(words, 2)}
+        assert coder.symbol_of(asked).tolist() == [numbers.get(h, mixture_lm.ESCAPE) for h in asked.tolist()]
