@@ -536,3 +536,21 @@ def test_symbols_are_those_of_a_dictionary():
         asked = np.array(known + [h + 20 for h in known], dtype=np.int64).view(np.uint64)
         numbers = {h: k for k, h in enumerate(words, 2)}
         assert coder.symbol_of(asked).tolist() == [numbers.get(h, mixture_lm.ESCAPE) for h in asked.tolist()]
+
+
+def test_top_k_sends_no_table_through_the_driver(spark, monkeypatch):
+    import random
+
+    draw = random.Random(6)
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "HELD", 500)  # several groups of queries
+    values = {i: [draw.randint(-40_000, 40_000) / 1024 for _ in range(5)] if i % 4 else [1.0] * 5 for i in range(300)}
+    vectors = topk.quantised(spark.createDataFrame(list(values.items()), "vec_id long, embedding array<double>").repartition(7))
+    best = topk.top_k(vectors.where("vec_id % 10 = 0"), vectors, k=4)
+    assert "Broadcast" not in best._jdf.queryExecution().executedPlan().toString()
+    exact = {r.vec_id: list(r.v) for r in vectors.collect()}
+    want = []
+    for q in range(0, 300, 10):
+        ranked = sorted((-sum(a * b for a, b in zip(exact[q], v)), i) for i, v in exact.items() if i != q)[:4]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(ranked, 1)]
+    assert sorted(tuple(r) for r in best.collect()) == sorted(want)
