@@ -120,6 +120,11 @@ def rule_matches(files: DataFrame, rules: list[dict] | None = None, context: int
     return matched.select(*keep, "match_no", "matched_text", "_r.rule_id", "_r.name", "_r.threat_level", "_r.malware_type", "_r.cve_ids")
 
 
+def whole_book() -> list[dict]:
+    """All rules, and the credential fields that only the secret scanner looks for."""
+    return book.RULES + [r for r in secret_rules() if r["rule_id"].startswith("TOKEN-")]
+
+
 def secret_rules() -> list[dict]:
     """Secret rules and the credential fields of JSON files."""
     rules = [r for r in book.RULES if r["malware_type"] == book.SECRETS]
@@ -136,9 +141,10 @@ def unescape_quotes(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("&quot;"), F.lit('"')), F.lit("&#39;"), F.lit("'"))
 
 
-def secret_matches(files: DataFrame) -> DataFrame:
-    """Secrets with their line and a masked value."""
-    return rule_matches(files, secret_rules()).withColumn("masked", mask_value(F.col("matched_text"))).drop("matched_text")
+def secret_matches(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """Secrets with their line and a masked value; ``found`` are matches of the whole book, if the files were read before."""
+    matches = rule_matches(files, secret_rules()) if found is None else found.where(F.col("rule_id").isin([r["rule_id"] for r in secret_rules()]))
+    return matches.withColumn("masked", mask_value(F.col("matched_text"))).drop("matched_text")
 
 
 def script_findings(scripts: DataFrame) -> DataFrame:
