@@ -8,12 +8,20 @@ names hold one document after the other; a large document goes on in the next fi
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType
 
 from quayside.functions.text import SARIF_LEVEL, SARIF_SCORE, fingerprint, lookup
 from quayside.operators.matching import severity_rank
 from quayside.operators.ranks import numbered
+from quayside.session import ship_package
 
 TOOL = "quayside"
 SARIF_SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json"
@@ -42,13 +50,12 @@ def write_documents(lines: DataFrame, keys: list[str], path: str, as_text: bool
     if as_text:
         dealt.select(F.col("line").alias("value")).write.mode("overwrite").text(path)
     else:
-        dealt.write.mode("overwrite").parquet(path)
+        dealt.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def items_of(written: DataFrame, section: int, ddl: str) -> DataFrame:
     """The items of a section of written documents, read as JSON again."""
-    bare = F.regexp_replace("line", "^,", "")
-    return written.where(F.col("section") == 2 * section + 1).select(*[c for c in written.columns if c not in ("section", "line")], F.from_json(bare, ddl).alias("item"))
+    return written.where(F.col("section") == 2 * section + 1).select(*[c for c in written.columns if c not in ("section", "line")], item_in(F.col("line"), ddl).alias("item"))
 
 
 def header_of(written: DataFrame, closing: str, ddl: str) -> DataFrame:
@@ -56,6 +63,94 @@ def header_of(written: DataFrame, closing: str, ddl: str) -> DataFrame:
     return written.where("section = 0").select(*[c for c in written.columns if c not in ("section", "place", "line")], F.from_json(F.concat("line", F.lit(closing)), ddl).alias("header"))
 
 
+# Lines of documents that are looked at together, and lines of a document that a task holds.
+LINES, MOST_LINES = 50_000, 200_000
+
+
+def _pairer(closing: str, named: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lines as they lie, in the order of a file: whole documents give a row per item of both sections, other lines come out again."""
+
+    def column(table: pa.Table, name: str) -> pa.Array:
+        found = table.column(name)
+        return found.chunk(0) if found.num_chunks == 1 else pa.concat_arrays(found.chunks)
+
+    def name_of(line: str) -> str | None:
+        value = json.loads(line + closing)
+        for key in named:
+            value = value.get(key) if isinstance(value, dict) else None
+        return value
+
+    def parts(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        project, line = column(table, "project_id"), column(table, "line")
+        section, place = (column(table, c).to_numpy(zero_copy_only=False) for c in ("section", "place"))
+        heads, n = np.flatnonzero(section == 0), len(section)
+        whole = np.zeros(n, dtype=bool)
+        if len(heads):
+            of = np.cumsum(section == 0) - 1
+            items = (np.diff(np.append(heads, n)) - 3) // 2  # a head, the items, what stands between, the items again, a foot
+            inside = of >= 0
+            w, c = np.arange(n) - heads[of], items[of]
+            wanted = np.select([w == 0, w <= c, w == c + 1, w <= 2 * c + 1, w == 2 * c + 2], [0, 1, 2, 3, 4], -1)
+            at = np.select([wanted == 1, wanted == 3], [w - 1, w - c - 2], 0)
+            other = np.zeros(n, dtype=bool)
+            other[1:] = pc.not_equal(project.slice(1), project.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            right = inside & (section == wanted) & (place == at) & ~(other & (section != 0))
+            good = np.logical_and.reduceat(right, heads) & (np.diff(np.append(heads, n)) == 2 * items + 3) & (items >= 0)
+            whole = inside & good[of]
+            mine = np.flatnonzero(whole & (section == 1))
+            names = pa.array([name_of(text) for text in line.take(pa.array(heads[good])).to_pylist()], pa.string())
+            yield batch(len(mine), name=names.take(pa.array((np.cumsum(good) - 1)[of[mine]])), first=line.take(pa.array(mine)), second=line.take(pa.array(mine + items[of[mine]] + 1)))
+        left = pa.array(np.flatnonzero(~whole))
+        yield batch(len(left), project_id=project.take(left), section=pa.array(section).take(left), place=pa.array(place).take(left), line=line.take(left), kind=project.type)
+
+    def batch(size: int, kind: pa.DataType | None = None, **columns) -> pa.RecordBatch:
+        types = {"project_id": kind or key[0], "section": pa.int32(), "place": pa.int64(), "line": pa.string(), "name": pa.string(), "first": pa.string(), "second": pa.string()}
+        return pa.RecordBatch.from_arrays([columns[c].cast(t) if c in columns else pa.nulls(size, t) for c, t in types.items()], names=list(types))
+
+    key: list[pa.DataType] = []
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for some in batches:
+            if not some.num_rows:
+                continue
+            key[:] = [some.schema.field("project_id").type]
+            held.append(some)
+            if sum(b.num_rows for b in held) < LINES:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            section = column(table, "section").to_numpy(zero_copy_only=False)
+            heads = np.flatnonzero(section == 0)
+            last = int(heads[-1]) if len(heads) and not (section[heads[-1] :] == 4).any() and len(section) - heads[-1] < MOST_LINES else len(section)
+            held = table.slice(last).to_batches() if last < len(section) else []
+            if last:
+                yield from parts(table.slice(0, last).combine_chunks())
+        if held:
+            yield from parts(pa.Table.from_batches(held).combine_chunks())
+
+    return pair
+
+
+def paired_sections(written: DataFrame, closing: str, named: list[str]) -> DataFrame:
+    """The items of both sections of written documents side by side, without a shuffle where a document lies whole in a file.
+
+    ``written`` has (project_id, section, place, line) and as many items in one section as in the other. Rows have ``name``, found
+    by its keys in the header, and the lines ``first`` and ``second``; lines of documents that go on in other files are rows
+    of (project_id, section, place, line).
+    """
+    ship_package(written.sparkSession)
+    lines = written.where("project_id IS NOT NULL").select("project_id", "section", "place", "line")
+    schema = lines.select("project_id").schema.add("section", IntegerType()).add("place", LongType())
+    for name in ("line", "name", "first", "second"):
+        schema = schema.add(name, StringType())
+    return lines.mapInArrow(_pairer(closing, named), schema)
+
+
+def item_in(line: Column, ddl: str) -> Column:
+    """The item of a line, read as JSON again."""
+    return F.from_json(F.regexp_replace(line, "^,", ""), ddl)
+
+
 def opened(struct: Column, name: str) -> Column:
     """The JSON of an object that is left open behind a new, open array."""
     return F.concat(F.regexp_replace(F.to_json(struct), r"\}$", ""), F.lit(f',"{name}":['))
